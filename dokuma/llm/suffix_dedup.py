@@ -6,9 +6,8 @@ dictionary phrase (up to the first trigger) followed by a suffix of the parse (p
 start the same ``length`` bytes when both parts agree to that depth. Sorting the corpus' positions therefore falls apart
 into sorting the parse's suffixes and, where those agree, the dictionary's:
 
-1. Every document is parsed. Of its phrases a content-defined quarter (plus the first phrase of windows without any of
-   those) is counted over the corpus; a window all of whose counted phrases occur once cannot be repeated. Most text
-   ends here. Windows without a whole phrase (texts without triggers, such as runs of one character) are hashed as such.
+1. Every document is parsed. Of its phrases the long ones (plus the first phrase of windows without any of those) are
+   counted over the corpus; a window with a counted phrase that occurs once cannot be repeated. Most text ends here. Windows without a whole phrase (texts without triggers, such as runs of one character) are hashed as such.
 2. The documents left, each distinct text once, are written to the shared folder. Their windows fall into families with
    the same run of whole phrases (a parse suffix to the window's depth). Families are sorted by that run, then by the
    phrases around it: a family whose neighbours agree too is repeated as a whole.
@@ -26,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import row_key, written
 
-LENGTH, GRAM, PERIOD, PART = 400, 8, 40, 4
+LENGTH, GRAM, PERIOD, LONG = 400, 8, 40, 48
 WHOLE, OPEN, GIVES = 1, 2, 4  # a family is repeated; its windows are to be sorted; it also provides windows to others
 MOST = 400_000
+_ONE = np.uint64(1)
 _C1, _C2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xF1357AEA2E62A9C5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -64,20 +65,24 @@ class Parse:
         four = two[:-2] | (two[2:] << np.uint64(16))
         gram = four[:-4] | (four[4:] << np.uint64(32))
         self.at = t = np.flatnonzero(scrambled(gram * _C1) < np.uint64((1 << 64) // PERIOD))
-        stops = (t[1:] + GRAM).tolist()
-        view, digest = memoryview(text), xxhash.xxh3_64_intdigest
-        self.phrase = np.array([digest(view[a:z]) for a, z in zip(t.tolist(), stops)], np.uint64)
         lo = np.unique(np.concatenate([[0], t + 1, t + GRAM - length]))
         self.lo = lo = lo[(lo >= 0) & (lo <= n - length)]
         self.hi = np.append(lo[1:] - 1, n - length)
         self.first, self.last = np.searchsorted(t, lo), np.searchsorted(t, lo + length - GRAM, "right") - 1
         self.cored = self.last > self.first
 
+    @cached_property
+    def phrase(self) -> np.ndarray:
+        """Hashes of the phrases; the lowest bit is 0, that of a window's hash 1."""
+        view, digest = memoryview(self.text), xxhash.xxh3_64_intdigest
+        return np.array([digest(view[a:z]) for a, z in zip(self.at.tolist(), (self.at[1:] + GRAM).tolist())], np.uint64) & ~_ONE
+
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrases that are counted, running count of the content-defined ones, families that have none of those)."""
-        chosen = (scrambled(self.phrase + _C1) & np.uint64(PART - 1)) == 0
+        """(phrases that are counted, running count of the long ones, families that have none of those)."""
+        chosen = np.diff(self.at) >= LONG
         run = np.concatenate([[0], np.cumsum(chosen)])
-        bare = self.cored & (run[np.maximum(self.last, 0)] - run[np.minimum(self.first, len(self.phrase))] == 0)
+        chosen = chosen.copy()
+        bare = self.cored & (run[np.maximum(self.last, 0)] - run[np.minimum(self.first, len(chosen))] == 0)
         chosen[self.first[bare]] = True
         return chosen, run, bare
 
@@ -87,7 +92,7 @@ class Parse:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         starts = np.concatenate([np.arange(a, z + 1) for a, z in zip(self.lo[families].tolist(), self.hi[families].tolist())])
         view, digest, n = memoryview(self.text), xxhash.xxh3_64_intdigest, self.length
-        return starts, np.array([digest(view[s : s + n], seed=2) for s in starts.tolist()], np.uint64)
+        return starts, np.array([digest(view[s : s + n], seed=2) for s in starts.tolist()], np.uint64) | _ONE
 
     def keys(self, families: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the run of whole phrases, hash of the phrases around it) of families with a core."""
@@ -107,18 +112,25 @@ def parsed(text: bytes, length: int) -> Parse | None:
     return Parse(text, length) if len(text) >= max(length, 16) else None
 
 
-def candidates(p: Parse, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(families that may be repeated, starts of core-less windows that are), known being the repeated hashes, sorted."""
-    chosen, run, bare = p.counted()
+def candidates(p: Parse, known: np.ndarray) -> np.ndarray:
+    """The families that may be repeated, known being the repeated hashes, sorted."""
+    _, run, bare = p.counted()
     hit = np.isin(p.phrase, known)
-    held = np.concatenate([[0], np.cumsum(hit & ((scrambled(p.phrase + _C1) & np.uint64(PART - 1)) == 0))])
-    m = len(p.phrase)
+    held = np.concatenate([[0], np.cumsum(hit & (np.diff(p.at) >= LONG))])
+    m = len(hit)
     first, last = np.minimum(p.first, m), np.maximum(p.last, 0)
     all_held = (held[last] - held[first]) == (run[last] - run[first])
     at_first = np.zeros(len(p.lo), bool)
     at_first[bare] = hit[p.first[bare]]
+    return np.flatnonzero(p.cored & np.where(bare, at_first, all_held))
+
+
+def bare_windows(p: Parse, known: list[int]) -> np.ndarray:
+    """Starts of windows without a whole phrase whose hash is known to be repeated."""
+    if not known:
+        return np.zeros(0, np.int64)
     starts, hashes = p.windows(np.flatnonzero(~p.cored))
-    return np.flatnonzero(p.cored & np.where(bare, at_first, all_held)), starts[np.isin(hashes, known)]
+    return starts[np.isin(hashes, np.array(known, np.int64).view(np.uint64))]
 
 
 def repeated_rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +260,13 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -
     copies = long_enough.select(k1.alias("k1"), k2.alias("k2"), row_key().alias("rk")).groupBy("k1", "k2").agg(F.min("rk").alias("rk"), F.count("*").alias("copies"))
     asked = lists.join(copies, ["k1", "k2"])
     left = src.select("text", row_key().alias("rk"), k1.alias("k1"), k2.alias("k2")).join(asked.hint("shuffle_hash"), ["rk", "k1", "k2"])
-    left = written(left.select("k1", "k2", "text", "hashes", F.least("copies", F.lit(2)).cast("int").alias("copies"), F.monotonically_increasing_id().alias("d")), "repeating")
+    left = written(left.select("k1", "k2", "text", "hashes", F.filter("hashes", lambda x: x.bitwiseAND(F.lit(1)) == 1).alias("bare"), F.least("copies", F.lit(2)).cast("int").alias("copies"), F.monotonically_increasing_id().alias("d")), "repeating")
 
     def families(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = [[], [], [], [], []]
         for text, hashes, copies, d in zip(*(part.column(c).to_pylist() for c in ("text", "hashes", "copies", "d"))):
             p = parsed(_utf8(text), length)
-            own, _ = candidates(p, np.sort(np.array(hashes, np.int64).view(np.uint64)))
+            own = candidates(p, np.sort(np.array(hashes, np.int64).view(np.uint64)))
             if len(own):
                 core, around = p.keys(own)
                 for o, x in zip(out, (core.view(np.int64), around.view(np.int64), np.full(len(own), copies, np.int32), np.full(len(own), d), own.astype(np.int32))):
@@ -291,8 +303,7 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -
                 begins, ends = np.array([0]), np.array([len(text)])
             else:
                 p = parsed(text, length)
-                _, bare = candidates(p, np.sort(np.array(hashes, np.int64).view(np.uint64)))
-                got = [np.array(starts or [], np.int64), bare]
+                got = [np.array(starts or [], np.int64), bare_windows(p, hashes)]
                 whole = np.array(fam or [], np.int64)[(np.array(state or [], np.int32) & WHOLE) > 0]
                 got += [np.arange(x, y + 1) for x, y in zip(p.lo[whole].tolist(), p.hi[whole].tolist())]
                 begins, ends = removed_bytes(len(text), np.unique(np.concatenate(got)).astype(np.int64), length)
@@ -305,7 +316,7 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4]), pa.array(c[5], pa.binary())], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     notes = state_of.join(starts_of, "d", "left")
-    final = left.join(notes.hint("shuffle_hash"), "d", "left").select("k1", "k2", "text", "hashes", "copies", "families", "states", "starts")
+    final = left.drop("hashes").join(notes.hint("shuffle_hash"), "d", "left").where("families IS NOT NULL OR copies > 1 OR size(bare) > 0").select("k1", "k2", "text", F.col("bare").alias("hashes"), "copies", "families", "states", "starts")
     result = final.mapInArrow(lambda x: per_text(x, remove), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return result.dropDuplicates(["k1", "k2"]), k1, k2
 
