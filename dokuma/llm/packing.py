@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 WINDOW = 2048
 SENTENCE_CUT, WORD_CUT, STRIDE = 4, 48, 32
 BLOCK = 1 << 20
-#: Letters whose lower case and canonical composition stand alone, then punctuation without apostrophes.
-WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,!?;:$#%&*|()\"-]*)")
+#: Letters whose lower case and canonical composition stand alone; punctuation that closes words, without apostrophes.
+LATIN, CLOSERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+"), '.,!?;:$#%&*|()"-'
+MARK = np.array(0xFFFFFFFF, "<u4")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -40,7 +41,7 @@ class Known(dict):
     """A dict that falls back on the generation before it."""
 
     def __init__(self, before: dict[str, bytes]):
-        super().__init__({"": b""})
+        super().__init__({"": b"", "\n": MARK.tobytes()})
         self.before = before
 
     def __missing__(self, chunk: str) -> bytes:
@@ -53,7 +54,7 @@ class WordIds:
     of its word in lower case and of what follows. Unknown words of many documents are encoded in one call and told apart
     by their closing tokens. Bounded caches."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -76,12 +77,14 @@ class WordIds:
         self.now.update(again)
         unknown.difference_update(again)
         new: set[str] = set()
+        cores = self.cores
         split, odd = [], []
         for x in unknown:
-            if (m := WORD.fullmatch(x)) and m[1].isalpha():
-                split.append((x, core := m[1].lower(), m[2]))
-                if core not in self.cores:
-                    new.add(core)
+            core = x.rstrip(CLOSERS)
+            if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
+                split.append((x, low := core.lower(), x[len(core) :]))
+                if low not in cores:
+                    new.add(low)
             else:
                 odd.append(x)
         if len(self.cores) + len(new) > self.most:
@@ -96,8 +99,9 @@ class WordIds:
             for x, end in zip(part, ends):
                 self.cores[x] = raw[start:end]
                 start = end
+        now, cores = self.now, self.cores
         for x, core, tail in split:
-            self.now[x] = self.cores[core] + (self.one(tail) if tail else b"")
+            now[x] = cores[core] + self.one(tail) if tail else cores[core]
         for x in odd:
             self.now[x] = self.one(x)
 
@@ -121,33 +125,42 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def tokenize(texts: list[str | None], words: WordIds, end_id: int) -> Iterator[tuple[bytes, list[int]]]:
+def lowered(text: str) -> str:
+    """In lower case, as the tokenizer would have it, where every character has a lower case of its own (Latin-1)."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def tokenize(texts: list[str | None], words: WordIds, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """Each document's ids and the token offsets behind its sentences, the last one being its end. A sentence ends
-    with a line, or where a blank follows a full stop, question or exclamation mark."""
-    lines = [(x or "").replace(". ", ".\n").replace("? ", "?\n").replace("! ", "!\n") for x in texts]
-    unknown: set[str] = set()
-    for x in lines:
-        unknown.update(filterfalse(words.now.__contains__, x.replace("\n", " ").split(" ")))
-        if len(unknown) > words.most // 2:  # some very long text
-            break
-    else:
+    with a line, or where a blank follows a full stop, question or exclamation mark. Sentence ends travel through the
+    look-up as a word of their own with a mark for an id."""
+    known, unknown, cut = words.now.__contains__, set(), []
+    for x in texts:
+        x = lowered(x or "").replace("\n", " \n ").replace(". ", ". \n ").replace("? ", "? \n ").replace("! ", "! \n ")
+        cut.append(x.split(" "))
+        unknown.update(filterfalse(known, cut[-1]))
+    large = len(unknown) > words.most // 2  # some very long text: the cache might not hold all of them at once
+    if not large:
         words.learn(unknown)
-    end = end_id.to_bytes(4, "little")
-    for x in lines:
-        if len(unknown) > words.most // 2:
-            words.learn(set(x.replace("\n", " ").split(" ")))
-        take = words.now.__getitem__
-        parts, ends, n = [], [], 0
-        for sentence in x.split("\n"):
-            ids = b"".join(map(take, sentence.split(" ")))
-            if ids:
-                parts.append(ids)
-                n += len(ids) >> 2
-                ends.append(n)
-        parts.append(end)
-        if ends:
-            ends[-1] += 1
-        yield b"".join(parts), ends or [1]
+    end = np.array([end_id], "<u4")
+    for own in cut:
+        parts = []
+        for lo in range(0, len(own), words.most // 2):
+            some = own[lo : lo + words.most // 2]
+            if large:
+                words.learn(set(some))
+            parts.append(b"".join(map(words.now.__getitem__, some)))
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        marks = np.flatnonzero(ids == MARK)
+        ends = marks - np.arange(len(marks))
+        ids = np.concatenate([ids[ids != MARK], end])
+        ends = ends[(ends > 0) & (ends < len(ids) - 1)]
+        ends = ends[np.diff(ends, prepend=0) > 0]
+        yield ids.tobytes(), np.append(ends, len(ids))
 
 
 def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
@@ -168,33 +181,36 @@ def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> tuple[
     return best, back
 
 
-def candidates(ends: list[int], base: int, skip: int, window: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """(stream position, penalty) of one document's cuts behind token ``skip``; base is where its token 0 lies."""
-    last = skip
-    for k, end in enumerate(ends):
-        if end <= skip:
-            continue
-        if end - last > STRIDE:
-            for x in range(last + STRIDE, end, STRIDE):
-                yield base + x, WORD_CUT
-        yield base + end, 0 if k == len(ends) - 1 else SENTENCE_CUT
-        last = end
+def candidates(ends: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token offsets, penalties) of one document's cuts behind token ``skip``."""
+    ends = ends[ends > skip]
+    before = np.concatenate([[skip], ends[:-1]])
+    inner = (ends - before - 1) // STRIDE  # cuts inside long sentences
+    total = inner + 1
+    first = np.repeat(np.cumsum(total) - total, total)
+    k = np.arange(len(first)) - first + 1
+    last = k == np.repeat(total, total)
+    at = np.where(last, np.repeat(ends, total), np.repeat(before, total) + k * STRIDE)
+    cost = np.where(last, SENTENCE_CUT, WORD_CUT)
+    cost[-1] = 0
+    return at, cost
 
 
-def pack_stream(docs: Iterable[tuple[object, bytes, list[int]]], first_id: int, window: int = WINDOW, block: int = BLOCK) -> Iterator[tuple]:
+def pack_stream(docs: Iterable[tuple[object, bytes, np.ndarray]], first_id: int, window: int = WINDOW, block: int = BLOCK) -> Iterator[tuple]:
     """Pieces (doc_id, start, length, crc, doc_tokens, sequence_id, offset, ids) of documents (id, ids, ends)."""
     held: list[list] = []  # [doc_id, ids, ends, tokens already packed]
     size, sequence = 0, first_id
 
     def flush(final: bool) -> Iterator[tuple]:
         nonlocal held, size, sequence
-        at, penalty, base, starts = [0], [0], 0, []
+        places, costs, base, starts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0, []
         for _, ids, ends, skip in held:
             starts.append(base)
-            for p, cost in candidates(ends, base - skip, skip, window):
-                at.append(p)
-                penalty.append(cost)
+            own, cost = candidates(ends, skip)
+            places.append(own + (base - skip))
+            costs.append(cost)
             base += (len(ids) >> 2) - skip
+        at, penalty = np.concatenate(places).tolist(), np.concatenate(costs).tolist()
         best, back = best_cuts(at, penalty, window)
         stop = len(at) - 1
         if not final:  # the cheapest cut in the last window's reach

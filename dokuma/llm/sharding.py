@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes, written
 
-BUCKET_BYTES = 32 << 20
-LEAST_BUCKETS = 48
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 12
 
 
 def external_shuffle(docs: DataFrame, *, text: str = "text", seed: int = 20_24, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
@@ -37,7 +37,7 @@ def shard(docs: DataFrame, *, shards: int = 16, **options) -> DataFrame:
     """Law ``rows``: (shard int, slot long, bucket int, record struct); slots are gapless from 0 in every shard.
 
     The only global step is a running sum over one row per bucket (memory-sized), so it stays small: 100 TB in buckets
-    of 32 MB are about three million numbers.
+    of 16 MB are about six million numbers.
     """
     mixed = external_shuffle(docs, **options)
     from pyspark.sql import Window
