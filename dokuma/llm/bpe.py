@@ -4,7 +4,7 @@ Texts are cut into pre-tokens by the tokenizer's pattern. The pre-tokens that a
 of (word and position in one number, token), one row per byte. A recursive query joins neighbours with the merge table (left, right,
 rank) and contracts each word's leftmost pair of least rank, again and again, until no word has a pair left. A pre-token
 that is in the vocabulary as a whole is that token. Ids are decoded by an aggregation of the tokens' bytes ordered by
-position. Results are kept per chunk in two generations, so memory is bounded.
+position. Results are kept in flat arrays and forgotten beyond twice ``KEPT`` chunks, so memory is bounded.
 
 Pre-tokens of more than ``LONGEST`` bytes, whose recursion would grow with the square of their length, are encoded by
 the same rule with a heap. Null text counts as empty: no tokens. Repeated rows are encoded each; extra columns are
@@ -17,18 +17,21 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
-from itertools import filterfalse
+from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LONGEST, KEPT = 192, 250_000
+from .common import Ragged
+
+LONGEST, KEPT = 192, 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary"
 #: A chunk ends where a blank or line end follows something else; no pre-token crosses that when these are the text's
 #: only white space.
 CHUNK, OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
+PLAIN, CLOSERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), '.,!?;:$#%&*|()"-'
 
 ENCODE = """
 WITH RECURSIVE st(place, tok, it) AS (
@@ -47,7 +50,7 @@ WITH RECURSIVE st(place, tok, it) AS (
 SELECT place >> 8 AS word, list(tok ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS hex
 FROM st JOIN done ON done.word = place >> 8 AND done.it = st.it JOIN vocabulary v ON v.rank = st.tok GROUP BY 1 ORDER BY 1
 """
-DECODE = "SELECT word, string_agg(v.hex, '' ORDER BY pos) AS hex FROM given JOIN vocabulary v USING (rank) GROUP BY word ORDER BY word"
+DECODE = "SELECT word, list(rank ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS hex FROM given JOIN vocabulary v USING (rank) GROUP BY word ORDER BY word"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,17 +97,6 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class Known(dict):
-    """A dict that falls back on the generation before it."""
-
-    def __init__(self, before: dict[str, bytes]):
-        super().__init__()
-        self.before = before
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.before[chunk]
-
-
 class Coder:
     def __init__(self, path: str, pattern: str, kept: int = KEPT, longest: int = LONGEST):
         import duckdb
@@ -117,12 +109,15 @@ class Coder:
         self.db.register("m", pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "rank": pa.array(w, pa.int32())}))
         self.db.register("v", pa.table({"rank": pa.array(list(self.ranks.values()), pa.int32()), "hex": [x.hex() for x in self.ranks]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.ids, self.decoded = Known({}), Known({})
+        self.forget()
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Pre-token -> (ids as bytes, decoded bytes)."""
-        out, asked, given = {}, [], []
+    def forget(self) -> None:
+        self.chunks: dict[str, int] = {}  # chunk -> its place in ``tokens``
+        self.words: dict[str, int] = {}  # pre-token -> its place in ``ids`` and ``decoded``
+        self.tokens, self.ids, self.decoded = Ragged("i4"), Ragged("<u4"), Ragged("u1")
+
+    def add_words(self, words: list[str]) -> None:
+        asked, given = [], []
         for x in words:
             b = x.encode()
             if (rank := self.ranks.get(b)) is not None:
@@ -138,67 +133,71 @@ class Coder:
             word = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
             pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             self.db.register("start", pa.table({"place": (word << 8) + pos, "tok": self.byte[flat]}))
-            got = self.db.sql(ENCODE).to_arrow_table()
-            ids, hexed = got.column("ids").combine_chunks(), got.column("hex").to_pylist()
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            for k, (x, _) in enumerate(part):
-                out[x] = values[offsets[k] : offsets[k + 1]].tobytes(), bytes.fromhex(hexed[k])
-        if given:
-            lengths = [len(ids) for _, ids in given]
-            rank = np.fromiter((i for _, ids in given for i in ids), np.int32, sum(lengths))
-            word = np.repeat(np.arange(len(given), dtype=np.int32), lengths)
+            self.keep([x for x, _ in part], self.db.sql(ENCODE).to_arrow_table())
+        for lo in range(0, len(given), 50_000):
+            part = given[lo : lo + 50_000]
+            lengths = [len(ids) for _, ids in part]
+            rank = np.fromiter((i for _, ids in part for i in ids), np.int32, sum(lengths))
+            word = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
             self.db.register("given", pa.table({"word": word, "pos": np.arange(len(rank)), "rank": rank}))
-            hexed = self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist()
-            for (x, ids), h in zip(given, hexed):
-                out[x] = np.array(ids, "<u4").tobytes(), bytes.fromhex(h)
-        return out
+            self.keep([x for x, _ in part], self.db.sql(DECODE).to_arrow_table())
+
+    def keep(self, words: list[str], got: pa.Table) -> None:
+        self.words.update(zip(words, range(self.ids.count, self.ids.count + len(words))))
+        ids, hexed = got.column("ids").combine_chunks(), got.column("hex").to_pylist()
+        offsets = ids.offsets.to_numpy()
+        self.ids.add(ids.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets))
+        self.decoded.add(np.frombuffer(bytes.fromhex("".join(hexed)), np.uint8), np.array([len(h) for h in hexed]) // 2)
 
     def learn(self, chunks: set[str]) -> None:
-        """Make these chunks known; what was known before stays so until the next call but one."""
-        if len(self.ids) + len(chunks) > self.kept:
-            self.ids, self.decoded = Known(dict(self.ids)), Known(dict(self.decoded))
-        old_ids, old_decoded = self.ids.before, self.decoded.before
-        cut, new = [], set()
+        """Make these chunks known."""
+        cut, words, new = [], self.words, set()
         for x in chunks:
-            if x in old_ids:
-                self.ids[x], self.decoded[x] = old_ids[x], old_decoded[x]
+            # Most chunks are a blank, letters and closing punctuation: what the pattern makes of them is plain.
+            core = x.rstrip(CLOSERS)
+            if core and (core[1:] if core[0] == " " else core).isalpha() and PLAIN.fullmatch(core):
+                tokens = (core, x[len(core) :]) if len(core) < len(x) else (core,)
             else:
-                cut.append((x, tokens := self.pattern.findall(x)))
-                new.update(t for t in tokens if t not in self.words)
-        if len(self.words) + len(new) > self.kept:
-            self.words = {}
-            new = {t for _, tokens in cut for t in tokens}
-        self.words.update(self.encode_words(sorted(new)))
-        words = self.words
-        for x, tokens in cut:
-            self.ids[x] = b"".join([words[t][0] for t in tokens])
-            self.decoded[x] = b"".join([words[t][1] for t in tokens])
-
-    def code(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Each text's ids as bytes, and its bytes decoded from them."""
-        for text in texts:
-            text = text or ""
-            chunks = self.pattern.findall(text) if OTHER_SPACE.search(text) else CHUNK.findall(text)
-            for lo in range(0, len(chunks) or 1, self.kept // 2):
-                part = chunks[lo : lo + self.kept // 2]
-                try:
-                    ids, decoded = b"".join(map(self.ids.__getitem__, part)), b"".join(map(self.decoded.__getitem__, part))
-                except KeyError:
-                    self.learn(set(part).difference(self.ids))
-                    ids, decoded = b"".join(map(self.ids.__getitem__, part)), b"".join(map(self.decoded.__getitem__, part))
-                whole = (ids, decoded) if not lo else (whole[0] + ids, whole[1] + decoded)
-            yield whole
-
-    def warm(self, texts: list[str | None]) -> None:
-        """Learn what many texts need in one query."""
-        unknown: set[str] = set()
+                tokens = self.pattern.findall(x)
+            cut.append(tokens)
+            for t in tokens:
+                if t not in words:
+                    new.add(t)
+        self.add_words(sorted(new))
+        self.chunks.update(zip(chunks, range(self.tokens.count, self.tokens.count + len(cut))))
+        self.tokens.add(np.fromiter((words[t] for tokens in cut for t in tokens), np.int32), np.fromiter(map(len, cut), np.int64, len(cut)))
+
+    def code(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's ids, and its bytes decoded from them. Texts are handled together up to ``kept`` chunks."""
+        held, size = [], 0
         for text in texts:
-            if text and not OTHER_SPACE.search(text):
-                unknown.update(filterfalse(self.ids.__contains__, CHUNK.findall(text)))
-            if len(unknown) > self.kept // 2:
-                return
+            own = [] if not text else self.pattern.findall(text) if OTHER_SPACE.search(text) else CHUNK.findall(text)
+            if held and size + len(own) > self.kept:
+                yield from self.code_chunks(held)
+                held, size = [], 0
+            held.append(own)
+            size += len(own)
+        yield from self.code_chunks(held)
+
+    def code_chunks(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        flat = texts[0] if len(texts) == 1 else list(chain.from_iterable(texts))
+        unknown = set(filterfalse(self.chunks.__contains__, flat))
+        if len(self.chunks) + len(unknown) > 2 * self.kept:
+            self.forget()
+            unknown = set(flat)
         if unknown:
             self.learn(unknown)
+        words, word_ends = self.tokens.take(np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat)))
+        ids, id_ends = self.ids.take(words)
+        decoded, byte_ends = self.decoded.take(words)
+        last = lambda ends, n: int(ends[n - 1]) if n else 0
+        n = a = b = 0
+        for own in texts:
+            n += len(own)
+            w = last(word_ends, n)
+            c, d = last(id_ends, w), last(byte_ends, w)
+            yield ids[a:c], decoded[b:d]
+            a, b = c, d
 
 
 _LOADED: dict[str, Coder] = {}
@@ -216,12 +215,11 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, keep: bool = Tru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 texts, rows = part.column(1).to_pylist(), []
-                own.warm(texts)
                 for ids, decoded in own.code(texts):
-                    rows.append((len(ids) >> 2, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if keep else (None, None))))
+                    rows.append((len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids.tobytes(), decoded.tobytes()) if keep else (None, None))))
                 n, a, b, c, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(c, pa.binary()), pa.array(d, pa.binary())], [x.split()[0] for x in SCHEMA.split(", ")])
 

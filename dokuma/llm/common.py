@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+class Ragged:
+    """Pieces of numbers one behind the other, taken by their index."""
+
+    def __init__(self, kind: str):
+        self.flat, self.start, self.count, self.used = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(lengths) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[self.count + 1 : self.count + 1 + len(lengths)] = self.used + np.cumsum(lengths)
+        self.count, self.used = self.count + len(lengths), self.used + len(flat)
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the pieces one behind the other, where each ends)."""
+        first = self.start[index]
+        lengths = self.start[index + 1] - first
+        ends = np.cumsum(lengths)
+        at = np.repeat(first - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return self.flat[at], ends
