@@ -18,13 +18,13 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Ragged
+from .common import Ragged, places
 
 LONGEST, KEPT = 192, 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary"
@@ -111,10 +111,11 @@ class Coder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self) -> dict[str, int]:
         self.chunks: dict[str, int] = {}  # chunk -> its place in ``tokens``
         self.words: dict[str, int] = {}  # pre-token -> its place in ``ids`` and ``decoded``
         self.tokens, self.ids, self.decoded = Ragged("i4"), Ragged("<u4"), Ragged("u1")
+        return self.chunks
 
     def add_words(self, words: list[str]) -> None:
         asked, given = [], []
@@ -181,13 +182,8 @@ class Coder:
 
     def code_chunks(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         flat = texts[0] if len(texts) == 1 else list(chain.from_iterable(texts))
-        unknown = set(filterfalse(self.chunks.__contains__, flat))
-        if len(self.chunks) + len(unknown) > 2 * self.kept:
-            self.forget()
-            unknown = set(flat)
-        if unknown:
-            self.learn(unknown)
-        words, word_ends = self.tokens.take(np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat)))
+        at = places(self.chunks, flat, self.learn, 2 * self.kept, self.forget)  # may replace the tables
+        words, word_ends = self.tokens.take(at)
         ids, id_ends = self.ids.take(words)
         decoded, byte_ends = self.decoded.take(words)
         last = lambda ends, n: int(ends[n - 1]) if n else 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,3 +112,20 @@ class Ragged:
         at = np.repeat(first - (ends - lengths), lengths)
         at += np.arange(len(at))
         return self.flat[at], ends
+
+
+def places(known: dict, keys: list, learn, room: int, forget) -> np.ndarray:
+    """Where each key is, with one look-up for those that are known. learn(set) makes keys known; forget() empties when
+    more than ``room`` would be held."""
+    at = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+    missing = np.flatnonzero(at < 0)
+    if len(missing):
+        absent = [keys[i] for i in missing.tolist()]
+        new = set(absent)
+        if len(known) + len(new) > room:
+            known = forget()
+            learn({k for k in keys if k not in known})
+            return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        learn(new)
+        at[missing] = np.fromiter(map(known.__getitem__, absent), np.int64, len(absent))
+    return at

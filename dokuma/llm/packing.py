@@ -22,12 +22,14 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from itertools import filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Ragged, places
+
 WINDOW = 2048
 SENTENCE_CUT, WORD_CUT, STRIDE = 4, 48, 32
 BLOCK = 1 << 20
@@ -37,83 +39,74 @@ MARK = np.array(0xFFFFFFFF, "<u4")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class Known(dict):
-    """A dict that falls back on the generation before it."""
-
-    def __init__(self, before: dict[str, bytes]):
-        super().__init__({"": b"", "\n": MARK.tobytes()})
-        self.before = before
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.before[chunk]
-
-
 class WordIds:
-    """Chunk between blanks -> its ids as little-endian bytes. The tokenizer drops white space and never joins what it
-    separates, so a text's ids are those of its chunks; nor does it join letters and punctuation, so a chunk's are those
-    of its word in lower case and of what follows. Unknown words of many documents are encoded in one call and told apart
-    by their closing tokens. Bounded caches."""
+    """Chunks between blanks -> ids. The tokenizer drops white space and never joins what it separates, so a text's ids
+    are those of its chunks; nor does it join letters and punctuation, so a chunk's are those of its word in lower case
+    and of what follows. Unknown words of many documents are encoded in one call and told apart by their closing tokens.
+    All is forgotten beyond twice ``most`` chunks, which bounds the memory."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
+        self.plain, self.most = Tokenizer.from_file(path), most
         self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Words in lower case need none of the normalising and splitting that a text does.
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closing = np.zeros(self.plain.get_vocab_size(), bool)  # the tokens that end a word
         for token, i in self.plain.get_vocab().items():
             self.closing[i] = token.endswith("</w>")
-        self.most, self.old, self.now = most, {}, Known({})
-        self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Make every one of these chunks known until the next call."""
-        unknown = {x for x in chunks if x not in self.now}
-        if len(self.now) + len(unknown) > self.most:
-            self.old = dict(self.now)
-            self.now = Known(self.old)
-        again = {x: self.old[x] for x in unknown if x in self.old}
-        self.now.update(again)
-        unknown.difference_update(again)
-        new: set[str] = set()
-        cores = self.cores
-        split, odd = [], []
-        for x in unknown:
+        self.forget()
+
+    def forget(self) -> dict[str, int]:
+        self.chunks: dict[str, int] = {"": 0, "\n": 1}  # chunk -> its place in ``parts``
+        self.pieces: dict[str, int] = {"\n": 0}  # word or punctuation -> its place in ``ids``
+        self.parts, self.ids = Ragged("i4"), Ragged("<u4")
+        self.ids.add(MARK.reshape(1), np.ones(1, np.int64))
+        self.parts.add(np.zeros(1, np.int32), np.array([0, 1]))
+        return self.chunks
+
+    def learn(self, chunks: set[str]) -> None:
+        cut, words, others, pieces = [], set(), set(), self.pieces
+        for x in chunks:
             core = x.rstrip(CLOSERS)
             if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
-                split.append((x, low := core.lower(), x[len(core) :]))
-                if low not in cores:
-                    new.add(low)
+                low = core.lower()
+                own = (low, x[len(core) :]) if len(core) < len(x) else (low,)
+                if low not in pieces:
+                    words.add(low)
+                if len(own) > 1 and own[1] not in pieces:
+                    others.add(own[1])
             else:
-                odd.append(x)
-        if len(self.cores) + len(new) > self.most:
-            self.cores = {}
-            new.update(core for _, core, _ in split)
-        fresh = sorted(new)
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, ends, start = ids.tobytes(), (4 * np.flatnonzero(self.closing[ids]) + 4).tolist(), 0
+                own = (x,)
+                if x not in pieces:
+                    others.add(x)
+            cut.append(own)
+        fresh = list(words)
+        for lo in range(0, len(fresh), 8192):
+            part = fresh[lo : lo + 8192]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
             assert len(ends) == len(part)
-            for x, end in zip(part, ends):
-                self.cores[x] = raw[start:end]
-                start = end
-        now, cores = self.now, self.cores
-        for x, core, tail in split:
-            now[x] = cores[core] + self.one(tail) if tail else cores[core]
-        for x in odd:
-            self.now[x] = self.one(x)
-
-    def one(self, chunk: str) -> bytes:
-        ids = self.tails.get(chunk)
-        if ids is None:
-            ids = np.array(self.plain.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-            if len(self.tails) > self.most // 4:
-                self.tails.clear()
-            if len(chunk) <= 32:
-                self.tails[chunk] = ids
-        return ids
+            pieces.update(zip(part, range(self.ids.count, self.ids.count + len(part))))
+            self.ids.add(ids, np.diff(ends, prepend=0))
+        for x in others:
+            ids = np.array(self.plain.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4")
+            pieces[x] = self.ids.count
+            self.ids.add(ids, np.array([len(ids)]))
+        self.chunks.update(zip(chunks, range(self.parts.count, self.parts.count + len(cut))))
+        self.parts.add(np.fromiter((pieces[p] for own in cut for p in own), np.int32), np.fromiter(map(len, cut), np.int64, len(cut)))
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each chunk's end)."""
+        at = places(self.chunks, chunks, self.learn, 2 * self.most, self.forget)  # may replace the tables
+        parts, part_ends = self.parts.take(at)
+        ids, id_ends = self.ids.take(parts)
+        return ids, np.concatenate([[0], id_ends])[part_ends]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -137,30 +130,38 @@ def lowered(text: str) -> str:
 def tokenize(texts: list[str | None], words: WordIds, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """Each document's ids and the token offsets behind its sentences, the last one being its end. A sentence ends
     with a line, or where a blank follows a full stop, question or exclamation mark. Sentence ends travel through the
-    look-up as a word of their own with a mark for an id."""
-    known, unknown, cut = words.now.__contains__, set(), []
+    look-up as a chunk of their own with a mark for an id. Texts are handled together up to ``words.most`` chunks."""
+    held, size = [], 0
     for x in texts:
         x = lowered(x or "").replace("\n", " \n ").replace(". ", ". \n ").replace("? ", "? \n ").replace("! ", "! \n ")
-        cut.append(x.split(" "))
-        unknown.update(filterfalse(known, cut[-1]))
-    large = len(unknown) > words.most // 2  # some very long text: the cache might not hold all of them at once
-    if not large:
-        words.learn(unknown)
-    end = np.array([end_id], "<u4")
-    for own in cut:
-        parts = []
-        for lo in range(0, len(own), words.most // 2):
-            some = own[lo : lo + words.most // 2]
-            if large:
-                words.learn(set(some))
-            parts.append(b"".join(map(words.now.__getitem__, some)))
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        marks = np.flatnonzero(ids == MARK)
-        ends = marks - np.arange(len(marks))
-        ids = np.concatenate([ids[ids != MARK], end])
-        ends = ends[(ends > 0) & (ends < len(ids) - 1)]
-        ends = ends[np.diff(ends, prepend=0) > 0]
-        yield ids.tobytes(), np.append(ends, len(ids))
+        own = x.split(" ")
+        if held and size + len(own) > words.most:
+            yield from _tokenized(held, words, end_id)
+            held, size = [], 0
+        held.append(own)
+        size += len(own)
+    yield from _tokenized(held, words, end_id)
+
+
+def _tokenized(texts: list[list[str]], words: WordIds, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    ids, ends = words.encode(list(chain.from_iterable(texts)))
+    stops = ends[np.cumsum([len(own) for own in texts]) - 1]
+    marked = ids == MARK
+    marks = np.flatnonzero(marked)
+    before = np.concatenate([[0], np.cumsum(marked)])  # marks in front of each place
+    plain, end = ids[~marked], np.array([end_id], "<u4")
+    places = marks - np.arange(len(marks))
+    a = 0
+    for stop in stops.tolist():
+        lo, hi = before[a], before[stop]
+        first, last = a - lo, stop - hi
+        own = places[lo:hi] - first
+        n = int(last - first) + 1
+        own = own[(own > 0) & (own < n - 1)]
+        if len(own):
+            own = own[np.diff(own, prepend=0) > 0]
+        yield plain[first:last].tobytes() + end.tobytes(), np.append(own, n)
+        a = stop
 
 
 def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
@@ -261,8 +262,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end
 
         def stream():
             for batch in batches:
-                for lo in range(0, batch.num_rows, 128):
-                    part = batch.slice(lo, 128)
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
                     for doc_id, got in zip(part.column(0).to_pylist(), tokenize(part.column(1).to_pylist(), words, end_id)):
                         yield (doc_id, *got)
 
