@@ -37,7 +37,8 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, packing.default_tokenizer())
+    # Workers keep their caches from stage to stage, so this one is held smaller than a query of its own would.
+    return packing.pack_documents(docs, packing.default_tokenizer(), cache=80_000)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secrets", secret_spans), ("packing", packed)]
