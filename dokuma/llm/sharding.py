@@ -18,12 +18,17 @@ from .common import text_bytes, written
 
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 12
+BROADCAST_BUCKETS = 1_000_000
 
 
-def external_shuffle(docs: DataFrame, *, text: str = "text", seed: int = 20_24, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
-    """All rows in a seeded random order: (bucket int, pos long from 0 in the bucket, record struct)."""
+def bucket_count(docs: DataFrame, *, text: str = "text", bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> int:
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 64), F.lit(0))).first()[0]
-    buckets = max(least_buckets, -(-total // bucket_bytes))
+    return max(least_buckets, -(-total // bucket_bytes))
+
+
+def external_shuffle(docs: DataFrame, *, text: str = "text", seed: int = 20_24, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS, buckets: int | None = None) -> DataFrame:
+    """All rows in a seeded random order: (bucket int, pos long from 0 in the bucket, record struct)."""
+    buckets = buckets or bucket_count(docs, text=text, bucket_bytes=bucket_bytes, least_buckets=least_buckets)
     place = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("record"), F.xxhash64(F.lit(seed), text_bytes(text), F.monotonically_increasing_id()).alias("h"), F.monotonically_increasing_id().alias("i"))
     dealt = place.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
     by_hash = lambda x, y: F.when(x.h < y.h, -1).when(x.h > y.h, 1).when(x.i < y.i, -1).when(x.i > y.i, 1).otherwise(0)
@@ -39,13 +44,16 @@ def shard(docs: DataFrame, *, shards: int = 16, **options) -> DataFrame:
     The only global step is a running sum over one row per bucket (memory-sized), so it stays small: 100 TB in buckets
     of 16 MB are about six million numbers.
     """
-    mixed = external_shuffle(docs, **options)
     from pyspark.sql import Window
 
+    buckets = options.pop("buckets", None) or bucket_count(docs, **{k: v for k, v in options.items() if k != "seed"})
+    mixed = external_shuffle(docs, buckets=buckets, **options)
+
     counts = mixed.groupBy("bucket").agg(F.count("*").alias("n"))
     ordered = Window.orderBy("bucket")
     starts = counts.select("bucket", (F.sum("n").over(ordered) - F.col("n")).alias("before"), F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    rows = mixed.join(starts, "bucket").withColumn("at", F.col("before") + F.col("pos"))
+    # One row of 24 bytes a bucket: broadcast up to a million buckets, so that the records are not shuffled again.
+    rows = mixed.join(F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts, "bucket").withColumn("at", F.col("before") + F.col("pos"))
     rows = rows.withColumn("shard", F.expr(f"at * {shards} div total"))
     return rows.select(F.col("shard").cast("int").alias("shard"), (F.col("at") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).alias("slot"), "bucket", "record")
 
