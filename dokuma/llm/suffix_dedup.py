@@ -14,7 +14,7 @@ into sorting the parse's suffixes and, where those agree, the dictionary's:
 3. Where only the run agrees, the windows of the family differ in phrase suffixes; they are sorted by their own hash.
 
 Only equality to ``length`` bytes matters, not the order of what differs, so all three sorts compare 64-bit hashes of
-the strings (128 bits where a match is taken without looking again) instead of the strings. Sorted partitions are read
+the strings (128 bits for whole families of windows) instead of the strings, and matches are not looked at again. Sorted partitions are read
 as streams; a phrase or passage that a third of all documents share is a long run in one of them, never a group in memory.
 
 Null and empty texts have no bytes. Repeated rows and copies repeat every string of theirs. Documents of less than
