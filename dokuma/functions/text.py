@@ -67,3 +67,13 @@ def header(text: Column, lines: int = 40) -> Column:
 def strip_fence(c: Column) -> Column:
     """JSON inside a Markdown code fence."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, "^\\s*```(?:json)?\\s*", ""), "\\s*```\\s*$", ""))
+
+
+def ascii_fold(c: Column) -> Column:
+    """Turkish lower case without accents; other characters stay."""
+    return F.translate(turkish_lower(c), FOLD_FROM, FOLD_TO)
+
+
+def slugify(c: Column) -> Column:
+    """Folded letters and digits, everything else as single dashes inside."""
+    return F.regexp_replace(F.regexp_replace(F.replace(ascii_fold(F.translate(c, "ıI", "ii")), F.lit("̇"), F.lit("")), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -1,7 +1,7 @@
 """Registered queries over the test tables, each with the DuckDB SQL that must give the same rows.
 
 The tables stand in for the domain's: ``embeddings`` for chunk vectors (document = vec_id % 50, queries are the ids
-below 5), ``part`` for documents of a graph whose edges join the parts of neighbouring lines of an order, ``label`` for
+divisible by 100), ``part`` for documents of a graph whose edges join the parts of neighbouring lines of an order, ``label`` for
 relevance.
 """
 
@@ -46,8 +46,8 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 50).alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
 
-def asked(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def chunks25(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SCORED = """WITH scored AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.vec_id % 50 AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 chunks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 25),
 """
 EDGES = """edges AS (SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"""
@@ -108,11 +108,11 @@ def _(spark, sf):
 
 @query("r09_fusion", TOP_DOCS + """, low AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM top GROUP BY 1),
 d AS (SELECT query_id, doc_id, (score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS dense FROM top JOIN low USING (query_id)),
-g AS (SELECT DISTINCT q AS query_id, d % 50 AS doc_id, (d % 7) / 7.0::DOUBLE AS graph FROM range(5) t(q), range(12) u(d))
+g AS (SELECT vec_id AS query_id, d AS doc_id, (d % 7) / 7.0::DOUBLE AS graph FROM embeddings, range(12) u(d) WHERE vec_id % 100 = 0)
 SELECT query_id, doc_id, round(coalesce(dense, 0), 6) AS dense_norm, round(coalesce(graph, 0), 6) AS graph_score, round(0.7 * coalesce(dense, 0) + 0.3 * coalesce(graph, 0), 6) AS score, dense IS NOT NULL AS is_seed
 FROM d FULL OUTER JOIN g USING (query_id, doc_id)""")
 def _(spark, sf):
-    g = spark.range(60).select((F.col("id") % 5).alias("query_id"), F.floor(F.col("id") / 5).alias("doc_id")).withColumn("graph", (F.col("doc_id") % 7) / F.lit(7.0))
+    g = asked(spark, sf).select("query_id", F.explode(F.expr("sequence(0L, 11L)")).alias("doc_id")).withColumn("graph", (F.col("doc_id") % 7) / F.lit(7.0))
     return rounded(retrieve.fuse_graph(top_documents(spark, sf), g))
 
 
@@ -133,7 +133,7 @@ def _(spark, sf):
 
 
 @query("q13_filtered_topk", """WITH scored AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.vec_id % 50 AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.label >= 5)
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.label >= 5)
 SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10""")
 def _(spark, sf):
     return rounded(retrieve.dense_topk(asked(spark, sf), vectors(spark, sf).where("label >= 5"), 10))
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query("r04_ivf", SCORED.rstrip(",\n") + """, centroids AS (SELECT vec_id AS cell, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id < 16),
 cell_of AS (SELECT v.vec_id, arg_min(cell, -list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c)) AS cell FROM embeddings v, centroids GROUP BY 1),
-probed AS (SELECT q.vec_id AS query_id, cell FROM embeddings q, centroids WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY -list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), c), cell) <= 4)
+probed AS (SELECT q.vec_id AS query_id, cell FROM embeddings q, centroids WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY -list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), c), cell) <= 4)
 SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
 FROM scored JOIN cell_of ON chunk_id = vec_id JOIN probed USING (query_id, cell) QUALIFY rank <= 10""")
 def _(spark, sf):
@@ -156,11 +156,11 @@ def _(spark, sf):
     return graph.degrees(nodes(spark, sf), edges(spark, sf))
 
 
-SEEDS = "seeds AS (SELECT p_partkey % 3 AS query_id, p_partkey AS doc_id FROM part WHERE p_partkey <= 6)"
+SEEDS = "seeds AS (SELECT p_partkey // 200 AS query_id, p_partkey AS doc_id FROM part WHERE p_partkey % 100 = 0)"
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(spark, sf).where("doc_id <= 6").select((F.col("doc_id") % 3).alias("query_id"), "doc_id")
+    return nodes(spark, sf).where("doc_id % 100 = 0").select(F.expr("doc_id div 200").alias("query_id"), "doc_id")
 
 
 @query("j17_neighbours", "WITH " + EDGES + ", " + SEEDS + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
@@ -170,10 +170,10 @@ def _(spark, sf):
     return graph.neighbours(seeds(spark, sf), edges(spark, sf), 2)
 
 
-@query("j18_induced", "WITH " + EDGES + """, c AS (SELECT p_partkey % 3 AS query_id, p_partkey AS doc_id FROM part WHERE p_partkey <= 200)
+@query("j18_induced", "WITH " + EDGES + """, c AS (SELECT p_partkey % 3 AS query_id, p_partkey AS doc_id FROM part)
 SELECT DISTINCT a.query_id, src, dst FROM edges JOIN c a ON a.doc_id = src JOIN c b ON b.doc_id = dst AND a.query_id = b.query_id""")
 def _(spark, sf):
-    c = nodes(spark, sf).where("doc_id <= 200").select((F.col("doc_id") % 3).alias("query_id"), "doc_id")
+    c = nodes(spark, sf).select((F.col("doc_id") % 3).alias("query_id"), "doc_id")
     return graph.induced(c, edges(spark, sf))
 
 
@@ -224,14 +224,14 @@ def _(spark, sf):
     return rounded(retrieve.best(fused, "query_id", 10, F.desc("score"), F.asc("doc_id")))
 
 
-GOLD = """gold AS (SELECT q.vec_id AS query_id, v.vec_id % 50 AS doc_id, max(CASE WHEN v.label = q.label THEN 3 WHEN v.label = (q.label + 1) % 10 THEN 1 ELSE 0 END) AS grade FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.vec_id < 30 GROUP BY 1, 2)"""
+GOLD = """gold AS (SELECT q.vec_id AS query_id, v.vec_id % 50 AS doc_id, max(CASE WHEN v.label = q.label THEN 3 WHEN v.label = (q.label + 1) % 10 THEN 1 ELSE 0 END) AS grade FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)"""
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
     grade = F.when(F.col("label") == F.col("wanted"), 3).when(F.col("label") == (F.col("wanted") + 1) % 10, 1).otherwise(0)
-    return e.where("vec_id < 30").join(F.broadcast(q)).groupBy("query_id", (F.col("vec_id") % 50).alias("doc_id")).agg(F.max(grade).alias("grade"))
+    return retrieve.pairs(q, e.withColumnRenamed("vec_id", "chunk_id")).groupBy("query_id", (F.col("chunk_id") % 50).alias("doc_id")).agg(F.max(grade).alias("grade"))
 
 
 METRICS_SQL = TOP_DOCS + ", " + GOLD + """, seen AS (SELECT t.query_id, t.rank, t.doc_id, coalesce(grade, 0) AS grade FROM top t LEFT JOIN gold USING (query_id, doc_id)),
@@ -255,11 +255,11 @@ def _(spark, sf):
     return rounded(evaluate.macro(evaluate.per_query(top_documents(spark, sf), gold(spark, sf))))
 
 
-@query("e06_compare", METRICS_SQL + """, o AS (SELECT query_id, ndcg_at_10 * (query_id % 3) / 2 AS x FROM m WHERE query_id <> 3), c AS (SELECT query_id, coalesce(ndcg_at_10, 0) AS a, coalesce(x, 0) AS b FROM m FULL OUTER JOIN o USING (query_id))
+@query("e06_compare", METRICS_SQL + """, o AS (SELECT query_id, ndcg_at_10 * (query_id // 100 % 3) / 2 AS x FROM m WHERE query_id <> 300), c AS (SELECT query_id, coalesce(ndcg_at_10, 0) AS a, coalesce(x, 0) AS b FROM m FULL OUTER JOIN o USING (query_id))
 SELECT query_id, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta, CASE WHEN b - a < -1e-4 THEN 'REGRESSED' WHEN b - a > 1e-4 THEN 'improved' ELSE 'unchanged' END AS status FROM c""")
 def _(spark, sf):
     a = evaluate.per_query(top_documents(spark, sf), gold(spark, sf))
-    b = a.where("query_id <> 3").withColumn("ndcg_at_10", F.col("ndcg_at_10") * (F.col("query_id") % 3) / 2)
+    b = a.where("query_id <> 300").withColumn("ndcg_at_10", F.col("ndcg_at_10") * F.expr("query_id div 100 % 3") / 2)
     return rounded(evaluate.compare(a, b))
 
 
@@ -315,7 +315,7 @@ def _(spark, sf):
 
 @query("x04_law_references")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" TBK m.49/1 ve CMK m.53/1-a; HMK m.100, f.2, 5237 sayılı Kanun m.5. TCK'nın 302. maddesi, Anayasa'nın 13. maddesi.")).alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" TBK m.49/1 ve CMK m.53/1-a; HMK m.100, f.2, 5237 sayılı Kanun m.5. TCK'nın 302. maddesi, Anayasa'nın 13. maddesi.")).alias("text"))
     return extract.extract_laws(d)
 
 
@@ -357,9 +357,9 @@ def _(spark, sf):
     return c.select("court", "chamber", courts.law_branch(F.col("court"), F.col("chamber")).alias("branch"), courts.court_level(F.col("court")).alias("level"), courts.parent_court(F.col("chamber")).alias("parent"))
 
 
-@query("p11_substring_filter", "SELECT p_partkey, p_brand, p_type FROM part WHERE (contains(lower(p_brand), '#1') OR contains(lower(p_brand), '#3')) AND contains(lower(p_type), 'steel')")
+@query("p11_substring_filter", "SELECT p_partkey, p_brand, p_type FROM part WHERE (contains(lower(p_brand), '#1') OR contains(lower(p_brand), '#3')) AND contains(lower(p_type), 'promo')")
 def _(spark, sf):
-    return tables.manifest_rows(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), {"p_brand": ["#1", "#3"], "p_type": ["STEEL"]})
+    return tables.manifest_rows(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), {"p_brand": ["#1", "#3"], "p_type": ["PROMO"]})
 
 
 @query("k01_upsert", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, upper(lang), n_chars + 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 1000000, lang, n_chars FROM documents WHERE doc_id % 7 = 0")
@@ -405,9 +405,9 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(b, "doc_id", "left").select("doc_id", F.coalesce("item_id", "doc_id").alias("mapped"))
 
 
-@query("p17_projection", TOP_DOCS + "SELECT query_id, t.doc_id, round(t.score, 4) AS score, coalesce(lang, '') AS branch, coalesce(n_chars, 0) AS size FROM top t LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d USING (doc_id)")
+@query("p17_projection", TOP_DOCS + "SELECT query_id, t.doc_id, round(t.score, 4) AS score, coalesce(lang, '') AS branch, coalesce(n_chars, 0) AS size FROM top t LEFT JOIN (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) d USING (doc_id)")
 def _(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", "n_chars")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_semi").select("doc_id", "lang", "n_chars")
     return top_documents(spark, sf).join(d, "doc_id", "left").select("query_id", "doc_id", F.round("score", 4).alias("score"), F.coalesce("lang", F.lit("")).alias("branch"), F.coalesce("n_chars", F.lit(0)).alias("size"))
 
 
