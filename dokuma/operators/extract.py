@@ -133,3 +133,68 @@ def token_windows(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     rows = docs.select("doc_id", words.alias("w")).where(n > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     piece = F.slice("w", F.col("chunk_index") * step + 1, most)
     return rows.select("doc_id", "chunk_index", F.array_join(piece, " ").alias("text"), F.size(piece).alias("token_count"))
+
+
+# Folded beginnings of heading lines and the section they open.
+SECTIONS = (
+    ("karsi_oy", ("karsi oy", "muhalefet serhi")),
+    ("istem_ozeti", ("istemin ozeti",)),
+    ("tetkik_hakimi", ("danistay tetkik hakimi", "tetkik hakimi")),
+    ("alt_derece_karari", ("ilk derece", "bam karari", "bolge adliye mahkemesi karari")),
+    ("taraflar", ("taraflar", "basvurucu", "davaci", "davali")),
+    ("iddia", ("iddia", "davaci istemi", "dava dilekcesi")),
+    ("savunma", ("savunma", "davali cevabi", "davalinin cevabi")),
+    ("gerekce", ("gerekce", "degerlendirme", "hukuki degerlendirme")),
+    ("hukum", ("hukum", "sonuc")),
+)
+#: A heading is a line of at most so many characters.
+HEADING = 60
+SECTION = "doc_id string, chunk_index int, section_type string, text string, token_count int"
+FOLD = str.maketrans("İIÇĞÖŞÜçğıöşüâîû", "iicgosucgiosuaiu")
+
+
+def section_of(line: str) -> str | None:
+    """The section that a line opens: it begins with a heading's words and is in capitals, or has nothing but a colon,
+    full stop or dash behind them."""
+    line = line.strip()
+    plain = re.sub(r"^[^a-z]+", "", line.translate(FOLD).lower())
+    if not plain or len(line) > HEADING:
+        return None
+    fits = lambda w: plain.startswith(w) and (line.isupper() or re.match(r"\s*(?:[:.\-–]|$)", plain[len(w) :]))
+    return next((name for name, words in SECTIONS if any(fits(w) for w in words)), None)
+
+
+def sections_of(text: str, most: int = 1024, tokens: Callable[[str], int] = count_words) -> Iterator[tuple[str, str, int]]:
+    """(section, text, tokens): chunks end where a heading opens another section; a longer section is cut between
+    paragraphs, a longer paragraph between sentences, a longer sentence not at all. Before the first heading: giris."""
+    name, held = "giris", []
+    parts: list[tuple[str, list[str]]] = []
+    for line in (text or "").split("\n"):
+        if (other := section_of(line)) is not None:
+            parts.append((name, held))
+            name, held = other, []
+        held.append(line)
+    for name, lines in [*parts, (name, held)]:
+        pieces = []
+        for paragraph in PARAGRAPH.split("\n".join(lines)):
+            paragraph = paragraph.strip()
+            pieces += [("\n\n", paragraph)] if tokens(paragraph) <= most else [(" ", s) for s in SENTENCE_END.split(paragraph)]
+        now, n = "", 0
+        for joint, piece in pieces:
+            size = tokens(piece)
+            if now and n + size > most:
+                yield name, now, tokens(now)
+                now, n = "", 0
+            if piece:
+                now, n = (now + joint + piece if now else piece), n + size
+        if now:
+            yield name, now, tokens(now)
+
+
+def chunk_sections(docs: DataFrame, most: int = 1024, tokens: Callable[[str], int] = count_words) -> DataFrame:
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(d, i, *c) for d, t in zip(pdf.doc_id, pdf.text) for i, c in enumerate(sections_of(t, most, tokens))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTION.split(", ")]).astype({"chunk_index": "int32", "token_count": "int32"})
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(work, SECTION)

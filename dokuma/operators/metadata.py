@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dokuma.functions import courts, text
@@ -218,43 +218,35 @@ def parse(docs: DataFrame, excluded: dict[str, str] = EXCLUDED) -> DataFrame:
     return rows.select("doc_id", "filename", "court", "daire", F.when(known, branch).otherwise("").alias("law_branch"), F.when(known, level).otherwise(0).alias("court_level"), *names[4:])
 
 
-# Old file names, and the slugs they get; m[i] are the groups.
-CHAMBER_SLUG = {"hukuk dairesi": "hukuk-dairesi", "hd": "hukuk-dairesi", "ceza dairesi": "ceza-dairesi", "cd": "ceza-dairesi"}
+# Old file names, and the slugs they get.
+CHAMBER_SLUG = {"hd": "hukuk-dairesi", "cd": "ceza-dairesi"}
 OLD_NAMES = (
-    (r"(?i)^(\d+)\.\s+(Hukuk Dairesi|Ceza Dairesi)\s+(\d{4})[/_](\d+)\s*E\.?\s*[,.]?\s*(\d{4})[/_](\d+)\s*K", "{1}-{2}-e-{3}-{4}-k-{5}-{6}-1"),
-    (r"^Hukuk Genel Kurulu\s+(\d{4})[/_](\d+)\s*E\.?\s*[,.]?\s*(\d{4})[/_](\d+)\s*K", "hukuk-genel-kurulu-e-{1}-{2}-k-{3}-{4}-1"),
-    (r"^Hukuk Genel Kurulu\s+(\d{4})[/_](\d+)\s*E", "hukuk-genel-kurulu-e-{1}-{2}-1"),
-    (r"(?iu)^Danıştay\s+(\d+)\.\s+Daire\s+Başkanlığı\s+(\d{4})[/_](\d+)\s*E\.?\s*[,.]?\s*(\d{4})[/_](\d+)\s*K", "danistay-{1}-daire-e-{2}-{3}-k-{4}-{5}-1"),
-    (r"(?iu)^T\.C\.\s+YARGITAY\s+(\d+)\.\s+(HUKUK DAİRESİ|CEZA DAİRESİ)\s+E\.?\s*(\d{4})[/_](\d+)\s+K\.?\s*(\d{4})[/_](\d+).*?T\.?\s+0?(\d{1,2})\.0?(\d{1,2})\.(\d{4})", "{1}-{2}-e-{3}-{4}-k-{5}-{6}-t-{7}-{8}-{9}-1"),
-    (r"(?iu)^T\.C\.\s+YARGITAY\s+(\d+)\.\s+(HUKUK DAİRESİ|CEZA DAİRESİ)\s+E\.?\s*(\d{4})[/_](\d+)\s+K\.?\s*(\d{4})[/_](\d+)", "{1}-{2}-e-{3}-{4}-k-{5}-{6}-1"),
-    (r"(?iu)^Yargıtay\s+(\d+)\.\s+(Hukuk Dairesi|Ceza Dairesi|HD|CD)\s+(\d{4})[/_](\d+)\s*Esas\s+(\d{4})[/_](\d+)\s*Karar", "{1}-{2}-e-{3}-{4}-k-{5}-{6}-1"),
-    (r"^Yargıtay\s+(\d+)\.\s+(HD|CD)\s+E[_:]\s*(\d{4})[/_](\d+)\s+K[_:]\s*(\d{4})[/_](\d+)", "{1}-{2}-e-{3}-{4}-k-{5}-{6}-1"),
-    (r"^(\d{4})-(\d+)$", "aym-b-{1}-{2}-1"),
+    (r"(?i)^(\d+)\.\s+(Hukuk Dairesi|Ceza Dairesi)\s+(\d{4})[/_](\d+)\s*E\.?\s*[,.]?\s*(\d{4})[/_](\d+)\s*K", "$1-$2-e-$3-$4-k-$5-$6-1"),
+    (r"^Hukuk Genel Kurulu\s+(\d{4})[/_](\d+)\s*E\.?\s*[,.]?\s*(\d{4})[/_](\d+)\s*K", "hukuk-genel-kurulu-e-$1-$2-k-$3-$4-1"),
+    (r"^Hukuk Genel Kurulu\s+(\d{4})[/_](\d+)\s*E", "hukuk-genel-kurulu-e-$1-$2-1"),
+    (r"(?iu)^Danıştay\s+(\d+)\.\s+Daire\s+Başkanlığı\s+(\d{4})[/_](\d+)\s*E\.?\s*[,.]?\s*(\d{4})[/_](\d+)\s*K", "danistay-$1-daire-e-$2-$3-k-$4-$5-1"),
+    (r"(?iu)^T\.C\.\s+YARGITAY\s+(\d+)\.\s+(HUKUK DAİRESİ|CEZA DAİRESİ)\s+E\.?\s*(\d{4})[/_](\d+)\s+K\.?\s*(\d{4})[/_](\d+).*?T\.?\s+0?(\d{1,2})\.0?(\d{1,2})\.(\d{4})", "$1-$2-e-$3-$4-k-$5-$6-t-$7-$8-$9-1"),
+    (r"(?iu)^T\.C\.\s+YARGITAY\s+(\d+)\.\s+(HUKUK DAİRESİ|CEZA DAİRESİ)\s+E\.?\s*(\d{4})[/_](\d+)\s+K\.?\s*(\d{4})[/_](\d+)", "$1-$2-e-$3-$4-k-$5-$6-1"),
+    (r"(?iu)^Yargıtay\s+(\d+)\.\s+(Hukuk Dairesi|Ceza Dairesi|HD|CD)\s+(\d{4})[/_](\d+)\s*Esas\s+(\d{4})[/_](\d+)\s*Karar", "$1-$2-e-$3-$4-k-$5-$6-1"),
+    (r"^Yargıtay\s+(\d+)\.\s+(HD|CD)\s+E[_:]\s*(\d{4})[/_](\d+)\s+K[_:]\s*(\d{4})[/_](\d+)", "$1-$2-e-$3-$4-k-$5-$6-1"),
+    (r"^(\d{4})-(\d+)$", "aym-b-$1-$2-1"),
 )
 
 
-def slug(stem):
+def slug(stem: Column) -> Column:
     """The slug of an old file name: by the first pattern it fits, else letters and digits joined by dashes."""
-    out = text.slugify(stem)
+    out = stem
     for pattern, form in reversed(OLD_NAMES):
-        pieces = []
-        for literal, group in re.findall(r"([^{]*)(?:\{(\d)\})?", form):
-            pieces += [F.lit(literal)] if literal else []
-            if group:
-                pieces.append(text.slugify(F.regexp_extract(stem, pattern, int(group))))
-        slugged = F.concat(*pieces)
-        for short, full in CHAMBER_SLUG.items():
-            if len(short) == 2:
-                slugged = F.regexp_replace(slugged, f"^(\\d+)-{short}-", f"$1-{full}-")
-        out = F.when(stem.rlike(pattern), slugged).otherwise(out)
+        out = F.when(stem.rlike(pattern), F.regexp_replace(stem, f"{pattern}.*$", form)).otherwise(out)
+    out = text.slugify(out)
+    for short, full in CHAMBER_SLUG.items():
+        out = F.regexp_replace(out, f"^(\\d+)-{short}-e-", f"$1-{full}-e-")
     return out
 
 
 def renamed(files: DataFrame) -> DataFrame:
     """(old, new) of the stems (stem) that are no slugs. Where a new name is taken, by a file that is a slug already or
     by an earlier stem, it gets -2, -3 and so on, in order of stems."""
-    from pyspark.sql import Window
-
     good = F.col("stem").rlike("^[a-z0-9][-a-z0-9]*$")
     bad = files.where(~good).select(F.col("stem").alias("old"), slug(F.col("stem")).alias("new"))
     taken = files.where(good).select(F.col("stem").alias("new"), F.lit(1).alias("there")).distinct()

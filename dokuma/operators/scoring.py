@@ -150,7 +150,7 @@ def field_rows(gold: dict, result: dict) -> Iterator[dict]:
             row = {"raw": raw, "parts": {n: round(x, 4) for n, x in each.items()}}
         else:
             row = {"raw": COMPARE[kind](a, b)}
-        yield {"field": name, "weight": weight, "score": round(row["raw"], 4)} | row
+        yield {"field": name, "weight": weight, "score": round(row["raw"], 4), "parts": None} | row
 
 
 def scored(gold: DataFrame, results: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def scored(gold: DataFrame, results: DataFrame) -> DataFrame:
             rows = []
             for file, a, b in zip(pdf.file, pdf.gold, pdf.result):
                 a, b = parsed(a), parsed(b)
-                rows += [{"file": file, "raw": 0.0, "score": 0.0}] if a is None or b is None else [{"file": file} | r for r in field_rows(a, b)]
+                rows += [{"file": file, "raw": 0.0, "score": 0.0, "parts": None}] if a is None or b is None else [{"file": file} | r for r in field_rows(a, b)]
             yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("matched", "gold_count", "result_count"), "Int32"))
 
     both = gold.select("file", F.col("record").alias("gold")).join(results.select("file", F.col("record").alias("result")), "file")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-EMBEDDED = T.StructType.fromDDL(
+EMBEDDED = (
     "metadata struct<court:string, daire:string, esas_no:string, karar_no:string, filename:string, court_level:int, law_branch:string, decision_date:string, topic_keywords:array<string>>, "
     "chunks array<struct<chunk_index:int, text:string, token_count:int, embedding:array<float>>>, _corrupt string"
 )
