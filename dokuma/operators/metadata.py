@@ -98,6 +98,9 @@ OLD_NUMBERS = {
     "decision_date": (r"TARİHİ\s*:\s*(\d{1,2}[./]\d{1,2}[./]\d{4})", DATE),
 }
 
+#: Words without which a court's patterns, which begin with any word, need not be tried.
+NEEDED = {"BAM": ("BAM",), "BİM": ("BİM",), "İlk Derece": ("Mahkemesi", "ACM")}
+
 FIELDS = ("court", "daire", "esas_no", "karar_no", "decision_date")
 PARSED = "doc_id string, filename string, court string, daire string, esas_no string, karar_no string, decision_date string, topic_keywords array<string>, excluded boolean, exclude_reason string"
 
@@ -110,6 +113,8 @@ def padded(date: str) -> str:
 def named(rules: tuple, line: str) -> dict:
     """Court and chamber by the first rule found; abbreviations are written out."""
     for pattern, court, chamber in rules:
+        if not any(w in line for w in NEEDED.get(court, ("",))):
+            continue
         if m := re.search(pattern, line):
             return {"court": court, "daire": chamber.format(*(FULL.get(g.strip(), g.strip()) for g in m.groups()))}
     return {}
@@ -118,7 +123,7 @@ def named(rules: tuple, line: str) -> dict:
 def regional(rule: tuple, header: str, old: bool) -> dict:
     court, city, *chamber = rule
     upper = header.upper()
-    if not (m := re.search(city, upper)):
+    if "BÖLGE" not in upper or not (m := re.search(city, upper)):
         return {}
     c = re.search(chamber[old], upper)
     tail = f" {c[1]}. {CHAMBERS.get(c[2], c[2].strip().title())}" if c else ""
