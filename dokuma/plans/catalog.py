@@ -313,10 +313,19 @@ def _(spark, sf):
     return extract.chunk(table(spark, sf, "documents"), 256, 32)
 
 
-@query("x04_law_references")
+LAWS_TAIL = " TBK m.49/1 ve CMK m.53/1-a; HMK m.100, f.2, 5237 sayılı Kanun m.5. TCK'nın 302. maddesi, Anayasa'nın 13. maddesi."
+LAW_ROWS = [("TBK", 6098, 49, 1, None, "TBK m.49/1"), ("CMK", 5271, 53, 1, "a", "CMK m.53/1-a"), ("HMK", 6100, 100, 2, None, "HMK m.100, f.2"), ("TCK", 5237, 302, None, None, "TCK'nın 302. maddes"), ("TCK", 5237, 5, None, None, "5237 sayılı Kanun m.5"), ("AY", 2709, 13, None, None, "Anayasa'nın 13. maddes")]
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    show = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({columns}))"
+
+
+@query("x04_law_references", "WITH l AS " + values([(*r, LAWS_TAIL.index(r[-1])) for r in LAW_ROWS], "law_code, law_no, article, paragraph, subparagraph, raw_text, place") + ", d AS (SELECT doc_id, text || '" + LAWS_TAIL.replace("'", "''") + """' AS body, length(text) AS n FROM documents WHERE text IS NOT NULL)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, law_code, law_no, article, coalesce(paragraph, 0) AS paragraph, coalesce(subparagraph, '') AS subparagraph, raw_text, regexp_replace(substr(body, greatest(n + place - 80, 0) + 1, n + place + 80 - greatest(n + place - 80, 0)), '^\\s+|\\s+$', '', 'g') AS snippet FROM d, l""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" TBK m.49/1 ve CMK m.53/1-a; HMK m.100, f.2, 5237 sayılı Kanun m.5. TCK'nın 302. maddesi, Anayasa'nın 13. maddesi.")).alias("text"))
-    return extract.extract_laws(d)
+    return extract.extract_laws(table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(LAWS_TAIL)).alias("text"))).fillna(0, ["paragraph"]).fillna("", ["subparagraph"])
 
 
 @query("q01_bm25", """WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
@@ -425,11 +434,6 @@ CITED = [(1, "d9", "Yargıtay 2. Hukuk Dairesi", "2019/366", "2021/945"), (2, "d
 DOCUMENTS = [("d1", "Yargıtay", "2. Hukuk Dairesi", "2019/366", "2021/945"), ("d2", "Yargıtay", "3. Hukuk Dairesi", "2010/1", "2010/9"), ("d3", "Yargıtay", "3. Hukuk Dairesi", "2010/1", "2010/8"), ("d4", "", "Fikrî Haklar Mahkemesi", "2011/7", ""), ("d5", "BAM", "İzmir Bölge Adliye Mahkemesi 4. Ceza Dairesi", "2020/5", "2020/6")]
 
 
-def values(rows: list[tuple], columns: str) -> str:
-    show = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({columns}))"
-
-
 KEY_SQL = "replace(replace(replace(regexp_replace(translate(lower(translate({0}, 'İIÇĞÖŞÜ', 'iıçğöşü')), 'çğıöşüâîû', 'cgiosuaiu'), '[^a-z0-9]+', '', 'g'), 'bolgeadliyemahkemesi', 'bam'), 'bolgeidaremahkemesi', 'bim'), 'idari', 'idare')"
 
 
