@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, row_key, written
+from .common import components, row_key, text_key, written
 
 VALUES, CHUNK, BITS = 48, 4, 16
 BLOCK = 256
@@ -188,10 +188,9 @@ def links_in(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int
             yield i, j
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, values: int = VALUES, block: int = BLOCK) -> DataFrame:
-    """One row per input row: (doc_id, n_shingles long, component_id long, kept boolean, rk long); rk is row_key of the
-    row. kept is true for the rows whose doc_id is the smallest of their component."""
-    spark = docs.sparkSession
+def grouped(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, values: int = VALUES, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (class or null, n, rk, doc_id, signature), one per input row; classes (class, doc_id, rk, n, signature, id),
+    doc_id and rk being those that stand for the class; and (node, root) of the class ids that are linked."""
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     most = 2 * (values // CHUNK) - 1
 
@@ -285,7 +284,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
         return pd.DataFrame(list(found.edges()), columns=["a", "b"], dtype="int64")
 
     links = dealt.groupBy("root", "bx", "by").applyInPandas(compare, "a long, b long")
-    groups = components(links)
+    return rows, classes, components(links)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: (doc_id, n_shingles long, component_id long, kept boolean, rk long); rk is row_key of the
+    row. kept is true for the rows whose doc_id is the smallest of their component. Options as for ``grouped``."""
+    rows, classes, groups = grouped(docs, **options)
     # A component's id is its least doc_id: over classes first, then one row per class joins the rows.
     named = groups.join(classes.select(F.col("id").alias("node"), "class", "doc_id"), "node")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -302,10 +307,16 @@ def edge_batch(found: Union) -> pa.RecordBatch:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The input without the documents that near_duplicates does not keep; of repeated rows (same id and text) one stays."""
-    kept = near_duplicates(docs, **options).where("kept").select("rk").distinct()
-    marked = docs.withColumn("__rk", row_key())
-    return marked.join(kept.withColumnRenamed("rk", "__rk"), "__rk", "left_semi").select(*docs.columns)
+    """One document of each group of the input: that of the least doc_id, of several texts under it the one of the least
+    row key. A null id stands for a group only where no other id does. Of repeated rows (same id and text) one stays;
+    empty texts are groups of their own."""
+    rows, classes, groups = grouped(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first")
+    linked = classes.select("id", "doc_id", "rk").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    chosen = linked.groupBy(F.coalesce("root", "id").alias("root")).agg(first).select("first.rk")
+    kept = chosen.union(rows.where("class IS NULL").select("rk")).distinct().withColumnRenamed("rk", "__rk")
+    marked = docs.withColumns({"__rk": row_key(), "__id": F.col("doc_id"), "__text": text_key()})
+    return marked.join(kept, "__rk", "left_semi").dropDuplicates(["__rk", "__id", "__text"]).select(*docs.columns)
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:

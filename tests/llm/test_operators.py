@@ -181,6 +181,21 @@ def test_minhash(spark, odd):
     assert minhash.deduplicated(odd).columns == odd.columns
 
 
+def test_one_document_of_each_group_stays(spark):
+    r = random.Random(6)
+    prose = lambda: " ".join("w%d" % r.randrange(5000) for _ in range(120))
+    twice, nulls, both, near, alone = (prose() for _ in range(5))
+    changed = near.replace(near.split()[60], "changed", 1)
+    rows = [(1, twice, "a"), (1, twice, "a"), (None, nulls, "a"), (None, nulls, "b"), (None, both, "a"), (7, both, "a"), (8, both, "a"), (9, near, "a"), (9, changed, "a"), (10, alone, "a"), (None, changed + " more", "a"), (11, "", "a"), (12, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(x.doc_id, x.text) for x in minhash.deduplicated(df).collect()]
+    kept = next(t for d, t in got if d == 9)
+    assert kept in (near, changed)
+    assert sorted(map(str, got)) == sorted(map(str, [(1, twice), (None, nulls), (7, both), (9, kept), (10, alone), (11, ""), (12, None)]))
+    left = [(x.doc_id, x.text) for x in suffix_dedup.without_repeats(minhash.deduplicated(df)).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, got))
+
+
 def test_language_and_quality(spark, odd):
     from dokuma.llm import langid
     from pyspark.sql import functions as F
