@@ -14,6 +14,8 @@ from dokuma.llm.common import written
 
 #: A best language below this is no language; four languages cannot score below 0.25.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Passages of over 50 words that two documents share are repeats, however few bytes they have.
+PASSAGE_WORDS = 51
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return recounted(suffix_dedup.without_repeats(docs))
+    return recounted(suffix_dedup.without_repeats(docs, words=PASSAGE_WORDS))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,13 +17,18 @@ Only equality to ``length`` bytes matters, not the order of what differs, so all
 the strings (128 bits for whole families of windows) instead of the strings, and matches are not looked at again. Sorted partitions are read
 as streams; a phrase or passage that a third of all documents share is a long run in one of them, never a group in memory.
 
+With ``words``, a run of that many words that occurs in two documents is repeated as well, whatever its bytes and the
+white space between its words. Every such window picks the least hash among its shingles of ``SHINGLE`` words: equal
+windows pick alike, so only windows whose pick occurs in two documents are hashed whole, sorted and counted.
+
 Null and empty texts have no bytes. Repeated rows and copies repeat every string of theirs. Documents of less than
-``length`` bytes stay whole. Extra columns are ignored; an empty table gives an empty result.
+``length`` bytes (and of less than ``words`` words) stay whole. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -34,10 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, written
+from .minhash import WordHashes
 
 LENGTH, GRAM, PERIOD, LONG = 400, 8, 40, 48
 WHOLE, OPEN, GIVES = 1, 2, 4  # a family is repeated; its windows are to be sorted; it also provides windows to others
 MOST = 400_000
+SHINGLE = 16
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")  # as bytes.split() has them
 _ONE = np.uint64(1)
 _C1, _C2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xF1357AEA2E62A9C5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -222,6 +230,49 @@ def removed_bytes(n: int, starts: np.ndarray, length: int) -> tuple[np.ndarray,
     return starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [len(starts) - 1]])] + length
 
 
+_WORDS = WordHashes(100_000)
+
+
+class Words:
+    """A text's windows of ``size`` words: their hashes and the least hash among the shingles of each (an even number)."""
+
+    def __init__(self, text: bytes, size: int):
+        self.text, self.size = text, size
+        words = text.split()
+        self.n = max(len(words) - size + 1, 0)
+        if not self.n:
+            self.least = np.zeros(0, np.uint64)
+            return
+        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(_BASE, len(h)), dtype=np.uint64)])
+        k = min(SHINGLE, size)
+        x, width, covered = self.runs(k) & ~_ONE, size - k + 1, 1
+        while covered < width:
+            step = min(covered, width - covered)
+            x, covered = np.minimum(x[:-step], x[step:]), covered + step
+        self.least = x
+
+    def runs(self, k: int) -> np.ndarray:
+        """A hash of every run of k words."""
+        n = len(self.sums) - k
+        return scrambled((self.sums[k:] - self.sums[:n]) * powers(_INVERSE, n))
+
+    def spans(self, known: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(begins, ends) in bytes of what the windows with these hashes cover."""
+        starts = np.flatnonzero(np.isin(self.runs(self.size), np.array(known, np.int64).view(np.uint64)))
+        first, last = removed_bytes(len(self.text), starts, self.size - 1)
+        at = np.array([m.span() for m in WORD.finditer(self.text)], np.int64)
+        return at[first, 0], at[last, 1]
+
+
+def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal spans of these, which may overlap."""
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    gap = np.flatnonzero(begins[1:] > ends[:-1])
+    return begins[np.concatenate([[0], gap + 1])], ends[np.concatenate([gap, [len(ends) - 1]])]
+
+
 def per_text(batches: Iterator[pa.RecordBatch], work: Callable, step: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, step):
@@ -233,7 +284,7 @@ def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -> tuple[DataFrame, Column, Column]:
+def repeats(docs: DataFrame, *, length: int = LENGTH, words: int | None = None, keep_text: bool = False) -> tuple[DataFrame, Column, Column]:
     """Of every distinct text with something to remove: (k1, k2, n_removed, n_spans, kept_sha256, kept binary or null);
     and the two columns that make a text's key."""
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -243,16 +294,18 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -
     def phrases(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = [[], [], [], []]
         for text, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-            if (p := parsed(_utf8(text), length)) is None:
-                continue
-            own = np.concatenate([p.phrase[p.counted()[0]], p.windows(np.flatnonzero(~p.cored))[1]])
-            own, n = np.unique(own, return_counts=True)
+            own, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if (p := parsed(_utf8(text), length)) is not None:
+                own = np.concatenate([p.phrase[p.counted()[0]], p.windows(np.flatnonzero(~p.cored))[1]])
+                own, n = np.unique(own, return_counts=True)
+            if words and len(least := np.unique(Words(_utf8(text), words).least)):
+                own, n = np.concatenate([own, least]), np.concatenate([n, np.ones(len(least), np.int64)])
             for o, x in zip(out, (own.view(np.int64), np.minimum(n, 2).astype(np.int32), np.full(len(own), a), np.full(len(own), b))):
                 o.append(x)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["h", "c", "k1", "k2"])
 
-    long_enough = src.where(F.octet_length("text") >= length)
+    long_enough = src.where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length))
     counted = long_enough.select("text", k1.alias("k1"), k2.alias("k2")).mapInArrow(lambda x: per_text(x, phrases), "h long, c int, k1 long, k2 long")
     twice = counted.repartition("h").sortWithinPartitions("h").select("h", "c", "k1", "k2", F.col("h").alias("g"))
     twice = twice.mapInArrow(lambda x: repeated_rows(x, ["k1", "k2", "h"]), "k1 long, k2 long, h long")
@@ -265,7 +318,8 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -
     def families(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = [[], [], [], [], []]
         for text, hashes, copies, d in zip(*(part.column(c).to_pylist() for c in ("text", "hashes", "copies", "d"))):
-            p = parsed(_utf8(text), length)
+            if (p := parsed(_utf8(text), length)) is None:
+                continue
             own = candidates(p, np.sort(np.array(hashes, np.int64).view(np.uint64)))
             if len(own):
                 core, around = p.keys(own)
@@ -295,18 +349,34 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -
     same = opened.repartition("h").sortWithinPartitions("h").mapInArrow(lambda x: repeated_rows(x, ["d", "start"]), "d long, start int")
     starts_of = same.groupBy("d").agg(F.collect_set("start").alias("starts"))
 
+    def passages(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = [[], [], []]
+        for text, hashes, copies, d in zip(*(part.column(c).to_pylist() for c in ("text", "hashes", "copies", "d"))):
+            w = Words(_utf8(text), words)
+            take = np.isin(w.least, np.array(hashes, np.int64).view(np.uint64))
+            if take.any():
+                own = np.unique(w.runs(words)[take])
+                for o, x in zip(out, (own.view(np.int64), np.full(len(own), copies, np.int32), np.full(len(own), d))):
+                    o.append(x)
+        if out[0]:
+            h, c, d = (pa.array(np.concatenate(o)) for o in out)
+            yield pa.RecordBatch.from_arrays([h, c, d, h], ["h", "c", "d", "g"])
+
     def remove(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for a, b, text, hashes, copies, fam, state, starts in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text", "hashes", "copies", "families", "states", "starts"))):
+        for a, b, text, hashes, copies, fam, state, starts, runs in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text", "hashes", "copies", "families", "states", "starts", "runs"))):
             text = _utf8(text)
             if copies > 1:
                 begins, ends = np.array([0]), np.array([len(text)])
+            elif (p := parsed(text, length)) is None:
+                begins = ends = np.zeros(0, np.int64)
             else:
-                p = parsed(text, length)
                 got = [np.array(starts or [], np.int64), bare_windows(p, hashes)]
                 whole = np.array(fam or [], np.int64)[(np.array(state or [], np.int32) & WHOLE) > 0]
                 got += [np.arange(x, y + 1) for x, y in zip(p.lo[whole].tolist(), p.hi[whole].tolist())]
                 begins, ends = removed_bytes(len(text), np.unique(np.concatenate(got)).astype(np.int64), length)
+            if runs:
+                begins, ends = merged(*(np.concatenate(x) for x in zip((begins, ends), Words(text, words).spans(runs))))
             if not len(begins):
                 continue
             kept = b"".join(text[x:y] for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(text)]))
@@ -316,7 +386,13 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4]), pa.array(c[5], pa.binary())], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     notes = state_of.join(starts_of, "d", "left")
-    final = left.drop("hashes").join(notes.hint("shuffle_hash"), "d", "left").where("families IS NOT NULL OR copies > 1 OR size(bare) > 0").select("k1", "k2", "text", F.col("bare").alias("hashes"), "copies", "families", "states", "starts")
+    if words:
+        seen = left.select("text", "hashes", "copies", "d").mapInArrow(lambda x: per_text(x, passages), "h long, c int, d long, g long")
+        twice = seen.repartition("h").sortWithinPartitions("h").mapInArrow(lambda x: repeated_rows(x, ["d", "g"]), "d long, g long")
+        notes = notes.join(twice.groupBy("d").agg(F.collect_set("g").alias("runs")), "d", "full")
+    else:
+        notes = notes.withColumn("runs", F.lit(None).cast("array<long>"))
+    final = left.drop("hashes").join(notes.hint("shuffle_hash"), "d", "left").where("families IS NOT NULL OR runs IS NOT NULL OR copies > 1 OR size(bare) > 0").select("k1", "k2", "text", F.col("bare").alias("hashes"), "copies", "families", "states", "starts", "runs")
     result = final.mapInArrow(lambda x: per_text(x, remove), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return result.dropDuplicates(["k1", "k2"]), k1, k2
 

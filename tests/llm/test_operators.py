@@ -128,6 +128,32 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_passages_of_over_50_words(spark):
+    import re
+
+    import corpus_pipeline
+
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 3))) + str(r.randrange(10**2)) for _ in range(n))
+    tiny = " ".join(r.choice("abcdefghij") for _ in range(51))  # 101 bytes
+    one, two, three, fifty, own = prose(51), prose(60)[:390].rsplit(" ", 1)[0], prose(140), prose(50), prose(55)
+    texts = [f"{prose(40)} {tiny} {prose(9)}", f"{prose(5)}\n{tiny}", f"{one} {prose(70)}", f"{prose(3)} {one.replace(' ', chr(10), 7)}", f"{prose(30)} {two} {prose(4)}", two, f"{three} {prose(20)}", f"{prose(20)} {three}", f"{prose(9)} {fifty} {prose(9)}", f"{prose(9)} {fifty} {prose(9)}", f"{own} x {own}", "é" * 500, "é" * 450 + " end", None, "", tiny]
+    assert len(tiny) == 101 and len(two.split()) > 50
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    raw = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)] for b in raw]
+    runs = [[tuple(b[x:y] for x, y in w[i : i + 51]) for i in range(len(w) - 50)] for b, w in zip(raw, words)]
+    seen = collections.Counter(x for own in runs for x in set(own))
+    for i, mark in enumerate(covered(raw, 400)):
+        for k, x in enumerate(runs[i]):
+            if seen[x] > 1:
+                a, z = words[i][k][0], words[i][k + 50][1]
+                mark[a:z] = b"\1" * (z - a)
+        assert (got[i] or "") == bytes(b for b, m in zip(raw[i], mark) if not m).decode("utf-8", "ignore")
+    assert not any(tiny in (t or "") or two in (t or "") or one in (t or "") for t in got.values()) and got[8] == texts[8] and got[10] == texts[10]
+
+
 def test_settled_runs_of_any_length(monkeypatch):
     import pyarrow as pa
 
