@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dokuma.functions.vectors import cosine, dot, norm
+from dokuma.functions.vectors import cosine, dot, norm, unit
 
 #: Queries and centroids are broadcast up to this many rows (about 100 MB at 1536 dimensions); beyond, they are dealt
 #: to blocks of vectors by an equi-join.
 BROADCAST_ROWS = 8192
+#: Centroids are fitted on about so many vectors at most, picked by a hash of the chunk id.
+FIT_ROWS = 100_000
 
 
 def best(rows: DataFrame, by: str, k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -35,6 +39,40 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return best(scored, "query_id", k, F.desc("score"), F.asc("chunk_id"))
 
 
+def fit_centroids(vectors: DataFrame, count: int | None = None, seed: int = 1) -> DataFrame:
+    """(cell, centroid) by KMeans on normalised vectors; count: a cell for about 32 vectors, 128 cells at most. The fit
+    reads at most about FIT_ROWS vectors; null and zero vectors have no direction and take no part."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    usable = vectors.where(norm(F.col("vector")) > 0)
+    n = usable.count()
+    if not n:
+        raise ValueError("no vector to fit centroids on")
+    if n > FIT_ROWS:
+        usable = usable.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * FIT_ROWS / n))
+    points = usable.select(array_to_vector(unit(F.col("vector"))).alias("features"))
+    model = KMeans(k=count or max(2, min(128, n // 32)), seed=seed, maxIter=25, distanceMeasure="cosine").fit(points)
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return vectors.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
+
+
+def probes_for(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, least: float = 0.95) -> int:
+    """The smallest number of probed cells that finds the share ``least`` of the exact top-k of these queries."""
+    exact = dense_topk(queries, index.select("chunk_id", "doc_id", "vector"), k)
+    near = F.sort_array(F.transform("all", lambda c: F.struct((-cosine(F.col("query"), c["centroid"])).alias("far"), c["cell"].alias("cell"))))
+    held = centroids.agg(F.collect_list(F.struct("cell", "centroid")).alias("all"))
+    ranked = queries.join(F.broadcast(held)).select("query_id", F.posexplode(near).alias("place", "c")).select("query_id", "place", F.col("c.cell").alias("cell"))
+    found = exact.join(index.select("chunk_id", "cell"), "chunk_id").join(ranked, ["query_id", "cell"]).groupBy("place").count()
+    hits = {r["place"]: r["count"] for r in found.collect()}
+    got = 0
+    for place in sorted(hits):
+        got += hits[place]
+        if got >= least * sum(hits.values()):
+            return place + 1
+    raise ValueError("no query to choose the probes by")
+
+
 def cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """Every vector with the cell of its nearest centroid (cell, centroid). The number of centroids is checked."""
     held = centroids.select("cell", "centroid")

@@ -150,6 +150,16 @@ def _(spark, sf):
     return rounded(retrieve.probe(asked(spark, sf), retrieve.cells(v, centroids), centroids, 10, 4))
 
 
+@query("r04_ivf_fitted")
+def _(spark, sf):
+    """Cells by KMeans; as many probes as 95 % of the exact top 10 of 200 other queries (of vec_id % 20 = 10) take."""
+    v = vectors(spark, sf)
+    centroids = retrieve.fit_centroids(v)
+    index = retrieve.cells(v, centroids)
+    trial = v.where("chunk_id % 20 = 10").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query")).orderBy(F.xxhash64("chunk_id")).limit(200)
+    return rounded(retrieve.probe(asked(spark, sf), index, centroids, 10, retrieve.probes_for(trial, index, centroids, 10)))
+
+
 @query("a05_degrees", "WITH " + EDGES + """ SELECT p_partkey AS doc_id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM part
 LEFT JOIN (SELECT dst, count(*) AS i FROM edges GROUP BY 1) ON dst = p_partkey LEFT JOIN (SELECT src, count(*) AS o FROM edges GROUP BY 1) ON src = p_partkey""")
 def _(spark, sf):

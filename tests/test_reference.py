@@ -33,6 +33,15 @@ def test_graph(spark):
     assert {(r.query_id, r.doc_id) for r in graph.neighbours(seeds, edges).collect()} == {(1, "b"), (2, "c"), (2, "d")}
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_of_fitted_cells(spark, folder):
+    from dokuma.plans.catalog import QUERIES
+
+    exact = {(r.query_id, r.chunk_id) for r in QUERIES["r03_chunks"](spark, f"/root/testdata/{folder}").where("rank <= 10").collect()}
+    got = {(r.query_id, r.chunk_id) for r in QUERIES["r04_ivf_fitted"](spark, f"/root/testdata/{folder}").collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+
+
 def test_chunks():
     assert extract.chunks_of("", 10, 3) == []
     assert extract.chunks_of("w " * 14 + "w.", 10, 3)[0][1] == 15
