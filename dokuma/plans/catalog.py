@@ -8,12 +8,13 @@ relevance.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dokuma.functions import courts, keys, text
-from dokuma.operators import evaluate, extract, graph, records, resolve, retrieve, tables
+from dokuma.operators import evaluate, extract, graph, graph_build, records, resolve, retrieve, tables
 from dokuma.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,6 +477,20 @@ def _(spark, sf):
     return table(spark, sf, "documents").select(F.concat(F.lit("law_"), (F.col("doc_id") % 19).cast("string")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
+@query("r15_graph")
+def _(spark, sf):
+    """Every edge of the graph of DOCUMENTS and the citing d9, their law references and the resolved citations of CITED."""
+    d = inline(spark, [*DOCUMENTS, ("d9", "Yargıtay", "9. Hukuk Dairesi", "2000/1", "2000/2")], "doc_id string, court string, chamber string, case_no string, decision_no string")
+    d = d.withColumns({"court_level": courts.court_level(F.col("court")), "law_branch": courts.law_branch(F.col("court"), F.col("chamber")), "decision_date": F.lit(None).cast("string")})
+    texts = d.select("doc_id", F.concat_ws(" ", F.lit(SOURCE), F.lit("TCK m."), "doc_id").alias("text"))
+    laws = extract.extract_laws(texts).withColumn("seq", F.monotonically_increasing_id())
+    c = inline(spark, CITED, "citation int, source_doc_id string, chamber string, case_no string, decision_no string")
+    found = resolve.resolve(c, d)[0].select("source_doc_id", "target_doc_id", "confidence", F.lit("").alias("snippet"), F.col("citation").alias("seq"))
+    _, edges = graph_build.build(d, laws, found)
+    rows = [e.select(F.lit(a).alias("src_label"), "src", "type", F.lit(b).alias("dst_label"), "dst") for (a, _, b), e in edges.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, sf):
     return rounded(incremental.windowed_counts(table(spark, sf, "events")), 4)

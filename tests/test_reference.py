@@ -6,7 +6,7 @@ import json
 
 import pytest
 
-from dokuma.operators import evaluate, extract, graph, records, tables
+from dokuma.operators import evaluate, extract, graph, graph_build, records, tables
 
 GOLD = {"TQ1": {"D01": 3, "D02": 2, "D03": 1, "D04": 0}, "TQ2": {"D05": 3, "D06": 3, "D07": 0, "D08": 0}, "TQ3": {"D01": 2, "D09": 1, "D10": 0}}
 RUN = {"TQ1": "D04 D01 D03 D10 D08 D02 D09 D07 D06 D05", "TQ2": "D05 D08 D06 D07 D10 D01 D02 D03 D04 D09", "TQ3": "D10 D08 D07 D04 D06 D09 D01 D03 D02 D05"}
@@ -42,6 +42,31 @@ def test_recall_of_fitted_cells(spark, folder):
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
 
 
+def test_graph_build(spark):
+    docs = [("a", "Yargıtay", "2. Hukuk Dairesi", 3, "hukuk"), ("b", "BAM", "İzmir Bölge Adliye Mahkemesi 4. Ceza Dairesi", 2, "ceza"), ("c", "AYM", None, 4, "other"), ("e", None, None, None, None), ("f", "BİM", "Ankara BİM 1. İDD", 2, "idari")]
+    d = spark.createDataFrame(docs, "doc_id string, court string, chamber string, court_level int, law_branch string").selectExpr("*", "'1/1' AS case_no", "'2/2' AS decision_no", "'' AS decision_date")
+    laws = spark.createDataFrame([("a", "TCK", 302, 1, None, 1), ("a", "TCK", 302, 2, "b", 2), ("b", "KANUN_9999", 5, None, None, 3), ("gone", "TBK", 49, None, None, 4)], "doc_id string, law_code string, article int, paragraph int, subparagraph string, seq long")
+    cites = spark.createDataFrame([("a", "b", 0.8, "old", 1), ("a", "b", 1.0, "x" * 600, 2), ("a", "gone", 1.0, "", 3)], "source_doc_id string, target_doc_id string, confidence double, snippet string, seq long")
+    nodes, edges = graph_build.build(d, laws, cites)
+    pairs = lambda *key: {(r.src, r.dst) for r in edges[key].collect()}
+    assert len(edges) == 8 and pairs("Document", "IN_COURT", "Court") == {("a", docs[0][2]), ("b", docs[1][2]), ("c", "AYM"), ("f", docs[4][2])}
+    assert pairs("Court", "PART_OF", "Court") == {(docs[0][2], "Yargıtay"), (docs[1][2], "İzmir BAM"), (docs[4][2], "Ankara BİM")}
+    assert pairs("Court", "APPEALS_TO", "Court") == {("İzmir BAM", "Yargıtay"), ("Ankara BİM", "Danıştay")}
+    assert pairs("Document", "IN_BRANCH", "LegalBranch") == {("a", "hukuk"), ("b", "ceza"), ("f", "idari")}
+    assert pairs("LawArticle", "PART_OF", "Law") == {("TCK_302", "TCK"), ("TBK_49", "TBK")} and len(pairs("Law", "BELONGS_TO", "LegalBranch")) == nodes["Law"].count() == 19
+    assert {tuple(r)[:5] for r in edges["Document", "REFERENCES_LAW", "LawArticle"].collect()} == {("a", "TCK_302", "REFERENCES_LAW", 2, "b"), ("b", "KANUN_9999_5", "REFERENCES_LAW", None, None)}
+    assert [(r.src, r.dst, r.confidence, r.snippet) for r in edges["Document", "CITES", "Document"].collect()] == [("a", "b", 1.0, "x" * 500)]
+    assert {tuple(r) for r in nodes["Court"].select("name", "level", "branch", "pillar").collect()} >= {("İzmir BAM", 2, "ceza", "bam"), ("Yargıtay", 3, "hukuk", "yargıtay"), (docs[0][2], 3, "hukuk", "corpus"), ("Danıştay", 3, "idari", "danıştay"), ("AYM", 4, "other", "aym")}
+    assert nodes["Document"].count() == 5 and {r.id for r in nodes["LawArticle"].collect()} == {"TCK_302", "TBK_49", "KANUN_9999_5"} and nodes["LegalBranch"].count() == 6
+
+
+def test_graph_query(spark):
+    from dokuma.plans.catalog import QUERIES
+
+    got = {(r.src_label, r.type, r.dst_label) for r in QUERIES["r15_graph"](spark, "/root/testdata/sf0.001").collect()}
+    assert {t for _, t, _ in got} == {"BELONGS_TO", "IN_COURT", "PART_OF", "APPEALS_TO", "IN_BRANCH", "REFERENCES_LAW", "CITES"} and len(got) == 8
+
+
 def test_chunks():
     assert extract.chunks_of("", 10, 3) == []
     assert extract.chunks_of("w " * 14 + "w.", 10, 3)[0][1] == 15
