@@ -22,7 +22,6 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +33,18 @@ WINDOW = 2048
 SENTENCE_CUT, WORD_CUT, STRIDE = 4, 48, 32
 BLOCK = 1 << 20
 #: Letters whose lower case and canonical composition stand alone; punctuation that closes words, without apostrophes.
-LATIN, CLOSERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+"), '.,!?;:$#%&*|()"-'
+WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
+IS_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+IS_CLOSER = np.array([chr(b) in '.,!?;:$#%&*|()"-' for b in range(256)])
 MARK = np.array(0xFFFFFFFF, "<u4")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class WordIds:
-    """Chunks between blanks -> ids. The tokenizer drops white space and never joins what it separates, so a text's ids
-    are those of its chunks; nor does it join letters and punctuation, so a chunk's are those of its word in lower case
-    and of what follows. Unknown words of many documents are encoded in one call and told apart by their closing tokens.
-    All is forgotten beyond twice ``most`` chunks, which bounds the memory."""
+    """Pieces between blanks -> ids. The tokenizer drops white space and never joins what it separates, nor letters and
+    the punctuation behind them, so a text's ids are those of its pieces. Unknown words of many documents are encoded in
+    one call, in lower case, and told apart by their closing tokens. All is forgotten beyond twice ``most`` pieces,
+    which bounds the memory."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,30 +64,17 @@ class WordIds:
         self.forget()
 
     def forget(self) -> dict[str, int]:
-        self.chunks: dict[str, int] = {"": 0, "\n": 1}  # chunk -> its place in ``parts``
-        self.pieces: dict[str, int] = {"\n": 0}  # word or punctuation -> its place in ``ids``
-        self.parts, self.ids = Ragged("i4"), Ragged("<u4")
+        self.pieces: dict[str, int] = {"\n": 0}  # piece -> its place in ``ids``
+        self.ids = Ragged("<u4")
         self.ids.add(MARK.reshape(1), np.ones(1, np.int64))
-        self.parts.add(np.zeros(1, np.int32), np.array([0, 1]))
-        return self.chunks
-
-    def learn(self, chunks: set[str]) -> None:
-        cut, words, others, pieces = [], set(), set(), self.pieces
-        for x in chunks:
-            core = x.rstrip(CLOSERS)
-            if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
-                low = core.lower()
-                own = (low, x[len(core) :]) if len(core) < len(x) else (low,)
-                if low not in pieces:
-                    words.add(low)
-                if len(own) > 1 and own[1] not in pieces:
-                    others.add(own[1])
-            else:
-                own = (x,)
-                if x not in pieces:
-                    others.add(x)
-            cut.append(own)
-        fresh = list(words)
+        return self.pieces
+
+    def learn(self, new: set[str]) -> None:
+        words, others, pieces = [], [], self.pieces
+        for x in new:
+            (words if WORD.fullmatch(x) else others).append(x)
+        low = [x.lower() for x in words]
+        fresh = [x for x in dict.fromkeys(low) if x not in pieces]
         for lo in range(0, len(fresh), 8192):
             part = fresh[lo : lo + 8192]
             ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -94,19 +82,19 @@ class WordIds:
             assert len(ends) == len(part)
             pieces.update(zip(part, range(self.ids.count, self.ids.count + len(part))))
             self.ids.add(ids, np.diff(ends, prepend=0))
+        pieces.update(zip(words, [pieces[x] for x in low]))
         for x in others:
             ids = np.array(self.plain.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4")
             pieces[x] = self.ids.count
             self.ids.add(ids, np.array([len(ids)]))
-        self.chunks.update(zip(chunks, range(self.parts.count, self.parts.count + len(cut))))
-        self.parts.add(np.fromiter((pieces[p] for own in cut for p in own), np.int32), np.fromiter(map(len, cut), np.int64, len(cut)))
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, where each chunk's end)."""
-        at = places(self.chunks, chunks, self.learn, 2 * self.most, self.forget)  # may replace the tables
-        parts, part_ends = self.parts.take(at)
-        ids, id_ends = self.ids.take(parts)
-        return ids, np.concatenate([[0], id_ends])[part_ends]
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each piece's end). Every different piece is looked up once."""
+        if self.ids.used > 16 * self.most:  # long pieces
+            self.forget()
+        told = pieces.dictionary_encode()
+        at = places(self.pieces, told.dictionary.to_pylist(), self.learn, 2 * self.most, self.forget)  # may replace the tables
+        return self.ids.take(at[told.indices.to_numpy()])
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
@@ -130,22 +118,54 @@ def lowered(text: str) -> str:
 def tokenize(texts: list[str | None], words: WordIds, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """Each document's ids and the token offsets behind its sentences, the last one being its end. A sentence ends
     with a line, or where a blank follows a full stop, question or exclamation mark. Sentence ends travel through the
-    look-up as a chunk of their own with a mark for an id. Texts are handled together up to ``words.most`` chunks."""
+    look-up as a piece of their own with a mark for an id. Texts are handled together up to ``words.most`` pieces."""
     held, size = [], 0
     for x in texts:
         x = lowered(x or "").replace("\n", " \n ").replace(". ", ". \n ").replace("? ", "? \n ").replace("! ", "! \n ")
-        own = x.split(" ")
-        if held and size + len(own) > words.most:
+        n = x.count(" ") + 1
+        if held and size + n > words.most:
             yield from _tokenized(held, words, end_id)
             held, size = [], 0
-        held.append(own)
-        size += len(own)
+        held.append(x)
+        size += n
     yield from _tokenized(held, words, end_id)
 
 
-def _tokenized(texts: list[list[str]], words: WordIds, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    ids, ends = words.encode(list(chain.from_iterable(texts)))
-    stops = ends[np.cumsum([len(own) for own in texts]) - 1]
+def pieces_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts one after the other, and how many there are up to each text's end. A piece is what lies
+    between blanks; where that is letters and then punctuation, each of them is a piece."""
+    raw = [t.encode() for t in texts]
+    flat = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    inside = flat != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    letter, closer = IS_LETTER[flat], IS_CLOSER[flat]
+    high = np.flatnonzero(flat >= 128)
+    if len(high):
+        own, before = flat[high], flat[high - 1]  # a high byte at the very start has no lead; the last byte is a blank
+        latin = (before == 0xC3) & (own != 0x97) & (own != 0xB7) | (before == 0xC4) & (own <= 0xAF)
+        letter[high] = (own == 0xC3) | (own == 0xC4) | (own < 0xC0) & latin
+    odd = inside & ~(letter | closer)
+    odd[1:] |= letter[1:] & closer[:-1]
+    odds = np.cumsum(odd, dtype=np.int32)
+    starts = np.flatnonzero(first)
+    turn = np.flatnonzero(closer[1:] & letter[:-1]) + 1
+    own = np.searchsorted(starts, turn) - 1
+    ends = np.append(starts[1:], len(flat)) - 1
+    plain = odds[ends] == odds[starts] - odd[starts]
+    first[turn[plain[own]]] = True
+    cuts = np.flatnonzero(first)
+    blanks = np.cumsum(~inside, dtype=np.int32)
+    body = flat[inside]
+    bounds = np.append(cuts - blanks[cuts], len(body)).astype(np.int64)
+    stops = np.cumsum([len(x) + 1 for x in raw]) - 1
+    return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(bounds), pa.py_buffer(body)), np.searchsorted(cuts, stops)
+
+
+def _tokenized(texts: list[str], words: WordIds, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    pieces, counts = pieces_of(texts)
+    ids, ends = words.encode(pieces)
+    stops = np.concatenate([[0], ends])[counts]
     marked = ids == MARK
     marks = np.flatnonzero(marked)
     before = np.concatenate([[0], np.cumsum(marked)])  # marks in front of each place
@@ -182,19 +202,15 @@ def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> tuple[
     return best, back
 
 
-def candidates(ends: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token offsets, penalties) of one document's cuts behind token ``skip``."""
-    ends = ends[ends > skip]
-    before = np.concatenate([[skip], ends[:-1]])
-    inner = (ends - before - 1) // STRIDE  # cuts inside long sentences
-    total = inner + 1
+def candidates(ends: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token offsets, penalties) of the cuts behind offset 0; ends: of all sentences, closing: which end a document."""
+    before = np.concatenate([[0], ends[:-1]])
+    total = (ends - before - 1) // STRIDE + 1  # with cuts inside long sentences
     first = np.repeat(np.cumsum(total) - total, total)
     k = np.arange(len(first)) - first + 1
     last = k == np.repeat(total, total)
     at = np.where(last, np.repeat(ends, total), np.repeat(before, total) + k * STRIDE)
-    cost = np.where(last, SENTENCE_CUT, WORD_CUT)
-    cost[-1] = 0
-    return at, cost
+    return at, np.where(last, np.where(np.repeat(closing, total), 0, SENTENCE_CUT), WORD_CUT)
 
 
 def pack_stream(docs: Iterable[tuple[object, bytes, np.ndarray]], first_id: int, window: int = WINDOW, block: int = BLOCK) -> Iterator[tuple]:
@@ -204,14 +220,14 @@ def pack_stream(docs: Iterable[tuple[object, bytes, np.ndarray]], first_id: int,
 
     def flush(final: bool) -> Iterator[tuple]:
         nonlocal held, size, sequence
-        places, costs, base, starts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0, []
+        base, starts, places = 0, [], []
         for _, ids, ends, skip in held:
             starts.append(base)
-            own, cost = candidates(ends, skip)
-            places.append(own + (base - skip))
-            costs.append(cost)
+            places.append((ends[ends > skip] if skip else ends) + (base - skip))
             base += (len(ids) >> 2) - skip
-        at, penalty = np.concatenate(places).tolist(), np.concatenate(costs).tolist()
+        places, closing = np.concatenate(places), np.cumsum([len(x) for x in places]) - 1
+        own, cost = candidates(places, np.isin(np.arange(len(places)), closing, assume_unique=True))
+        at, penalty = [0, *own.tolist()], [0, *cost.tolist()]
         best, back = best_cuts(at, penalty, window)
         stop = len(at) - 1
         if not final:  # the cheapest cut in the last window's reach
@@ -253,7 +269,7 @@ def pack_stream(docs: Iterable[tuple[object, bytes, np.ndarray]], first_id: int,
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = 1, keep_ids: bool = True, cache: int = 500_000) -> DataFrame:
     """One row per piece, in the columns of SCHEMA (ids little-endian 32-bit, null unless keep_ids). sequence_id is the
-    partition's number shifted by 40 bits plus a count, so no step over all rows is needed. ``cache``: chunks whose ids a
+    partition's number shifted by 40 bits plus a count, so no step over all rows is needed. ``cache``: pieces whose ids a
     worker keeps, about 300 bytes each, up to twice as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +279,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end
 
         def stream():
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
+                for lo in range(0, batch.num_rows, 2048):
+                    part = batch.slice(lo, 2048)
                     for doc_id, got in zip(part.column(0).to_pylist(), tokenize(part.column(1).to_pylist(), words, end_id)):
                         yield (doc_id, *got)
 
