@@ -4,7 +4,8 @@ Texts are cut into pre-tokens by the tokenizer's pattern. The pre-tokens that a
 of (word and position in one number, token), one row per byte. A recursive query joins neighbours with the merge table (left, right,
 rank) and contracts each word's leftmost pair of least rank, again and again, until no word has a pair left. A pre-token
 that is in the vocabulary as a whole is that token. Ids are decoded by an aggregation of the tokens' bytes ordered by
-position. Results are kept in flat arrays and forgotten beyond twice ``KEPT`` chunks, so memory is bounded.
+position. Finished words leave the recursion. Batches are bounded by words and by the squares of
+their bytes, and results, kept in flat arrays, are forgotten beyond twice ``KEPT`` pieces, so memory is bounded.
 
 Pre-tokens of more than ``LONGEST`` bytes, whose recursion would grow with the square of their length, are encoded by
 the same rule with a heap. Null text counts as empty: no tokens. Repeated rows are encoded each; extra columns are
@@ -18,7 +19,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +27,31 @@ from pyspark.sql import DataFrame
 from .common import Ragged, places
 
 LONGEST, KEPT = 192, 400_000
+BATCH_WORDS, BATCH_SQUARES, TOGETHER = 20_000, 12_000_000, 8 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary"
-#: A chunk ends where a blank or line end follows something else; no pre-token crosses that when these are the text's
-#: only white space.
-CHUNK, OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
-PLAIN, CLOSERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), '.,!?;:$#%&*|()"-'
+OTHER_SPACE = re.compile(r"[^\S \n]")
+PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+IS_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+IS_CLOSER = np.array([chr(b) in '.,!?;:$#%&*|()"-' for b in range(256)])
 
 ENCODE = """
-WITH RECURSIVE st(place, tok, it) AS (
-  SELECT place, tok, 0 FROM start
+WITH RECURSIVE st(place, tok, done) AS (
+  SELECT place, tok, false FROM start
   UNION ALL
-  SELECT st.place, CASE WHEN st.place = best.place THEN best.rank ELSE st.tok END, st.it + 1
-  FROM st JOIN (
-    SELECT a.place >> 8 AS word, min((CAST(m.rank AS BIGINT) << 32) | a.place) AS low, arg_min(m.rank, (CAST(m.rank AS BIGINT) << 32) | a.place) AS rank,
-      arg_min(a.place, (CAST(m.rank AS BIGINT) << 32) | a.place) AS place, arg_min(a.nxt, (CAST(m.rank AS BIGINT) << 32) | a.place) AS gone
-    FROM (SELECT place, tok, lead(place) OVER (ORDER BY place) AS nxt, lead(tok) OVER (ORDER BY place) AS nxt_tok FROM st) a
-    JOIN merges m ON m.l = a.tok AND m.r = a.nxt_tok
-    WHERE a.place >> 8 = a.nxt >> 8 GROUP BY 1
-  ) best ON best.word = st.place >> 8
-  WHERE st.place <> best.gone
-), done AS (SELECT place >> 8 AS word, max(it) AS it FROM st GROUP BY 1)
-SELECT place >> 8 AS word, list(tok ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS hex
-FROM st JOIN done ON done.word = place >> 8 AND done.it = st.it JOIN vocabulary v ON v.rank = st.tok GROUP BY 1 ORDER BY 1
+  (WITH a AS MATERIALIZED (
+    SELECT place, tok, lead(place) OVER (ORDER BY place) AS nxt, lead(tok) OVER (ORDER BY place) AS nxt_tok, lag(place) OVER (ORDER BY place) AS before FROM st WHERE NOT done
+  ), best AS (
+    SELECT a.place >> 8 AS word, min((CAST(m.rank AS BIGINT) << 32) | a.place) AS low
+    FROM a JOIN merges m ON m.l = a.tok AND m.r = a.nxt_tok WHERE a.place >> 8 = a.nxt >> 8 GROUP BY 1
+  )
+  SELECT a.place, CASE WHEN a.place = low & 4294967295 THEN CAST(low >> 32 AS INTEGER) ELSE a.tok END, low IS NULL
+  FROM a LEFT JOIN best ON best.word = a.place >> 8
+  WHERE low IS NULL OR a.before IS NULL OR a.before <> low & 4294967295)
+)
+SELECT list(place ORDER BY place) AS place, list(tok ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS hex
+FROM st JOIN vocabulary v ON v.rank = st.tok WHERE done
 """
-DECODE = "SELECT word, list(rank ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS hex FROM given JOIN vocabulary v USING (rank) GROUP BY word ORDER BY word"
+DECODE = "SELECT list(place ORDER BY place) AS place, list(rank ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS hex FROM given JOIN vocabulary v USING (rank)"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,6 +104,8 @@ class Coder:
         import regex
 
         self.ranks, self.pattern, self.kept, self.longest = read_ranks(path), regex.compile(pattern), kept, longest
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = [len(x) for x in self.ranks]
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "500MB", "temp_directory": ""})
         l, r, w = merge_rows(self.ranks)  # noqa: E741
@@ -112,10 +115,9 @@ class Coder:
         self.forget()
 
     def forget(self) -> dict[str, int]:
-        self.chunks: dict[str, int] = {}  # chunk -> its place in ``tokens``
-        self.words: dict[str, int] = {}  # pre-token -> its place in ``ids`` and ``decoded``
-        self.tokens, self.ids, self.decoded = Ragged("i4"), Ragged("<u4"), Ragged("u1")
-        return self.chunks
+        self.pieces: dict[str, int] = {}  # piece -> its place in ``ids`` and ``decoded``
+        self.ids, self.decoded = Ragged("<u4"), Ragged("u1")
+        return self.pieces
 
     def add_words(self, words: list[str]) -> None:
         asked, given = [], []
@@ -127,75 +129,122 @@ class Coder:
                 given.append((x, merge_long(b, self.ranks)))
             else:
                 asked.append((x, b))
-        for lo in range(0, len(asked), 20_000):
-            part = asked[lo : lo + 20_000]
+        # The recursion holds less than half the square of a word's bytes in rows: a batch is as long as memory allows.
+        work = np.cumsum([len(b) ** 2 for _, b in asked])
+        lo = 0
+        while lo < len(asked):
+            hi = min(lo + BATCH_WORDS, max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + BATCH_SQUARES, "right"))))
+            part, lo = asked[lo:hi], hi
             lengths = np.array([len(b) for _, b in part])
             flat = np.frombuffer(b"".join(b for _, b in part), np.uint8)
-            word = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            word = np.repeat(np.arange(len(part), dtype=np.int64), lengths)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             self.db.register("start", pa.table({"place": (word << 8) + pos, "tok": self.byte[flat]}))
-            self.keep([x for x, _ in part], self.db.sql(ENCODE).to_arrow_table())
+            got = self.db.sql(ENCODE).to_arrow_table()
+            self.keep([x for x, _ in part], got.column("place")[0].values.to_numpy() >> 8, got)
         for lo in range(0, len(given), 50_000):
             part = given[lo : lo + 50_000]
             lengths = [len(ids) for _, ids in part]
             rank = np.fromiter((i for _, ids in part for i in ids), np.int32, sum(lengths))
-            word = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
-            self.db.register("given", pa.table({"word": word, "pos": np.arange(len(rank)), "rank": rank}))
-            self.keep([x for x, _ in part], self.db.sql(DECODE).to_arrow_table())
-
-    def keep(self, words: list[str], got: pa.Table) -> None:
-        self.words.update(zip(words, range(self.ids.count, self.ids.count + len(words))))
-        ids, hexed = got.column("ids").combine_chunks(), got.column("hex").to_pylist()
-        offsets = ids.offsets.to_numpy()
-        self.ids.add(ids.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets))
-        self.decoded.add(np.frombuffer(bytes.fromhex("".join(hexed)), np.uint8), np.array([len(h) for h in hexed]) // 2)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Make these chunks known."""
-        cut, words, new = [], self.words, set()
-        for x in chunks:
-            # Most chunks are a blank, letters and closing punctuation: what the pattern makes of them is plain.
-            core = x.rstrip(CLOSERS)
-            if core and (core[1:] if core[0] == " " else core).isalpha() and PLAIN.fullmatch(core):
-                tokens = (core, x[len(core) :]) if len(core) < len(x) else (core,)
+            self.db.register("given", pa.table({"place": np.arange(len(rank)), "rank": rank}))
+            self.keep([x for x, _ in part], np.repeat(np.arange(len(part)), lengths), self.db.sql(DECODE).to_arrow_table())
+
+    def keep(self, words: list[str], word: np.ndarray, got: pa.Table) -> None:
+        """The ids of these words and their bytes, word being the number of each id's word."""
+        self.pieces.update(zip(words, range(self.ids.count, self.ids.count + len(words))))
+        ids = got.column("ids")[0].values.to_numpy()
+        self.ids.add(ids, np.bincount(word, minlength=len(words)))
+        self.decoded.add(np.frombuffer(bytes.fromhex(got.column("hex")[0].as_py()), np.uint8), np.bincount(word, self.sizes[ids], len(words)).astype(np.int64))
+
+    def learn(self, new: set[str]) -> None:
+        """Make these pieces known."""
+        words, several, known = set(), [], self.pieces
+        for x in new:
+            if PLAIN.fullmatch(x):
+                words.add(x)
+            elif len(tokens := self.pattern.findall(x)) == 1:
+                words.add(x)
             else:
-                tokens = self.pattern.findall(x)
-            cut.append(tokens)
-            for t in tokens:
-                if t not in words:
-                    new.add(t)
-        self.add_words(sorted(new))
-        self.chunks.update(zip(chunks, range(self.tokens.count, self.tokens.count + len(cut))))
-        self.tokens.add(np.fromiter((words[t] for tokens in cut for t in tokens), np.int32), np.fromiter(map(len, cut), np.int64, len(cut)))
+                several.append((x, tokens))
+                words.update(t for t in tokens if t not in known)
+        self.add_words(sorted(words))
+        for lo in range(0, len(several), 4096):
+            part = several[lo : lo + 4096]
+            at = np.fromiter((known[t] for _, tokens in part for t in tokens), np.int64)
+            last = np.cumsum([len(tokens) for _, tokens in part]) - 1
+            known.update(zip([x for x, _ in part], range(self.ids.count, self.ids.count + len(part))))
+            for store in (self.ids, self.decoded):
+                flat, ends = store.take(at)
+                store.add(flat, np.diff(ends[last], prepend=0))
 
     def code(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each text's ids, and its bytes decoded from them. Texts are handled together up to ``kept`` chunks."""
+        """Each text's ids, and its bytes decoded from them. Texts are handled together up to ``TOGETHER`` bytes, or one text."""
         held, size = [], 0
         for text in texts:
-            own = [] if not text else self.pattern.findall(text) if OTHER_SPACE.search(text) else CHUNK.findall(text)
-            if held and size + len(own) > self.kept:
-                yield from self.code_chunks(held)
+            own = (text or "").encode()
+            if held and size + len(own) > TOGETHER:
+                yield from self.code_together(held)
                 held, size = [], 0
-            held.append(own)
+            held.append((text or "", own))
             size += len(own)
-        yield from self.code_chunks(held)
-
-    def code_chunks(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        flat = texts[0] if len(texts) == 1 else list(chain.from_iterable(texts))
-        at = places(self.chunks, flat, self.learn, 2 * self.kept, self.forget)  # may replace the tables
-        words, word_ends = self.tokens.take(at)
-        ids, id_ends = self.ids.take(words)
-        decoded, byte_ends = self.decoded.take(words)
-        last = lambda ends, n: int(ends[n - 1]) if n else 0
-        n = a = b = 0
-        for own in texts:
-            n += len(own)
-            w = last(word_ends, n)
-            c, d = last(id_ends, w), last(byte_ends, w)
+        if held:
+            yield from self.code_together(held)
+
+    def code_together(self, texts: list[tuple[str, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        flat, counts = pieces_of(texts, self.pattern)
+        if self.decoded.used > 64 * self.kept:  # long pieces
+            self.forget()
+        told = flat.dictionary_encode()  # every different piece is looked up once
+        at = places(self.pieces, told.dictionary.to_pylist(), self.learn, 2 * self.kept, self.forget)  # may replace the tables
+        at = at[told.indices.to_numpy()]
+        ids, id_ends = self.ids.take(at)
+        decoded, byte_ends = self.decoded.take(at)
+        id_stops, byte_stops = (np.concatenate([[0], x])[counts].tolist() for x in (id_ends, byte_ends))
+        a = b = 0
+        for c, d in zip(id_stops, byte_stops):
             yield ids[a:c], decoded[b:d]
             a, b = c, d
 
 
+def pieces_of(texts: list[tuple[str, bytes]], pattern) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts (as strings and bytes) one after the other, and how many there are up to each text's end.
+    A piece ends where a blank or line end follows something else; no pre-token crosses that when these are the text's
+    only white space. Other texts are cut into their pre-tokens. Of a blank, letters and punctuation the latter is a piece."""
+    data = b"".join(own for _, own in texts)
+    if not data:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    flat = np.frombuffer(data, np.uint8)
+    blank = (flat == 32) | (flat == 10)
+    first = np.empty(len(flat), bool)
+    first[1:] = blank[1:] & ~blank[:-1]
+    stops = np.cumsum([len(own) for _, own in texts])
+    begins = stops - [len(own) for _, own in texts]
+    first[begins[begins < stops]] = True
+    for (text, _), lo, hi in zip(texts, begins.tolist(), stops.tolist()):
+        if OTHER_SPACE.search(text):
+            lengths = [len(t.encode()) for t in pattern.findall(text)]
+            first[lo:hi] = False
+            first[lo + np.cumsum(lengths) - lengths] = True
+    letter, closer = IS_LETTER[flat], IS_CLOSER[flat]
+    high = np.flatnonzero(flat >= 128)
+    if len(high):
+        own, before = flat[high], flat[high - 1]  # a text's first byte is no continuation
+        latin = (before == 0xC3) & (own != 0x97) & (own != 0xB7) | (before >= 0xC4) & (before <= 0xC8) | (before == 0xC9) & (own < 0x90)
+        letter[high] = (own >= 0xC3) & (own <= 0xC9) | (own < 0xC0) & latin
+    starts = np.flatnonzero(first)
+    odd = ~(letter | closer)
+    odd[1:] |= letter[1:] & closer[:-1]
+    odd[starts] = ~(letter[starts] | (flat[starts] == 32))
+    odds = np.cumsum(odd, dtype=np.int32)
+    turn = np.flatnonzero(closer[1:] & letter[:-1] & ~first[1:]) + 1
+    ends = np.append(starts[1:], len(flat)) - 1
+    plain = odds[ends] == odds[starts] - odd[starts]
+    first[turn[plain[np.searchsorted(starts, turn, "right") - 1]]] = True
+    cuts = np.flatnonzero(first)
+    bounds = np.append(cuts, len(flat)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(bounds), pa.py_buffer(data)), np.searchsorted(cuts, stops)
+
+
 _LOADED: dict[str, Coder] = {}
 
 
@@ -211,8 +260,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, keep: bool = Tru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
                 texts, rows = part.column(1).to_pylist(), []
                 for ids, decoded in own.code(texts):
                     rows.append((len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids.tobytes(), decoded.tobytes()) if keep else (None, None))))
