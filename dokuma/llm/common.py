@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders made by ``written`` and not deleted yet, in order.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a new one, set for the session."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new local one is set for the session if all of Spark
+    runs on this machine (tests); on a cluster executors could not share it, so there it raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="dokuma-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,18 +32,43 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet into the shared folder and read them back."""
+    """Cut the lineage: write the rows as Parquet into the shared folder and read them back. The folder goes when the
+    application ends, or earlier by ``drop_scratch`` or ``drop_since``."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
+    _MADE.append(path)
+    folder, fs = _folder(spark, path)
+    fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder, fs = _folder(spark, path)
+    fs.delete(folder, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files behind a table made by ``written`` once nothing reads them any more."""
-    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+def scratch_so_far() -> int:
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, before: int, keep: int = 1) -> None:
+    """Delete all but the last ``keep`` of the tables written after ``before`` of them were there: what a step wrote on the
+    way to its result, once that is written."""
+    for path in _MADE[before : len(_MADE) - keep]:
+        _delete(spark, path)
 
 
 def text_bytes(text: str = "text") -> Column:

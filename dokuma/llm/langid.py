@@ -8,11 +8,13 @@ is the softmax of the mean log-odds of its windows, weighted by their lengths.
 A filter's response to w classes is a sum of table rows, one for each class; for scoring, rows of neighbours are added
 up beforehand, so a position costs one or two look-ups a width instead of w.
 
-Training uses at most ``SAMPLE`` labelled documents for each language (the least by a hash of their id), two windows
-from each at places given by that hash. ``lang``, ``source`` and ``doc_id`` never enter a prediction.
+Training uses at most ``SAMPLE`` labelled documents for each language (the least by a hash of their id and text), two
+windows from each at places given by that hash. Rows are counted by language first, and only those below a threshold on
+the hash, about ``SPARE`` times the sample, leave their partitions. ``lang``, ``source`` and ``doc_id`` never enter a prediction.
 
-Results: ``und`` with score 0 for a null text or one without a letter. Languages are those found in training; with no
-labelled row at all every text is ``und``. Repeated rows score alike; extra columns are ignored.
+Results: ``und`` with score 0 for a null text or one without a letter (of any script; digits, fractions and superscripts
+are none). Languages are those found in training; with no labelled row at all, an empty table among others, every text is
+``und``. Repeated rows score alike and count once in the sample; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, row_key
 
 WINDOW, WIDTHS, FILTERS, CLASSES = 512, (2, 3, 4), 12, 64
 WIDEST = max(WIDTHS)
-SAMPLE, EPOCHS, BATCH, RATE = 500, 14, 64, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+SAMPLE, SPARE, EPOCHS, BATCH, RATE = 500, 4, 14, 64, 0.02
+LETTER = re.compile(r"[^\W\d_]")  # and numbers that are no decimal digits
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -137,16 +139,21 @@ def windows_of(texts: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, train: Column, *, sample: int = SAMPLE) -> Network | None:
     """Train on rows where ``train`` holds and lang is not null: ``sample`` documents a language at most come to the
     driver, two windows each."""
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    place = lambda k: F.substring("text", (F.pmod(F.xxhash64(F.lit(k), h), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
     from pyspark.sql import Window
 
-    picked = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), place(1).alias("a"), place(2).alias("b"))
-    picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "a"))).where(F.col("r") <= sample)
+    own = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r.lang: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number a language
+    if not counts:
+        return None
+    h = row_key()
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SPARE * sample / n))])
+    place = lambda k: F.substring("text", (F.pmod(F.xxhash64(F.lit(k), F.col("h")), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
+    low = own.select("lang", "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 31)) < F.element_at(share, F.col("lang")) * (1 << 31))
+    once = low.select("lang", "h", F.struct(place(1).alias("a"), place(2).alias("b")).alias("w")).groupBy("lang", "h").agg(F.min("w").alias("w"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h")  # some SPARE * sample rows a language
+    picked = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "h", "w.a", "w.b")
     rows = sorted((r.lang, r.h, r.a, r.b) for r in picked.collect())
     languages = sorted({r[0] for r in rows})
-    if not languages:
-        return None
     net = Network(languages)
     x = windows_of([t for r in rows for t in (r[2], r[3])])
     y = np.array([languages.index(r[0]) for r in rows for _ in (0, 1)])
@@ -171,8 +178,12 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def judge(net: Network | None, text: str | None) -> tuple[str, float]:
-    if net is None or text is None or not LETTER.search(text):
+    if net is None or not has_letter(text):
         return "und", 0.0
     z = net.log_odds(text.encode("utf-8", "surrogatepass"))
     p = np.exp(z - z.max())
@@ -180,7 +191,8 @@ def judge(net: Network | None, text: str | None) -> tuple[str, float]:
 
 
 def identified(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
-    """The input without documents that are ``und`` or whose best language scores below ``least``."""
+    """The input without documents that are ``und`` or whose best language scores below ``least``. Where no language is
+    known (no row of the table names one) only texts without a letter go."""
     columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +200,7 @@ def identified(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
             good = []
             for text in batch.column(at).to_pylist():
                 lang, score = judge(net, text)
-                good.append(lang != "und" and score >= least)
+                good.append(has_letter(text) if net is None else lang != "und" and score >= least)
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema).select(*columns)

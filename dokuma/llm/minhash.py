@@ -14,8 +14,8 @@
    pairs and no row per pair; groups within one block are compared once.
 
 Null and empty texts have empty sets and stay alone. A null doc_id takes part under no id: such rows come back with null
-component and kept = true. Repeated doc_ids share one component. Extra columns are ignored. An empty table gives an
-empty result.
+component and kept = true. Repeated doc_ids share one component. Extra columns are ignored (``deduplicated`` keeps them,
+whatever their names). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -160,8 +160,8 @@ def sorted_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int],
                 if len(ids) > 1:
                     yield ids, sigs
                 key, ids, sigs = k[a], [], []
-            ids = ids + i[a:b].tolist()
-            sigs = sigs + batch.column(2).slice(a, b - a).to_pylist()
+            ids += i[a:b].tolist()
+            sigs += batch.column(2).slice(a, b - a).to_pylist()
     if len(ids) > 1:
         yield ids, sigs
 
@@ -314,9 +314,10 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first")
     linked = classes.select("id", "doc_id", "rk").join(groups.withColumnRenamed("node", "id"), "id", "left")
     chosen = linked.groupBy(F.coalesce("root", "id").alias("root")).agg(first).select("first.rk")
-    kept = chosen.union(rows.where("class IS NULL").select("rk")).distinct().withColumnRenamed("rk", "__rk")
-    marked = docs.withColumns({"__rk": row_key(), "__id": F.col("doc_id"), "__text": text_key()})
-    return marked.join(kept, "__rk", "left_semi").dropDuplicates(["__rk", "__id", "__text"]).select(*docs.columns)
+    kept = chosen.union(rows.where("class IS NULL").select("rk")).distinct()
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("record"), row_key().alias("rk"), F.col("doc_id").alias("id"), text_key().alias("content"))
+    once = marked.join(kept, "rk", "left_semi").dropDuplicates(["rk", "id", "content"])
+    return once.select(*[F.col("record")[c].alias(c) for c in docs.columns])
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:

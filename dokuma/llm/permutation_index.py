@@ -3,12 +3,14 @@
 Pivots are picked from a bounded sample (``SAMPLE`` rows by a hash of their id, then farthest-first), and every vector is
 represented by its ``PREFIX`` nearest pivots in order. A block of vectors posts (vector, position) into an inverted file
 per pivot. A query reads the files of its own nearest pivots and gets each vector's footrule distance, pivots outside a
-prefix counting as position PREFIX; the nearest ``SHARE`` of each block by footrule, ties at its edge included, is
-reranked by exact inner products in double precision. Blocks of up to ``EXHAUSTIVE`` vectors are reranked whole.
-
-Every usable vector is indexed. Null vectors, zero vectors and those with null or non-finite components take no part.
-Rows with the query's own id are not candidates for it; a table with less than k others gives fewer rows; an empty table
-gives none. Ties go to the smaller id. Repeated rows come back as often as they are there.
+prefix counting as position PREFIX; the nearest of each block by footrule, ties at its edge included, are reranked by
+inner products in double precision, each summed in one fixed order, so equal vectors score alike. They are a ``SHARE`` of
+the block, at least ``DEPTH`` for each result asked for: the same law at every size, and no block is scanned by another way.
+
+Every usable vector is indexed. Null vectors, zero vectors and those with null or non-finite components take no part;
+vectors of several lengths raise. Rows with the query's own id are not candidates for it; a table with less than k others
+gives fewer rows; an empty table gives none. Ties go to the smaller id. Repeated rows come back as often as they are
+there. Only the two named columns are read: others may have any name.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import blocks, found_batch, meet, nearest, usable
 
-PIVOTS, PREFIX, SAMPLE, SHARE = 256, 64, 2048, 0.14
-SHARD, QUERY_BLOCK, EXHAUSTIVE, GROUPS = 8192, 1024, 512, 24
+PIVOTS, PREFIX, SAMPLE, SHARE, DEPTH = 256, 64, 2048, 0.2, 8
+SHARD, QUERY_BLOCK = 8192, 1024
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -67,7 +69,7 @@ def footrule_gain(prefix: np.ndarray, start: np.ndarray, who: np.ndarray, at: np
     return gain
 
 
-def search(rows: DataFrame, ident: str, vector: str, is_query, k: int = 20, *, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, shard: int = SHARD, exhaustive: int = EXHAUSTIVE) -> DataFrame:
+def search(rows: DataFrame, ident: str, vector: str, is_query, k: int = 20, *, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score double): each query's k nearest found by largest inner product."""
     schema = "query_id long, vec_id long, score double"
     good = usable(rows, ident, vector).where(F.exists("v", lambda x: x != 0))
@@ -94,15 +96,12 @@ def search(rows: DataFrame, ident: str, vector: str, is_query, k: int = 20, *, p
                 ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim)
                 start, who, at = np.frombuffer(extra[0], np.int64), np.frombuffer(extra[1], np.int32), np.frombuffer(extra[2], np.int32)
                 n, out = len(ids), ([], [], [])
-                most = max(exhaustive, int(np.ceil(share * n)), k + 1)
+                most = min(max(int(np.ceil(share * n)), depth * k), n)
                 for q_id, q, perm in zip(q_ids.tolist(), q_vectors, q_prefix):
-                    if n > most:
-                        gain = footrule_gain(perm, start, who, at, n)
-                        near = np.flatnonzero(gain >= np.partition(gain, n - most)[n - most])
-                        near = near[ids[near] != q_id]
-                    else:
-                        near = np.flatnonzero(ids != q_id)
-                    score = vectors[near] @ q
+                    gain = footrule_gain(perm, start, who, at, n)
+                    gain[ids == q_id] = -1
+                    near = np.flatnonzero(gain >= max(np.partition(gain, n - most)[n - most], 0))
+                    score = (vectors[near] * q).sum(1)
                     if len(near) > k:
                         keep = score >= np.partition(score, len(near) - k)[len(near) - k]
                         near, score = near[keep], score[keep]
@@ -114,8 +113,8 @@ def search(rows: DataFrame, ident: str, vector: str, is_query, k: int = 20, *, p
                 yield found_batch(*out, pa.float64())
 
     index = written(blocks(good, shard, dim, post), "permutations")
-    queries = blocks(good.where(is_query(F.col("id"))), QUERY_BLOCK, dim, ask)
-    found = meet(queries, index, index.count(), GROUPS, run, schema)
+    queries = written(blocks(good.where(is_query(F.col("id"))), QUERY_BLOCK, dim, ask), "permutation-queries")
+    found = meet(queries, index, run, schema)
     return nearest(found, k, F.col("score"))
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, written
+from .common import written
 
 #: Fixed patterns. Keywords match in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,22 +30,35 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_.=-]{16,}"
 KINDS = ("assign", "access", "hex", "owned")
 WIDE = 3
+GROUP = 128
 
 
 def find(text: Column, pattern: str, group: int, kind: int, keep) -> Column:
-    """Spans (kind, start, end, value) of a pattern's leftmost non-overlapping matches whose value passes keep."""
+    """Spans (kind, start, end, value) of a pattern's leftmost non-overlapping matches whose value passes keep. Matches are
+    handled in groups of ``GROUP``: a list that grows by appending is copied at every step, so none grows with the text."""
     matches, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("whole"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>").alias("spans"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("whole"), values.alias("value"))
+    rows = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["whole"]), F.lit(0)).alias("size"), x["value"].alias("value")))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.coalesce(F.length(x["whole"]), F.lit(0))
+        a = acc["at"] + x["gap"]
+        b = a + x["size"]
         span = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["value"].alias("value"))
         return F.struct(b.alias("at"), F.when(x["value"].isNotNull() & keep(x["value"]), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(rows, start, step)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(start["spans"])
+    def begin(acc: Column, g: Column) -> Column:
+        size = F.aggregate(g, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+        return F.struct((acc["at"] + size).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+
+    def placed(groups: Column) -> Column:
+        begins = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), begin)["all"]
+        own = lambda x: F.aggregate(x["g"], F.struct(x["at"].alias("at"), none.alias("spans")), step)["spans"]
+        return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), begins.alias("at")), own))
+
+    cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / GROUP).cast("int")), lambda g: F.slice(r, g * GROUP + 1, GROUP))
+    once = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))  # noqa: E731  evaluates x a single time
+    return F.when(text.rlike(pattern), once(rows, lambda r: once(cut(r), placed))).otherwise(none)
 
 
 def scan(docs: DataFrame, *, text: str = "text", repo: str = "source", wide: int = WIDE, keep_text: bool = False) -> DataFrame:

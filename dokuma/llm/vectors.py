@@ -1,8 +1,9 @@
 """Vectors in packed blocks: what both vector searches share.
 
 Rows become blocks of a few thousand vectors, one row per block, so that a block of queries meets a block of vectors in
-one task with numpy arrays on both sides and no row per (query, vector) pair. A vector takes no part when it is null,
-has a null or non-finite component or another length than the table's first usable vector; nor does a row without id.
+one task with numpy arrays on both sides and no row per (query, vector) pair. A vector takes no part when it is null or
+empty or has a null or non-finite component; nor does a row without id. All others must have one length: an inner product
+of two lengths is undefined, so a table that mixes them raises, wherever the odd vector lies.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+COLUMN, ROW, SPREAD = 8, 64, 24
 BLOCK_SCHEMA = "block long, ids binary, vectors binary, extra array<binary>"
 
 
@@ -43,6 +45,8 @@ def blocks(rows: DataFrame, size: int, dim: int, build: Callable[[np.ndarray, np
             lo = 0
             while lo < batch.num_rows:
                 part = batch.slice(lo, size - held)
+                if len(odd := np.flatnonzero(np.diff(part.column(1).offsets.to_numpy()) != dim)):
+                    raise ValueError(f"vector {part.column(0)[int(odd[0])]} has {len(part.column(1)[int(odd[0])])} components, others have {dim}")
                 lo += part.num_rows
                 ids.append(part.column(0).to_numpy())
                 vectors.append(part.column(1).flatten().to_numpy().reshape(-1, dim))
@@ -52,16 +56,21 @@ def blocks(rows: DataFrame, size: int, dim: int, build: Callable[[np.ndarray, np
         if held:
             yield close()
 
-    return rows.where(F.size("v") == dim).mapInArrow(run, BLOCK_SCHEMA)
-
-
-def meet(queries: DataFrame, shards: DataFrame, count: int, groups: int, search: Callable, schema: str) -> DataFrame:
-    """search(pairs) over every (query block, vector block): query blocks go to ``groups`` groups of vector blocks by an
-    equi-join on the group's number."""
-    g = max(1, min(groups, count))
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("extra").alias("q_extra"))
-    right = shards.select(F.pmod(F.xxhash64("block"), F.lit(g)).cast("int").alias("g"), "block", "ids", "vectors", "extra")
-    return left.join(right, "g").select("q_block", "q_ids", "q_vectors", "q_extra", "block", "ids", "vectors", "extra").mapInArrow(search, schema)
+    return rows.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def meet(queries: DataFrame, shards: DataFrame, search: Callable, schema: str) -> DataFrame:
+    """search(pairs) over every (query block, vector block), dealt over a grid: vector blocks fall into columns of
+    ``COLUMN`` (of one each as long as that gives at most ``SPREAD`` columns), query blocks into rows of ``ROW``, and every
+    cell is one key of an equi-join. So a task holds some tens of MB whatever the table's size, the number of tasks grows
+    with both sides, and a block travels once for every row or column it crosses."""
+    columns, rows = shards.count(), queries.count()
+    columns, rows = max(min(columns, SPREAD), -(-columns // COLUMN), 1), max(-(-rows // ROW), 1)
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(place(rows).alias("row"), every(columns).alias("column"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("extra").alias("q_extra"))
+    right = shards.select(place(columns).alias("column"), every(rows).alias("row"), "block", "ids", "vectors", "extra")
+    return left.join(right, ["row", "column"]).select("q_block", "q_ids", "q_vectors", "q_extra", "block", "ids", "vectors", "extra").mapInArrow(search, schema)
 
 
 def nearest(found: DataFrame, k: int, score: Column) -> DataFrame:

@@ -61,6 +61,19 @@ def test_packing(spark, odd):
     assert packing.pack_documents(odd.limit(0), path).count() == 0
 
 
+def test_packing_of_texts_without_blanks():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(300_000)), "x." * 50_000, "", None, "don't (stop) \u00d7a. \u0130b! \u00e9\u00df, a.b c.. .d Hello, W\u00d6RLD. \u0153uvre Hello.", " ", "."]
+    got = [np.frombuffer(a, "<u4").tolist() for a, _ in packing.tokenize(texts, packing.WordIds(path, 1000), 1)]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    pieces = list(packing.pack_stream([(k, a, e) for k, (a, e) in enumerate(packing.tokenize(texts, packing.word_ids(path), 1))], 0))
+    assert sum(p[2] for p in pieces) == sum(map(len, got)) and max(p[2] + p[6] for p in pieces) <= packing.WINDOW
+
+
 def vectors(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 8)).astype(np.float32)
@@ -83,10 +96,51 @@ def test_exact_search(spark):
     assert ball_tree.search(df.limit(0), "vec_id", "embedding", lambda i: i % 20 == 0).count() == 0
 
 
+def test_exact_search_at_every_magnitude(spark):
+    """Scores beyond doubles, beyond what 64-bit sums surely hold, and beyond a long; ties and repeats; odd column names."""
+    r = np.random.default_rng(4)
+    for size in (12.0, 12_000.0, 3e5, 4e6, 1e15, 1e300):
+        x = [[float(y) for y in row] for row in r.normal(size=(70, 8)) * size]
+        x[5] = x[3]
+        want = {}
+        whole = [[max(min(int(np.floor(1024 * y)) if abs(y) < 1e20 else int(np.sign(y)) * 2**63, 2**63 - 1), -(2**63)) for y in row] for row in x]
+        whole = [[int(float(y)) for y in row] for row in whole]
+        for q in range(0, 70, 20):
+            scores = [(-min(max(sum(a * b for a, b in zip(whole[q], whole[i])), -(2**63) + 1), 2**63 - 1), i) for i in range(70) if i != q]
+            want[q] = [(i, -s) for s, i in sorted(scores)[:9]]
+        df = spark.createDataFrame([(i, v, 1, 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, block int, row int")
+        got = collections.defaultdict(list)
+        for row in sorted(ball_tree.search(df, "vec_id", "embedding", lambda i: i % 20 == 0, 9, shard=16).collect(), key=lambda row: row.rank):
+            got[row.query_id].append((row.vec_id, row.score))
+        assert got == want, size
+
+
+def test_vectors_of_several_lengths_raise(spark):
+    df = spark.createDataFrame([(i, [1.0] * (4 if i != 7 else 3)) for i in range(20)], "vec_id long, embedding array<double>")
+    for search in (ball_tree.search, permutation_index.search):
+        with pytest.raises(Exception, match="components, others have"):
+            search(df, "vec_id", "embedding", lambda i: i % 5 == 0, 3).collect()
+
+
+def test_recall_through_the_index(spark):
+    """6,000 vectors in blocks of 8192 and of 700: the index is used in each, with the registered query's parameters."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 64))
+    x = (centres[r.integers(0, 40, 6000)] + r.normal(size=(6000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    x = x.astype(np.float64)
+    for shard in (8192, 700):
+        got = collections.defaultdict(set)
+        for row in permutation_index.search(df, "vec_id", "embedding", lambda i: i % 100 == 0, 20, shard=shard).collect():
+            got[row.query_id].add(row.vec_id)
+        best = [len(got[q] & set([k for k in np.argsort(-(x @ x[q]), kind="stable").tolist() if k != q][:20])) for q in range(0, 6000, 100)]
+        assert np.mean(best) >= 18, shard
+
+
 def test_near_search(spark):
     x, df = vectors(spark)
     got = collections.defaultdict(set)
-    for r in permutation_index.search(df, "vec_id", "embedding", lambda i: i % 20 == 0, 10, pivots=32, prefix=16, share=0.4, exhaustive=32).collect():
+    for r in permutation_index.search(df, "vec_id", "embedding", lambda i: i % 20 == 0, 10, pivots=32, prefix=16, share=0.4).collect():
         got[r.query_id].add(r.vec_id)
         assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]))
     hits = [len(got[q] & {k for k in np.lexsort((np.arange(300), -(x @ x[q]))) if k != q and k in got[q]}) for q in range(0, 300, 20)]
@@ -104,6 +158,20 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_secrets_in_a_text_of_many_matches(spark):
+    r = random.Random(12)
+    words = [r.choice(["token=%06d" % k, "AKIA%016d" % k, "x%d" % k, "%024x" % k, "Abcdefgh1234567%05dX" % k]) for k in range(3000)]
+    text = " ".join(words)
+    want, at = [], 0
+    for w in words:
+        kind = "assign" if w[0] == "t" else "access" if w[:2] == "AK" else "hex" if len(w) == 24 else "owned" if w[:2] == "Ab" else None
+        if kind:
+            want.append((kind, at, at + len(w)))
+        at += len(w) + 1
+    got = secrets.scan(spark.createDataFrame([(text, "s", 1, 2)], "text string, source string, spans int, base int")).first()
+    assert [(secrets.KINDS[s.kind], s.start, s.end) for s in got.spans] == want and got.record.spans == 1
+
+
 def covered(texts, length):
     seen = collections.Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     for b in texts:
@@ -154,6 +222,44 @@ def test_passages_of_over_50_words(spark):
     assert not any(tiny in (t or "") or two in (t or "") or one in (t or "") for t in got.values()) and got[8] == texts[8] and got[10] == texts[10]
 
 
+def test_columns_of_any_name_stay(spark):
+    """Columns called like the operators' own ones come back as they were."""
+    names = ["__k1", "__k2", "__kept", "__rk", "__id", "__text", "rk", "k1", "k2", "kept", "record", "class", "id", "content", "d", "h"]
+    text = " ".join("w%d" % k for k in range(200))
+    data = [(1, text, *range(16)), (2, text, *range(16, 32)), (3, "short", *range(32, 48)), (4, None, *[None] * 16)]
+    df = spark.createDataFrame(data, ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
+    assert sorted(tuple(r) for r in minhash.deduplicated(df).collect()) == [data[0], data[2], data[3]]
+    got = sorted((tuple(r) for r in suffix_dedup.without_repeats(df).collect()), key=lambda r: r[0])
+    assert got == [(1, "", *data[0][2:]), (2, "", *data[1][2:]), data[2], data[3]]
+
+
+def test_passages_are_counted_beside_the_law(spark):
+    """repeats(words=51): the law's numbers are those without ``words``; a passage within one document alone is none."""
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    short, twice, copy = prose(55), prose(52), prose(60)
+    texts = [f"{prose(30)} {short} {prose(20)}", f"{short}\n{prose(20)}", f"{twice} {prose(30)} {twice}", copy, copy, prose(90), None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found, k1, k2 = suffix_dedup.repeats(df, words=51)
+    keys = df.select("doc_id", k1.alias("k1"), k2.alias("k2"))
+    got = {x.doc_id: (x.n_removed, x.n_spans, x.n_passages, x.passage_bytes) for x in keys.join(found, ["k1", "k2"]).collect()}
+    assert got == {0: (0, 0, 1, len(short)), 1: (0, 0, 1, len(short)), 3: (0, 0, 1, len(copy)), 4: (0, 0, 1, len(copy))} and len(copy) < 400
+
+
+def test_finds_known_to_be_repeated_come_back(spark, monkeypatch):
+    """A passage in very many texts of one task: results are those of brute force, with tables of two slots, too."""
+    r = random.Random(15)
+    prose = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    hot = prose(110)
+    texts = [f"{prose(r.randint(0, 12))} {hot} {prose(r.randint(0, 12))}" for _ in range(90)] + [prose(60) for _ in range(10)]
+    raw = [t.encode() for t in texts]
+    for bits in (18, 1):
+        monkeypatch.setattr(suffix_dedup.Seen.__init__, "__defaults__", (bits,))
+        got = {x.doc_id: x.text for x in suffix_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+        for i, mark in enumerate(covered(raw, 400)):
+            assert got[i] == bytes(b for b, m in zip(raw[i], mark) if not m).decode()
+
+
 def test_settled_runs_of_any_length(monkeypatch):
     import pyarrow as pa
 
@@ -181,6 +287,21 @@ def test_bpe():
             assert ids.tolist() == enc.encode_ordinary(text or "") and decoded.tobytes() == (text or "").encode()
 
 
+def test_bpe_of_long_runs_and_mixed_white_space():
+    """20,000 different runs of 40 ideographs (120 bytes, each one pre-token) pass under DuckDB's 500 MB."""
+    import public_tokenizers as P
+    import tiktoken
+
+    r = random.Random(2)
+    runs = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(40)) for _ in range(20_000)]
+    texts = [" ".join(runs), "", None, "e\u0301t\u00e9 \u00d7word. \u0250x! \u024fy? (see) don't a--b \n\n x.\ny  z.", "tab\tword. \u00a0x, y", " ", "\n", ".", "\u00e9"]
+    c = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    for text, (ids, decoded) in zip(texts, c.code(texts), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(text or "") and decoded.tobytes() == (text or "").encode()
+    assert [(len(i), len(d)) for i, d in c.code([None, ""])] == [(0, 0), (0, 0)]
+
+
 def test_minhash(spark, odd):
     r = random.Random(4)
     words = ["w%d" % i for i in range(400)]
@@ -231,7 +352,64 @@ def test_language_and_quality(spark, odd):
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs, net).collect()}
     assert all(got[i] == ("en" if i % 2 else "de") for i in range(80)) and got[900] == got[901] == "und"
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
+    odd_texts = {"\u00bd \u00b2 \u00b3": False, "\u2167 \u2460 12": False, "\u00bd \u00b5": True, "\u65e5": True, "_ 1": False}
+    judged = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string"), net).collect()}
+    assert all((judged[i] != "und") == letter == any(c.isalpha() for c in x) for i, (x, letter) in enumerate(odd_texts.items()))
+    assert langid.fit(docs.limit(0), F.lit(True)) is None and langid.predict(docs.limit(0), net).count() == 0
+    assert {r.text for r in langid.identified(odd, None, 0.3).collect()} == {t for _, t, *_ in ROWS if t}
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
     model = quality_gam.fit(docs, labels, F.lit(True))
     assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality_gam.quality(docs.where("doc_id < 80"), model).collect())
     assert quality_gam.quality(odd, None).count() == 5
+    assert quality_gam.fit(docs.limit(0), labels, F.lit(True)) is None and quality_gam.fit(docs, labels.limit(0), F.lit(True)) is None
+    assert quality_gam.quality(docs.limit(0), model).count() == 0
+
+
+def test_network_against_plain_filters(spark):
+    """Predictions by look-up tables equal the network as defined: every filter over every window, nothing folded."""
+    from dokuma.llm import langid
+
+    r = np.random.default_rng(3)
+    net = langid.Network(["a", "b", "c"], seed=5)
+    for w in langid.WIDTHS:
+        net.shift[w] = r.normal(0, 0.2, langid.FILTERS).astype(np.float32)
+    net.fold()
+
+    def plain(text: str) -> tuple[str, float]:
+        c = langid.FOLD[np.frombuffer(text.encode(), np.uint8)].astype(int)
+        c = np.concatenate([c, np.zeros(max(langid.WIDEST - len(c), 0), int)])
+        n = len(c) - langid.WIDEST + 1
+        total = np.zeros(3)
+        for lo in range(0, n, langid.WINDOW):
+            hi, h = min(lo + langid.WINDOW, n), []
+            for w in langid.WIDTHS:
+                response = [[sum(float(net.filters[w][k, c[i + k], f]) for k in range(w)) for f in range(langid.FILTERS)] for i in range(lo, hi)]
+                h += [max(max(x) + float(s), 0) for x, s in zip(zip(*response), net.shift[w])]
+            z = np.array(h) @ net.out.astype(float) + net.bias
+            total += (hi - lo) * np.maximum(z - z.max() - np.log(np.exp(z - z.max()).sum()), -30)
+        z = total / n
+        p = np.exp(z - z.max())
+        return net.languages[int(p.argmax())], p.max() / p.sum()
+
+    for text in ("a", "Hello there, w\u00f6rld 12!", "".join(chr(r.integers(32, 400)) for _ in range(1400)), "\u65e5\u672c " * 200, "x" * 513):
+        lang, score = langid.judge(net, text)
+        want, p = plain(text)
+        assert lang == want and score == pytest.approx(p, abs=1e-4)
+
+
+def test_scores_against_a_plain_sum(spark):
+    """quality() adds, for every text, the intercept and the entries of its own bins, found one by one."""
+    from dokuma.llm import quality_gam as gam
+
+    r = random.Random(7)
+    texts = ["".join(r.choice("ab cdE.1|\n\u00e9 ") for _ in range(r.randint(0, 300))) for _ in range(120)] + ["", None]
+    x = np.array([gam.features(t) for t in texts])
+    model = gam.Additive().fit(x, np.array([float(len(t or "") % 3 == 0 or len(t or "") > 150) for t in texts]))
+    got = {row.doc_id: row.score for row in gam.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert len(model.pairs) == gam.PAIRS
+    for i, row in enumerate(x):
+        bins = [sum(1 for e in edges if e <= v) for v, edges in zip(row, model.edges)]
+        z = model.start + sum(t[b] for t, b in zip(model.tables, bins))
+        for a, b, table in model.pairs:
+            z += table[int(model.coarse[a][bins[a]]) * gam.GRID + int(model.coarse[b][bins[b]])]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
