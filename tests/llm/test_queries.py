@@ -152,6 +152,20 @@ def repeats(raw: dict) -> dict:
     return marks
 
 
+def shared_passages(raw: dict[int, bytes], size: int) -> dict[int, bytearray]:
+    """Marks every byte of a run of ``size`` words that another document has too, whatever blanks are between them."""
+    words = {d: list(re.finditer(rb"[^\x20\x09-\x0d]+", b)) for d, b in raw.items()}
+    runs = {d: [hash(tuple(m[0] for m in w[i : i + size])) for i in range(len(w) - size + 1)] for d, w in words.items()}
+    holders = collections.Counter(h for r in runs.values() for h in set(r))
+    marks = {d: bytearray(len(b)) for d, b in raw.items()}
+    for d, r in runs.items():
+        for i, h in enumerate(r):
+            if holders[h] > 1:
+                a, z = words[d][i].start(), words[d][i + size - 1].end()
+                marks[d][a:z] = b"\1" * (z - a)
+    return marks
+
+
 def test_repeats(spark, folder, texts):
     raw = {d: (t or "").encode() for d, t in texts.items()}
     marks = repeats(raw)
@@ -229,8 +243,9 @@ def test_quality(spark, folder, texts):
 
 
 def test_pipeline(spark, folder, texts):
-    """Language by the trained network document by document, groups by all pairs, repeats by counting, ids by the
-    tokenizer; redaction by its operator, which test_operators holds to its own cases."""
+    """Language by the trained network document by document, groups by all pairs, repeats by counting (strings of 400
+    bytes, and runs of 51 words that two documents share), ids by the tokenizer; redaction by its operator, which
+    test_operators holds to its own cases."""
     from pyspark.sql import functions as F
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -239,8 +254,10 @@ def test_pipeline(spark, folder, texts):
     left = {d: texts[d] for d, (lang, score) in judged.items() if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
     _, root = linked(left, 5)
     left = {d: t for d, t in left.items() if root[d] == d}
-    marks = repeats({d: t.encode() for d, t in left.items()})
-    left = {d: bytes(b for b, m in zip(t.encode(), marks[d]) if not m).decode("utf-8", "ignore") for d, t in left.items()}
+    raw = {d: t.encode() for d, t in left.items()}
+    marks, passages = repeats(raw), shared_passages(raw, corpus_pipeline.PASSAGE_WORDS)
+    assert any(m and not n for d in raw for m, n in zip(passages[d], marks[d]))
+    left = {d: bytes(b for b, m, n in zip(t, marks[d], passages[d]) if not m and not n).decode("utf-8", "ignore") for d, t in raw.items()}
     clean = secrets.redact(docs.drop("text").join(spark.createDataFrame(list(left.items()), "doc_id long, text string"), "doc_id"))
     ids = plain_ids({r.doc_id: r.text for r in clean.select("doc_id", "text").collect()})
     got = collections.defaultdict(dict)
