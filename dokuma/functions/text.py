@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Capitals with a Turkish lower case of their own, and the letters folded to ASCII.
 UPPER, LOWER = "İIÇĞÖŞÜ", "iıçğöşü"
@@ -77,3 +81,13 @@ def ascii_fold(c: Column) -> Column:
 def slugify(c: Column) -> Column:
     """Folded letters and digits, everything else as single dashes inside."""
     return F.regexp_replace(F.regexp_replace(F.replace(ascii_fold(F.translate(c, "ıI", "ii")), F.lit("̇"), F.lit("")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def nfc(c: Column) -> Column:
+    """Canonical composition; Spark has no such function. Null stays null."""
+    return _nfc(c)
+
+
+@F.pandas_udf(StringType())
+def _nfc(c: pd.Series) -> pd.Series:
+    return c.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

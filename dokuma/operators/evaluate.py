@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dokuma.operators.graph import saved
+
 METRICS = ("recall_at_5", "recall_at_10", "recall_at_20", "ndcg_at_5", "ndcg_at_10", "mrr", "hit_rate_at_5")
 
 
@@ -56,12 +58,18 @@ def compare(a: DataFrame, b: DataFrame, metric: str = "ndcg_at_10") -> DataFrame
 
 
 def latency(times: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, p50, p95, mean) with the element at index floor(n * p) of the sorted list, not interpolated. Each group's
-    rows are numbered by a window instead of being collected."""
-    w = Window.partitionBy(by)
-    placed = times.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col(value)))
-    return placed.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.avg(value).alias("mean"))
+    """(by, p50, p95, mean) with the element at index floor(n * p) of the sorted list, not interpolated; nulls take no
+    part. Values are counted, the counts sorted over all tasks; each task numbers its range and learns from the sums of
+    the ranges before it where that begins, so a group of any size is spread."""
+    counts = times.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    dealt = saved(counts.repartitionByRange(by, value).withColumn("part", F.spark_partition_id()), "latency")
+    own = dealt.groupBy(by, "part").agg(F.sum("n").alias("own"), F.sum(F.col("n") * F.col(value)).alias("total"))
+    whole = Window.partitionBy(by)
+    begins = own.select(F.col(by).alias("__by"), F.col("part").alias("__part"), (F.sum("own").over(whole.orderBy("part")) - F.col("own")).alias("before"), F.sum("own").over(whole).alias("all"), F.sum("total").over(whole).alias("total"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy(by, "part").orderBy(value))
+    placed = dealt.join(begins, F.col(by).eqNullSafe(F.col("__by")) & (F.col("part") == F.col("__part"))).withColumn("end", end)
+    at = lambda p: F.min(F.when(F.col("end") > F.floor(F.col("all") * p), F.col(value)))
+    return placed.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), (F.max("total") / F.max("all")).alias("mean"))
 
 
 def best_run(runs: DataFrame, metric: str) -> DataFrame:

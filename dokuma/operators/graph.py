@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir and read back, so that loops keep short plans and survive executors."""
+    """Write to the folder in spark.checkpoint.dir and read back, so that loops keep short plans and survive executors. The
+    folder goes when the application ends. Where the setting lacks, a local folder serves if all of Spark runs here; on a
+    cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="dokuma-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/dokuma/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,14 +57,16 @@ def induced(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, weight: Column | None = None, normalise: bool = True, every: int = 5) -> DataFrame:
     """(doc_id, score) over distinct edges; dangling mass goes to all nodes alike. Stops when the sum of changes is below
-    n * tolerance (None: after ``iterations``). With no edge every score is 1 / n; otherwise the largest becomes 1."""
-    n = nodes.count()
+    n * tolerance (None: after ``iterations``). With no edge every score is 1 / n; otherwise the largest becomes 1. The
+    links are dealt by src once and held so; a round moves scores only."""
     base = nodes.select("doc_id").distinct()
+    n = base.count()
     pairs = edges.groupBy("src", "dst").agg(F.max(weight if weight is not None else F.lit(1.0)).alias("w"))
     total = pairs.groupBy("src").agg(F.sum("w").alias("total")).where("total > 0")
-    links = saved(pairs.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "links")
+    links = saved(pairs.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "links").repartition("src").persist()
     ends = saved(base.join(links.select(F.col("src").alias("doc_id")).distinct().withColumn("out", F.lit(True)), "doc_id", "left").select("doc_id", F.col("out").isNull().alias("dangling")), "nodes")
     if links.isEmpty():
+        links.unpersist()
         return base.withColumn("score", F.lit(1.0 / max(n, 1)))
     now = ends.withColumn("score", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
@@ -72,6 +80,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, iterati
             now = after
             break
         now = after.drop("was")
+    links.unpersist()
     out = now.select("doc_id", "score")
     return out.join(F.broadcast(out.agg(F.max("score").alias("top")))).select("doc_id", (F.col("score") / F.col("top")).alias("score")) if normalise else out
 

@@ -57,18 +57,21 @@ def name_links(names: DataFrame, keys: DataFrame, vocabulary: DataFrame | None)
 def resolve(citations: DataFrame, documents: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(resolved, unresolved) of (citation, source_doc_id, chamber, case_no, decision_no): every citation is in exactly
     one. Numbers are compared as sets, so case and decision numbers may be swapped; two equal best matches are ambiguous;
-    a document never resolves to itself."""
+    a document never resolves to itself. Citations meet documents by chamber and number at once, so a chamber of any size
+    costs only its equal numbers."""
     index = keyed(documents)
     links = name_links(citations, index.select("key").distinct(), vocabulary)
     numbers = F.array_distinct(F.filter(F.array(F.coalesce("case_no", F.lit("")), F.coalesce("decision_no", F.lit(""))), lambda x: x != ""))
     asked = citations.withColumn("name_key", chamber_key(F.col("chamber"))).withColumn("wanted", numbers)
-    found = asked.join(links, "name_key").join(index.withColumnsRenamed({"case_no": "t_case", "decision_no": "t_decision"}), "key")
-    same = F.size(F.array_intersect("wanted", "numbers"))
-    scored = found.where(F.col("doc_id") != F.col("source_doc_id")).withColumn("same", same).where("same > 0")
-    per = Window.partitionBy("citation")
-    top = scored.withColumn("best", F.max("same").over(per)).where("same = best")
-    chosen = top.groupBy("citation").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t_case", "t_decision", "same")).alias("x"))
-    known = found.select("citation").distinct().withColumn("known", F.lit(True))
+    there = links.join(index.select("key").distinct(), "key", "left_semi")
+    by_number = index.select("key", F.explode("numbers").alias("number"), "doc_id", F.col("case_no").alias("t_case"), F.col("decision_no").alias("t_decision"))
+    cited = asked.select("citation", "source_doc_id", "name_key", F.explode("wanted").alias("number")).join(there, "name_key")
+    found = cited.join(by_number, ["key", "number"]).where(F.col("doc_id") != F.col("source_doc_id"))
+    scored = found.groupBy("citation", "doc_id").agg(F.count_distinct("number").alias("same"), F.min(F.struct("t_case", "t_decision")).alias("t"))
+    most = F.max(F.struct("same")).over(Window.partitionBy("citation"))
+    top = scored.withColumn("best", most["same"]).where("same = best")
+    chosen = top.groupBy("citation").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t.t_case", "t.t_decision", "same")).alias("x"))
+    known = asked.select("citation", "name_key").join(there.select("name_key").distinct(), "name_key", "left_semi").select("citation").distinct().withColumn("known", F.lit(True))
     rows = asked.join(known, "citation", "left").join(chosen, "citation", "left")
     reason = (
         F.when(F.col("name_key") == "", "no_daire_extracted").when(F.size("wanted") == 0, "no_esas_or_karar").when(F.col("known").isNull(), "daire_not_in_corpus")

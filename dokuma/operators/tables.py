@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, only: list[str] | None = None) -> DataFrame:
-    """Rows of old and new by key, new ones winning; with ``only``, just these columns of an existing row change."""
+def newest(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """One row a key: the last by ``order``, and among equals the last by all columns that can be ordered."""
+    rest = [F.col(c).desc_nulls_last() for c, t in rows.dtypes if c not in keys and "map<" not in t]
+    last = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(o) if isinstance(o, str) else o.desc_nulls_last() for o in order], *rest)
+    return rows.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, only: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Rows of old and new by key, new ones winning; with ``only``, just these columns of an existing row change. Of new
+    rows with one key the last by ``order`` counts, or where that lacks or is equal, by all columns."""
+    order_by = [order] if order else []
     if only is None:
         rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-        last = Window.partitionBy(*keys).orderBy(F.desc("__new"))
-        return rows.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r", "__new")
+        return newest(rows, keys, "__new", *order_by).drop("__new")
+    new = newest(new, keys, *order_by)
     fresh = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in only], F.lit(True).alias("__hit"))
     changed = old.join(fresh, keys, "left").select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in only else F.col(c) for c in old.columns])
     return changed.unionByName(new.join(old, keys, "left_anti"))
