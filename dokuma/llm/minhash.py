@@ -122,25 +122,32 @@ class Union(dict):
 
 
 def near_in_list(ids: list[int], sigs: np.ndarray, most: int, found: Union) -> None:
-    """Join the members of one posting list within ``most`` differing values. A member is compared with the others until
-    all groups are joined: with a list that is one group, it takes one comparison."""
-    groups: list[list[int]] = []
-    for i in range(len(ids)):
-        hit = []
-        for g, members in enumerate(groups):
-            for lo in range(0, len(members), 512):
-                if ((sigs[members[lo : lo + 512]] != sigs[i]).sum(1) <= most).any():
-                    hit.append(g)
-                    break
-        if hit:
-            first = groups[hit[0]]
-            found.join(ids[i], ids[first[0]])
-            for g in reversed(hit[1:]):
-                found.join(ids[groups[g][0]], ids[first[0]])
-                first += groups.pop(g)
-            first.append(i)
-        else:
-            groups.append([i])
+    """Join the members of one posting list within ``most`` differing values. The first member left takes all that are
+    near it, until none is left; so a list of near copies takes a pass or two. Groups then meet where any two of their
+    members are near; none is near another group's first member, or that would have taken it."""
+    rest, groups = np.arange(len(ids)), []
+    while len(rest):
+        near = (sigs[rest] != sigs[rest[0]]).sum(1) <= most
+        groups.append(rest[near])
+        rest = rest[~near]
+    for g in groups:
+        for x in g[1:].tolist():
+            found.join(ids[x], ids[g[0]])
+    root, others, owner = list(range(len(groups))), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b, g in enumerate(groups):
+        apart = np.ones(len(others), bool)  # others: members of the groups before that are no first ones
+        for m in g.tolist():
+            at = np.flatnonzero(apart)
+            if not len(at):
+                break
+            for lo in range(0, len(at), 4096):
+                part = at[lo : lo + 4096]
+                for o in np.unique(owner[part[(sigs[others[part]] != sigs[m]).sum(1) <= most]]).tolist():
+                    found.join(ids[m], ids[groups[o][0]])
+                    was = root[o]
+                    root = [root[b] if r == was else r for r in root]
+            apart[at] = np.array(root)[owner[at]] != root[b]
+        others, owner = np.concatenate([others, g[1:]]), np.concatenate([owner, np.full(len(g) - 1, b)])
 
 
 def sorted_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
