@@ -18,16 +18,12 @@ from dokuma.functions import courts, text
 
 HEADER_LINES, OLD_MARK_WITHIN = 40, 500
 
-# Abbreviations in names, files left out, and the patterns of each layer in order, with court and chamber.
+# Abbreviations in names, and the patterns of each layer in order, with court and chamber.
 FULL = {
     "HD": "Hukuk Dairesi", "CD": "Ceza Dairesi", "hd": "Hukuk Dairesi", "cd": "Ceza Dairesi", "HGK": "Hukuk Genel Kurulu", "CGK": "Ceza Genel Kurulu",
     "YİBBGK": "İçtihatları Birleştirme BGK", "İDDK": "İdari Dava Daireleri Kurulu", "VDDK": "Vergi Dava Daireleri Kurulu",
     "HUKUK DAİRESİ": "Hukuk Dairesi", "CEZA DAİRESİ": "Ceza Dairesi",
 }
-EXCLUDED = {
-    "vddk-e-2023-1401-k-2025-744-t-8-10-2025-1 (1)": "duplicate of vddk-e-2023-1401-k-2025-744-t-8-10-2025-1",
-    "Unknown": "AI tool output, not original court decision",
-}
 FIRST_LINE = (
     (r"^Yargıtay\s+(\d+)\.\s+(HD|CD)\.", "Yargıtay", "{0}. {1}"),
     (r"^Yargıtay\s+\d+\.\s+(HGK|CGK)\.", "Yargıtay", "{0}"),
@@ -203,14 +199,14 @@ def merged(stem: str, header: str) -> dict:
     return out | {"topic_keywords": bullets(header)}
 
 
-def parse(docs: DataFrame, excluded: dict[str, str] = EXCLUDED) -> DataFrame:
+def parse(docs: DataFrame, excluded: dict[str, str] | None = None) -> DataFrame:
     """The manifest row of each (filename, text)."""
     names = [c.split()[0] for c in PARSED.split(", ")]
     nothing = dict.fromkeys(FIELDS, "") | {"topic_keywords": []}
 
     def row(filename: str, header: str) -> dict:
         stem = filename.removesuffix(".md")
-        why = excluded.get(stem) or ("" if header.strip() else "empty file")
+        why = (excluded or {}).get(stem) or ("" if header.strip() else "empty file")
         return {"doc_id": stem, "filename": filename, "excluded": bool(why), "exclude_reason": why} | (nothing if why else merged(stem, header))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
+from dokuma.functions.text import turkish_lower
 from dokuma.functions.vectors import cosine, dot, norm, unit
 
 #: Queries and centroids are broadcast up to this many rows (about 100 MB at 1536 dimensions); beyond, they are dealt
 #: to blocks of vectors by an equi-join.
 BROADCAST_ROWS = 8192
+#: So many scores are held at once (32 MB).
+PAIRS_AT_ONCE = 1 << 22
 #: Centroids are fitted on about so many vectors at most, picked by a hash of the chunk id.
 FIT_ROWS = 100_000
 
@@ -29,10 +38,51 @@ def pairs(queries: DataFrame, vectors: DataFrame, blocks: int = 64) -> DataFrame
     return vectors.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).join(dealt, "block").drop("block")
 
 
+def scored_blocks(asked: list, vectors: DataFrame, kind: DataType, k: int) -> DataFrame:
+    """(query_id, chunk_id, doc_id, score): of every block of vectors what may be among a query's best k, by matrix
+    products; what is below a k-th score that the task has met before goes at once. Scores are then summed in one order
+    for every pair, so equal vectors have equal scores."""
+    spark = vectors.sparkSession
+    matrix = np.array([r["query"] for r in asked], np.float64).reshape(len(asked), -1)
+    held = spark.sparkContext.broadcast((pa.array([r["query_id"] for r in asked], to_arrow_type(kind)), matrix, np.sqrt(np.einsum("ij,ij->i", matrix, matrix))))
+    schema = StructType([StructField("query_id", kind), *[vectors.schema[c] for c in ("chunk_id", "doc_id")], StructField("score", DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, lengths = held.value
+        floor = np.full(len(queries), -np.inf)
+        step = max(1, PAIRS_AT_ONCE // len(queries))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(v) != part.num_rows * queries.shape[1]:
+                    raise ValueError("vectors and queries differ in length")
+                v = v.reshape(part.num_rows, -1)
+                own = np.sqrt(np.einsum("ij,ij->i", v, v))
+                near = (v @ queries.T) / (own[:, None] * lengths[None, :])
+                if len(near) >= k:
+                    floor = np.maximum(floor, np.partition(near, len(near) - k, axis=0)[len(near) - k])
+                at, q = np.nonzero(near >= floor - 1e-9)  # the product's own order of sums may differ a little
+                score = np.einsum("ij,ij->i", v[at], queries[q]) / (own[at] * lengths[q])
+                columns = [ids.take(pa.array(q)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "doc_id", "score"])
+
+    usable = vectors.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)").select("chunk_id", "doc_id", "vector").where(norm(F.col("vector")) > 0)
+    return usable.mapInArrow(work, schema)
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, doc_id, score, rank): the k chunks of largest cosine for (query_id, query)."""
+    """(query_id, chunk_id, doc_id, score, rank): the k chunks of largest cosine for (query_id, query), ties to the smaller
+    chunk_id. Vectors and queries that are null, hold nulls or are zero have no direction and take no part. Up to
+    BROADCAST_ROWS queries are scored block by block of the vectors; more are dealt to blocks by an equi-join."""
     if not 1 <= k <= 1000:
         raise ValueError("k must be between 1 and 1000")
+    queries = queries.where("query IS NOT NULL AND NOT exists(query, x -> x IS NULL)").where(norm(F.col("query")) > 0).select("query_id", "query")
+    asked = queries.limit(BROADCAST_ROWS + 1).collect()  # a stated set; its size is checked
+    if 0 < len(asked) <= BROADCAST_ROWS:
+        scored = scored_blocks(asked, vectors, queries.schema["query_id"].dataType, k)
+        return best(scored, "query_id", k, F.desc("score"), F.asc("chunk_id"))
+    vectors = vectors.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)").where(norm(F.col("vector")) > 0)
     unit = queries.select("query_id", "query", norm(F.col("query")).alias("q_norm"))
     score = dot(F.col("query"), F.col("vector")) / (F.col("q_norm") * F.col("v_norm"))
     scored = pairs(unit, vectors.withColumn("v_norm", norm(F.col("vector")))).select("query_id", "chunk_id", "doc_id", score.alias("score"))
@@ -139,6 +189,19 @@ def level_boost(score: Column, level: Column, most: int = 5, beta: float = 0.1)
     return score * (1 + beta * level / most)
 
 
+def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | None = None, least: int = 3) -> DataFrame:
+    """(doc_id, term, tf): words of letters in Turkish lower case, without stop words; of ``endings`` the longest that a
+    word has goes, as long as ``least`` letters stay. Null texts have no words."""
+    word = F.explode(F.regexp_extract_all(turkish_lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))
+    rows = docs.select("doc_id", word.alias("term"))
+    if stop:
+        rows = rows.where(~F.col("term").isin(stop))
+    if endings:
+        longest_first = "|".join(sorted(map(re.escape, endings), key=lambda e: (-len(e), e)))
+        rows = rows.withColumn("term", F.regexp_replace("term", rf"(?<=\p{{L}}{{{least}}})(?:{longest_first})$", ""))
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25(query_terms: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of (query_id, term) over (doc_id, term, tf). Document lengths and frequencies are aggregates before joins;
     only postings of queried terms reach the score."""

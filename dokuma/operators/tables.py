@@ -34,9 +34,10 @@ def divert_duplicates(rows: DataFrame, key: str, order: str) -> tuple[DataFrame,
     return marked.where("__r = 1").drop("__r", "__first"), others
 
 
-def remaining(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """What a resumed run still has to do."""
-    return wanted.join(done.select(key).distinct(), key, "left_anti")
+def remaining(wanted: DataFrame, done: DataFrame, key: str, *, force: bool = False, limit: int | None = None) -> DataFrame:
+    """What a resumed run still has to do: with ``force`` everything; at most the first ``limit`` keys of it."""
+    left = wanted if force else wanted.join(done.select(key).distinct(), key, "left_anti")
+    return left if limit is None else left.orderBy(key).limit(limit)
 
 
 def with_status(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -175,3 +175,9 @@ def _(spark, sf):
     top = top_documents(spark, sf)
     table_of_runs = search.experiment({"all": lambda: top, "even": lambda: top.where("doc_id % 2 = 0")}, gold(spark, sf), prefix="shootout-")
     return rounded(table_of_runs)
+
+
+@query("q01_terms", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(translate(text, 'İIÇĞÖŞÜ', 'iıçğöşü')), '\\p{L}+')) AS w FROM documents)
+SELECT doc_id, regexp_replace(w, '^(\\p{L}{3,}?)(ing|en|es|e)$', '\\1') AS term, count(*) AS tf FROM w WHERE w NOT IN ('the', 'und', 'de') GROUP BY ALL""")
+def _(spark, sf):
+    return retrieve.terms(table(spark, sf, "documents"), ["the", "und", "de"], ["e", "es", "en", "ing"])

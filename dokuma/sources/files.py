@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dokuma.functions.text import nfc
+
 EMBEDDED = (
     "metadata struct<court:string, daire:string, esas_no:string, karar_no:string, filename:string, court_level:int, law_branch:string, decision_date:string, topic_keywords:array<string>>, "
     "chunks array<struct<chunk_index:int, text:string, token_count:int, embedding:array<float>>>, _corrupt string"
@@ -36,8 +38,10 @@ def name_list(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
 
 
 def metadata_lookup(metadata: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
-    """The last row of each wanted file name, needed columns only; batch order is ``seq``."""
-    rows = metadata.join(names.select("filename").distinct(), "filename", "left_semi")
+    """The last row of each wanted file name, needed columns only; batch order is ``seq``. Names are compared, and
+    returned, in canonical composition."""
+    composed = lambda df: df.withColumn("filename", nfc(F.col("filename")))
+    rows = composed(metadata).join(composed(names.select("filename").distinct()).distinct(), "filename", "left_semi")
     return rows.groupBy("filename").agg(*[F.max_by(c, "seq").alias(c) for c in columns])
 
 

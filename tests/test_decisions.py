@@ -47,13 +47,14 @@ def test_metadata(spark):
         ("Unknown.md", "Yargıtay 1. HD., E. 2024/1"), ("empty.md", " \n"), ("null.md", None),
         ("old.md", "İSTANBUL BÖLGE ADLİYE MAHKEMESİ\n9. HUKUK DAİRESİ\nMAHKEMESİ\n2020_5 E. 2021_6 K.\nTARİHİ : 1/2/2021"),
     ]
-    got = {r.doc_id: r for r in metadata.parse(spark.createDataFrame(rows, "filename string, text string")).collect()}
+    left_out = {"Unknown": "AI tool output, not original court decision"}
+    got = {r.doc_id: r for r in metadata.parse(spark.createDataFrame(rows, "filename string, text string"), left_out).collect()}
     a = got["a"]
     assert (a.court, a.daire, a.court_level, a.law_branch, a.esas_no, a.karar_no, a.decision_date) == ("Danıştay", "İdari Dava Daireleri Kurulu", 3, "idari", "1999/953", "1999/889", "15.10.1999")
     assert a.topic_keywords[-1] == "iptal davası"
     b = got["22-hukuk-dairesi-e-2016-6-k-2016-7-t-8-4-2016"]
     assert (b.court, b.daire, b.esas_no, b.decision_date) == ("Yargıtay", "22. Hukuk Dairesi", "2016/6", "08.04.2016")
-    assert got["Unknown"].excluded and got["Unknown"].court == "" and got["empty"].exclude_reason == got["null"].exclude_reason == "empty file"
+    assert got["Unknown"].excluded and (got["Unknown"].court, got["Unknown"].exclude_reason) == ("", left_out["Unknown"]) and got["empty"].exclude_reason == got["null"].exclude_reason == "empty file"
     o = got["old"]
     assert (o.court, o.daire[-17:], o.esas_no, o.karar_no, o.decision_date) == ("BAM", "9. Hukuk Dairesi"[-17:].rjust(17), "2020/5", "2021/6", "01.02.2021")
 

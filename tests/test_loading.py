@@ -127,3 +127,51 @@ def test_vector_table(spark, tmp_path):
     assert len(back.inputFiles()) == 3 and ingest.vector_ids(back).count() == 25
     (tmp_path / "gold.json").write_text('{"queries": [{"id": "Q1"}]}')
     assert ingest.read_json(spark, f"{tmp_path}/gold.json", "queries array<struct<id: string>>").first().queries[0].id == "Q1"
+
+
+def test_dense_search_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from dokuma.operators import retrieve
+
+    rng = np.random.default_rng(4)
+    v = np.concatenate([x := rng.normal(size=(300, 6)), x[:100]])  # a quarter occurs twice: ties go to the smaller id
+    v[50] = 0
+    rows = [(i, i % 7, [float(y) for y in x]) for i, x in enumerate(v)] + [(400, 0, None), (401, 0, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, doc_id long, vector array<double>").repartition(3)
+    queries = vectors.where("chunk_id % 40 IN (1, 10)").select(F.col("chunk_id").cast("string").alias("query_id"), F.col("vector").alias("query"))
+    unit = {i: x / np.sqrt((x * x).sum()) for i, x in enumerate(v) if x.any()}
+    want = {}
+    for r in queries.collect():
+        if r.query is not None and None not in r.query and any(r.query):
+            mine = np.array(r.query) / np.sqrt((np.array(r.query) ** 2).sum())
+            want[r.query_id] = sorted(((-round(float(mine @ x), 9), i) for i, x in unit.items()))[:30]
+    assert len(want) == 19  # the query of the zero vector takes no part
+    for blocks in (1 << 22, 400):
+        monkeypatch.setattr(retrieve, "PAIRS_AT_ONCE", blocks)
+        got = {}
+        for r in retrieve.dense_topk(queries, vectors, 30).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append((-round(r.score, 9), r.chunk_id))
+        assert got == want
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", 5)
+    assert retrieve.dense_topk(queries, vectors, 30).count() == 19 * 30
+    assert retrieve.dense_topk(queries.limit(0), vectors, 3).count() == 0
+
+
+def test_token_counts(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from dokuma.functions import tokens
+    from dokuma.operators import extract
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    texts = ["A court decided.  Twice!", "", None, "Yargıtay 2. Hukuk Dairesi"]
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, P.PATTERN).collect()}
+    enc = tokens.encoding(path, P.PATTERN)
+    assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)} and all(enc.decode(enc.encode_ordinary(t or "")) == (t or "") for t in texts)
+    assert [n for _, n in extract.chunks_of(texts[0], 5, 1, tokens.counter(path, P.PATTERN))] == [len(enc.encode_ordinary(x)) for x in ("A court decided.", "Twice!")]
+
+
+def test_resume(spark):
+    rows = spark.createDataFrame([(i,) for i in range(6)], "k int")
+    assert [r.k for r in tables.remaining(rows, rows.where("k % 2 = 0"), "k", limit=2).collect()] == [1, 3]
+    assert tables.remaining(rows, rows, "k", force=True).count() == 6
