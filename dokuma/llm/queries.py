@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_quality_gam": quality_gam.op10_quality_gam,
 }
-ORACLES = {"op4_ball_tree": ball_tree.OP4_SQL, "op5_secret_scan": secrets.OP5_SQL, "op8_minhash": minhash.OP8_SQL}
+ORACLES = {"op4_ball_tree": ball_tree.OP4_SQL, "op5_secret_scan": secrets.OP5_SQL, "op6_suffix_dedup": suffix_dedup.OP6_SQL, "op8_minhash": minhash.OP8_SQL}

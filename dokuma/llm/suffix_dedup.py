@@ -545,3 +545,50 @@ def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return each.join(result.drop("kept"), ["k1", "k2"], "left").select(
         "doc_id", "n_bytes", none("n_removed"), none("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), none("n_passages"), none("passage_bytes")
     )
+
+
+OP6_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents
+), piece AS (  -- pieces of 512 starts, so that no start is looked for from the text's beginning
+  SELECT r, p, substr(h, CAST(1024 * p + 1 AS BIGINT), 1822) AS x FROM (SELECT r, h, unnest(range(0, (length(h) // 2 - 400) // 512 + 1)) AS p FROM d WHERE length(h) >= 800)
+), string AS (
+  SELECT r, 512 * p + s AS s, md5(substr(x, CAST(2 * s + 1 AS BIGINT), 800)) AS k FROM (SELECT r, p, x, unnest(range(0, least(512, length(x) // 2 - 399))) AS s FROM piece)
+), again AS (
+  SELECT r, s FROM string SEMI JOIN (SELECT k FROM string GROUP BY k HAVING count(*) > 1) USING (k)
+), run AS (
+  SELECT r, min(s) AS a, max(s) + 400 AS z FROM (
+    SELECT r, s, sum(CASE WHEN s - before > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS g
+    FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM again)) GROUP BY r, g
+), between_runs AS (
+  SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM run
+), cut AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(z) + 1 AS BIGINT)) AS kept
+  FROM between_runs JOIN d USING (r) GROUP BY r
+), part AS (
+  SELECT r, w, i, octet_length(encode(w)) AS n FROM (
+    SELECT r, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT r, regexp_extract_all(t, '[^\x09-\x0D\x20]+|[\x09-\x0D\x20]+') AS l FROM d))
+), placed AS (
+  SELECT r, w, i, n, sum(n) OVER (PARTITION BY r ORDER BY i) AS z FROM part
+), word AS (
+  SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS j, z - n AS a, z FROM placed WHERE regexp_full_match(w, '[^\x09-\x0D\x20]+')
+), words AS (
+  SELECT r, list(w ORDER BY j) AS l FROM word GROUP BY r HAVING count(*) >= 51
+), word_piece AS (
+  SELECT r, p, l[256 * p + 1 : 256 * p + 306] AS x FROM (SELECT r, l, unnest(range(0, (len(l) - 51) // 256 + 1)) AS p FROM words)
+), passage AS (
+  SELECT r, 256 * p + s AS j, md5(array_to_string(x[s + 1 : s + 51], ' ')) AS k FROM (SELECT r, p, x, unnest(range(0, least(256, len(x) - 50))) AS s FROM word_piece)
+), shared AS (
+  SELECT r, j FROM passage SEMI JOIN (SELECT k FROM passage GROUP BY k HAVING count(DISTINCT r) > 1) USING (k)
+), word_run AS (
+  SELECT r, min(j) AS j, max(j) + 50 AS e FROM (
+    SELECT r, j, sum(CASE WHEN j - before > 51 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY j) AS g
+    FROM (SELECT r, j, lag(j) OVER (PARTITION BY r ORDER BY j) AS before FROM shared)) GROUP BY r, g
+), passages AS (
+  SELECT x.r, count(*) AS n_passages, sum(e.z - b.a) AS passage_bytes
+  FROM word_run x JOIN word b ON b.r = x.r AND b.j = x.j JOIN word e ON e.r = x.r AND e.j = x.e GROUP BY x.r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(passage_bytes, 0) AS BIGINT) AS passage_bytes
+FROM d LEFT JOIN cut USING (r) LEFT JOIN passages USING (r)
+"""

@@ -11,12 +11,13 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from dokuma.llm import langid, secrets
-from dokuma.llm.queries import QUERIES
+from dokuma.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -176,6 +177,16 @@ def test_repeats(spark, folder, texts):
     assert any(any(m) for m in marks.values())
 
 
+def test_repeats_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["op6_suffix_dedup"])
+    names = [c[0] for c in want.description]
+    got = QUERIES["op6_suffix_dedup"](spark, folder)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(want.fetchall()) == sorted(tuple(r) for r in got.select(*names).collect())
+
+
 def test_bpe(spark, folder, texts):
     import public_tokenizers as P
     import tiktoken
