@@ -8,8 +8,9 @@ intercept plus one table entry a feature and pair, added up for a whole batch wi
 
 Training uses at most ``SAMPLE`` labelled documents (the least by a hash of their id); their features, not their texts,
 come to the driver. Labels, lang, source and doc_id never enter a score. Null text counts as empty and gets a score like
-any other; without a single training row the score is 0.5. Repeated labels of a document count each; repeated rows score
-alike; extra columns are ignored.
+any other; without a single training row (no table has rows, among others) the score is 0.5. A document counts once for
+each of its different labels, however often its id is repeated: of several texts the one with the least features. So the
+driver gets ``SAMPLE`` rows at most. Repeated rows score alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,10 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "qual
     h = F.xxhash64(F.col("doc_id").cast("string"))
     own = labels.select(labels["doc_id"], labels[label].cast("double").alias("y")).where(train & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
     own = own.orderBy(h, "y").limit(sample)  # so many rows at most: small enough to broadcast, 16 bytes each
-    rows = featured(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "y", "double").collect()
+    known = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "y").alias("of"), "text")
+    rows = featured(known, "of", "struct<doc_id:string,y:double>").groupBy("of").agg(F.min("features").alias("features")).collect()
     if not rows:
         return None
-    rows = sorted((list(r.features), r.y) for r in rows)
+    rows = sorted((list(r.features), r.of.y) for r in rows)
     return Additive().fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
 
 

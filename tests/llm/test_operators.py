@@ -360,6 +360,8 @@ def test_language_and_quality(spark, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
     model = quality_gam.fit(docs, labels, F.lit(True))
     assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality_gam.quality(docs.where("doc_id < 80"), model).collect())
+    again = quality_gam.fit(docs.unionAll(docs.where("doc_id = 3")).unionAll(docs.where("doc_id = 3")), labels.unionAll(labels), F.lit(True))
+    assert [r.score for r in quality_gam.quality(docs, again).orderBy("doc_id").collect()] == [r.score for r in quality_gam.quality(docs, model).orderBy("doc_id").collect()]
     assert quality_gam.quality(odd, None).count() == 5
     assert quality_gam.fit(docs.limit(0), labels, F.lit(True)) is None and quality_gam.fit(docs, labels.limit(0), F.lit(True)) is None
     assert quality_gam.quality(docs.limit(0), model).count() == 0
