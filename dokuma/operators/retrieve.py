@@ -25,6 +25,13 @@ PAIRS_AT_ONCE = 1 << 22
 FIT_ROWS = 100_000
 
 
+def usable(vector: str) -> Column:
+    """Whether a vector has a direction: not null, no null or non-finite component, a length above 0 and finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    length = norm(F.col(vector))
+    return F.coalesce(F.when(finite, (length > 0) & (length < F.lit(float("inf")))), F.lit(False))
+
+
 def best(rows: DataFrame, by: str, k: int, *order: Column, rank: str = "rank") -> DataFrame:
     """The first k rows of every ``by`` group; the limit reaches below the shuffle (WindowGroupLimit)."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
@@ -38,10 +45,11 @@ def pairs(queries: DataFrame, vectors: DataFrame, blocks: int = 64) -> DataFrame
     return vectors.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).join(dealt, "block").drop("block")
 
 
-def scored_blocks(asked: list, vectors: DataFrame, kind: DataType, k: int) -> DataFrame:
+def scored_blocks(asked: list, vectors: DataFrame, kind: DataType, k: int, probed: dict[int, list[int]] | None = None) -> DataFrame:
     """(query_id, chunk_id, doc_id, score): of every block of vectors what may be among a query's best k, by matrix
     products; what is below a k-th score that the task has met before goes at once. Scores are then summed in one order
-    for every pair, so equal vectors have equal scores."""
+    for every pair, so equal vectors have equal scores. With ``probed``, vectors have a cell, and queries (by place in
+    ``asked``) meet the cells that it lists for them only."""
     spark = vectors.sparkSession
     matrix = np.array([r["query"] for r in asked], np.float64).reshape(len(asked), -1)
     held = spark.sparkContext.broadcast((pa.array([r["query_id"] for r in asked], to_arrow_type(kind)), matrix, np.sqrt(np.einsum("ij,ij->i", matrix, matrix))))
@@ -50,39 +58,56 @@ def scored_blocks(asked: list, vectors: DataFrame, kind: DataType, k: int) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, lengths = held.value
         floor = np.full(len(queries), -np.inf)
+        everyone = np.arange(len(queries))
+
+        def found(part: pa.RecordBatch, own_queries: np.ndarray) -> pa.RecordBatch:
+            v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(v) != part.num_rows * queries.shape[1]:
+                raise ValueError("vectors and queries differ in length")
+            v = v.reshape(part.num_rows, -1)
+            own = np.sqrt(np.einsum("ij,ij->i", v, v))
+            near = (v @ queries[own_queries].T) / (own[:, None] * lengths[own_queries][None, :])
+            if len(near) >= k:
+                floor[own_queries] = np.maximum(floor[own_queries], np.partition(near, len(near) - k, axis=0)[len(near) - k])
+            at, q = np.nonzero(near >= floor[own_queries] - 1e-9)  # the product's own order of sums may differ a little
+            q = own_queries[q]
+            score = np.einsum("ij,ij->i", v[at], queries[q]) / (own[at] * lengths[q])
+            columns = [ids.take(pa.array(q)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(score)]
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "doc_id", "score"])
+
         step = max(1, PAIRS_AT_ONCE // len(queries))
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(v) != part.num_rows * queries.shape[1]:
-                    raise ValueError("vectors and queries differ in length")
-                v = v.reshape(part.num_rows, -1)
-                own = np.sqrt(np.einsum("ij,ij->i", v, v))
-                near = (v @ queries.T) / (own[:, None] * lengths[None, :])
-                if len(near) >= k:
-                    floor = np.maximum(floor, np.partition(near, len(near) - k, axis=0)[len(near) - k])
-                at, q = np.nonzero(near >= floor - 1e-9)  # the product's own order of sums may differ a little
-                score = np.einsum("ij,ij->i", v[at], queries[q]) / (own[at] * lengths[q])
-                columns = [ids.take(pa.array(q)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "doc_id", "score"])
-
-    usable = vectors.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)").select("chunk_id", "doc_id", "vector").where(norm(F.col("vector")) > 0)
-    return usable.mapInArrow(work, schema)
+                if probed is None:
+                    yield found(part, everyone)
+                    continue
+                cell = part.column(3).to_numpy()
+                for c in np.unique(cell).tolist():
+                    if c in probed:
+                        yield found(part.take(pa.array(np.flatnonzero(cell == c))), np.array(probed[c]))
+
+    more = [] if probed is None else ["cell"]
+    return vectors.where(usable("vector")).select("chunk_id", "doc_id", "vector", *more).mapInArrow(work, schema)
+
+
+def one_each(queries: DataFrame) -> DataFrame:
+    """(query_id, query): one vector that has a direction for every query; of several under one id the smallest counts."""
+    return queries.where(usable("query")).groupBy("query_id").agg(F.min("query").alias("query"))
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, doc_id, score, rank): the k chunks of largest cosine for (query_id, query), ties to the smaller
-    chunk_id. Vectors and queries that are null, hold nulls or are zero have no direction and take no part. Up to
-    BROADCAST_ROWS queries are scored block by block of the vectors; more are dealt to blocks by an equi-join."""
+    chunk_id. Vectors and queries without a direction (null, with null or non-finite components, zero) take no part; of several queries under one id the smallest counts. Up to BROADCAST_ROWS
+    queries are scored block by block of the vectors; more are dealt to blocks by an equi-join."""
     if not 1 <= k <= 1000:
         raise ValueError("k must be between 1 and 1000")
-    queries = queries.where("query IS NOT NULL AND NOT exists(query, x -> x IS NULL)").where(norm(F.col("query")) > 0).select("query_id", "query")
+    queries = one_each(queries)
     asked = queries.limit(BROADCAST_ROWS + 1).collect()  # a stated set; its size is checked
     if 0 < len(asked) <= BROADCAST_ROWS:
         scored = scored_blocks(asked, vectors, queries.schema["query_id"].dataType, k)
         return best(scored, "query_id", k, F.desc("score"), F.asc("chunk_id"))
-    vectors = vectors.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)").where(norm(F.col("vector")) > 0)
+    vectors = vectors.where(usable("vector"))
     unit = queries.select("query_id", "query", norm(F.col("query")).alias("q_norm"))
     score = dot(F.col("query"), F.col("vector")) / (F.col("q_norm") * F.col("v_norm"))
     scored = pairs(unit, vectors.withColumn("v_norm", norm(F.col("vector")))).select("query_id", "chunk_id", "doc_id", score.alias("score"))
@@ -91,17 +116,17 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def fit_centroids(vectors: DataFrame, count: int | None = None, seed: int = 1) -> DataFrame:
     """(cell, centroid) by KMeans on normalised vectors; count: a cell for about 32 vectors, 128 cells at most. The fit
-    reads at most about FIT_ROWS vectors; null and zero vectors have no direction and take no part."""
+    reads at most about FIT_ROWS vectors; those without a direction take no part."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    usable = vectors.where(norm(F.col("vector")) > 0)
-    n = usable.count()
+    rows = vectors.where(usable("vector"))
+    n = rows.count()
     if not n:
         raise ValueError("no vector to fit centroids on")
     if n > FIT_ROWS:
-        usable = usable.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * FIT_ROWS / n))
-    points = usable.select(array_to_vector(unit(F.col("vector"))).alias("features"))
+        rows = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * FIT_ROWS / n))
+    points = rows.select(array_to_vector(unit(F.col("vector"))).alias("features"))
     model = KMeans(k=count or max(2, min(128, n // 32)), seed=seed, maxIter=25, distanceMeasure="cosine").fit(points)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
@@ -124,11 +149,12 @@ def probes_for(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
 
 
 def cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Every vector with the cell of its nearest centroid (cell, centroid). The number of centroids is checked."""
+    """Every vector that has a direction, with the cell of its nearest centroid (cell, centroid). The number of centroids is
+    checked."""
     held = centroids.select("cell", "centroid")
     if held.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError("too many centroids to broadcast")
-    scored = vectors.join(F.broadcast(held.agg(F.collect_list(F.struct("cell", "centroid")).alias("all"))))
+    scored = vectors.where(usable("vector")).join(F.broadcast(held.agg(F.collect_list(F.struct("cell", "centroid")).alias("all"))))
     ranked = F.array_max(F.transform("all", lambda c: F.struct(cosine(F.col("vector"), c["centroid"]).alias("score"), (-c["cell"]).alias("negative"))))
     return scored.select(*vectors.columns, (-ranked["negative"]).alias("cell"))
 
@@ -137,7 +163,7 @@ def probe(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, pr
     """Top-k within each query's ``probes`` nearest cells, exact inside them."""
     ranked = F.slice(F.sort_array(F.transform("all", lambda c: F.struct((-cosine(F.col("query"), c["centroid"])).alias("far"), c["cell"].alias("cell")))), 1, probes)
     held = centroids.agg(F.collect_list(F.struct("cell", "centroid")).alias("all"))
-    asked = queries.join(F.broadcast(held)).select("query_id", "query", F.explode(ranked).alias("c")).select("query_id", "query", F.col("c.cell").alias("cell"))
+    asked = queries.where(usable("query")).join(F.broadcast(held)).select("query_id", "query", F.explode(ranked).alias("c")).select("query_id", "query", F.col("c.cell").alias("cell"))
     scored = index.join(asked, "cell").select("query_id", "chunk_id", "doc_id", cosine(F.col("query"), F.col("vector")).alias("score"))
     return best(scored, "query_id", k, F.desc("score"), F.asc("chunk_id"))
 

@@ -140,27 +140,6 @@ def _(spark, sf):
     return rounded(retrieve.dense_topk(asked(spark, sf), vectors(spark, sf).where("label >= 5"), 10))
 
 
-@query("r04_ivf", SCORED.rstrip(",\n") + """, centroids AS (SELECT vec_id AS cell, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id < 16),
-cell_of AS (SELECT v.vec_id, arg_min(cell, -list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c)) AS cell FROM embeddings v, centroids GROUP BY 1),
-probed AS (SELECT q.vec_id AS query_id, cell FROM embeddings q, centroids WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY -list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), c), cell) <= 4)
-SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
-FROM scored JOIN cell_of ON chunk_id = vec_id JOIN probed USING (query_id, cell) QUALIFY rank <= 10""")
-def _(spark, sf):
-    v = vectors(spark, sf)
-    centroids = v.where("chunk_id < 16").select(F.col("chunk_id").alias("cell"), F.col("vector").alias("centroid"))
-    return rounded(retrieve.probe(asked(spark, sf), retrieve.cells(v, centroids), centroids, 10, 4))
-
-
-@query("r04_ivf_fitted")
-def _(spark, sf):
-    """Cells by KMeans; as many probes as 95 % of the exact top 10 of 200 other queries (of vec_id % 20 = 10) take."""
-    v = vectors(spark, sf)
-    centroids = retrieve.fit_centroids(v)
-    index = retrieve.cells(v, centroids)
-    trial = v.where("chunk_id % 20 = 10").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query")).orderBy(F.xxhash64("chunk_id")).limit(200)
-    return rounded(retrieve.probe(asked(spark, sf), index, centroids, 10, retrieve.probes_for(trial, index, centroids, 10)))
-
-
 @query("a05_degrees", "WITH " + EDGES + """ SELECT p_partkey AS doc_id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM part
 LEFT JOIN (SELECT dst, count(*) AS i FROM edges GROUP BY 1) ON dst = p_partkey LEFT JOIN (SELECT src, count(*) AS o FROM edges GROUP BY 1) ON src = p_partkey""")
 def _(spark, sf):
