@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dokuma.functions.text import chamber_key
+from dokuma.operators import names
 
 SHORTEST_PREFIX, LEAST_RATIO = 5, 0.88
 
@@ -20,44 +18,28 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.explode(own).alias("key"), "doc_id", "case_no", "decision_no", numbers.alias("numbers")).where("key <> ''")
 
 
-def name_links(names: DataFrame, keys: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
-    """(name_key, key): how each cited name finds index keys. Exact; else by prefix, an equi-join on the prefix's first
-    five letters; else the best fuzzy match. Only distinct names and keys take part."""
-    named = names.select(chamber_key(F.col("chamber")).alias("name_key"), F.col("chamber").alias("name")).where("name_key <> ''").dropDuplicates(["name_key"])
-    exact = named.join(keys, named.name_key == keys.key).select("name_key", "key")
-    rest = named.join(exact, "name_key", "left_anti")
+def name_links(cited: DataFrame, keys: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
+    """(name, key): how each cited name finds index keys. Exact; else by prefix, an equi-join on the prefix's first five
+    letters; else by the closest name of the vocabulary. Only distinct names and keys take part."""
+    named = cited.select(F.col("chamber").alias("name")).distinct().withColumn("name_key", chamber_key(F.col("name"))).where("name_key <> ''")
+    exact = named.join(keys, named.name_key == keys.key).select("name", "key")
+    rest = named.join(exact, "name", "left_anti")
     cut = lambda c: F.substring(c, 1, SHORTEST_PREFIX)
     long = rest.where(F.length("name_key") >= SHORTEST_PREFIX)
-    prefix = long.join(keys, (cut("name_key") == cut("key")) & F.startswith("key", "name_key")).select("name_key", "key")
+    prefix = long.join(keys, (cut("name_key") == cut("key")) & F.startswith("key", "name_key")).select("name", "key")
     out = exact.union(prefix)
     if vocabulary is None:
         return out
-    left = rest.join(prefix, "name_key", "left_anti")
-    words = vocabulary.select("name", chamber_key(F.col("name")).alias("key")).join(keys, "key", "left_semi").dropDuplicates(["name"])
-    # Blocks of names against blocks of the vocabulary; both hold distinct court names.
-    sides = left.withColumn("s", F.lit(0)).select("s", "name_key", "name", F.lit(None).cast("string").alias("key"))
-    vocab = words.select(F.lit(1).alias("s"), F.lit(None).cast("string").alias("name_key"), "name", "key")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf.s == 1].sort_values("name")
-        rows = []
-        for n in pdf[pdf.s == 0].itertuples():
-            best = difflib.get_close_matches(n.name, known.name.tolist(), n=1, cutoff=LEAST_RATIO)
-            if best:
-                rows.append((n.name_key, known.key[known.name == best[0]].iloc[0], difflib.SequenceMatcher(None, best[0], n.name).ratio()))
-        return pd.DataFrame(rows, columns=["name_key", "key", "ratio"])
-
-    parts = 16
-    dealt = sides.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts))).unionByName(vocab.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")))
-    fuzzy = dealt.groupBy("part").applyInPandas(match, "name_key string, key string, ratio double")
-    first = Window.partitionBy("name_key").orderBy(F.desc("ratio"), "key")
-    return out.union(fuzzy.withColumn("r", F.row_number().over(first)).where("r = 1").select("name_key", "key"))
+    words = vocabulary.select(F.col("name").alias("word")).distinct().withColumn("key", chamber_key(F.col("word"))).join(keys, "key", "left_semi")
+    near = names.closest(rest.join(prefix, "name", "left_anti"), words.select(F.col("word").alias("name")), LEAST_RATIO)
+    return out.union(near.join(words, F.col("right") == F.col("word")).select("left", "key"))
 
 
 def resolve(citations: DataFrame, documents: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(resolved, unresolved) of (citation, source_doc_id, chamber, case_no, decision_no): every citation is in exactly
     one. Numbers are compared as sets, so case and decision numbers may be swapped; two equal best matches are ambiguous;
-    a document never resolves to itself. Citations meet documents by chamber and number at once, so a chamber of any size
+    a document never resolves to itself. ``vocabulary`` (name) has names beside those of the documents for the closest match;
+    null: no closest match. Citations meet documents by chamber and number at once, so a chamber of any size
     costs only its equal numbers."""
     index = keyed(documents)
     links = name_links(citations, index.select("key").distinct(), vocabulary)
@@ -65,13 +47,13 @@ def resolve(citations: DataFrame, documents: DataFrame, vocabulary: DataFrame |
     asked = citations.withColumn("name_key", chamber_key(F.col("chamber"))).withColumn("wanted", numbers)
     there = links.join(index.select("key").distinct(), "key", "left_semi")
     by_number = index.select("key", F.explode("numbers").alias("number"), "doc_id", F.col("case_no").alias("t_case"), F.col("decision_no").alias("t_decision"))
-    cited = asked.select("citation", "source_doc_id", "name_key", F.explode("wanted").alias("number")).join(there, "name_key")
+    cited = asked.select("citation", "source_doc_id", "chamber", F.explode("wanted").alias("number")).join(there, F.col("chamber") == F.col("name"))
     found = cited.join(by_number, ["key", "number"]).where(F.col("doc_id") != F.col("source_doc_id"))
     scored = found.groupBy("citation", "doc_id").agg(F.count_distinct("number").alias("same"), F.min(F.struct("t_case", "t_decision")).alias("t"))
     most = F.max(F.struct("same")).over(Window.partitionBy("citation"))
     top = scored.withColumn("best", most["same"]).where("same = best")
     chosen = top.groupBy("citation").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t.t_case", "t.t_decision", "same")).alias("x"))
-    known = asked.select("citation", "name_key").join(there.select("name_key").distinct(), "name_key", "left_semi").select("citation").distinct().withColumn("known", F.lit(True))
+    known = asked.select("citation", "chamber").join(there.select("name").distinct(), F.col("chamber") == F.col("name"), "left_semi").select("citation").distinct().withColumn("known", F.lit(True))
     rows = asked.join(known, "citation", "left").join(chosen, "citation", "left")
     reason = (
         F.when(F.col("name_key") == "", "no_daire_extracted").when(F.size("wanted") == 0, "no_esas_or_karar").when(F.col("known").isNull(), "daire_not_in_corpus")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dokuma.operators import graph, retrieve, search, vector_index
+from dokuma.operators import graph, names, resolve, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 
@@ -68,3 +68,32 @@ def _(spark, sf):
     """Filters on stored columns, before the retrieval: pushed to the scan of the cells."""
     path = vector_index.build(catalog.vectors(spark, sf), graph.scratch(spark, "index"))
     return rounded(vector_index.search(spark, path, catalog.asked(spark, sf), 10, where="label >= 5"))
+
+# --- misspelt names
+
+#: A name for every document, and how its citation spells it: right, one letter wrong, one left out, or backwards.
+NAMED = """named AS (SELECT doc_id, 'Kurul ' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 24) AS name, CAST(7 + doc_id % 20 AS INTEGER) AS place FROM documents),
+spelt AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN name WHEN 1 THEN substr(name, 1, place - 1) || 'z' || substr(name, place + 1) WHEN 2 THEN substr(name, 1, place - 1) || substr(name, place + 1) ELSE reverse(name) END AS cited FROM named)"""
+
+
+def spelt(spark, sf):
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "'Kurul ' || substr(md5(CAST(doc_id AS STRING)), 1, 24) AS name", "CAST(7 + doc_id % 20 AS INT) AS place")
+    return rows.withColumn("cited", F.expr("CASE doc_id % 4 WHEN 0 THEN name WHEN 1 THEN substr(name, 1, place - 1) || 'z' || substr(name, place + 1) WHEN 2 THEN substr(name, 1, place - 1) || substr(name, place + 1) ELSE reverse(name) END"))
+
+
+@query("j04_closest_names", "WITH " + NAMED + " SELECT cited, name, round(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 29 / 30 ELSE 58 / 59 END, 6) AS ratio FROM spelt WHERE doc_id % 4 < 3")
+def _(spark, sf):
+    rows = graph.saved(spelt(spark, sf), "names")
+    return rounded(names.closest(rows.select(F.col("cited").alias("name")), rows.select("name")).select(F.col("left").alias("cited"), F.col("right").alias("name"), "ratio"))
+
+
+@query("r14_misspelt", "WITH " + NAMED + """ SELECT doc_id AS citation, CASE WHEN doc_id % 4 < 3 THEN doc_id END AS target_doc_id, CASE WHEN doc_id % 4 < 3 THEN CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END END AS confidence,
+CASE WHEN doc_id % 4 = 3 THEN 'daire_not_in_corpus' END AS reason FROM spelt""")
+def _(spark, sf):
+    rows = graph.saved(spelt(spark, sf), "names")
+    number = F.concat(F.lit("2020/"), F.col("doc_id").cast("string"))
+    other = F.concat(F.lit("2021/"), F.col("doc_id").cast("string"))
+    d = rows.select("doc_id", F.lit("").alias("court"), F.col("name").alias("chamber"), number.alias("case_no"), other.alias("decision_no"))
+    c = rows.select(F.col("doc_id").alias("citation"), F.lit(-1).cast("long").alias("source_doc_id"), F.col("cited").alias("chamber"), number.alias("case_no"), F.when(F.col("doc_id") % 3 == 0, other).alias("decision_no"))
+    good, bad = resolve.resolve(c, d, rows.select("name"))
+    return good.select("citation", "target_doc_id", "confidence", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("citation", "reason"), allowMissingColumns=True)

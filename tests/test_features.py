@@ -110,3 +110,41 @@ def test_pagerank_of_a_hub(spark):
     get = lambda hub: {r.doc_id: r.score for r in graph.pagerank(n, e, hub=hub).collect()}
     one, parts = get(10**9), get(20)
     assert one.keys() == parts.keys() and all(abs(one[k] - parts[k]) < 1e-9 for k in one) and len(one) == 310
+
+
+def test_names(spark):
+    from difflib import SequenceMatcher
+
+    from dokuma.operators import names
+
+    r = random.Random(6)
+    base = ["".join(r.choice("abcçdeğ . ") for _ in range(r.randint(1, 40))) for _ in range(120)] + ["aaaaaaaaaa", "abababababab", "", "x", "xy", "xyz" * 80]
+    left = []
+    for w in base * 2:
+        x = list(w)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.choice([0, 1])] = r.choice(["", "q", "a"])
+        left.append("".join(x))
+    want = {(a, b): SequenceMatcher(None, b, a).ratio() for a in set(left) for b in set(base)}
+    named = lambda x: spark.createDataFrame([(i, 1) for i in [*x, None]], "name string, n int")
+    for least in (0.7, 0.88, 1.0):
+        got = {(x.left, x.right): x.ratio for x in names.alike(named(left), named(base), least).collect()}
+        assert got == {k: v for k, v in want.items() if v >= least}
+        best = {x.left: (x.ratio, x.right) for x in names.closest(named(left), named(base), least).collect()}
+        assert best == {a: max((v, b) for b in set(base) if (v := want[a, b]) >= least) for a in set(left) if any(want[a, b] >= least for b in set(base))}
+    few = names.candidates(named(left).select("name").distinct().na.drop(), named(base).select("name").distinct().na.drop(), 0.88).count()
+    assert few < 0.2 * len(set(left)) * len(set(base))  # nine letters only
+    with pytest.raises(ValueError, match="2/3"):
+        names.candidates(named(left), named(base), 0.6)
+
+
+def test_resolve_by_closest_name(spark):
+    from dokuma.operators import resolve
+
+    d = spark.createDataFrame([(1, "Yargıtay", "2. Hukuk Dairesi", "2020/1", "2021/1"), (2, "", "Danıştay Onuncu Daire", "2020/2", "")], "doc_id long, court string, chamber string, case_no string, decision_no string")
+    c = spark.createDataFrame([(1, 9, "2. Hukuk Daresi", "2020/1", None), (2, 9, "2 Hukuk-Dairezi", "2020/1", None), (3, 9, "Danıştay Onuncu Dayre", "2020/2", None), (4, 9, "Danıştay Onuncu Dayre", "2020/3", None), (5, 9, "Bambaşka", "2020/2", None), (6, 9, None, "2020/2", None)], "citation long, source_doc_id long, chamber string, case_no string, decision_no string")
+    v = spark.createDataFrame([("2. Hukuk Dairesi",), ("Danıştay Onuncu Daire",), ("Danıştay Onuncu Dayra",), (None,)], "name string")
+    good, bad = resolve.resolve(c, d, v)
+    assert {(x.citation, x.target_doc_id) for x in good.collect()} == {(1, 1), (2, 1), (3, 2)}
+    assert {(x.citation, x.reason) for x in bad.collect()} == {(4, "no_ek_match_in_daire"), (5, "daire_not_in_corpus"), (6, "no_daire_extracted")}
