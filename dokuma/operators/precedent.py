@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dokuma.functions.judgements import OPPOSITE
 from dokuma.functions.vectors import cosine
+from dokuma.operators import vector_pairs
+from dokuma.operators.graph import saved
 
 #: A conflict is looked for among so many first results of a query; more ranks would be compared pair by pair.
 COMPARED = 10
@@ -61,25 +63,44 @@ def diversity(run: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count_distinct(F.when(F.col("disposition") != "unknown", F.col("disposition"))).alias("diversity"))
 
 
+def conflict_type() -> Column:
+    """The kind of conflict between the holdings a_* and b_*. bozma_direnme: one reversed and one insisted; inter_daire: same
+    court, different chambers, different outcomes; temporal: same chamber, different dates and outcomes; else null."""
+    same = lambda f: F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))
+    stand = F.sort_array(F.array("a_disposition", "b_disposition"))
+    return (
+        F.when((stand[0] == "bozma") & (stand[1] == "direnme"), "bozma_direnme").when(same("disposition"), None).when(same("court") & ~same("daire"), "inter_daire")
+        .when(same("court") & same("daire") & ~same("decision_date"), "temporal")
+    )
+
+
 def conflicts(run: DataFrame, holdings: DataFrame, threshold: float = 0.7, first: int = COMPARED) -> DataFrame:
     """(query_id, doc_a, doc_b, similarity, conflict_type) among each query's first results, with holdings (doc_id,
-    vector, court, daire, decision_date, disposition). Pairs above the threshold are related; bozma_direnme: one reversed
-    and one insisted; inter_daire: same court, different chambers, different outcomes; temporal: same chamber, different
-    dates and outcomes. Other related pairs carry no conflict. A query has at most first * (first - 1) / 2 pairs."""
+    vector, court, daire, decision_date, disposition). Pairs above the threshold are related; those without a
+    ``conflict_type`` carry no conflict. A query has at most first * (first - 1) / 2 pairs."""
     rows = run.where(F.col("rank") <= first).select("query_id", "doc_id").join(holdings, "doc_id")
     fields = ("doc_id", "vector", "court", "daire", "decision_date", "disposition")
     side = lambda x: rows.select("query_id", *[F.col(f).alias(f"{x}_{f}") for f in fields])
     pairs = side("a").join(side("b"), "query_id").where("a_doc_id < b_doc_id").withColumn("similarity", cosine(F.col("a_vector"), F.col("b_vector")))
-    same = lambda f: F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))
-    stand = F.sort_array(F.array("a_disposition", "b_disposition"))
-    kind = (
-        F.when((stand[0] == "bozma") & (stand[1] == "direnme"), "bozma_direnme").when(same("disposition"), None).when(same("court") & ~same("daire"), "inter_daire")
-        .when(same("court") & same("daire") & ~same("decision_date"), "temporal")
-    )
-    found = pairs.where(F.col("similarity") > threshold).withColumn("conflict_type", kind).where("conflict_type IS NOT NULL")
+    found = pairs.where(F.col("similarity") > threshold).withColumn("conflict_type", conflict_type()).where("conflict_type IS NOT NULL")
     return found.select("query_id", F.col("a_doc_id").alias("doc_a"), F.col("b_doc_id").alias("doc_b"), "similarity", "conflict_type")
 
 
+def corpus_conflicts(holdings: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(doc_a, doc_b, similarity, conflict_type, n_pairs): the conflicts of all holdings (as for ``conflicts``), whoever asks.
+    Holdings with equal vectors, court, chamber, date and disposition stand as one: doc_a and doc_b are the smallest of
+    each side, n_pairs the number of pairs of documents that a row stands for. Null vectors and ids take no part."""
+    facts = ("court", "daire", "decision_date", "disposition")
+    known = holdings.where("doc_id IS NOT NULL")
+    one, members = vector_pairs.classes(known.select(F.col("doc_id").alias("id"), "vector"))
+    kinds = members.join(known.select(F.col("doc_id").alias("member"), *facts).distinct(), "member").groupBy("id", *facts).agg(F.count("*").alias("n"), F.min("member").alias("doc_id"))
+    kinds = saved(kinds, "holdings")
+    side = lambda x: kinds.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in ("doc_id", "n", *facts)])
+    pairs = vector_pairs.similar(one, threshold).unionByName(one.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where("a <> b OR a_doc_id < b_doc_id").withColumn("conflict_type", conflict_type()).where("conflict_type IS NOT NULL")
+    return found.select(F.least("a_doc_id", "b_doc_id").alias("doc_a"), F.greatest("a_doc_id", "b_doc_id").alias("doc_b"), "similarity", "conflict_type", (F.col("a_n") * F.col("b_n")).alias("n_pairs"))
+
+
 def candidate_gold(manifest: DataFrame, templates: DataFrame, groups: DataFrame) -> DataFrame:
     """Judgments (query_id, doc_id, relevance, rationale) for templates (query_id, relevance, rationale, cluster, first,
     most) with groups (cluster, field, words): a cluster holds the manifest's documents (not excluded) that contain, in

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dokuma.operators import graph, names, resolve, vector_index
+from dokuma.operators import graph, names, precedent, resolve, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 
@@ -97,3 +97,15 @@ def _(spark, sf):
     c = rows.select(F.col("doc_id").alias("citation"), F.lit(-1).cast("long").alias("source_doc_id"), F.col("cited").alias("chamber"), number.alias("case_no"), F.when(F.col("doc_id") % 3 == 0, other).alias("decision_no"))
     good, bad = resolve.resolve(c, d, rows.select("name"))
     return good.select("citation", "target_doc_id", "confidence", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("citation", "reason"), allowMissingColumns=True)
+
+# --- all pairs of holdings
+
+
+@query("q15_corpus_conflicts", """WITH h AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label % 2 AS court, label AS daire, vec_id % 7 AS at, ['bozma', 'direnme', 'onama'][vec_id % 3 + 1] AS d FROM embeddings),
+p AS (SELECT a.vec_id AS doc_a, b.vec_id AS doc_b, list_cosine_similarity(a.v, b.v) AS similarity, CASE WHEN least(a.d, b.d) = 'bozma' AND greatest(a.d, b.d) = 'direnme' THEN 'bozma_direnme' WHEN a.d = b.d THEN NULL
+  WHEN a.court = b.court AND a.daire <> b.daire THEN 'inter_daire' WHEN a.daire = b.daire AND a.at <> b.at THEN 'temporal' END AS conflict_type FROM h a JOIN h b ON a.vec_id < b.vec_id)
+SELECT doc_a, doc_b, round(similarity, 6) AS similarity, conflict_type, 1::BIGINT AS n_pairs FROM p WHERE similarity > 0.3 AND conflict_type IS NOT NULL""")
+def _(spark, sf):
+    i, label = F.col("vec_id"), F.col("label")
+    h = table(spark, sf, "embeddings").select(i.alias("doc_id"), F.col("embedding").alias("vector"), (label % 2).alias("court"), label.alias("daire"), (i % 7).alias("decision_date"), F.element_at(F.array(*map(F.lit, ("bozma", "direnme", "onama"))), (i % 3 + 1).cast("int")).alias("disposition"))
+    return rounded(precedent.corpus_conflicts(h, 0.3))

@@ -148,3 +148,28 @@ def test_resolve_by_closest_name(spark):
     good, bad = resolve.resolve(c, d, v)
     assert {(x.citation, x.target_doc_id) for x in good.collect()} == {(1, 1), (2, 1), (3, 2)}
     assert {(x.citation, x.reason) for x in bad.collect()} == {(4, "no_ek_match_in_daire"), (5, "daire_not_in_corpus"), (6, "no_daire_extracted")}
+
+
+def test_vector_pairs(spark, clustered):
+    from dokuma.operators import precedent, vector_pairs
+
+    good = [(r[0], r[2]) for r in clustered if r[2] and all(x is not None and math.isfinite(x) for x in r[2]) and any(r[2])]
+    copies = [(5000 + i, good[3][1]) for i in range(40)] + [(7000, good[8][1]), (7000, good[8][1])]
+    rows = good + copies + [(None, good[0][1]), *[(r[0], r[2]) for r in clustered[-35:]]]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(6)
+    one, members = vector_pairs.classes(df)
+    lowest = {}
+    for i, v in good + copies:
+        lowest[tuple(v)] = min(i, lowest.get(tuple(v), i))
+    assert {(r.id, r.member) for r in members.collect()} == {(lowest[tuple(v)], i) for i, v in good + copies}
+    ids = sorted(lowest.values())
+    m = np.array([v for v, _ in sorted(lowest.items(), key=lambda x: x[1])])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    for tau, options in ((0.9, {}), (0.9, {"block": 16, "pivots": 5}), (0.2, {"block": 50}), (0.97, {"pivots": 1})):
+        want = {(ids[a], ids[b]) for a in range(len(ids)) for b in range(a + 1, len(ids)) if s[a, b] > tau}
+        got = vector_pairs.similar(one, tau, **options).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and all(abs(r.similarity - s[ids.index(r.a), ids.index(r.b)]) < 1e-9 for r in got)
+    assert vector_pairs.similar(one.limit(0), 0.5).count() == 0
+    holdings = spark.createDataFrame([(1, [1.0, 0.0], "Y", "1", "d1", "bozma"), (2, [1.0, 0.0], "Y", "1", "d1", "bozma"), (3, [1.0, 0.0], "Y", "2", "d1", "onama"), (4, [0.9, 0.1], "Y", "1", "d2", "direnme"), (5, [0.0, 1.0], "Y", "2", "d3", "ret"), (6, None, "Y", "2", "d3", "ret")], "doc_id long, vector array<double>, court string, daire string, decision_date string, disposition string")
+    assert {(r.doc_a, r.doc_b, r.conflict_type, r.n_pairs) for r in precedent.corpus_conflicts(holdings, 0.7).collect()} == {(1, 3, "inter_daire", 2), (1, 4, "bozma_direnme", 2), (3, 4, "inter_daire", 1)}
