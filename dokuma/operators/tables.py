@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 def newest(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """One row a key: the last by ``order``, and among equals the last by all columns that can be ordered."""
     rest = [F.col(c).desc_nulls_last() for c, t in rows.dtypes if c not in keys and "map<" not in t]
+    if not order and not rest:
+        return rows.dropDuplicates(keys)
     last = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(o) if isinstance(o, str) else o.desc_nulls_last() for o in order], *rest)
     return rows.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dokuma.operators import graph, names, precedent, resolve, vector_index
+from dokuma.operators import graph, names, precedent, resolve, stored, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 
@@ -109,3 +109,54 @@ def _(spark, sf):
     i, label = F.col("vec_id"), F.col("label")
     h = table(spark, sf, "embeddings").select(i.alias("doc_id"), F.col("embedding").alias("vector"), (label % 2).alias("court"), label.alias("daire"), (i % 7).alias("decision_date"), F.element_at(F.array(*map(F.lit, ("bozma", "direnme", "onama"))), (i % 3 + 1).cast("int")).alias("disposition"))
     return rounded(precedent.corpus_conflicts(h, 0.3))
+
+# --- stored tables
+
+
+@query("k01_stored_merges", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' || lang ELSE lang END AS lang, CASE WHEN doc_id % 5 = 0 THEN -n_chars WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT doc_id + 1000000, lang, n_chars FROM documents WHERE doc_id % 4 = 1""")
+def _(spark, sf):
+    """Created, merged whole, merged in one column, deleted from, vacuumed, and read."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    t = stored.StoredTable(spark, graph.scratch(spark, "table"))
+    t.create(d, ["doc_id"])
+    t.merge(d.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("x"), "lang").alias("lang"), (F.col("n_chars") + 1).alias("n_chars")).union(d.where("doc_id % 4 = 1").select(F.col("doc_id") + 1_000_000, "lang", "n_chars")))
+    t.merge(d.where("doc_id % 5 = 0").select("doc_id", F.lit("?").alias("lang"), (-F.col("n_chars")).alias("n_chars")), only=["n_chars"])
+    t.delete(d.where("doc_id % 7 = 0"))
+    t.vacuum()
+    return t.read()
+
+
+@query("k02_replaced_chunks", """WITH c AS (SELECT doc_id, unnest(range(0, 1 + n_chars // 500)) AS chunk_index, n_chars FROM documents), n AS (SELECT doc_id, unnest(range(0, 1 + n_chars // 900)) AS chunk_index, -n_chars AS n_chars FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, chunk_index, n_chars FROM c WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, chunk_index, n_chars FROM n""")
+def _(spark, sf):
+    """Chunks of a document replace all its old ones, the tail beyond their number included."""
+    d = table(spark, sf, "documents")
+    chunks = lambda size, n: d.select("doc_id", F.explode(F.expr(f"sequence(0L, n_chars div {size})")).alias("chunk_index"), n.alias("n_chars"))
+    t = stored.StoredTable(spark, graph.scratch(spark, "table"))
+    t.create(chunks(500, F.col("n_chars")), ["doc_id", "chunk_index"], slice_by=["doc_id"])
+    t.replace(chunks(900, -F.col("n_chars")).where("doc_id % 2 = 0"), ["doc_id"])
+    return t.read()
+
+
+@query("k03_citations", """WITH e AS (SELECT o_orderkey AS citation_id, o_custkey AS target_doc_id, o_totalprice AS confidence, o_orderdate AS at FROM orders)
+SELECT citation_id, CASE WHEN citation_id % 3 = 0 THEN -1 ELSE target_doc_id END AS target_doc_id, CASE WHEN citation_id % 3 = 0 THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM e""")
+def _(spark, sf):
+    """Citations upserted by id, in two changes of which the later by time counts whatever their order."""
+    e = table(spark, sf, "orders").select(F.col("o_orderkey").alias("citation_id"), F.col("o_custkey").alias("target_doc_id"), F.col("o_totalprice").cast("double").alias("confidence"), F.lit(1).alias("seq"))
+    t = stored.StoredTable(spark, graph.scratch(spark, "table"))
+    t.create(e.where("citation_id % 2 = 0"), ["citation_id"])
+    t.merge(e.where("citation_id % 3 = 0").select("citation_id", F.lit(-1).cast(e.schema["target_doc_id"].dataType).alias("target_doc_id"), F.lit(0.5).alias("confidence"), F.lit(2).alias("seq")), order="seq", newest=True)
+    t.merge(e, order="seq", newest=True)
+    return t.read().drop("seq")
+
+
+@query("k04_reload", "SELECT doc_id, source FROM documents WHERE lang = 'en'")
+def _(spark, sf):
+    """All rows anew; a load of no rows leaves the table as it is."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    t = stored.StoredTable(spark, graph.scratch(spark, "table"))
+    t.create(d.drop("lang"), ["doc_id"])
+    t.reload(d.where("lang = 'en'").drop("lang"))
+    t.reload(d.where("lang = 'none'").drop("lang"))
+    return t.read()

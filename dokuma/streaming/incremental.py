@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dokuma.operators.tables import newest
+from dokuma.operators.stored import StoredTable
 
 
 def file_stream(spark: SparkSession, path: str, schema, files: int = 1000) -> DataFrame:
@@ -14,44 +14,24 @@ def file_stream(spark: SparkSession, path: str, schema, files: int = 1000) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def upsert_stream(rows: DataFrame, table: str, keys: list[str], checkpoint: str, order: str, slices: int = 64) -> StreamingQuery:
-    """Keep the newest row, by ``order``, of every key: late rows do not replace newer ones. The table is a folder of
-    ``slices`` by the keys' hash; a batch rewrites only the slices that it touches, as a version of its own number, and
-    then the pointer that says which versions count, so a batch that runs twice gives the same table."""
-    spark = rows.sparkSession
+def upsert_stream(rows: DataFrame, table: str, keys: list[str], checkpoint: str, order: str, slices: int = 64, keep: int = 8) -> StreamingQuery:
+    """Keep the newest row, by ``order``, of every key in a ``StoredTable``: late rows do not replace newer ones. A batch is a
+    merge that bears its number, so a batch that runs twice changes the table once; of old versions ``keep`` stay."""
+    stored = StoredTable(rows.sparkSession, table)
 
     def put(batch: DataFrame, number: int) -> None:
-        dealt = batch.withColumn("__slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")).persist()
-        touched = [r[0] for r in dealt.select("__slice").distinct().collect()]  # of a fixed number
-        versions = {s: v for s, v in _pointer(spark, table, number - 1).items()}
-        held = [f"{table}/v{versions[s]}/__slice={s}" for s in touched if s in versions]
-        fresh = dealt
-        if held:
-            fresh = dealt.unionByName(spark.read.schema(rows.schema).parquet(*held).withColumn("__slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")))
-        newest(fresh, keys, order).repartition("__slice").write.mode("overwrite").partitionBy("__slice").parquet(f"{table}/v{number}")
-        versions.update(dict.fromkeys(touched, number))
-        spark.createDataFrame([(s, v) for s, v in versions.items()], "slice int, version long").coalesce(1).write.mode("overwrite").parquet(f"{table}/pointer/n{number}")
-        dealt.unpersist()
+        if stored.manifest() is None:
+            stored.create(batch.limit(0), keys, slices=slices)
+        stored.merge(batch, order=order, newest=True, mark=f"{checkpoint}#{number}")
+        stored.vacuum(keep)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, table: str) -> list[int]:
-    """The numbers of the whole pointers, in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/pointer/n*/_SUCCESS")
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
-    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
-
-
-def _pointer(spark: SparkSession, table: str, most: int | None = None) -> dict[int, int]:
-    numbers = [n for n in _versions(spark, table) if most is None or n <= most]
-    return {r["slice"]: r["version"] for r in spark.read.parquet(f"{table}/pointer/n{numbers[-1]}").collect()} if numbers else {}
-
-
 def current(spark: SparkSession, table: str, schema) -> DataFrame:
-    """The rows that the last whole pointer of an ``upsert_stream`` names."""
-    held = [f"{table}/v{v}/__slice={s}" for s, v in _pointer(spark, table).items()]
-    return spark.read.schema(schema).parquet(*held) if held else spark.createDataFrame([], schema)
+    """The rows of the last version, or none where there is no table yet."""
+    stored = StoredTable(spark, table)
+    return spark.createDataFrame([], schema) if stored.manifest() is None else stored.read()
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

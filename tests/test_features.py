@@ -173,3 +173,53 @@ def test_vector_pairs(spark, clustered):
     assert vector_pairs.similar(one.limit(0), 0.5).count() == 0
     holdings = spark.createDataFrame([(1, [1.0, 0.0], "Y", "1", "d1", "bozma"), (2, [1.0, 0.0], "Y", "1", "d1", "bozma"), (3, [1.0, 0.0], "Y", "2", "d1", "onama"), (4, [0.9, 0.1], "Y", "1", "d2", "direnme"), (5, [0.0, 1.0], "Y", "2", "d3", "ret"), (6, None, "Y", "2", "d3", "ret")], "doc_id long, vector array<double>, court string, daire string, decision_date string, disposition string")
     assert {(r.doc_a, r.doc_b, r.conflict_type, r.n_pairs) for r in precedent.corpus_conflicts(holdings, 0.7).collect()} == {(1, 3, "inter_daire", 2), (1, 4, "bozma_direnme", 2), (3, 4, "inter_daire", 1)}
+
+
+def test_stored_table(spark, tmp_path, monkeypatch):
+    from dokuma.operators.stored import StoredTable, VersionTaken
+
+    schema = "k long, `a b` string, ts int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    get = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    t = StoredTable(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no table"):
+        t.merge(rows((1, "a", 1)))
+    assert t.create(rows((1, "a", 1), (1, "b", 2), (2, "c", 1), (None, "n", 1), *[(i, "x", 0) for i in range(10, 60)]), ["k"], slices=16, order="ts") == 0
+    others = [(i, "x", 0) for i in range(10, 60)]
+    before = t.manifest()
+    assert get(t.read()) == sorted([(1, "b", 2), (2, "c", 1), (None, "n", 1), *others], key=repr)
+    t.merge(rows((2, "late", 0), (3, "new", 5), (None, "m", 2)))
+    changed = [s for s in t.manifest()["slices"] if t.manifest()["slices"][s] != before["slices"].get(s)]
+    assert 1 <= len(changed) <= 3  # only the slices of its three keys
+    assert get(t.read()) == sorted([(1, "b", 2), (2, "late", 0), (3, "new", 5), (None, "m", 2), *others], key=repr)
+    t.merge(rows((2, "older", -1), (3, "newer", 6)), order="ts", newest=True, mark="b1")
+    at = t.merge(rows((2, "never", 99)), order="ts", newest=True, mark="b1")
+    assert at == 2 and get(t.read().where("k < 4")) == [(1, "b", 2), (2, "late", 0), (3, "newer", 6)]
+    t.merge(rows((1, "only", 77), (4, "fresh", 7)), only=["a b"])
+    assert get(t.read().where("k < 5")) == [(1, "only", 2), (2, "late", 0), (3, "newer", 6), (4, "fresh", 7)]
+
+    def killed(m):
+        raise KeyboardInterrupt
+
+    whole = get(t.read())
+    with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+        patch.setattr(t, "_put", killed)
+        t.merge(rows((1, "lost", 1)))
+    assert get(t.read()) == whole
+    monkeypatch.setattr(StoredTable, "manifest", lambda self, version=None, f=StoredTable.manifest: f(self, version) if version is not None or len(self.versions()) < 4 else f(self, 2))
+    with pytest.raises(VersionTaken):  # a writer that began from an older version
+        t.merge(rows((1, "second", 1)))
+    monkeypatch.undo()
+    assert get(t.read()) == whole and get(t.read(0).where("k = 2")) == [(2, "c", 1)]
+    t.delete(spark.createDataFrame([(None,), (1,), (99,)], "k long"))
+    assert get(t.read().where("k < 5 OR k IS NULL")) == [(2, "late", 0), (3, "newer", 6), (4, "fresh", 7)]
+    assert t.merge(rows()) == t.versions()[-1] and t.history().count() == 5
+    now = get(t.read())
+    assert t.vacuum() > 2 and t.versions() == [4] and get(t.read()) == now and t.vacuum() == 0
+    with pytest.raises(ValueError, match="not there"):
+        t.read(0)
+    assert t.reload(rows()) == 4 and t.reload(rows((7, "r", 1))) == 5 and get(t.read()) == [(7, "r", 1)]
+    c = StoredTable(spark, str(tmp_path / "c"))
+    c.create(spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)], "d int, i int"), ["d", "i"], slice_by=["d"])
+    c.replace(spark.createDataFrame([(1, 0)], "d int, i int"), ["d"])
+    assert get(c.read()) == [(1, 0), (2, 0), (2, 1)]
