@@ -12,8 +12,8 @@ norms behind them, so the result is exact at every magnitude. Ties go to the sma
 
 Null vectors and those with null or non-finite components take no part (zero vectors do); vectors of several lengths
 raise. Rows with the query's own id are not candidates for it; a table with less than k others gives fewer rows; an empty
-table gives none. Repeated rows come back as often as they are there. Only the two named columns are read: others may have
-any name.
+table gives none. A repeated candidate comes back as often as it is there; a repeated query is asked once, and of different
+vectors under one id the smallest is asked. Only the two named columns are read: others may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import blocks, found_batch, meet, nearest, usable
+from .vectors import blocks, found_batch, meet, nearest, one_each, usable
 
 SHARD, QUERY_BLOCK, LEAF = 8192, 512, 96
 LEAST_LONG = -(2**63) + 1
@@ -129,7 +129,7 @@ def search(rows: DataFrame, ident: str, vector: str, is_query, k: int = 10, *, s
                 yield found_batch(*out, pa.int64())
 
     trees = written(blocks(whole, shard, dim, index), "ball-trees")
-    queries = written(blocks(whole.where(is_query(F.col("id"))), QUERY_BLOCK, dim, lambda i, v: (i, v, [])), "ball-tree-queries")
+    queries = written(blocks(one_each(whole.where(is_query(F.col("id")))), QUERY_BLOCK, dim, lambda i, v: (i, v, [])), "ball-tree-queries")
     found = meet(queries, trees, run, schema)
     return nearest(found, k, F.col("score"))
 

@@ -9,8 +9,8 @@ the block, at least ``DEPTH`` for each result asked for: the same law at every s
 
 Every usable vector is indexed. Null vectors, zero vectors and those with null or non-finite components take no part;
 vectors of several lengths raise. Rows with the query's own id are not candidates for it; a table with less than k others
-gives fewer rows; an empty table gives none. Ties go to the smaller id. Repeated rows come back as often as they are
-there. Only the two named columns are read: others may have any name.
+gives fewer rows; an empty table gives none. Ties go to the smaller id. A repeated candidate comes back as often as it is there; a
+repeated query is asked once, and of different vectors under one id the smallest is asked. Only the two named columns are read: others may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import blocks, found_batch, meet, nearest, usable
+from .vectors import blocks, found_batch, meet, nearest, one_each, usable
 
 PIVOTS, PREFIX, SAMPLE, SHARE, DEPTH = 256, 64, 2048, 0.2, 8
 SHARD, QUERY_BLOCK = 8192, 1024
@@ -113,7 +113,7 @@ def search(rows: DataFrame, ident: str, vector: str, is_query, k: int = 20, *, p
                 yield found_batch(*out, pa.float64())
 
     index = written(blocks(good, shard, dim, post), "permutations")
-    queries = written(blocks(good.where(is_query(F.col("id"))), QUERY_BLOCK, dim, ask), "permutation-queries")
+    queries = written(blocks(one_each(good.where(is_query(F.col("id")))), QUERY_BLOCK, dim, ask), "permutation-queries")
     found = meet(queries, index, run, schema)
     return nearest(found, k, F.col("score"))
 

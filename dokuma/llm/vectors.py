@@ -26,6 +26,11 @@ def usable(rows: DataFrame, ident: str, vector: str) -> DataFrame:
     return rows.select(F.col(ident).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & good)
 
 
+def one_each(queries: DataFrame) -> DataFrame:
+    """One vector an id: a query that is there twice is asked once, and of an id's different vectors the smallest is asked."""
+    return queries.groupBy("id").agg(F.min("v").alias("v"))
+
+
 def blocks(rows: DataFrame, size: int, dim: int, build: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> DataFrame:
     """Blocks of at most ``size`` rows of (id, v); build(ids, vectors) gives what is stored."""
 
