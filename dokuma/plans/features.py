@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dokuma.operators import graph, names, precedent, resolve, stored, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
+from dokuma.sources import keyed
 
 # --- walks over the graph
 
@@ -160,3 +161,33 @@ def _(spark, sf):
     t.reload(d.where("lang = 'en'").drop("lang"))
     t.reload(d.where("lang = 'none'").drop("lang"))
     return t.read()
+
+# --- files by key
+
+
+@query("s05_keyed_stream", "SELECT doc_id, lang, n_chars, length(text) AS length FROM documents")
+def _(spark, sf):
+    """Documents written as JSON lines, read as a stream of pages that is stopped half-way and started again."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    where = graph.scratch(spark, "keyed")
+    for half in (0, 1):
+        d.where(F.pmod("doc_id", F.lit(2)) == half).write.option("maxRecordsPerFile", 50).json(f"{where}/in/{half}")
+        rows = keyed.stream(spark, f"{where}/in", f"{where}/ledger", page=40, slice=10)
+        records, _ = keyed.parsed(rows, "doc_id long, text string, lang string, n_chars long", lines=True)
+        run = records.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").start(f"{where}/out")
+        run.processAllAvailable()
+        run.stop()
+    return spark.read.schema(records.schema).parquet(f"{where}/out").select("record.doc_id", "record.lang", "record.n_chars", F.length("record.text").cast("long").alias("length"))
+
+
+@query("s04_s06_keyed_files", "SELECT lang, count(*) FILTER (doc_id % 10 > 0) AS docs, count(*) FILTER (doc_id % 10 = 0) AS corrupt FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    """Files under a prefix a language, listed and read by a task a prefix; broken JSON is counted, not lost."""
+    d = table(spark, sf, "documents").where("lang IS NOT NULL")
+    where = graph.scratch(spark, "keyed")
+    whole = F.to_json(F.struct("doc_id", "text"))
+    d.select("lang", F.when(F.col("doc_id") % 10 == 0, F.substring(whole, 1, 15)).otherwise(whole).alias("value")).write.partitionBy("lang").option("maxRecordsPerFile", 50).text(f"{where}/in")
+    good, bad = keyed.parsed(keyed.read(spark, f"{where}/in", suffix=".txt"), "doc_id long, text string", lines=True)
+    lang = F.regexp_extract("key", "lang=([^/]*)/", 1)
+    both = good.select(lang.alias("lang"), F.lit(1).alias("good")).union(bad.select(lang, F.lit(0)))
+    return both.groupBy("lang").agg(F.sum("good").alias("docs"), F.sum(1 - F.col("good")).alias("corrupt"))

@@ -223,3 +223,40 @@ def test_stored_table(spark, tmp_path, monkeypatch):
     c.create(spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)], "d int, i int"), ["d", "i"], slice_by=["d"])
     c.replace(spark.createDataFrame([(1, 0)], "d int, i int"), ["d"])
     assert get(c.read()) == [(1, 0), (2, 0), (2, 1)]
+
+
+def test_keyed_files(spark, tmp_path):
+    from dokuma.sources import keyed
+
+    files, texts = tmp_path / "in", {}
+    for key in ["a.json", "b/1.json", "b/2.json", "b/c/3.json", "b.json", "b-x/4.json", "d/e/f/5.json", "d/6.txt", ".hidden/7.json", "d/_x.json"]:
+        (files / key).parent.mkdir(parents=True, exist_ok=True)
+        (files / key).write_text(texts.setdefault(key, '{"k": "%s"}' % key))
+    (files / "b/bad.json").write_bytes(b"\xff\xfe")
+    (files / "b/cut.json").write_text('{"k": ')
+    names = sorted(k for k in texts if k.endswith(".json") and not k.startswith(".") and "_x" not in k)
+    base = keyed._opened(f"file://{files}")
+    every = [k for k, _ in keyed.walk(*base, suffix=".json")]
+    assert every == sorted([*names, "b/bad.json", "b/cut.json"])
+    assert all([k for k, _ in keyed.walk(*base, after=a, suffix=".json")] == [k for k in every if k > a] for a in [*every, "b", "b/", "zz", "b/c"])
+    for depth in (0, 1, 2, 5):
+        rows = keyed.read(spark, f"file://{files}", depth=depth)
+        good, bad = keyed.parsed(rows, "k string")
+        assert sorted(r.record.k for r in good.collect()) == names
+        assert sorted((r.key, r.error == "no JSON object") for r in bad.collect()) == [("b/bad.json", False), ("b/cut.json", True)]
+    assert keyed.read(spark, f"file://{tmp_path}/none").count() == 0
+
+    def run():
+        q = keyed.stream(spark, f"file://{files}", f"file://{tmp_path}/ledger", page=3, slice=2).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").start(f"{tmp_path}/out")
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r.key for r in spark.read.parquet(f"{tmp_path}/out").collect()), [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+
+    assert run() == (every, [3, 3, 3])
+    (files / "e").mkdir()
+    for i in range(4):
+        (files / f"e/{i}.json").write_text("{}")
+    assert keyed.StreamReader({"path": f"file://{files}", "ledger": f"file://{tmp_path}/ledger", "page": 1}).latestOffset() == {"after": "e/0.json"}  # noted, then the run dies
+    found, pages = run()
+    assert found == sorted([*every, *(f"e/{i}.json" for i in range(4))]) and sum(pages) == 4 and max(pages) <= 4
+    assert run()[0] == found
