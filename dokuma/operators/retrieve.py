@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
+from dokuma.functions import turkish
 from dokuma.functions.text import turkish_lower
 from dokuma.functions.vectors import cosine, dot, norm, unit
 
@@ -215,9 +216,10 @@ def level_boost(score: Column, level: Column, most: int = 5, beta: float = 0.1)
     return score * (1 + beta * level / most)
 
 
-def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | None = None, least: int = 3) -> DataFrame:
+def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | None = None, least: int = 3, *, stems: bool = False, known: Iterable[str] = turkish.KNOWN) -> DataFrame:
     """(doc_id, term, tf): words of letters in Turkish lower case, without stop words; of ``endings`` the longest that a
-    word has goes, as long as ``least`` letters stay. Null texts have no words."""
+    word has goes, as long as ``least`` letters stay. stems: terms are Turkish stems (``known`` ones first). Null texts have no
+    words."""
     word = F.explode(F.regexp_extract_all(turkish_lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))
     rows = docs.select("doc_id", word.alias("term"))
     if stop:
@@ -225,7 +227,11 @@ def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | N
     if endings:
         longest_first = "|".join(sorted(map(re.escape, endings), key=lambda e: (-len(e), e)))
         rows = rows.withColumn("term", F.regexp_replace("term", rf"(?<=\p{{L}}{{{least}}})(?:{longest_first})$", ""))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    counted = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    if not stems:
+        return counted
+    # A word is stemmed once a document, not once an occurrence.
+    return counted.groupBy("doc_id", turkish.stem(F.col("term"), known).alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def bm25(query_terms: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dokuma.operators import graph, names, precedent, resolve, stored, vector_index
+from dokuma.functions import turkish
+from dokuma.operators import graph, names, precedent, resolve, retrieve, stored, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 from dokuma.sources import keyed
@@ -191,3 +192,33 @@ def _(spark, sf):
     lang = F.regexp_extract("key", "lang=([^/]*)/", 1)
     both = good.select(lang.alias("lang"), F.lit(1).alias("good")).union(bad.select(lang, F.lit(0)))
     return both.groupBy("lang").agg(F.sum("good").alias("docs"), F.sum(1 - F.col("good")).alias("corrupt"))
+
+# --- stems
+
+#: Stems and forms of theirs; a document's text stands between two of them.
+FORMS = [
+    ("mahkeme", "mahkemesinin"), ("mahkeme", "mahkemelerinde"), ("dava", "davalarının"), ("dava", "davasındaki"), ("karar", "kararının"), ("karar", "kararlarımızdan"), ("suç", "suçtan"),
+    ("kitap", "kitabı"), ("göz", "gözlerinizden"), ("köprü", "köprüsündeki"), ("kanun", "kanunun"), ("sanık", "sanığın"), ("daire", "dairesidir"), ("yargıtay", "yargıtayın"), ("madde", "maddesi"),
+]
+INFLECTED = "SELECT doc_id, x.stem AS a, x.form AS fa, y.stem AS b, y.form AS fb FROM documents JOIN forms x ON x.i = doc_id % 15 JOIN forms y ON y.i = (doc_id // 15) % 15"
+FORMS_SQL = "forms AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(FORMS)) + ") t(i, stem, form))"
+
+
+@query("q01_stems", "WITH " + FORMS_SQL + ", d AS (" + INFLECTED + ") SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, a AS term FROM d UNION ALL SELECT doc_id, b FROM d) GROUP BY 1, 2")
+def _(spark, sf):
+    """Inflected words in every document, in capitals and small letters; the SQL knows their stems."""
+    forms = F.array(*[F.lit(f) for _, f in FORMS])
+    i = F.col("doc_id")
+    pick = lambda n: F.element_at(forms, (n % 15 + 1).cast("int"))
+    upper = F.upper(F.translate(pick(i), "iı", "İI"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(upper, F.lit(", "), pick(F.floor(i / 15))).alias("text"))
+    return retrieve.terms(d, stems=True)
+
+
+@query("q01_bm25_stems", """WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(translate(text, 'İIÇĞÖŞÜ', 'iıçğöşü')), '\\p{L}+')) AS w FROM documents), different AS (SELECT DISTINCT w FROM words), stems AS (SELECT w, """ + turkish.stem_sql("w") + """ AS term FROM different),
+p AS (SELECT doc_id, term, count(*) AS tf FROM words JOIN stems USING (w) GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS length FROM p GROUP BY 1), whole AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
+q AS (SELECT * FROM (VALUES (1, 'the'), (1, 'er'), (2, 'que'), (2, 'mi'), (3, 'und')) t(query_id, term)), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (doc_id), whole GROUP BY ALL""")
+def _(spark, sf):
+    q = catalog.inline(spark, [(1, "the"), (1, "er"), (2, "que"), (2, "mi"), (3, "und")], "query_id int, term string")
+    return rounded(retrieve.bm25(q, graph.saved(retrieve.terms(table(spark, sf, "documents"), stems=True), "postings")))

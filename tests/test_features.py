@@ -260,3 +260,23 @@ def test_keyed_files(spark, tmp_path):
     found, pages = run()
     assert found == sorted([*every, *(f"e/{i}.json" for i in range(4))]) and sum(pages) == 4 and max(pages) <= 4
     assert run()[0] == found
+
+
+def test_turkish_stems(spark):
+    from dokuma.functions import turkish
+
+    want = {
+        "davanın": "dava", "davası": "dava", "davalarının": "dava", "dava": "dava", "mahkemesinin": "mahkeme", "mahkemelerinde": "mahkeme", "mahkemeye": "mahkeme", "mahkeme": "mahkeme", "kararı": "karar",
+        "kararın": "karar", "kararının": "karar", "kararlar": "karar", "kararlarımızdan": "karar", "dairesidir": "daire", "dairelerdir": "daire", "suçun": "suç", "suçtan": "suç", "kitabı": "kitap", "kitaplarla": "kitap",
+        "ağacı": "ağaç", "evler": "ev", "yargıtay": "yargıtay", "yargıtayın": "yargıtay", "kanunu": "kanun", "kanunun": "kanun", "kanunlarımızda": "kanun", "kanun": "kanun", "maddesi": "madde", "maddeden": "madde",
+        "madde": "madde", "hakimi": "hakim", "hakimlerin": "hakim", "sanıklara": "sanık", "sanığın": "sanık", "köprüsündeki": "köprü", "gözlerinizden": "göz", "çocuğumuz": "çocuk", "insanların": "insan",
+        "öğretmenlerle": "öğretmen", "zamanındaki": "zaman", "borçludur": "borçlu", "ve": "ve", "": "", "x": "x", "hukuk": "hukuk", "ceza": "ceza", "kararler": "kararler", "evlar": "evlar",
+    }
+    df = spark.createDataFrame([(w,) for w in [*want, None]], "w string")
+    got = {r.w: r.s for r in df.select("w", turkish.stem(F.col("w")).alias("s")).collect()}
+    assert got == want | {None: None}
+    import duckdb
+
+    held = df.toPandas()  # noqa: F841  read by the SQL
+    assert dict(duckdb.sql(f"SELECT w, {turkish.stem_sql('w')} FROM held WHERE w IS NOT NULL").fetchall()) == want
+    assert {r.s for r in spark.createDataFrame([("kanunun",)], "w string").select(turkish.stem(F.col("w"), ()).alias("s")).collect()} == {"kanu"}  # what no rule can know
