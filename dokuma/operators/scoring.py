@@ -6,11 +6,15 @@ uses difflib's ratio, which has no column form.
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,10 +67,15 @@ LEAST_ITEM, LEAST_STRING = 0.7, 0.85
 SCORES = "file string, field string, weight double, raw double, score double, matched int, gold_count int, result_count int, precision double, recall double, f1 double, avg_value_score double, parts map<string,double>"
 
 
+@lru_cache(maxsize=1 << 14)
+def _folded(text: str) -> str:
+    plain = unicodedata.normalize("NFKD", text.lower())
+    return " ".join("".join(c for c in plain if not unicodedata.combining(c)).split())
+
+
 def folded(x) -> str:
     """Lower case without accents, white space collapsed; null is ''."""
-    plain = unicodedata.normalize("NFKD", "" if x is None else str(x).lower())
-    return " ".join("".join(c for c in plain if not unicodedata.combining(c)).split())
+    return "" if x is None else _folded(str(x))
 
 
 def squeezed(x) -> str:
@@ -112,27 +121,97 @@ def compared(gold: dict, result: dict, parts: dict) -> tuple[float, dict]:
     return sum(each[n] * w for n, (_, w) in parts.items()) / sum(w for _, w in parts.values()), each
 
 
-def same_item(gold: dict, result: dict, identity: dict) -> bool:
-    blank = (None, "", [])
-    both = ((kind, gold.get(n), result.get(n)) for n, kind in identity.items())
-    return any(COMPARE[kind](a, b) >= LEAST_ITEM for kind, a, b in both if a not in blank and b not in blank)
+def bounds(gold: list[dict], result: list[dict], pairs: set[tuple[int, int]], parts: dict) -> Iterator[tuple[float, int, int]]:
+    """(bound of the weighted mean, i, j) of each pair; no text is aligned: texts agree as far as their lengths allow."""
+    change = {"id": squeezed, "exact": folded, "text": folded}
+    total = sum(w for _, w in parts.values())
+    whole = [(kind, w / total, *([change.get(kind, lambda x: x)(x.get(n)) for x in side] for side in (gold, result))) for n, (kind, w) in parts.items()]
+    for i, j in pairs:
+        most = 0.0
+        for kind, w, left, right in whole:
+            a, b = left[i], right[j]
+            if a == b:
+                most += w
+            elif kind == "text" and a and b:
+                most += w * 2 * min(len(a), len(b)) / (len(a) + len(b))
+            elif kind == "str_list":
+                most += w
+        yield most + 1e-9, i, j
+
+
+def alike_texts(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int]]:
+    """(i, j) of texts whose ratio is at least ``least``: equal ones by a hash, the others by a prefix filter. Two texts with
+    that ratio have least / 2 of their letters together in common, so they share one of each other's rarest letters, n less
+    that number plus one of them, repeated letters counted apart; only such pairs of near lengths are aligned."""
+    where: dict[str, list[int]] = {}
+    for j, y in enumerate(right):
+        where.setdefault(y, []).append(j)
+    tokens = {x: [(c, n) for c, k in Counter(x).items() for n in range(k)] for x in {*left, *where}}
+    common = Counter(t for y in where for t in tokens[y])
+
+    def prefix(x: str) -> list[tuple[str, int]]:
+        shared = math.ceil(least / 2 * (len(x) + math.ceil(len(x) * least / (2 - least) - 1e-9)) - 1e-9)
+        return sorted(tokens[x], key=lambda t: (common[t], t))[: max(len(x) - shared + 1, 0)]
+
+    index: dict[tuple[str, int], list[str]] = {}
+    for y in where:
+        for t in prefix(y):
+            index.setdefault(t, []).append(y)
+    found: dict[str, list[str]] = {}
+    for i, x in enumerate(left):
+        if x not in found:
+            near = {y for t in prefix(x) for y in index.get(t, ()) if y != x and 2 * min(len(x), len(y)) >= least * (len(x) + len(y))}
+            letters = Counter(x)
+            found[x] = [y for y in near if 2 * (letters & Counter(y)).total() >= least * (len(x) + len(y)) and ratio(x, y) >= least] + [x] * (x in where)
+        yield from ((i, j) for y in found[x] for j in where[y])
+
+
+def same_items(gold: list[dict], result: list[dict], identity: dict) -> set[tuple[int, int]]:
+    """(i, j) of items with an identity in common: values equal by a hash, texts alike by ``alike_texts``."""
+    found = set()
+    for name, kind in identity.items():
+        sides = [[(i, x[name]) for i, x in enumerate(side) if x.get(name) not in (None, "", [])] for side in (gold, result)]
+        change = squeezed if kind == "id" else folded
+        (gi, left), (ri, right) = (([i for i, _ in side], [change(v) for _, v in side]) for side in sides)
+        if kind == "text":
+            found.update((gi[a], ri[b]) for a, b in alike_texts(left, right, LEAST_ITEM))
+            continue
+        where: dict[str, list[int]] = {}
+        for j, y in zip(ri, right):
+            where.setdefault(y, []).append(j)
+        found.update((i, j) for i, x in zip(gi, left) for j in where.get(x, ()))
+    return found
+
+
+def paired(gold: list[dict], result: list[dict], identity: dict, parts: dict) -> list[tuple[float, dict]]:
+    """(value, score of each part) of items paired one to one, the most alike first, ties in list order. Pairs wait by a bound
+    of their value, and a pair is compared only when its bound comes first and both items are free."""
+    waiting = [(-most, 0, i, j, None) for most, i, j in bounds(gold, result, same_items(gold, result, identity), parts)]
+    heapq.heapify(waiting)
+    rows, columns, taken = set(), set(), []
+    while waiting:
+        value, known, i, j, each = heapq.heappop(waiting)
+        if i in rows or j in columns:
+            continue
+        if not known:
+            value, each = compared(gold[i], result[j], parts)
+            heapq.heappush(waiting, (-value, 1, i, j, each))
+            continue
+        rows.add(i)
+        columns.add(j)
+        taken.append((-value, each))
+    return taken
 
 
 def objects(gold: list, result: list, field: str) -> dict:
-    """Items with an identity in common are paired one to one, the most alike first (ties in list order); a pair counts
-    as a hit as far as its values agree. Two empty lists agree in everything."""
+    """Items with an identity in common are paired one to one (``paired``); a pair counts as a hit as far as its values agree.
+    Two empty lists agree in everything."""
     parts = PARTS[field]
     sizes = {"gold_count": len(gold), "result_count": len(result)}
     if not gold or not result:
         x = float(not gold and not result)
         return sizes | dict(raw=x, matched=0, precision=x, recall=x, f1=x, avg_value_score=x, parts=dict.fromkeys(parts, x))
-    alike = [(*compared(g, r, parts), i, j) for i, g in enumerate(gold) for j, r in enumerate(result) if same_item(g, r, IDENTITY[field])]
-    rows, columns, taken = set(), set(), []
-    for value, each, i, j in sorted(alike, key=lambda c: -c[0]):
-        if i not in rows and j not in columns:
-            rows.add(i)
-            columns.add(j)
-            taken.append((value, each))
+    taken = paired(gold, result, IDENTITY[field], parts)
     total = sum(v for v, _ in taken)
     precision, recall = total / len(result), total / len(gold)
     mean = {n: round(sum(each[n] for _, each in taken) / len(taken), 4) if taken else None for n in parts}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dokuma.functions import turkish
-from dokuma.operators import graph, names, precedent, resolve, retrieve, stored, vector_index
+from dokuma.operators import graph, names, precedent, resolve, retrieve, scoring, stored, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 from dokuma.sources import keyed
@@ -222,3 +222,23 @@ SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 def _(spark, sf):
     q = catalog.inline(spark, [(1, "the"), (1, "er"), (2, "que"), (2, "mi"), (3, "und")], "query_id int, term string")
     return rounded(retrieve.bm25(q, graph.saved(retrieve.terms(table(spark, sf, "documents"), stems=True), "postings")))
+
+# --- lists of objects
+
+
+@query("j14_object_lists", """WITH d AS (SELECT doc_id, 20 + doc_id % 180 AS n FROM documents), c AS (SELECT doc_id, n, n - n // 4 AS kept FROM d)
+SELECT CAST(doc_id AS VARCHAR) AS file, CAST(kept AS INTEGER) AS matched, CAST(n AS INTEGER) AS gold_count, CAST(kept + 3 AS INTEGER) AS result_count, round_even(kept / (kept + 3), 4) AS precision, round_even(kept / n, 4) AS recall, 1.0::DOUBLE AS avg_value_score FROM c""")
+def _(spark, sf):
+    """Long lists of cited articles in every document: a result lacks every fourth, has three of its own, and another order.
+    Articles of one law share its name and number; the article and its context tell them apart."""
+    d = table(spark, sf, "documents").select("doc_id", (20 + F.col("doc_id") % 180).cast("int").alias("n"))
+    law = lambda i: F.concat(F.lit("Kanun "), F.substring(F.md5((i % 12).cast("string")), 1, 10))
+    item = lambda i: F.struct(law(i).alias("law"), (5000 + i % 12).cast("string").alias("law_number"), F.concat(i.cast("string"), F.lit("/a")).alias("article"), F.md5(F.concat(F.lit("context"), i.cast("string"))).alias("context"))
+    every = F.sequence(F.lit(1), F.col("n"))
+    own = F.transform(F.array(F.lit(9001), F.lit(9002), F.lit(9003)), lambda i: F.struct(F.lit("").alias("law"), i.cast("string").alias("law_number"), F.concat(i.cast("string"), F.lit("/x")).alias("article"), F.lit("").alias("context")))
+    kept = F.filter(every, lambda i: i % 4 != 0)
+    record = lambda items: F.to_json(F.struct(items.alias("cited_law_articles")))
+    gold = d.select(F.col("doc_id").cast("string").alias("file"), record(F.transform(every, item)).alias("record"))
+    result = d.select(F.col("doc_id").cast("string").alias("file"), record(F.reverse(F.concat(F.transform(kept, item), own))).alias("record"))
+    rows = scoring.scored(gold, result).where("field = 'cited_law_articles'")
+    return rows.select("file", "matched", "gold_count", "result_count", "precision", "recall", "avg_value_score")

@@ -280,3 +280,40 @@ def test_turkish_stems(spark):
     held = df.toPandas()  # noqa: F841  read by the SQL
     assert dict(duckdb.sql(f"SELECT w, {turkish.stem_sql('w')} FROM held WHERE w IS NOT NULL").fetchall()) == want
     assert {r.s for r in spark.createDataFrame([("kanunun",)], "w string").select(turkish.stem(F.col("w"), ()).alias("s")).collect()} == {"kanu"}  # what no rule can know
+
+
+def plain_pairs(gold, result, field):
+    """Every pair compared, the most alike taken first."""
+    from dokuma.operators import scoring as sc
+
+    blank, parts, identity = (None, "", []), sc.PARTS[field], sc.IDENTITY[field]
+    alike = []
+    for i, g in enumerate(gold):
+        for j, r in enumerate(result):
+            if any(g.get(n) not in blank and r.get(n) not in blank and sc.COMPARE[k](g[n], r[n]) >= sc.LEAST_ITEM for n, k in identity.items()):
+                alike.append((*sc.compared(g, r, parts), i, j))
+    rows, columns, taken = set(), set(), []
+    for value, each, i, j in sorted(alike, key=lambda c: -c[0]):
+        if i not in rows and j not in columns:
+            rows.add(i)
+            columns.add(j)
+            taken.append((value, each))
+    return taken
+
+
+def test_object_lists():
+    from dokuma.operators import scoring as sc
+
+    r = random.Random(12)
+    words = ["Türk", "Ceza", "Kanunu", "Borçlar", "İş", "ab", "axb", "a", "", "–"]
+    text = lambda: " ".join(r.choice(words) for _ in range(r.randint(0, 4)))
+    for field in ("cited_law_articles", "cited_court_decisions", "legal_concepts", "appeal_outcomes_by_role"):
+        for n in (0, 1, 7, 40):
+            sides = []
+            for _ in range(2):
+                names = {*sc.PARTS[field], *sc.IDENTITY[field]}
+                sides.append([{k: r.choice([None, text(), str(r.randint(1, 9)), text()]) for k in names if r.random() < 0.9} for _ in range(r.randint(n // 2, n))])
+            got = sc.paired(*sides, sc.IDENTITY[field], sc.PARTS[field])
+            assert got == plain_pairs(*sides, field)
+    left, right = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 9))) for _ in range(60)], ["".join(r.choice("abcd ") for _ in range(r.randint(0, 9))) for _ in range(60)]
+    assert sorted(sc.alike_texts(left, right, 0.7)) == [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if sc.ratio(x, y) >= 0.7 or x == y]
