@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dokuma.functions import turkish
-from dokuma.operators import graph, names, precedent, resolve, retrieve, scoring, stored, vector_index
+from dokuma.operators import experiments, graph, names, precedent, resolve, retrieve, scoring, stored, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 from dokuma.sources import keyed
@@ -242,3 +242,35 @@ def _(spark, sf):
     result = d.select(F.col("doc_id").cast("string").alias("file"), record(F.reverse(F.concat(F.transform(kept, item), own))).alias("record"))
     rows = scoring.scored(gold, result).where("field = 'cited_law_articles'")
     return rows.select("file", "matched", "gold_count", "result_count", "precision", "recall", "avg_value_score")
+
+# --- experiments
+
+CONFIGS = [("c0", 0, 25, "max", 10), ("c1", 0, 25, "mean", 10), ("c2", 0, 25, "combsum", 10), ("c3", 0, 10, "max", 5), ("c4", 1, 25, "max", 10), ("c5", 1, 10, "combsum", 20)]
+EXPERIMENT = "WITH configs AS (SELECT * FROM (VALUES " + ", ".join(map(str, CONFIGS)) + """) t(run_id, variant, top_chunks, strategy, top_k)),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.vec_id % 50 AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+found AS (SELECT variant, s.*, row_number() OVER (PARTITION BY variant, query_id ORDER BY score DESC, chunk_id) AS rank FROM s, (VALUES (0), (1)) t(variant) WHERE variant = 0 OR chunk_id % 2 = 1),
+docs AS (SELECT run_id, top_k, query_id, doc_id, CASE strategy WHEN 'max' THEN greatest(max(score), 0) WHEN 'mean' THEN avg(score) ELSE sum(score) END AS score, min(rank) AS first FROM found JOIN configs USING (variant) WHERE rank <= top_chunks GROUP BY run_id, top_k, strategy, query_id, doc_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY run_id, query_id ORDER BY score DESC, first, doc_id) AS rank FROM docs QUALIFY rank <= top_k),
+""" + catalog.GOLD + """, seen AS (SELECT t.*, coalesce(grade, 0) AS grade FROM top t LEFT JOIN gold USING (query_id, doc_id)), ideal AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM gold),
+want AS (SELECT query_id, count(*) FILTER (grade >= 1) AS n, sum(CASE WHEN i <= 5 THEN (2.0 ** grade - 1) / log2(i + 1) ELSE 0 END) AS i5, sum(CASE WHEN i <= 10 THEN (2.0 ** grade - 1) / log2(i + 1) ELSE 0 END) AS i10 FROM ideal GROUP BY 1),
+got AS (SELECT run_id, query_id, count(*) AS docs, count(*) FILTER (grade >= 1 AND rank <= 5) AS n5, count(*) FILTER (grade >= 1 AND rank <= 10) AS n10, count(*) FILTER (grade >= 1 AND rank <= 20) AS n20,
+  sum(CASE WHEN rank <= 5 THEN (2.0 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS d5, sum(CASE WHEN rank <= 10 THEN (2.0 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS d10, min(rank) FILTER (grade >= 1) AS first FROM seen GROUP BY 1, 2),
+m AS (SELECT run_id, query_id, docs, CASE WHEN n > 0 THEN n5 / n ELSE 0 END AS recall_at_5, CASE WHEN n > 0 THEN n10 / n ELSE 0 END AS recall_at_10, CASE WHEN n > 0 THEN n20 / n ELSE 0 END AS recall_at_20,
+  CASE WHEN i5 > 0 THEN d5 / i5 ELSE 0 END AS ndcg_at_5, CASE WHEN i10 > 0 THEN d10 / i10 ELSE 0 END AS ndcg_at_10, coalesce(1.0::DOUBLE / first, 0) AS mrr, (n5 > 0)::INT::DOUBLE AS hit_rate_at_5 FROM want JOIN got USING (query_id)),
+ms AS (SELECT 'c' || event_id % 6 AS run_id, value, row_number() OVER (PARTITION BY event_id % 6 ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_id % 6) AS n FROM events),
+l AS (SELECT run_id, round(max(value) FILTER (i = floor(n * 0.5)), 6) AS p50, round(max(value) FILTER (i = floor(n * 0.95)), 6) AS p95, round(avg(value), 6) AS mean_ms FROM ms GROUP BY 1),
+a AS (SELECT run_id, (SELECT count(*) + 1 FROM embeddings WHERE vec_id % 100 = 0) AS asked, round(sum(docs) / (SELECT count(*) + 1 FROM embeddings WHERE vec_id % 100 = 0), 6) AS mean_docs, """ + ", ".join(f"round(avg({m}), 6) AS {m}" for m in catalog.SEVEN) + """ FROM m GROUP BY 1)
+SELECT *, 1::BIGINT AS empty, 0::BIGINT AS least_docs FROM a JOIN l USING (run_id)"""
+
+
+@query("r16_r18_runs", EXPERIMENT)
+def _(spark, sf):
+    """Six configurations over two sets of vectors, one of the queries without a vector: no results, counted as such."""
+    q = catalog.asked(spark, sf)
+    v = catalog.vectors(spark, sf).select("chunk_id", "doc_id", "vector")
+    both = v.withColumn("variant", F.lit(0)).union(v.where("chunk_id % 2 = 1").withColumn("variant", F.lit(1)))
+    asked = q.union(spark.createDataFrame([(-1, None)], q.schema))
+    configs = catalog.inline(spark, CONFIGS, "run_id string, variant int, top_chunks int, strategy string, top_k int")
+    found = experiments.retrieved(asked.join(F.broadcast(configs.select("variant").distinct())), both, 25)
+    times = table(spark, sf, "events").select(F.concat(F.lit("c"), (F.col("event_id") % 6).cast("string")).alias("run_id"), F.col("value").alias("ms"))
+    return rounded(experiments.table_of_runs(experiments.runs(found, configs), configs, asked, catalog.gold(spark, sf), times))
