@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dokuma.functions import turkish
-from dokuma.operators import experiments, graph, names, precedent, resolve, retrieve, scoring, stored, vector_index
+from dokuma.functions import surface, turkish
+from dokuma.operators import citations, experiments, graph, names, precedent, resolve, retrieve, scoring, stored, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 from dokuma.sources import keyed
@@ -274,3 +274,45 @@ def _(spark, sf):
     found = experiments.retrieved(asked.join(F.broadcast(configs.select("variant").distinct())), both, 25)
     times = table(spark, sf, "events").select(F.concat(F.lit("c"), (F.col("event_id") % 6).cast("string")).alias("run_id"), F.col("value").alias("ms"))
     return rounded(experiments.table_of_runs(experiments.runs(found, configs), configs, asked, catalog.gold(spark, sf), times))
+
+# --- from SQL
+
+
+@query("sql_token_windows", catalog.ORACLES["x06_token_windows"])
+def _(spark, sf):
+    surface.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("dokuma_documents")
+    return spark.sql("SELECT doc_id, chunk_index, text, token_count FROM token_windows(TABLE(SELECT doc_id, text FROM dokuma_documents), most => 128, overlap => 32)")
+
+
+#: Ways to name a court and the name that each gives; {n} is a row's own number, {o} an ordinal.
+COURTS = [
+    ("Hukuk Genel Kurulunun", "Yargıtay Hukuk Genel Kurulu"), ("Yargıtay Ceza Genel Kurulu'nun", "Yargıtay Ceza Genel Kurulu"), ("Hukuk Daireleri Başkanlar Kurulu", "Yargıtay Hukuk Daireleri Başkanlar Kurulu"),
+    ("Ceza Daireleri Başkanlar Kurulu", "Yargıtay Ceza Daireleri Başkanlar Kurulu"), ("Yargıtay İçtihadı Birleştirme Büyük Genel Kurulu", "Yargıtay YIBBGK"), ("Y. {n}. H.D.", "Yargıtay {n}. Hukuk Dairesi"),
+    ("Yargıtay {n}. Ceza Dairesinin", "Yargıtay {n}. Ceza Dairesi"), ("Danıştay İDDK", "Danıştay İdare Dava Daireleri Kurulu"), ("Danıştay VDDK", "Danıştay Vergi Dava Daireleri Kurulu"), ("Vergi Dava Daireleri Kurulu", "Danıştay Vergi Dava Daireleri Kurulu"),
+    ("Danıştay İçtihadları Birleştirme Kurulu", "Danıştay IBK"), ("Danıştay {n}. Dairesinin", "Danıştay {n}. Daire"), ("Danıştay {o} Dairesinin", "Danıştay {i}. Daire"), ("Anayasa Mahkemesi", "Anayasa Mahkemesi"),
+    ("Sayıştay {n}. Dairesi", "Sayıştay {n}. Dairesi"), ("Uyuşmazlık Mahkemesi Hukuk Bölümü", "Uyuşmazlık Mahkemesi Hukuk Bölümü"), ("Uyuşmazlık Mahkemesi", "Uyuşmazlık Mahkemesi"), ("İzmir BAM {n}. HD", "İzmir Bölge Adliye Mahkemesi {n}. Hukuk Dairesi"),
+    ("Ankara Bölge Adliye Mahkemesi", "Ankara Bölge Adliye Mahkemesi"), ("Ankara BİM {n}. VDD", "Ankara BİM {n}. VDD"), ("Konya Bölge İdare Mahkemesi", "Konya Bölge İdare Mahkemesi"),
+    ("İstanbul Anadolu {n}. Asliye Ticaret Mahkemesi", "İstanbul Anadolu {n}. Asliye Ticaret Mahkemesi"), ("Bursa {n}. İş Mahkemesinin", "Bursa {n}. İş Mahkemesi"),
+]
+#: Ways to write a case number {c} and a decision number {d}, and which of them are there.
+WAYS = [("{c} E. {d} K.", "cd"), ("E: {c}, K: {d}", "cd"), ("{c} - {d} E. K.", "cd"), ("{c} Esas", "c"), ("E. {c}", "c"), ("{d} Karar", "d"), ("K: {d}", "d")]
+ORDINAL_WORDS = list(citations.ORDINALS)
+PARTS_SQL = f"""parts AS (SELECT doc_id, doc_id % {len(COURTS)} AS k, (doc_id // {len(COURTS)}) % {len(WAYS)} AS w, CAST(doc_id % 23 + 1 AS VARCHAR) AS n, CAST(doc_id // 5 % 13 + 1 AS VARCHAR) AS i, CAST(2000 + doc_id % 20 AS VARCHAR) || '/' || (doc_id + 1) AS c, '2021/' || (doc_id + 7) AS d FROM documents)"""
+
+
+@query("x01_all_rules", "WITH " + PARTS_SQL + ", names AS " + catalog.values([(k, name) for k, (_, name) in enumerate(COURTS)], "k, name") + ", ways AS " + catalog.values([(w, has) for w, (_, has) in enumerate(WAYS)], "w, has") + """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(0 AS INTEGER) AS citation_index, replace(replace(name, '{n}', n), '{i}', i) AS daire, CASE WHEN contains(has, 'c') THEN c END AS esas_no, CASE WHEN contains(has, 'd') THEN d END AS karar_no FROM parts JOIN names USING (k) JOIN ways USING (w)""")
+def _(spark, sf):
+    """Every way to name a court and to write its numbers, by row, behind the documents' own texts; asked in SQL."""
+    surface.register(spark)
+    i = F.col("doc_id")
+    pick = lambda options, n: F.element_at(F.array(*map(F.lit, options)), (n % len(options) + 1).cast("int"))
+    head, way = pick([c for c, _ in COURTS], i), pick([w for w, _ in WAYS], F.floor(i / len(COURTS)))
+    case = F.concat((2000 + i % 20).cast("string"), F.lit("/"), (i + 1).cast("string"))
+    words = {"{n}": (i % 23 + 1).cast("string"), "{o}": pick(ORDINAL_WORDS, F.floor(i / 5)), "{c}": case, "{d}": F.concat(F.lit("2021/"), (i + 7).cast("string"))}
+    said = F.concat(F.lit(". Bkz. "), head, F.lit(" "), way)
+    for key, value in words.items():
+        said = F.replace(said, F.lit(key), value)
+    table(spark, sf, "documents").select(i.cast("string").alias("doc_id"), F.concat(F.coalesce("text", F.lit("")), said).alias("text")).createOrReplaceTempView("dokuma_citing")
+    return spark.sql("SELECT doc_id, citation_index, daire, esas_no, karar_no FROM citations(TABLE(dokuma_citing))")

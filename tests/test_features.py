@@ -317,3 +317,34 @@ def test_object_lists():
             assert got == plain_pairs(*sides, field)
     left, right = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 9))) for _ in range(60)], ["".join(r.choice("abcd ") for _ in range(r.randint(0, 9))) for _ in range(60)]
     assert sorted(sc.alike_texts(left, right, 0.7)) == [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if sc.ratio(x, y) >= 0.7 or x == y]
+
+
+def test_from_sql(spark):
+    from pyspark.errors import PySparkException
+
+    from dokuma.functions import surface
+    from dokuma.operators import citations, extract
+
+    names = surface.register(spark)
+    laws = "TBK m.49/1 ve CMK m.53/1-a. Yargıtay 11. HD E: 2019/366, K: 2021/945. Son!"
+    docs = spark.createDataFrame([(1, laws + "\n\nHÜKÜM\nBir iki. Üç dört beş." * 3, 5), (2, None, 6), (3, "", 7), (1, "tek", 8)], "doc_id long, text string, chunk_index int")
+    docs.createOrReplaceTempView("docs_for_sql")
+    want = {
+        "law_references": extract.extract_laws(docs), "citations": citations.extract_citations(docs), "sentence_chunks": extract.chunk(docs), "token_windows": extract.token_windows(docs, 512, 64), "sections": extract.chunk_sections(docs),
+    }
+    assert set(names) == set(want)
+    for name, df in want.items():
+        got = spark.sql(f"SELECT * FROM {name}(TABLE(docs_for_sql))")
+        assert got.schema["doc_id"].dataType.simpleString() == "bigint" and got.columns == df.columns
+        assert sorted(map(str, got.withColumn("doc_id", F.col("doc_id").cast("string")).collect())) == sorted(map(str, df.withColumn("doc_id", F.col("doc_id").cast("string")).collect()))
+    few = spark.sql("SELECT * FROM token_windows(TABLE(docs_for_sql), most => 4, overlap => 1)")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, extract.token_windows(docs, 4, 1).collect()))
+    joined = spark.sql("SELECT d.chunk_index, l.law_code FROM docs_for_sql d JOIN law_references(TABLE(SELECT doc_id, text FROM docs_for_sql WHERE doc_id = 1), width => 5) l ON l.doc_id = d.doc_id WHERE d.chunk_index = 5")
+    assert joined.count() == 2
+    for wrong in ("token_windows(TABLE(docs_for_sql), least => 1)", "sections(TABLE(SELECT 1 AS doc_id))", "sections(TABLE(docs_for_sql), most => -1)"):
+        with pytest.raises(PySparkException):
+            spark.sql(f"SELECT * FROM {wrong}").collect()
+    spark.createDataFrame([(1, "", "2. Hukuk Dairesi", "2020/1", "")], "doc_id long, court string, chamber string, case_no string, decision_no string").createOrReplaceTempView("held")
+    spark.createDataFrame([(1, 9, "2. Hukuk Dairesi", "2020/1", None), (2, 9, "x", "2020/1", None)], "citation long, source_doc_id long, chamber string, case_no string, decision_no string").createOrReplaceTempView("cited")
+    surface.resolve_views(spark, "cited", "held")
+    assert spark.sql("SELECT citation, target_doc_id FROM resolved").collect() == [(1, 1)] and spark.sql("SELECT citation FROM unresolved").collect() == [(2,)]
