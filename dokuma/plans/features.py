@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dokuma.functions import surface, turkish
-from dokuma.operators import citations, experiments, graph, names, precedent, resolve, retrieve, scoring, stored, vector_index
+from dokuma.operators import citations, experiments, graph, metadata, names, precedent, resolve, retrieve, scoring, stored, vector_index
 from dokuma.plans import catalog
 from dokuma.plans.catalog import query, rounded, table
 from dokuma.sources import keyed
@@ -316,3 +316,55 @@ def _(spark, sf):
         said = F.replace(said, F.lit(key), value)
     table(spark, sf, "documents").select(i.cast("string").alias("doc_id"), F.concat(F.coalesce("text", F.lit("")), said).alias("text")).createOrReplaceTempView("dokuma_citing")
     return spark.sql("SELECT doc_id, citation_index, daire, esas_no, karar_no FROM citations(TABLE(dokuma_citing))")
+
+
+# --- metadata by every layer and rule
+
+_FIRST, _PRINTED = " E. {e} K. {k} T. 9.1.2025", "\nEsas No.: {e}\nKarar No.: {k}\nKarar tarihi: 09.01.2025"
+_OLD, _DAY = "\nİçtihat Metni\n{e} E., {k} K.\nKARAR TARİHİ: 9.1.2025", "09.01.2025"
+#: (head, court, chamber, branch, level, whether it has a case number, a decision number, a date)
+LAYERS = [
+    ("Yargıtay 1. HD.," + _FIRST, "Yargıtay", "1. Hukuk Dairesi", "hukuk", 3, 1, 1, 1), ("Yargıtay 7. HGK.," + _FIRST, "Yargıtay", "Hukuk Genel Kurulu", "hukuk", 3, 1, 1, 1), ("Yargıtay CGK.," + _FIRST, "Yargıtay", "Ceza Genel Kurulu", "ceza", 3, 1, 1, 1),
+    ("Danıştay 4. D.," + _FIRST, "Danıştay", "4. Daire", "idari", 3, 1, 1, 1), ("Danıştay IBK.," + _FIRST, "Danıştay", "İçtihatları Birleştirme Kurulu", "idari", 3, 1, 1, 1), ("Danıştay VDDK.," + _FIRST, "Danıştay", "Vergi Dava Daireleri Kurulu", "idari", 3, 1, 1, 1),
+    ("Anayasa Mahkemesi B. {e} K. {k} T. 9.1.2025", "AYM", "Anayasa Mahkemesi", "anayasa", 4, 1, 1, 1), ("Ankara 24. İdare Mahkemesi," + _FIRST, "İlk Derece", "Ankara 24. İdare Mahkemesi", "idari", 1, 1, 1, 1),
+    ("İzmir 3. Fikri ve Sınai Haklar Ceza Mahkemesi," + _FIRST, "İlk Derece", "İzmir 3. Fikri ve Sınai Haklar Ceza Mahkemesi", "ceza", 1, 1, 1, 1), ("x Danıştay 6. Daire Başkanlığı" + _FIRST, "Danıştay", "6. Daire", "idari", 3, 1, 1, 1),
+    ("Yargıtay 9. CD E: {e} K: {k} T. 9.1.2025", "Yargıtay", "9. Ceza Dairesi", "ceza", 3, 1, 1, 1), ("Yargıtay 3. Ceza Dairesi" + _FIRST, "Yargıtay", "3. Ceza Dairesi", "ceza", 3, 1, 1, 1), ("Bursa BAM, 4. CD.," + _FIRST, "BAM", "Bursa BAM 4. Ceza Dairesi", "ceza", 2, 1, 1, 1),
+    ("Adana BİM, 2. VDD" + _FIRST, "BİM", "Adana BİM 2. Vergi Dava Dairesi", "idari", 2, 1, 1, 1), ("x\nT.C. Danıştay Başkanlığı - 5. Daire" + _PRINTED, "Danıştay", "5. Daire", "idari", 3, 1, 1, 1), ("x\nT.C. Yargıtay Başkanlığı - 12. Hukuk Dairesi" + _PRINTED, "Yargıtay", "12. Hukuk Dairesi", "hukuk", 3, 1, 1, 1),
+    ("\nİzmir BAM - 3. Hukuk Dairesi" + _PRINTED, "BAM", "İzmir BAM 3. Hukuk Dairesi", "hukuk", 2, 1, 1, 1), ("x\nKonya BİM - 1. İdare Dava Dairesi" + _PRINTED, "BİM", "Konya BİM 1. İdare Dava Dairesi", "idari", 2, 1, 1, 1),
+    ("x\nYARGITAY 8. CEZA DAİRESİ\nE. {e}\nK. {k}", "Yargıtay", "8. Ceza Dairesi", "ceza", 3, 1, 1, 0), ("\nSamsun 2. Ağır Ceza Mahkemesi" + _PRINTED, "İlk Derece", "Samsun 2. Ağır Ceza Mahkemesi", "ceza", 1, 1, 1, 1),
+    ("x\nT.C.\nİSTANBUL BÖLGE ADLİYE MAHKEMESİ\n14. HUKUK DAİRESİ" + _PRINTED, "BAM", "İstanbul BAM 14. Hukuk Dairesi", "hukuk", 2, 1, 1, 1), ("Hukuk Genel Kurulu" + _OLD, "Yargıtay", "Hukuk Genel Kurulu", "hukuk", 3, 1, 1, 1), ("x 4. Hukuk Dairesi" + _OLD, "Yargıtay", "4. Hukuk Dairesi", "hukuk", 3, 1, 1, 1),
+    ("x\nAnayasa Mahkemesi - İkinci Bölüm\nBaşvuru Numarası: {e}", "AYM", "İkinci Bölüm", "anayasa", 4, 1, 0, 0), ("Yargıtay 1. HD.," + _FIRST + "\n. Konu • Yağma • Tekerrür.", "Yargıtay", "1. Hukuk Dairesi", "hukuk", 3, 1, 1, 1),
+]
+WITH_TOPICS = len(LAYERS) - 1
+
+
+@query("p05_all_layers", "WITH l AS " + catalog.values([(i, *x[1:]) for i, x in enumerate(LAYERS)], "i, court, daire, law_branch, level, has_e, has_k, has_d") + f""", d AS (SELECT doc_id, doc_id % {len(LAYERS)} AS i, CASE WHEN doc_id % 29 = 0 THEN 'empty file' WHEN doc_id = 31 THEN 'by hand' ELSE '' END AS why FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN why = '' THEN court ELSE '' END AS court, CASE WHEN why = '' THEN daire ELSE '' END AS daire, CASE WHEN why = '' THEN law_branch ELSE '' END AS law_branch, CAST(CASE WHEN why = '' THEN level ELSE 0 END AS INTEGER) AS court_level,
+CASE WHEN why = '' AND has_e = 1 THEN (2000 + doc_id % 20) || '/' || (doc_id + 1) ELSE '' END AS esas_no, CASE WHEN why = '' AND has_k = 1 THEN '2023/' || (doc_id + 2) ELSE '' END AS karar_no, CASE WHEN why = '' AND has_d = 1 THEN '{_DAY}' ELSE '' END AS decision_date,
+CASE WHEN why = '' AND i = {WITH_TOPICS} THEN 'Konu;Yağma;Tekerrür' ELSE '' END AS topics, why <> '' AS excluded, why AS exclude_reason FROM d JOIN l USING (i)""")
+def _(spark, sf):
+    """Every pattern of the first line, the printed and the old header, by row; empty files and one left out by hand."""
+    i = F.col("doc_id")
+    head = F.element_at(F.array(*[F.lit(x[0]) for x in LAYERS]), (i % len(LAYERS) + 1).cast("int"))
+    head = F.replace(F.replace(head, F.lit("{e}"), F.concat((2000 + i % 20).cast("string"), F.lit("/"), (i + 1).cast("string"))), F.lit("{k}"), F.concat(F.lit("2023/"), (i + 2).cast("string")))
+    body = F.concat(head, F.lit("\n"), F.coalesce("text", F.lit("")))
+    d = table(spark, sf, "documents").select(F.concat(i.cast("string"), F.lit(".md")).alias("filename"), F.when(i % 29 == 0, F.when(i % 2 == 0, " \n ")).otherwise(body).alias("text"))
+    return metadata.parse(d, {"31": "by hand"}).drop("filename").withColumn("topics", F.array_join("topic_keywords", ";")).drop("topic_keywords")
+
+
+#: Old file names and their slugs, {n} being a row's number.
+OLD_FILES = [
+    ("{n}. Hukuk Dairesi 2012_5 E. , 2013_6 K.", "{n}-hukuk-dairesi-e-2012-5-k-2013-6-1"), ("Hukuk Genel Kurulu 2012_{n} E. , 2013_5 K.", "hukuk-genel-kurulu-e-2012-{n}-k-2013-5-1"), ("Hukuk Genel Kurulu 2012_{n} E", "hukuk-genel-kurulu-e-2012-{n}-1"),
+    ("Danıştay {n}. Daire Başkanlığı 2012_5 E. , 2013_6 K.", "danistay-{n}-daire-e-2012-5-k-2013-6-1"), ("T.C. YARGITAY {n}. CEZA DAİRESİ E. 2012_5 K. 2013_6 T. 09.01.2014", "{n}-ceza-dairesi-e-2012-5-k-2013-6-t-9-1-2014-1"),
+    ("T.C. YARGITAY {n}. HUKUK DAİRESİ E. 2012_5 K. 2013_6", "{n}-hukuk-dairesi-e-2012-5-k-2013-6-1"), ("Yargıtay {n}. HD 2012_5 Esas 2013_6 Karar", "{n}-hukuk-dairesi-e-2012-5-k-2013-6-1"), ("Yargıtay {n}. CD E_ 2012_5 K_ 2013_6", "{n}-ceza-dairesi-e-2012-5-k-2013-6-1"),
+    ("2013-{n}", "aym-b-2013-{n}-1"), ("Şube Ölçü ({n})", "sube-olcu-{n}"),
+]
+
+
+@query("p19_all_rules", "WITH f AS " + catalog.values([(i, *x) for i, x in enumerate(OLD_FILES)], "i, old, new") + f""", d AS (SELECT replace(old, '{{n}}', CAST(doc_id // {len(OLD_FILES)} AS VARCHAR)) AS old, replace(new, '{{n}}', CAST(doc_id // {len(OLD_FILES)} AS VARCHAR)) AS new FROM documents JOIN f ON i = doc_id % {len(OLD_FILES)}),
+t AS (SELECT * FROM d WHERE NOT regexp_matches(old, '^[a-z0-9][-a-z0-9]*$')), here AS (SELECT DISTINCT old FROM d WHERE regexp_matches(old, '^[a-z0-9][-a-z0-9]*$')), p AS (SELECT t.old, new, row_number() OVER (PARTITION BY new ORDER BY t.old) + CASE WHEN here.old IS NULL THEN 0 ELSE 1 END AS place FROM t LEFT JOIN here ON here.old = new)
+SELECT old, new || CASE WHEN place > 1 THEN '-' || place ELSE '' END AS new FROM p""")
+def _(spark, sf):
+    i = F.col("doc_id")
+    name = F.element_at(F.array(*[F.lit(x) for x, _ in OLD_FILES]), (i % len(OLD_FILES) + 1).cast("int"))
+    return metadata.renamed(table(spark, sf, "documents").select(F.replace(name, F.lit("{n}"), F.floor(i / len(OLD_FILES)).cast("string")).alias("stem")))
