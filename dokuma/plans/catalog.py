@@ -55,6 +55,11 @@ def chunks25(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.dense_topk(asked(spark, sf), vectors(spark, sf), 25)
 
 
+def values(rows: list[tuple], columns: str) -> str:
+    show = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({columns}))"
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"))
 
@@ -311,11 +316,6 @@ LAWS_TAIL = " TBK m.49/1 ve CMK m.53/1-a; HMK m.100, f.2, 5237 sayılı Kanun m.
 LAW_ROWS = [("TBK", 6098, 49, 1, None, "TBK m.49/1"), ("CMK", 5271, 53, 1, "a", "CMK m.53/1-a"), ("HMK", 6100, 100, 2, None, "HMK m.100, f.2"), ("TCK", 5237, 302, None, None, "TCK'nın 302. maddes"), ("TCK", 5237, 5, None, None, "5237 sayılı Kanun m.5"), ("AY", 2709, 13, None, None, "Anayasa'nın 13. maddes")]
 
 
-def values(rows: list[tuple], columns: str) -> str:
-    show = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({columns}))"
-
-
 @query("x04_law_references", "WITH l AS " + values([(*r, LAWS_TAIL.index(r[-1])) for r in LAW_ROWS], "law_code, law_no, article, paragraph, subparagraph, raw_text, place") + ", d AS (SELECT doc_id, text || '" + LAWS_TAIL.replace("'", "''") + """' AS body, length(text) AS n FROM documents WHERE text IS NOT NULL)
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, law_code, law_no, article, coalesce(paragraph, 0) AS paragraph, coalesce(subparagraph, '') AS subparagraph, raw_text, regexp_replace(substr(body, greatest(n + place - 80, 0) + 1, n + place + 80 - greatest(n + place - 80, 0)), '^\\s+|\\s+$', '', 'g') AS snippet FROM d, l""")
 def _(spark, sf):
@@ -340,24 +340,26 @@ def _(spark, sf):
 
 
 NAMES = ["Yargıtay 2. Hukuk Dairesi", "İSTANBUL Bölge Adliye Mahkemesi 4. Ceza Dairesi", "Danıştay İdari Dava Daireleri Kurulu", "Fikrî ve Sınaî Haklar", "Ankara Bölge İdare Mahkemesi", "", "IĞDIR Ağır Ceza"]
-NAMES_SQL = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") t(name))"
 
 
-@query("f01_chamber_key", "WITH " + NAMES_SQL + " SELECT name, replace(replace(replace(regexp_replace(translate(lower(translate(name, 'İIÇĞÖŞÜ', 'iıçğöşü')), 'çğıöşüâîû', 'cgiosuaiu'), '[^a-z0-9]+', '', 'g'), 'bolgeadliyemahkemesi', 'bam'), 'bolgeidaremahkemesi', 'bim'), 'idari', 'idare') AS key FROM names")
+@query("f01_chamber_key", "WITH named AS (SELECT doc_id, n || ' ' || coalesce(lang, '') || doc_id AS name FROM documents JOIN " + values(list(enumerate(NAMES)), "k, n") + f""" ON k = doc_id % {len(NAMES)})
+SELECT doc_id, replace(replace(replace(regexp_replace(translate(lower(translate(name, 'İIÇĞÖŞÜ', 'iıçğöşü')), 'çğıöşüâîû', 'cgiosuaiu'), '[^a-z0-9]+', '', 'g'), 'bolgeadliyemahkemesi', 'bam'), 'bolgeidaremahkemesi', 'bim'), 'idari', 'idare') AS key FROM named""")
 def _(spark, sf):
-    return inline(spark, [(n,) for n in NAMES], "name string").select("name", text.chamber_key(F.col("name")).alias("key"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES) + 1).cast("int")), F.lit(" "), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", text.chamber_key(name).alias("key"))
 
 
 COURTS = [("AYM", ""), ("Danıştay", "5. Daire"), ("BİM", "1. VDD"), ("İlk Derece", "3. İdare Mahkemesi"), ("İlk Derece", "2. Ağır Ceza"), ("İlk Derece", "1. Aile"), ("BAM", "4. Ceza Dairesi"), ("BAM", "İstanbul BAM 2. Hukuk Dairesi"), ("Yargıtay", "CGK"), ("Yargıtay", "11. Hukuk Dairesi"), ("Sayıştay", "1. Daire"), ("AİHM", ""), ("", "")]
 
 
-@query("p02_p03_court_rules", "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in COURTS) + """) t(court, chamber)) SELECT court, chamber,
+@query("p02_p03_court_rules", "WITH c AS (SELECT doc_id, court, chamber FROM documents JOIN " + values([(i, *c) for i, c in enumerate(COURTS)], "k, court, chamber") + f" ON k = doc_id % {len(COURTS)})" + """ SELECT doc_id, court, chamber,
 CASE WHEN court = 'AYM' THEN 'anayasa' WHEN court IN ('Danıştay', 'BİM') THEN 'idari' WHEN court = 'İlk Derece' AND (contains(chamber, 'İdare') OR contains(chamber, 'Vergi')) THEN 'idari' WHEN contains(chamber, 'Ceza') THEN 'ceza' WHEN court NOT IN ('İlk Derece', 'BAM') AND contains(chamber, 'CGK') THEN 'ceza' ELSE 'hukuk' END AS branch,
 CASE court WHEN 'İlk Derece' THEN 1 WHEN 'BAM' THEN 2 WHEN 'BİM' THEN 2 WHEN 'Yargıtay' THEN 3 WHEN 'Danıştay' THEN 3 WHEN 'Sayıştay' THEN 3 WHEN 'AYM' THEN 4 WHEN 'Uyuşmazlık' THEN 4 WHEN 'AİHM' THEN 5 ELSE 0 END AS level,
 CASE WHEN regexp_matches(chamber, '^.+? BAM') THEN regexp_extract(chamber, '^(.+?) BAM', 1) || ' BAM' END AS parent FROM c""")
 def _(spark, sf):
-    c = inline(spark, COURTS, "court string, chamber string")
-    return c.select("court", "chamber", courts.law_branch(F.col("court"), F.col("chamber")).alias("branch"), courts.court_level(F.col("court")).alias("level"), courts.parent_court(F.col("chamber")).alias("parent"))
+    pick = F.element_at(F.array(*[F.struct(F.lit(a).alias("court"), F.lit(b).alias("chamber")) for a, b in COURTS]), (F.col("doc_id") % len(COURTS) + 1).cast("int"))
+    c = table(spark, sf, "documents").select("doc_id", pick.alias("c")).select("doc_id", "c.*")
+    return c.select("doc_id", "court", "chamber", courts.law_branch(F.col("court"), F.col("chamber")).alias("branch"), courts.court_level(F.col("court")).alias("level"), courts.parent_court(F.col("chamber")).alias("parent"))
 
 
 @query("p11_substring_filter", "SELECT p_partkey, p_brand, p_type FROM part WHERE (contains(lower(p_brand), '#1') OR contains(lower(p_brand), '#3')) AND contains(lower(p_type), 'promo')")
@@ -431,15 +433,21 @@ DOCUMENTS = [("d1", "Yargıtay", "2. Hukuk Dairesi", "2019/366", "2021/945"), ("
 KEY_SQL = "replace(replace(replace(regexp_replace(translate(lower(translate({0}, 'İIÇĞÖŞÜ', 'iıçğöşü')), 'çğıöşüâîû', 'cgiosuaiu'), '[^a-z0-9]+', '', 'g'), 'bolgeadliyemahkemesi', 'bam'), 'bolgeidaremahkemesi', 'bim'), 'idari', 'idare')"
 
 
-@query("r14_resolve", "WITH c AS " + values(CITED, "citation, source_doc_id, chamber, case_no, decision_no") + ", d AS " + values(DOCUMENTS, "doc_id, court, chamber, case_no, decision_no") + ", k AS (SELECT DISTINCT key, doc_id, t_case, t_dec FROM (SELECT " + KEY_SQL.format("chamber") + " AS key, doc_id, case_no AS t_case, decision_no AS t_dec FROM d UNION ALL SELECT " + KEY_SQL.format("court || ' ' || chamber") + ", doc_id, case_no, decision_no FROM d) WHERE key <> ''), a AS (SELECT *, " + KEY_SQL.format("chamber") + """ AS nk FROM c),
-f AS (SELECT a.*, k.* FROM a JOIN k ON k.key = a.nk OR length(a.nk) >= 5 AND starts_with(k.key, a.nk) AND NOT EXISTS (SELECT 1 FROM k e WHERE e.key = a.nk) WHERE nk <> ''),
-s AS (SELECT *, len(list_intersect(list_distinct(list_filter([coalesce(case_no, ''), coalesce(decision_no, '')], lambda x: x <> '')), list_distinct([t_case, t_dec]))) AS same FROM f WHERE doc_id <> source_doc_id), b AS (SELECT * FROM s WHERE same > 0 QUALIFY same = max(same) OVER (PARTITION BY citation)),
-n AS (SELECT citation, count(*) AS n, min(doc_id) AS target, max(same) AS same FROM b GROUP BY 1)
+@query("r14_resolve", "WITH c AS (SELECT k.doc_id * 100 + citation AS citation, source_doc_id || '_' || k.doc_id AS source_doc_id, chamber, case_no || k.doc_id AS case_no, decision_no || k.doc_id AS decision_no FROM documents k, " + values(CITED, "citation, source_doc_id, chamber, case_no, decision_no") + "), d AS (SELECT x.doc_id || '_' || k.doc_id AS doc_id, court, chamber, case_no || k.doc_id AS case_no, CASE WHEN decision_no <> '' THEN decision_no || k.doc_id ELSE '' END AS decision_no FROM documents k, " + values(DOCUMENTS, "doc_id, court, chamber, case_no, decision_no") + " x), k AS (SELECT DISTINCT key, doc_id, t_case, t_dec FROM (SELECT " + KEY_SQL.format("chamber") + " AS key, doc_id, case_no AS t_case, decision_no AS t_dec FROM d UNION ALL SELECT " + KEY_SQL.format("court || ' ' || chamber") + """, doc_id, case_no, decision_no FROM d)), kk AS (SELECT DISTINCT key FROM k), a AS (SELECT *, """ + KEY_SQL.format("chamber") + """ AS nk, list_distinct(list_filter([coalesce(case_no, ''), coalesce(decision_no, '')], lambda x: x <> '')) AS wanted FROM c),
+links AS (SELECT DISTINCT nk, key FROM (SELECT DISTINCT nk FROM a WHERE nk <> '') n JOIN kk ON key = nk OR length(nk) >= 5 AND starts_with(key, nk) AND nk NOT IN (SELECT key FROM kk)),
+e AS (SELECT citation, source_doc_id, nk, unnest(wanted) AS number FROM a), kn AS (SELECT DISTINCT key, doc_id, unnest([t_case, t_dec]) AS number FROM k),
+s AS (SELECT citation, doc_id, count(DISTINCT e.number) AS same FROM e JOIN links USING (nk) JOIN kn ON kn.key = links.key AND kn.number = e.number WHERE doc_id <> source_doc_id GROUP BY 1, 2 QUALIFY same = max(same) OVER (PARTITION BY citation)),
+n AS (SELECT citation, count(*) AS n, min(doc_id) AS target, max(same) AS same FROM s GROUP BY 1)
 SELECT a.citation, CASE WHEN n.n = 1 THEN target END AS target_doc_id, CASE WHEN n.n = 1 THEN CASE same WHEN 2 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END END AS confidence,
-CASE WHEN nk = '' THEN 'no_daire_extracted' WHEN case_no IS NULL AND decision_no IS NULL THEN 'no_esas_or_karar' WHEN a.citation NOT IN (SELECT citation FROM f) THEN 'daire_not_in_corpus' WHEN n.n IS NULL THEN 'no_ek_match_in_daire' WHEN n.n > 1 THEN 'ambiguous_match' END AS reason FROM a LEFT JOIN n USING (citation)""")
+CASE WHEN nk = '' THEN 'no_daire_extracted' WHEN len(wanted) = 0 THEN 'no_esas_or_karar' WHEN nk NOT IN (SELECT nk FROM links) THEN 'daire_not_in_corpus' WHEN n.n IS NULL THEN 'no_ek_match_in_daire' WHEN n.n > 1 THEN 'ambiguous_match' END AS reason FROM a LEFT JOIN n USING (citation)""")
 def _(spark, sf):
+    """A family of decisions and citations for every document: exact, by prefix, swapped numbers, ambiguous, unknown."""
     c = inline(spark, CITED, "citation int, source_doc_id string, chamber string, case_no string, decision_no string")
     d = inline(spark, DOCUMENTS, "doc_id string, court string, chamber string, case_no string, decision_no string")
+    k = table(spark, sf, "documents").select(F.col("doc_id").alias("k"))
+    own = lambda x: F.concat(x, F.col("k").cast("string"))
+    c = k.join(F.broadcast(c)).select((F.col("k") * 100 + F.col("citation")).alias("citation"), own(F.concat("source_doc_id", F.lit("_"))).alias("source_doc_id"), "chamber", own(F.col("case_no")).alias("case_no"), own(F.col("decision_no")).alias("decision_no"))
+    d = k.join(F.broadcast(d)).select(own(F.concat("doc_id", F.lit("_"))).alias("doc_id"), "court", "chamber", own(F.col("case_no")).alias("case_no"), F.when(F.col("decision_no") != "", own(F.col("decision_no"))).otherwise("").alias("decision_no"))
     good, bad = resolve.resolve(c, d)
     return good.select("citation", "target_doc_id", "confidence", F.lit(None).cast("string").alias("reason")).union(bad.select("citation", F.lit(None), F.lit(None), "reason"))
 
@@ -448,29 +456,56 @@ CHECKED = [("f1", 0, "2019/366", None), ("f1", 1, "2018/9999", "2019/1234"), ("f
 SOURCE = "Dosya 2019 / 366 Esas, karar 2021/945. 6098 sayılı TBK'nun 52.maddesi ve 6100 sayılı HMK.nun 341/1 hükmü."
 
 
-@query("l07_verify_decisions", "WITH c AS " + values(CHECKED, "file, index, case_number, decision_number") + ", s AS (SELECT regexp_replace('" + SOURCE.replace("'", "''") + """', '[^0-9/]', '', 'g') AS src), t AS (SELECT *, coalesce(regexp_replace(case_number, '[^0-9/]', '', 'g'), '') AS a, coalesce(regexp_replace(decision_number, '[^0-9/]', '', 'g'), '') AS b FROM c, s)
+@query("l07_verify_decisions", "WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS file, c.* FROM documents, " + values([r[1:] for r in CHECKED], "index, case_number, decision_number") + " c), s AS (SELECT CAST(doc_id AS VARCHAR) AS file, regexp_replace('" + SOURCE.replace("'", "''") + """' || coalesce(text, ''), '[^0-9/]', '', 'g') AS src FROM documents), t AS (SELECT *, coalesce(regexp_replace(case_number, '[^0-9/]', '', 'g'), '') AS a, coalesce(regexp_replace(decision_number, '[^0-9/]', '', 'g'), '') AS b FROM c JOIN s USING (file))
 SELECT file, index, (a <> '' AND contains(src, a)) OR (b <> '' AND contains(src, b)) AS verified, CASE WHEN (a <> '' AND contains(src, a)) OR (b <> '' AND contains(src, b)) THEN NULL WHEN a = '' AND b = '' THEN 'citation has no case_number or decision_number to check' ELSE 'neither case_number nor decision_number found in source' END AS reason FROM t""")
 def _(spark, sf):
-    c = inline(spark, CHECKED, "file string, index int, case_number string, decision_number string")
-    return records.check_decisions(c, inline(spark, [("f1", SOURCE)], "file string, text string")).drop("signals")
+    """Four claims on every document, checked against its whole text."""
+    claims = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(a).cast("string").alias("case_number"), F.lit(b).cast("string").alias("decision_number")) for _, i, a, b in CHECKED])
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit(SOURCE), F.coalesce("text", F.lit(""))).alias("text"))
+    return records.check_decisions(d.select("file", F.explode(claims).alias("c")).select("file", "c.*"), d).drop("signals")
+
 
+R15_KINDS = [("Yargıtay", "{n}. Hukuk Dairesi", "hukuk", "Yargıtay", ""), ("Danıştay", "{n}. Daire", "idari", "Danıştay", ""), ("BAM", "İzmir Bölge Adliye Mahkemesi {n}. Ceza Dairesi", "ceza", "İzmir BAM", "Yargıtay"), ("İlk Derece", "Bursa {n}. İş Mahkemesi", "hukuk", "İlk Derece", "")]
 
-@query("r15_law_nodes", "SELECT name, count(*) AS n FROM (SELECT 'law_' || (doc_id % 19) AS name FROM documents) GROUP BY 1")
+
+def law_graph(spark: SparkSession, sf: str) -> tuple[dict, dict]:
+    """The graph of all documents as decisions: courts by doc_id, laws read from texts, citations of half the id."""
+    i = F.col("doc_id")
+    pick = F.element_at(F.array(*[F.struct(F.lit(a).alias("court"), F.lit(b).alias("chamber")) for a, b, *_ in R15_KINDS]), (i % 4 + 1).cast("int"))
+    d = table(spark, sf, "documents").select(i.alias("id"), i.cast("string").alias("doc_id"), pick.alias("c"), "text").select("id", "doc_id", "c.court", F.replace("c.chamber", F.lit("{n}"), (F.col("id") % 23 + 1).cast("string")).alias("chamber"), "text")
+    d = d.withColumns({"court_level": courts.court_level(F.col("court")), "law_branch": courts.law_branch(F.col("court"), F.col("chamber")), "case_no": F.lit("2020/1"), "decision_no": F.lit("2021/1"), "decision_date": F.lit(None).cast("string")})
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" TBK m."), (F.col("id") % 40 + 1).cast("string"), F.lit("/2; 9999 sayılı Kanun m."), (F.col("id") % 7 + 1).cast("string"), F.lit("."))
+    laws = extract.extract_laws(d.select("doc_id", said.alias("text"))).withColumn("seq", F.lit(0))
+    half = F.floor(F.col("id") / 2)
+    cites = d.where(half != F.col("id")).select(F.col("doc_id").alias("source_doc_id"), half.cast("string").alias("target_doc_id"), F.lit(1.0).alias("confidence"), F.lit("").alias("snippet"), F.lit(0).alias("seq"))
+    return graph_build.build(d, laws, cites)
+
+
+R15_SQL = "WITH kinds AS " + values([(i, *x) for i, x in enumerate(R15_KINDS)], "i, court, chamber, branch, parent, apex") + ", law AS " + values([(c, b) for c, (_, _, b) in courts.LAWS.items()], "code, branch") + """,
+d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, court, replace(chamber, '{n}', CAST(doc_id % 23 + 1 AS VARCHAR)) AS chamber, branch, parent, apex, 'TBK_' || (doc_id % 40 + 1) AS a1, 'KANUN_9999_' || (doc_id % 7 + 1) AS a2 FROM documents JOIN kinds ON i = doc_id % 4)
+"""
+
+
+@query("r15_law_nodes", R15_SQL + "SELECT DISTINCT id, regexp_extract(id, '^(.*)_[0-9]+$', 1) AS code, CAST(regexp_extract(id, '([0-9]+)$', 1) AS INTEGER) AS article FROM (SELECT a1 AS id FROM d UNION ALL SELECT a2 FROM d)")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(F.concat(F.lit("law_"), (F.col("doc_id") % 19).cast("string")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    """The articles' vertices of the whole graph."""
+    return law_graph(spark, sf)[0]["LawArticle"].select("id", "code", "article")
 
 
-@query("r15_graph")
+@query("r15_courts", R15_SQL + """SELECT name, CAST(arg_min(level, place) AS INTEGER) AS level, arg_min(branch, place) AS branch FROM (SELECT chamber AS name, CASE court WHEN 'İlk Derece' THEN 1 WHEN 'BAM' THEN 2 ELSE 3 END AS level, branch, id || ' 0' AS place FROM d
+UNION ALL SELECT parent, CASE court WHEN 'İlk Derece' THEN 1 WHEN 'BAM' THEN 2 ELSE 3 END, branch, id || ' 1' FROM d UNION ALL SELECT apex, 3, branch, id || ' 2' FROM d WHERE apex <> '') GROUP BY 1""")
 def _(spark, sf):
-    """Every edge of the graph of DOCUMENTS and the citing d9, their law references and the resolved citations of CITED."""
-    d = inline(spark, [*DOCUMENTS, ("d9", "Yargıtay", "9. Hukuk Dairesi", "2000/1", "2000/2")], "doc_id string, court string, chamber string, case_no string, decision_no string")
-    d = d.withColumns({"court_level": courts.court_level(F.col("court")), "law_branch": courts.law_branch(F.col("court"), F.col("chamber")), "decision_date": F.lit(None).cast("string")})
-    texts = d.select("doc_id", F.concat_ws(" ", F.lit(SOURCE), F.lit("TCK m."), "doc_id").alias("text"))
-    laws = extract.extract_laws(texts).withColumn("seq", F.monotonically_increasing_id())
-    c = inline(spark, CITED, "citation int, source_doc_id string, chamber string, case_no string, decision_no string")
-    found = resolve.resolve(c, d)[0].select("source_doc_id", "target_doc_id", "confidence", F.lit("").alias("snippet"), F.col("citation").alias("seq"))
-    _, edges = graph_build.build(d, laws, found)
-    rows = [e.select(F.lit(a).alias("src_label"), "src", "type", F.lit(b).alias("dst_label"), "dst") for (a, _, b), e in edges.items()]
+    return law_graph(spark, sf)[0]["Court"].select("name", "level", "branch")
+
+
+@query("r15_graph", R15_SQL + """SELECT 'Law' AS src_label, code AS src, 'BELONGS_TO' AS type, 'LegalBranch' AS dst_label, branch AS dst FROM law WHERE branch IN ('hukuk', 'ceza', 'idari', 'vergi', 'anayasa', 'karma')
+UNION ALL SELECT 'Document', id, 'IN_COURT', 'Court', chamber FROM d UNION ALL SELECT DISTINCT 'Court', chamber, 'PART_OF', 'Court', parent FROM d UNION ALL SELECT DISTINCT 'Court', parent, 'APPEALS_TO', 'Court', apex FROM d WHERE apex <> ''
+UNION ALL SELECT 'Document', id, 'IN_BRANCH', 'LegalBranch', branch FROM d UNION ALL SELECT DISTINCT 'LawArticle', a1, 'PART_OF', 'Law', 'TBK' FROM d
+UNION ALL SELECT 'Document', id, 'REFERENCES_LAW', 'LawArticle', a1 FROM d UNION ALL SELECT 'Document', id, 'REFERENCES_LAW', 'LawArticle', a2 FROM d
+UNION ALL SELECT 'Document', id, 'CITES', 'Document', CAST(doc_id // 2 AS VARCHAR) FROM d WHERE doc_id // 2 <> doc_id AND doc_id // 2 IN (SELECT doc_id FROM documents)""")
+def _(spark, sf):
+    """Every edge of the whole graph."""
+    rows = [e.select(F.lit(a).alias("src_label"), "src", "type", F.lit(b).alias("dst_label"), "dst") for (a, _, b), e in law_graph(spark, sf)[1].items()]
     return reduce(DataFrame.unionByName, rows)
 
 
