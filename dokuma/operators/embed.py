@@ -11,8 +11,14 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from dokuma.functions.vectors import cosine
+from dokuma.operators import evaluate
+from dokuma.operators.graph import saved
+from dokuma.operators.retrieve import usable
+
 #: Model -> (kind of client, dimensions).
 MODELS = {
     "text-embedding-3-small": ("openai", 1536),
@@ -22,11 +28,6 @@ MODELS = {
     "bge-base-en-v1.5": ("local", 768),
     "gemini-embedding-2-preview": ("gemini", 3072),
 }
-#: Pairs that mean alike, or not.
-PAIRS = [
-    ("tazminat", "zarar giderimi", True), ("sanık", "fail", True), ("mahkumiyet", "ceza", True), ("temyiz", "üst mahkeme başvurusu", True), ("boşanma", "evlilik birliğinin sona ermesi", True),
-    ("iş kazası", "meslek hastalığı", True), ("haksız fiil", "kusurlu davranış", True), ("icra takibi", "alacağın tahsili", True), ("tazminat", "ceza davası", False), ("boşanma", "vergi kaçakçılığı", False),
-]
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -116,3 +117,15 @@ def embed(chunks: DataFrame, make: Callable[[], Embedder], *, batch: int = 100,
             yield pdf.assign(embedding=[v for v, _ in got], status=[s for _, s in got])
 
     return chunks.mapInPandas(work, schema)
+
+
+def separation_of(pairs: DataFrame, make: Callable[[], Embedder], **options) -> DataFrame:
+    """``evaluate.separation`` of pairs (a, b, related boolean) of texts, such as synonyms and words of other fields: each
+    different text is embedded once. Pairs with a null, or with a text that cannot be embedded or has no direction, take no
+    part."""
+    both = pairs.where("a IS NOT NULL AND b IS NOT NULL AND related IS NOT NULL").select("a", "b", "related")
+    texts = both.select(F.col("a").alias("text")).union(both.select("b")).distinct()
+    held = saved(embed(texts, make, **options).where(usable("embedding")), "pair-vectors")
+    side = lambda x: held.select(F.col("text").alias(x), F.col("embedding").alias(f"{x}_vector"))
+    joined = both.join(side("a"), "a").join(side("b"), "b")
+    return evaluate.separation(joined.select("related", cosine(F.col("a_vector"), F.col("b_vector")).alias("score")))

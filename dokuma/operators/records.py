@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dokuma.functions.text import compact_id, has_number, has_word, strip_fence
+from dokuma.operators.stored import StoredTable
 
 #: Stage -> keys it may give.
 STAGES = {
@@ -34,8 +35,9 @@ def resolved_setting(*layers: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in layers])
 
 
-def run_stage(sources: DataFrame, stage: str, extract: Callable[[str], tuple[str, bool]]) -> DataFrame:
-    """(stem, stage, status, payload, raw) of (stem, text); extract gives (answer, cut off). Invalid answers stay in raw."""
+def run_stage(sources: DataFrame, stage: str, extract: Callable[[str], tuple[str, bool]], *, objects: bool = True) -> DataFrame:
+    """(stem, stage, status, payload, raw) of (stem, text); extract gives (answer, cut off). Invalid answers, of which with
+    ``objects`` whatever is no JSON object is one, stay in raw."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -50,15 +52,40 @@ def run_stage(sources: DataFrame, stage: str, extract: Callable[[str], tuple[str
 
     got = sources.select("stem", "text").mapInPandas(work, "stem string, status string, raw string")
     body = strip_fence(F.col("raw"))
-    valid = F.try_parse_json(body).isNotNull() & body.startswith("{")
+    valid = F.try_parse_json(body).isNotNull() & (body.startswith("{") if objects else F.lit(True))
     status = F.when(F.col("status") != "answer", F.col("status")).when(valid, "ok").otherwise("invalid_json")
     return got.select("stem", F.lit(stage).alias("stage"), status.alias("status"), F.when(status == "ok", body).alias("payload"), F.when(status != "ok", F.col("raw")).alias("raw"))
 
 
+def single_pass(sources: DataFrame, extract: Callable[[str], tuple[str, bool]]) -> DataFrame:
+    """(stem, status, payload, raw): one answer a document, any JSON, neither merged nor cut to a stage's keys."""
+    return run_stage(sources, "single", extract, objects=False).drop("stage")
+
+
+def store_stage(rows: DataFrame, table: StoredTable) -> int:
+    """Put a stage's rows into a table of (stem, stage), where the newest answer stands; the table is made at the first call."""
+    if table.manifest() is None:
+        return table.create(rows, ["stem", "stage"], slice_by=["stem"])
+    return table.merge(rows)
+
+
+def pending(sources: DataFrame, table: StoredTable, stage: str, *, force: bool = False) -> DataFrame:
+    """The sources (stem, text) that have no valid answer of the stage yet; with ``force`` all of them."""
+    if force or table.manifest() is None:
+        return sources
+    return sources.join(table.read().where((F.col("stage") == stage) & (F.col("status") == "ok")).select("stem"), "stem", "left_anti")
+
+
 def outcomes(stage_rows: DataFrame) -> DataFrame:
     return stage_rows.groupBy("stage", "status").agg(F.count("*").alias("n"))
 
 
+def outcome_table(stage_rows: DataFrame) -> DataFrame:
+    """(stage, ok, truncated, invalid_json, errors): counts of the four outcomes, of which every row has one."""
+    names = {"ok": "ok", "truncated": "truncated", "invalid_json": "invalid_json", "errors": "error"}
+    return stage_rows.groupBy("stage").agg(*[F.count_if(F.col("status") == status).alias(n) for n, status in names.items()])
+
+
 def merged(stage_rows: DataFrame) -> DataFrame:
     """(stem, record, present, missing): payloads merged in canonical key order; each stage's own keys only; documents
     without any valid stage are left out. Values are kept as JSON text, so nothing is reinterpreted."""

@@ -82,9 +82,9 @@ class StoredTable:
 
     # --- changes
 
-    def create(self, rows: DataFrame, keys: list[str], *, slice_by: list[str] | None = None, slices: int = SLICES, order: str | None = None) -> int:
-        """Version 0 of rows, one a key."""
-        first = {"version": -1, "schema": json.loads(rows.schema.json()), "keys": keys, "slice_by": slice_by or keys, "count": slices, "slices": {}, "mark": None}
+    def create(self, rows: DataFrame, keys: list[str], *, slice_by: list[str] | None = None, slices: int = SLICES, spread: int = 1, order: str | None = None) -> int:
+        """Version 0 of rows, one a key. A slice is written by up to ``spread`` tasks: more where slices are large."""
+        first = {"version": -1, "schema": json.loads(rows.schema.json()), "keys": keys, "slice_by": slice_by or keys, "count": slices, "spread": spread, "slices": {}, "mark": None}
         return self._write(first, tables.newest(rows, keys, *([order] if order else [])), [], "create", None)
 
     def merge(self, rows: DataFrame, *, only: list[str] | None = None, order: str | None = None, newest: bool = False, mark: str | None = None) -> int:
@@ -145,8 +145,7 @@ class StoredTable:
 
     def _write(self, m: dict, rows: DataFrame, touched: list[int], change: str, mark: str | None) -> int:
         where = f"data/{uuid.uuid4().hex}"
-        # A slice is written by some tasks, so that its size is no task's.
-        dealt = rows.withColumn("__slice", self._slice(m)).repartition("__slice", F.pmod(F.xxhash64(*m["keys"], F.lit(1)), F.lit(4)))
+        dealt = rows.withColumn("__slice", self._slice(m)).repartition("__slice", F.pmod(F.xxhash64(*m["keys"], F.lit(1)), F.lit(m["spread"])))
         dealt.write.partitionBy("__slice").parquet(f"{self.path}/{where}")
         folder, files = _files(self.spark, f"{self.path}/{where}/__slice=*")
         made = {f.getPath().getName().split("=")[1]: [f"{where}/{f.getPath().getName()}"] for f in files.globStatus(folder) or []}

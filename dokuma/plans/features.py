@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dokuma.functions import surface, turkish
-from dokuma.operators import citations, experiments, graph, metadata, names, precedent, resolve, retrieve, scoring, stored, vector_index
-from dokuma.plans import catalog
+from dokuma.operators import citations, embed, experiments, graph, metadata, names, precedent, records, resolve, retrieve, scoring, stored, tables, vector_index
+from dokuma.plans import catalog, decisions
 from dokuma.plans.catalog import query, rounded, table
-from dokuma.sources import keyed
+from dokuma.sources import files, keyed
 
 # --- walks over the graph
 
@@ -368,3 +368,117 @@ def _(spark, sf):
     i = F.col("doc_id")
     name = F.element_at(F.array(*[F.lit(x) for x, _ in OLD_FILES]), (i % len(OLD_FILES) + 1).cast("int"))
     return metadata.renamed(table(spark, sf, "documents").select(F.replace(name, F.lit("{n}"), F.floor(i / len(OLD_FILES)).cast("string")).alias("stem")))
+
+
+# --- stages of extraction
+
+
+def answers(better: bool):
+    """A stand-in for a model: what it does with "id|text" depends on the id; the better one is seldom cut off."""
+
+    def extract(said: str) -> tuple[str, bool]:
+        number = int(said.split("|", 1)[0])
+        kind = number % 5
+        if kind == 0 and (not better or number % 10 == 0):
+            raise ValueError("away")
+        if kind == 1 and not better:
+            return '{"summary": "cut', True
+        if kind == 2:
+            return "no json", False
+        body = f'{{"summary": "{number}", "other": {len(said)}}}'
+        return (f"```json\n{body}\n```" if kind == 3 else body), False
+
+    return extract
+
+
+def said(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query("l04_stage_runs", """WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 10 = 0 THEN 'errors' ELSE 'ok' END WHEN 2 THEN 'invalid_json' ELSE 'ok' END AS status FROM documents)
+SELECT 'summary' AS stage, count(*) FILTER (status = 'ok') AS ok, 0::BIGINT AS truncated, count(*) FILTER (status = 'invalid_json') AS invalid_json, count(*) FILTER (status = 'errors') AS errors FROM d
+UNION ALL SELECT 'metadata', count(*) FILTER (doc_id % 5 > 2), count(*) FILTER (doc_id % 5 = 1), count(*) FILTER (doc_id % 5 = 2), count(*) FILTER (doc_id % 5 = 0) FROM d""")
+def _(spark, sf):
+    """Two stages over all documents, put into a table; the second run of one asks only for what has no valid answer yet."""
+    t = stored.StoredTable(spark, graph.scratch(spark, "stages"))
+    sources = graph.saved(said(spark, sf), "sources")
+    for stage, better in (("summary", False), ("metadata", False), ("summary", True)):
+        records.store_stage(records.run_stage(records.pending(sources, t, stage), stage, answers(better)), t)
+    return records.outcome_table(t.read())
+
+
+@query("l06_single_pass", """SELECT CAST(doc_id AS VARCHAR) AS stem, CASE doc_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'truncated' WHEN 2 THEN 'invalid_json' ELSE 'ok' END AS status,
+CASE WHEN doc_id % 5 > 2 THEN '{"summary": "' || doc_id || '", "other": ' || (length(CAST(doc_id AS VARCHAR)) + 1 + length(coalesce(text, ''))) || '}' END AS payload, CASE doc_id % 5 WHEN 0 THEN 'away' WHEN 1 THEN '{"summary": "cut' WHEN 2 THEN 'no json' END AS raw FROM documents""")
+def _(spark, sf):
+    return records.single_pass(said(spark, sf), answers(False))
+
+
+# --- sources, logs and comparisons that no other query runs
+
+
+@query("s01_s02_files", "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents")
+def _(spark, sf):
+    """One file a document, listed without reading and read whole; a file's first line is its document's id."""
+    where = graph.scratch(spark, "files")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value"))
+    d.select("value").write.option("maxRecordsPerFile", 1).text(f"{where}/in")
+    read, listed = files.texts(spark, f"{where}/in", "txt"), files.listing(spark, f"{where}/in", "txt")
+    first = F.substring_index("text", "\n", 1)
+    both = read.join(listed, "filename")
+    return both.select(first.cast("long").alias("doc_id"), (F.col("length") - F.length(first) - 2).alias("n_bytes"), (F.length("text") - F.length(first) - 2).cast("long").alias("n_chars"))
+
+
+@query("s07_name_list", "SELECT doc_id || '.md' AS filename, lang FROM documents WHERE doc_id % 3 < 2")
+def _(spark, sf):
+    """A list of names with and without their suffix, blank lines and comments among them, joined to the documents."""
+    where = graph.scratch(spark, "names")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), "lang")
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat("filename", F.lit(" "))).when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("# "), "filename"))
+    d.select(line.alias("value")).write.text(f"{where}/list")
+    return d.select("filename", "lang").join(files.name_list(spark, f"{where}/list"), "filename")
+
+
+@query("s06_embedded_documents", "SELECT 'd' || doc_id AS esas_no, lang AS court, n, CASE WHEN n > 0 THEN round(0.5 * (n - 1) * n / 2, 6) ELSE 0 END AS total FROM (SELECT *, doc_id % 4 AS n FROM documents) WHERE doc_id % 9 > 0")
+def _(spark, sf):
+    """Documents as JSON with their chunks and vectors; cut ones are set apart."""
+    where = graph.scratch(spark, "embedded")
+    n = (F.col("doc_id") % 4).cast("int")
+    chunk = lambda i: F.struct(i.alias("chunk_index"), F.lit("t").alias("text"), F.lit(1).alias("token_count"), F.array(i * 0.5, F.lit(1.0)).alias("embedding"))
+    whole = F.to_json(F.struct(F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("esas_no"), F.col("lang").alias("court")).alias("metadata"), F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), chunk).alias("chunks")))
+    table(spark, sf, "documents").select(F.when(F.col("doc_id") % 9 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{where}/in")
+    good, bad = files.embedded_documents(spark, f"{where}/in")
+    return good.select("metadata.esas_no", "metadata.court", F.size("chunks").cast("long").alias("n"), F.round(F.aggregate("chunks", F.lit(0.0), lambda s, c: s + F.get(c["embedding"], 0)), 6).alias("total"))
+
+
+@query("k15_run_log", "SELECT p_type AS run_id, round(avg(p_retailprice), 4) AS metric FROM part GROUP BY 1 UNION ALL SELECT 'again-' || p_brand, round(max(p_retailprice), 4) FROM part GROUP BY 1")
+def _(spark, sf):
+    """Two runs appended to a log; a third under a known id is refused."""
+    p = table(spark, sf, "part")
+    log = graph.saved(p.groupBy(F.col("p_type").alias("run_id")).agg(F.avg("p_retailprice").alias("metric")), "log")
+    log = graph.saved(tables.append_run(log, p.groupBy(F.concat(F.lit("again-"), "p_brand").alias("run_id")).agg(F.max("p_retailprice").cast("double").alias("metric"))), "log")
+    try:
+        log = tables.append_run(log, log.limit(1))
+    except ValueError:
+        pass
+    return rounded(log, 4)
+
+
+@query("e10_runs_compared", "WITH f AS " + catalog.values([(f,) for f in scoring.FIELDS], "field") + """, s AS (SELECT round(avg(CASE WHEN doc_id % 3 = 0 AND lang IS NOT NULL THEN 0.0 ELSE 1.0 END), 4) AS wrong FROM documents WHERE doc_id % 5 <> 0)
+SELECT field, 1.0::DOUBLE AS a, CASE WHEN field = 'court_type' THEN wrong ELSE 1.0 END::DOUBLE AS b FROM f, s""")
+def _(spark, sf):
+    gold, result = decisions.extracted(spark, sf)
+    same = scoring.scored(gold, gold.join(result.select("file"), "file", "left_semi")).withColumn("run", F.lit("a"))
+    return scoring.runs_compared(same.unionByName(scoring.scored(gold, result).withColumn("run", F.lit("b")))).select("field", "a", "b")
+
+
+@query("e11_separation", """WITH p AS (SELECT doc_id, lang || ' ' || source AS a, CASE WHEN doc_id % 2 = 0 THEN source || ' ' || lang || ' ek' ELSE 'w' || doc_id END AS b, doc_id % 2 = 0 AS related FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+t AS (SELECT DISTINCT t FROM (SELECT a AS t FROM p UNION ALL SELECT b FROM p)), w AS (SELECT t, md5(unnest(regexp_extract_all(lower(t), '[^ \\t\\n\\r\\f\\v]+'))) AS h FROM t),
+c AS (SELECT t, CAST(('0x' || substr(h, 1, 6))::BIGINT % 16 AS INTEGER) AS place, sum(CASE WHEN substr(h, 7, 1) < '8' THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL), n AS (SELECT t, sqrt(sum(x * x)) AS n FROM c GROUP BY 1 HAVING sum(x * x) > 0),
+s AS (SELECT related, coalesce((SELECT sum(c.x * d.x) FROM c JOIN c d ON d.place = c.place WHERE c.t = a AND d.t = b), 0) / (u.n * v.n) AS score FROM p JOIN n u ON u.t = a JOIN n v ON v.t = b)
+SELECT round(avg(score) FILTER (related), 6) AS related, round(avg(score) FILTER (NOT related), 6) AS unrelated, round(avg(score) FILTER (related) - avg(score) FILTER (NOT related), 6) AS separation, avg(score) FILTER (related) - avg(score) FILTER (NOT related) > 0.05 AS good FROM s""")
+def _(spark, sf):
+    """Pairs of texts that say the same and that do not, embedded once each."""
+    d = table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    even = F.col("doc_id") % 2 == 0
+    pairs = d.select(F.concat_ws(" ", "lang", "source").alias("a"), F.when(even, F.concat_ws(" ", "source", "lang", F.lit("ek"))).otherwise(F.concat(F.lit("w"), F.col("doc_id").cast("string"))).alias("b"), even.alias("related"))
+    return rounded(embed.separation_of(pairs, lambda: embed.hashing(16)))

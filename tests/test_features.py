@@ -143,7 +143,7 @@ def test_resolve_by_closest_name(spark):
     from dokuma.operators import resolve
 
     d = spark.createDataFrame([(1, "Yargıtay", "2. Hukuk Dairesi", "2020/1", "2021/1"), (2, "", "Danıştay Onuncu Daire", "2020/2", "")], "doc_id long, court string, chamber string, case_no string, decision_no string")
-    c = spark.createDataFrame([(1, 9, "2. Hukuk Daresi", "2020/1", None), (2, 9, "2 Hukuk-Dairezi", "2020/1", None), (3, 9, "Danıştay Onuncu Dayre", "2020/2", None), (4, 9, "Danıştay Onuncu Dayre", "2020/3", None), (5, 9, "Bambaşka", "2020/2", None), (6, 9, None, "2020/2", None)], "citation long, source_doc_id long, chamber string, case_no string, decision_no string")
+    c = spark.createDataFrame([(1, 9, "2. Hukuk Daresi", "2020/1", None), (2, 9, "2 Hukuk Dairezi", "2020/1", None), (3, 9, "Danıştay Onuncu Dayre", "2020/2", None), (4, 9, "Danıştay Onuncu Dayre", "2020/3", None), (5, 9, "Bambaşka", "2020/2", None), (6, 9, None, "2020/2", None)], "citation long, source_doc_id long, chamber string, case_no string, decision_no string")
     v = spark.createDataFrame([("2. Hukuk Dairesi",), ("Danıştay Onuncu Daire",), ("Danıştay Onuncu Dayra",), (None,)], "name string")
     good, bad = resolve.resolve(c, d, v)
     assert {(x.citation, x.target_doc_id) for x in good.collect()} == {(1, 1), (2, 1), (3, 2)}
