@@ -482,3 +482,38 @@ def _(spark, sf):
     even = F.col("doc_id") % 2 == 0
     pairs = d.select(F.concat_ws(" ", "lang", "source").alias("a"), F.when(even, F.concat_ws(" ", "source", "lang", F.lit("ek"))).otherwise(F.concat(F.lit("w"), F.col("doc_id").cast("string"))).alias("b"), even.alias("related"))
     return rounded(embed.separation_of(pairs, lambda: embed.hashing(16)))
+
+
+# --- the sentence chunker in SQL: sentences are numbered, and a recursion keeps (next sentence, first one held, first new one)
+
+_BLANK = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+CHUNKS_SQL = """WITH RECURSIVE par AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n{2,}')) AS p, unnest(range(1, len(string_split_regex(coalesce(text, ''), '\\n{2,}')) + 1)) AS pi FROM documents),
+cut AS (SELECT doc_id, pi, string_split(regexp_replace(""" + _BLANK.format("p") + """, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM par),
+flat AS (SELECT doc_id, pi, unnest(x) AS raw, unnest(range(1, len(x) + 1)) AS si FROM cut), sent AS (SELECT doc_id, pi, si, """ + _BLANK.format("raw") + """ AS w FROM flat WHERE """ + _BLANK.format("raw") + """ <> ''),
+num AS (SELECT doc_id, w, row_number() OVER o AS i, len(list_filter(string_split_regex(w, '\\s+'), lambda x: x <> '')) AS n, coalesce(lead(pi) OVER o <> pi, true) AS ends FROM sent WINDOW o AS (PARTITION BY doc_id ORDER BY pi, si)),
+sums AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM num UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM num),
+back AS (SELECT doc_id, i, c, count(*) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN UNBOUNDED PRECEDING AND 33 PRECEDING) AS j FROM sums),
+a AS (SELECT b.doc_id, list(b.c ORDER BY b.i) AS c, list(b.j ORDER BY b.i) AS j, count(*) - 1 AS m FROM back b GROUP BY 1), d AS (SELECT doc_id, list(n ORDER BY i) AS n, list(w ORDER BY i) AS w, list(ends ORDER BY i) AS e FROM num GROUP BY 1),
+docs AS (SELECT * FROM a JOIN d USING (doc_id)),
+r(doc_id, i, s, f, o) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, CAST([] AS BIGINT[][]) FROM docs
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN long THEN i + 1 WHEN full_par THEN greatest(s2, j[i + 2]) ELSE s2 END, CASE WHEN long OR full_par THEN i + 1 ELSE f1 END,
+    list_concat(CASE WHEN over THEN [[s, i]] ELSE CAST([] AS BIGINT[][]) END, CASE WHEN long OR full_par THEN [[s2, i + 1]] ELSE CAST([] AS BIGINT[][]) END)
+  FROM (SELECT *, n[i + 1] > 256 AS long, NOT n[i + 1] > 256 AND e[i + 1] AND c[i + 2] - c[s2 + 1] >= 192 AS full_par FROM (SELECT *, CASE WHEN i = f1 AND c[i + 1] - c[s1 + 1] + n[i + 1] > 256 THEN i ELSE s1 END AS s2 FROM
+    (SELECT *, CASE WHEN over THEN greatest(s, j[i + 1]) ELSE s END AS s1, CASE WHEN over THEN i ELSE f END AS f1 FROM (SELECT r.*, c, j, n, e, m, i > f AND c[i + 1] - c[s + 1] + n[i + 1] > 256 AS over FROM r JOIN docs USING (doc_id) WHERE i < m))))),
+made AS (SELECT doc_id, i, unnest(o) AS x, unnest(range(1, len(o) + 1)) AS k FROM r UNION ALL SELECT doc_id, i + 1, [s, i], 9 FROM r JOIN docs USING (doc_id) WHERE i = m AND i > f)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS chunk_index, array_to_string(w[x[1] + 1 : x[2]], ' ') AS text, CAST(c[x[2] + 1] - c[x[1] + 1] AS INTEGER) AS token_count FROM made JOIN docs USING (doc_id)"""
+catalog.ORACLES["x05_sentence_chunks"] = CHUNKS_SQL
+
+SECTIONS_SQL = """WITH RECURSIVE parts AS (SELECT doc_id, k, name, body FROM documents, LATERAL (VALUES (1, 'iddia', 'İDDİA' || chr(10) || coalesce(text, '')), (2, 'gerekce', 'GEREKÇE:' || chr(10) || coalesce(text, '')), (3, 'hukum', 'HÜKÜM' || chr(10) || 'Bozulmasına.')) t(k, name, body)),
+par AS (SELECT doc_id, k, name, """ + _BLANK.format("unnest(string_split_regex(body, '\\n{2,}'))") + """ AS p, unnest(range(1, len(string_split_regex(body, '\\n{2,}')) + 1)) AS pi FROM parts),
+sized AS (SELECT *, len(list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '')) <= 256 AS fits FROM par),
+cut AS (SELECT doc_id, k, name, pi, fits, CASE WHEN fits THEN [p] ELSE string_split(regexp_replace(p, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS x FROM sized),
+flat AS (SELECT doc_id, k, name, pi, fits, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS si FROM cut),
+num AS (SELECT doc_id, k, name, w, CASE WHEN fits THEN chr(10) || chr(10) ELSE ' ' END || w AS jw, row_number() OVER o AS i, len(list_filter(string_split_regex(w, '\\s+'), lambda x: x <> '')) AS n FROM flat WHERE w <> '' WINDOW o AS (PARTITION BY doc_id, k ORDER BY pi, si)),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, k ORDER BY i) AS c FROM num),
+a AS (SELECT doc_id, k, name, list(n ORDER BY i) AS n, list_prepend(0, list(c ORDER BY i)) AS c, list(w ORDER BY i) AS w, list(jw ORDER BY i) AS jw, count(*) AS m FROM sums GROUP BY ALL),
+r(doc_id, k, i, s, e) AS (SELECT doc_id, k, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM a
+  UNION ALL SELECT doc_id, k, i + 1, CASE WHEN over THEN i ELSE s END, CASE WHEN over THEN s END FROM (SELECT r.*, i > s AND c[i + 1] - c[s + 1] + n[i + 1] > 256 AS over FROM r JOIN a USING (doc_id, k) WHERE i < m)),
+made AS (SELECT doc_id, k, e AS s, i - 1 AS t FROM r WHERE e IS NOT NULL UNION ALL SELECT doc_id, k, s, i FROM r JOIN a USING (doc_id, k) WHERE i = m AND i > s)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, s) - 1 AS INTEGER) AS chunk_index, name AS section_type, w[s + 1] || array_to_string(jw[s + 2 : t], '') AS text, CAST(c[t + 1] - c[s + 1] AS INTEGER) AS token_count FROM made JOIN a USING (doc_id, k)"""
+catalog.ORACLES["q07_sections"] = SECTIONS_SQL
