@@ -58,10 +58,10 @@ def compare(a: DataFrame, b: DataFrame, metric: str = "ndcg_at_10") -> DataFrame
 
 
 def latency(times: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, p50, p95, mean) with the element at index floor(n * p) of the sorted list, not interpolated; nulls take no
+    """(by, p50, p95, mean) with the element at index floor(n * p) of the sorted list, not interpolated; nulls and NaN take no
     part. Values are counted, the counts sorted over all tasks; each task numbers its range and learns from the sums of
     the ranges before it where that begins, so a group of any size is spread."""
-    counts = times.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    counts = times.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(by, value).agg(F.count("*").alias("n"))
     dealt = saved(counts.repartitionByRange(by, value).withColumn("part", F.spark_partition_id()), "latency")
     own = dealt.groupBy(by, "part").agg(F.sum("n").alias("own"), F.sum(F.col("n") * F.col(value)).alias("total"))
     whole = Window.partitionBy(by)

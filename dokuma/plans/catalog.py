@@ -392,21 +392,13 @@ def _(spark, sf):
 
 @query("k09_merge_edges", "WITH " + EDGES + ", n AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS seq FROM edges) SELECT src, dst, 'CITES' AS type, max(seq) AS seq FROM n GROUP BY 1, 2")
 def _(spark, sf):
-    per = edges(spark, sf).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    # running positions without one global window: the totals of earlier sources, then of earlier targets
-    whole = per.groupBy("src").agg(F.sum("n").alias("t"))
-    before = whole.select("src", (F.sum("t").over(Window.orderBy("src")) - F.col("t")).alias("before"))
-    upto = per.join(before, "src").select("src", "dst", (F.col("before") + F.sum("n").over(Window.partitionBy("src").orderBy("dst"))).alias("seq"))
-    return tables.merge_edges(upto.select("src", "dst", F.lit("CITES").alias("type"), "seq"), F.col("seq"))
+    rows = tables.placed(edges(spark, sf), "src", "dst", place="seq")
+    return tables.merge_edges(rows.select("src", "dst", F.lit("CITES").alias("type"), "seq"), F.col("seq"))
 
 
 @query("j12_id_map", "SELECT doc_id, coalesce(item_id, doc_id) AS mapped FROM documents LEFT JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) * 3 AS k FROM benchmark) ON k = doc_id")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    b = table(spark, sf, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) * 3).alias("doc_id"))
+    b = tables.placed(table(spark, sf, "benchmark").select("item_id"), "item_id").select("item_id", (F.col("place") * 3).alias("doc_id"))
     return table(spark, sf, "documents").select("doc_id").join(b, "doc_id", "left").select("doc_id", F.coalesce("item_id", "doc_id").alias("mapped"))
 
 

@@ -348,3 +348,16 @@ def test_from_sql(spark):
     spark.createDataFrame([(1, 9, "2. Hukuk Dairesi", "2020/1", None), (2, 9, "x", "2020/1", None)], "citation long, source_doc_id long, chamber string, case_no string, decision_no string").createOrReplaceTempView("cited")
     surface.resolve_views(spark, "cited", "held")
     assert spark.sql("SELECT citation, target_doc_id FROM resolved").collect() == [(1, 1)] and spark.sql("SELECT citation FROM unresolved").collect() == [(2,)]
+
+
+def test_places(spark):
+    from dokuma.operators import evaluate, tables
+
+    r = random.Random(7)
+    rows = [(r.choice([None, 1, 2, 3]), r.randint(0, 50)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    got = sorted(tables.placed(df, "a", "b").collect(), key=lambda x: x.place)
+    assert [x.place for x in got] == list(range(1, 501)) and [(x.a, x.b) for x in got] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert tables.placed(df.limit(0), "a").count() == 0
+    times = spark.createDataFrame([("x", 1.0), ("x", math.nan), ("x", None), ("x", 3.0)], "by string, ms double")
+    assert evaluate.latency(times, "by", "ms").collect() == [("x", 3.0, 3.0, 2.0)]
