@@ -146,3 +146,17 @@ def cleaned(records: DataFrame, checks: DataFrame, array: str) -> DataFrame:
     rows = records.join(bad, "file", "left")
     keep = F.filter(F.col(array), lambda x, i: ~F.coalesce(F.array_contains("__bad", i), F.lit(False)))
     return rows.select("file", keep.alias("kept"), F.col(array).alias("backup"))
+
+
+def write_verification(records: DataFrame, checks: DataFrame, array: str, path: str, *, strict: bool = False) -> DataFrame:
+    """Write what a verification found below ``path``: report (the checks), and with ``strict`` backup (the records as they were,
+    before anything else) and cleaned (without entries that a check rejects). Returns the records that stand."""
+    checks.write.mode("overwrite").parquet(f"{path}/report")
+    if not strict:
+        return records
+    records.write.mode("overwrite").parquet(f"{path}/backup")
+    spark = records.sparkSession
+    kept, found = spark.read.parquet(f"{path}/backup"), spark.read.parquet(f"{path}/report")
+    left = cleaned(kept, found, array).select("file", F.col("kept").alias("__kept"))
+    kept.join(left, "file").withColumn(array, F.col("__kept")).drop("__kept").write.mode("overwrite").parquet(f"{path}/cleaned")
+    return spark.read.parquet(f"{path}/cleaned")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dokuma.functions import surface, turkish
-from dokuma.operators import citations, embed, experiments, graph, metadata, names, precedent, records, resolve, retrieve, scoring, stored, tables, vector_index
+from dokuma.operators import citations, embed, experiments, graph, ingest, metadata, names, precedent, records, resolve, retrieve, scoring, stored, tables, vector_index
 from dokuma.plans import catalog, decisions
 from dokuma.plans.catalog import query, rounded, table
 from dokuma.sources import files, keyed
@@ -517,3 +517,44 @@ r(doc_id, k, i, s, e) AS (SELECT doc_id, k, 0::BIGINT, 0::BIGINT, NULL::BIGINT F
 made AS (SELECT doc_id, k, e AS s, i - 1 AS t FROM r WHERE e IS NOT NULL UNION ALL SELECT doc_id, k, s, i FROM r JOIN a USING (doc_id, k) WHERE i = m AND i > s)
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, s) - 1 AS INTEGER) AS chunk_index, name AS section_type, w[s + 1] || array_to_string(jw[s + 2 : t], '') AS text, CAST(c[t + 1] - c[s + 1] AS INTEGER) AS token_count FROM made JOIN a USING (doc_id, k)"""
 catalog.ORACLES["q07_sections"] = SECTIONS_SQL
+
+
+# --- loads that are stopped and go on
+
+
+@query("s08_downloads", "SELECT CASE WHEN doc_id % 7 = 0 THEN 'error' WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'downloaded' END AS status, count(*) AS n, count(*) FILTER (doc_id % 7 > 0) AS there FROM documents GROUP BY 1")
+def _(spark, sf):
+    """A file a document, of which some are there already and some are nowhere; then all are asked for again."""
+    where = graph.scratch(spark, "downloads")
+    d = table(spark, sf, "documents").select("doc_id", F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed.written(d.where("doc_id % 7 > 0"), f"{where}/in")
+    keyed.downloaded(d.where("doc_id % 3 = 0 AND doc_id % 7 > 0"), f"{where}/in", f"{where}/out").write.format("noop").mode("overwrite").save()
+    got = graph.saved(keyed.downloaded(d, f"{where}/in", f"{where}/out"), "status")
+    again = keyed.downloaded(d, f"{where}/in", f"{where}/out").where("status = 'skipped'").select("key", F.lit(1).alias("there"))
+    return got.join(again, "key", "left").groupBy("status").agg(F.count("*").alias("n"), F.count("there").alias("there"))
+
+
+@query("k06_k17_vectors", "SELECT vec_id AS chunk_id, label FROM embeddings")
+def _(spark, sf):
+    """Vectors added in files of 200 rows; the load stops after a third, and goes on with what its table lacks."""
+    where = graph.scratch(spark, "vectors")
+    v = catalog.vectors(spark, sf).select("chunk_id", "vector", "label")
+    steps, chunks = ingest.Progress(spark, f"{where}/steps"), v.count()
+    ingest.write_vectors(v.where("chunk_id % 3 = 0"), f"{where}/table", 200)
+    steps.note("vectors", chunks)
+    held = spark.read.parquet(f"{where}/table")
+    if tables.index_plan(steps.state()["vectors"], held.count()) == "resume":
+        ingest.write_vectors(tables.remaining(v, ingest.vector_ids(held), "chunk_id"), f"{where}/table", 200)
+    steps.finish()
+    return spark.read.parquet(f"{where}/table").select("chunk_id", "label")
+
+
+@query("k13_strict_rewrite", "SELECT o_custkey AS file, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (o_orderkey % 3 <> 0), '') AS cited, count(*) AS backup, count(*) FILTER (o_orderkey % 3 = 0) AS rejected FROM orders GROUP BY 1")
+def _(spark, sf):
+    where = graph.scratch(spark, "verified")
+    r = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("cited"))  # a customer's orders, a bounded list
+    checks = r.select("file", F.posexplode("cited").alias("index", "key")).select("file", "index", (F.col("key") % 3 != 0).alias("verified"))
+    left = records.write_verification(r, checks, "cited", where, strict=True)
+    before = spark.read.parquet(f"{where}/backup").select("file", F.size("cited").cast("long").alias("backup"))
+    report = spark.read.parquet(f"{where}/report").groupBy("file").agg(F.count_if(~F.col("verified")).alias("rejected"))
+    return left.select("file", F.array_join("cited", ",").alias("cited")).join(before, "file").join(report, "file")

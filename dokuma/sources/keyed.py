@@ -15,10 +15,12 @@ given; after a restart the next batch runs from the checkpoint's own offset to b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,3 +177,50 @@ def parsed(rows: DataFrame, schema: str, *, lines: bool = False) -> tuple[DataFr
     bad = F.col("r").isNull() | F.col("r._broken").isNotNull()
     unread = rows.where("error IS NOT NULL").select("key", "error")
     return read.where(~bad).select("key", F.col("r").dropFields("_broken").alias("record")), unread.union(read.where(bad).select("key", F.lit("no JSON object").alias("error")))
+
+
+def downloaded(wanted: DataFrame, source: str, target: str) -> DataFrame:
+    """Copy files (key) from one folder's URI to another's: (key, status, size, error) with the status downloaded, skipped (it is
+    there with the source's size) or error. A file is written under a hidden name first, so that one that was cut short is not
+    taken for whole; each key is copied by one task, and repeated keys once."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (read, base), (write, end) = _opened(source), _opened(target)
+        for pdf in frames:
+            rows = []
+            for key in pdf.key:
+                try:
+                    there = read.get_file_info(f"{base}/{key}")
+                    if there.type != fs.FileType.File:
+                        raise FileNotFoundError(key)
+                    if write.get_file_info(f"{end}/{key}").size == there.size:
+                        rows.append((key, "skipped", there.size, None))
+                        continue
+                    folder, _, name = f"{end}/{key}".rpartition("/")
+                    write.create_dir(folder, recursive=True)
+                    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    with read.open_input_stream(f"{base}/{key}") as a, write.open_output_stream(part) as b:
+                        while block := a.read(1 << 20):
+                            b.write(block)
+                    write.move(part, f"{end}/{key}")
+                    rows.append((key, "downloaded", there.size, None))
+                except OSError as failed:
+                    rows.append((key, "error", None, str(failed)[:300]))
+            yield pd.DataFrame(rows, columns=["key", "status", "size", "error"]).astype({"size": "Int64"})
+
+    return wanted.select("key").where("key IS NOT NULL").distinct().repartition("key").mapInPandas(work, "key string, status string, size long, error string")
+
+
+def written(rows: DataFrame, target: str) -> int:
+    """Write texts (key, text) as files below a folder's URI, one each; returns their number. A null text is an empty file."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = _opened(target)
+        for pdf in frames:
+            for key, text in zip(pdf.key, pdf.text):
+                files.create_dir(f"{base}/{key}".rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{base}/{key}") as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.select("key", "text").mapInPandas(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

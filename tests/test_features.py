@@ -361,3 +361,35 @@ def test_places(spark):
     assert tables.placed(df.limit(0), "a").count() == 0
     times = spark.createDataFrame([("x", 1.0), ("x", math.nan), ("x", None), ("x", 3.0)], "by string, ms double")
     assert evaluate.latency(times, "by", "ms").collect() == [("x", 3.0, 3.0, 2.0)]
+
+
+def test_stages_and_downloads(spark, tmp_path):
+    from dokuma.operators import records
+    from dokuma.operators.stored import StoredTable
+    from dokuma.sources import keyed
+
+    def extract(text):
+        if text == "away":
+            raise OSError("no")
+        return text.removesuffix("!"), text.endswith("!")
+
+    sources = spark.createDataFrame([("a", '{"summary": 1}'), ("b", '```json\n{"summary": "x"}\n```'), ("c", '{"summ!'), ("d", "[1]"), ("e", "no"), ("f", "away"), ("g", None)], "stem string, text string")
+    single = {r.stem: (r.status, r.payload) for r in records.single_pass(sources.where("stem <> 'g'"), extract).collect()}
+    assert single == {"a": ("ok", '{"summary": 1}'), "b": ("ok", '{"summary": "x"}'), "c": ("truncated", None), "d": ("ok", "[1]"), "e": ("invalid_json", None), "f": ("error", None)}
+    t = StoredTable(spark, str(tmp_path / "stages"))
+    assert records.pending(sources, t, "summary").count() == 7
+    records.store_stage(records.run_stage(sources, "summary", extract), t)
+    assert [tuple(r) for r in records.outcome_table(t.read()).collect()] == [("summary", 2, 1, 2, 2)]  # a null text is the extractor's error
+    left = records.pending(sources, t, "summary")
+    assert {r.stem for r in left.collect()} == set("cdefg") and records.pending(sources, t, "metadata").count() == 7 == records.pending(sources, t, "summary", force=True).count()
+    records.store_stage(records.run_stage(left, "summary", lambda text: ('{"summary": 2}', False)), t)
+    assert [tuple(r) for r in records.outcome_table(t.read()).collect()] == [("summary", 7, 0, 0, 0)]
+
+    base = f"file://{tmp_path}"
+    assert keyed.written(spark.createDataFrame([("x/1.md", "one"), ("2.md", None), ("ü.md", "ü")], "key string, text string"), f"{base}/in") == 3
+    wanted = spark.createDataFrame([("x/1.md",), ("x/1.md",), ("2.md",), ("none.md",), ("x",), (None,)], "key string")
+    first = {r.key: (r.status, r["size"]) for r in keyed.downloaded(wanted, f"{base}/in", f"{base}/out").collect()}
+    assert first == {"x/1.md": ("downloaded", 3), "2.md": ("downloaded", 0), "none.md": ("error", None), "x": ("error", None)}
+    (tmp_path / "out/x/1.md").write_text("o")  # cut short
+    again = {r.key: r.status for r in keyed.downloaded(wanted, f"{base}/in", f"{base}/out").collect()}
+    assert again == {"x/1.md": "downloaded", "2.md": "skipped", "none.md": "error", "x": "error"} and (tmp_path / "out/x/1.md").read_text() == "one"
