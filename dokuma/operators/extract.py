@@ -80,10 +80,11 @@ def chunks_of(text: str, most: int = 1024, overlap: int = 128, tokens: Callable[
     than ``most`` stands alone. Where overlap and sentence do not fit together, the overlap is dropped, not the sentence."""
     out: list[tuple[str, int]] = []
     held: list[tuple[str, int]] = []
+    size = 0  # tokens in held
     fresh = 0  # sentences in held that are not overlap
 
     def close() -> None:
-        nonlocal held, fresh
+        nonlocal held, size, fresh
         if fresh:
             whole = " ".join(s for s, _ in held)
             out.append((whole, tokens(whole)))
@@ -91,23 +92,24 @@ def chunks_of(text: str, most: int = 1024, overlap: int = 128, tokens: Callable[
         for s, c in reversed(held):
             if n + c > overlap:
                 break
-            tail.insert(0, (s, c))
+            tail.append((s, c))
             n += c
-        held, fresh = tail, 0
+        held, size, fresh = tail[::-1], n, 0
 
     for paragraph in PARAGRAPH.split(text or ""):
         for sentence in filter(None, (s.strip() for s in SENTENCE_END.split(paragraph.strip()))):
             n = tokens(sentence)
-            if fresh and sum(c for _, c in held) + n > most:
+            if fresh and size + n > most:
                 close()
-            if not fresh and sum(c for _, c in held) + n > most:
-                held = []
+            if not fresh and size + n > most:
+                held, size = [], 0
             held.append((sentence, n))
+            size += n
             fresh += 1
             if n > most:
                 close()
-                held = []
-        if fresh and sum(c for _, c in held) >= 0.75 * most:
+                held, size = [], 0
+        if fresh and size >= 0.75 * most:
             close()
     if fresh:
         close()

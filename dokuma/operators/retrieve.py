@@ -16,6 +16,7 @@ from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 from dokuma.functions import turkish
 from dokuma.functions.text import turkish_lower
 from dokuma.functions.vectors import cosine, dot, norm, unit
+from dokuma.operators.graph import saved
 
 #: Queries and centroids are broadcast up to this many rows (about 100 MB at 1536 dimensions); beyond, they are dealt
 #: to blocks of vectors by an equi-join.
@@ -236,7 +237,8 @@ def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | N
 
 def bm25(query_terms: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of (query_id, term) over (doc_id, term, tf). Document lengths and frequencies are aggregates before joins;
-    only postings of queried terms reach the score."""
+    only postings of queried terms reach the score. Postings are read twice, so they are written once."""
+    postings = saved(postings.select("doc_id", "term", "tf"), "postings")
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     held = postings.join(query_terms.select("term").distinct(), "term", "left_semi")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dokuma.functions import surface, turkish
-from dokuma.operators import citations, embed, experiments, graph, ingest, metadata, names, precedent, records, resolve, retrieve, scoring, stored, tables, vector_index
+from dokuma.functions import surface, tokens, turkish
+from dokuma.operators import citations, embed, experiments, extract, graph, ingest, metadata, names, precedent, records, resolve, retrieve, scoring, stored, tables, vector_index
 from dokuma.plans import catalog, decisions
 from dokuma.plans.catalog import query, rounded, table
 from dokuma.sources import files, keyed
@@ -221,7 +221,7 @@ q AS (SELECT * FROM (VALUES (1, 'the'), (1, 'er'), (2, 'que'), (2, 'mi'), (3, 'u
 SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (doc_id), whole GROUP BY ALL""")
 def _(spark, sf):
     q = catalog.inline(spark, [(1, "the"), (1, "er"), (2, "que"), (2, "mi"), (3, "und")], "query_id int, term string")
-    return rounded(retrieve.bm25(q, graph.saved(retrieve.terms(table(spark, sf, "documents"), stems=True), "postings")))
+    return rounded(retrieve.bm25(q, retrieve.terms(table(spark, sf, "documents"), stems=True)))
 
 # --- lists of objects
 
@@ -558,3 +558,23 @@ def _(spark, sf):
     before = spark.read.parquet(f"{where}/backup").select("file", F.size("cited").cast("long").alias("backup"))
     report = spark.read.parquet(f"{where}/report").groupBy("file").agg(F.count_if(~F.col("verified")).alias("rejected"))
     return left.select("file", F.array_join("cited", ",").alias("cited")).join(before, "file").join(report, "file")
+
+
+# --- tokens of a byte-level vocabulary instead of words
+
+
+def counter():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("x05_token_chunks")
+def _(spark, sf):
+    """Sentence chunks of at most 256 tokens; no SQL counts these."""
+    return extract.chunk(table(spark, sf, "documents"), 256, 32, tokens.counter(*counter()))
+
+
+@query("f12_token_counts")
+def _(spark, sf):
+    return tokens.token_counts(table(spark, sf, "documents"), *counter())

@@ -393,3 +393,22 @@ def test_stages_and_downloads(spark, tmp_path):
     (tmp_path / "out/x/1.md").write_text("o")  # cut short
     again = {r.key: r.status for r in keyed.downloaded(wanted, f"{base}/in", f"{base}/out").collect()}
     assert again == {"x/1.md": "downloaded", "2.md": "skipped", "none.md": "error", "x": "error"} and (tmp_path / "out/x/1.md").read_text() == "one"
+
+
+def test_token_chunks(spark):
+    import public_tokenizers
+    import tiktoken
+
+    from dokuma.functions import tokens
+    from dokuma.operators import extract
+    from dokuma.plans import catalog, features  # noqa: F401  registers the queries
+
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(tokens.encoding(*features.counter())._mergeable_ranks), special_tokens={})
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    count = lambda t: len(plain.encode_ordinary(t))
+    assert {r.doc_id: r.n_tokens for r in catalog.QUERIES["f12_token_counts"](spark, sf).collect()} == {d: count(t) for d, t in texts.items()}
+    want = {(str(d), i): c for d, t in texts.items() for i, c in enumerate(extract.chunks_of(t, 256, 32, count))}
+    got = {(r.doc_id, r.chunk_index): (r.text, r.token_count) for r in catalog.QUERIES["x05_token_chunks"](spark, sf).collect()}
+    assert got == want and all(n == count(t) for t, n in got.values())
+    assert all(n <= 256 or len(extract.SENTENCE_END.split(t)) == 1 or n <= 256 + 32 for t, n in got.values())
