@@ -1,7 +1,7 @@
 """A stored index of vectors by cells: built once, asked often, reading only the cells that a query can need.
 
 The folder holds ``cells`` (the vectors with their other columns, partitioned by cell), ``centroids`` (cell, centroid,
-radius: the largest angle between the centroid and a vector of the cell) and nothing else. A search ranks the cells of each
+radius: the largest angle between the centroid and a vector of the cell), numbered, of which the last whole one counts. A search ranks the cells of each
 query, joins the table to the cells asked for, so that the scan leaves out all other cells' files (dynamic partition
 pruning), and passes filters on other columns to the scan.
 
@@ -19,34 +19,74 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dokuma.functions.vectors import cosine
-from dokuma.operators import retrieve
-from dokuma.operators.graph import saved
+from dokuma.operators import retrieve, tables
+from dokuma.operators.graph import _files, saved
 
 #: Angles are compared with this much room for rounding.
 SLACK = 1e-7
 
 
+def _put_cells(rows: DataFrame, path: str) -> None:
+    """Add vectors with their cell: a cell that holds very many vectors is written by many tasks."""
+    dealt = rows.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    dealt.sortWithinPartitions("cell", "chunk_id").write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
+
+
+def _put_facts(rows: DataFrame, held: DataFrame, path: str, number: int) -> None:
+    """State centroids (cell, centroid) with the radius and number of the rows (cell, vector)."""
+    near = rows.join(F.broadcast(held), "cell").groupBy("cell").agg(F.min(cosine(F.col("vector"), F.col("centroid"))).alias("least"), F.count("*").alias("n"))
+    facts = held.join(near, "cell").select("cell", "centroid", F.acos(F.least(F.greatest("least", F.lit(-1.0)), F.lit(1.0))).alias("radius"), "n")
+    facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids/{number}")
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole statements of centroids."""
+    folder, files = _files(spark, f"{path}/centroids/*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName()) for f in files.globStatus(folder) or [])
+
+
 def build(vectors: DataFrame, path: str, *, count: int | None = None, centroids: DataFrame | None = None) -> str:
-    """Write the index of (chunk_id, doc_id, vector, ...) to ``path``, which must not exist; count: cells, as for
+    """Write the index of (chunk_id, doc_id, vector, ...) to ``path``, where none may be; count: cells, as for
     ``retrieve.fit_centroids``. Vectors without a direction are in no cell."""
+    spark = vectors.sparkSession
+    if _numbers(spark, path):
+        raise ValueError(f"there is an index at {path}")
     fitted = retrieve.fit_centroids(vectors, count) if centroids is None else centroids
-    held = vectors.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # at most BROADCAST_ROWS, checked by cells()
-    # One task a cell and thousands of rows: a cell that holds very many vectors is written by many tasks.
-    dealt = retrieve.cells(vectors, held).repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-    dealt.sortWithinPartitions("cell", "chunk_id").write.partitionBy("cell").parquet(f"{path}/cells")
-    stored = vectors.sparkSession.read.parquet(f"{path}/cells")
-    near = stored.join(F.broadcast(held), "cell").groupBy("cell").agg(F.min(cosine(F.col("vector"), F.col("centroid"))).alias("least"), F.count("*").alias("n"))
-    facts = held.join(near, "cell").select("cell", "centroid", F.acos(F.least(F.greatest("least", F.lit(-1.0)), F.lit(1.0))).alias("radius"), "n")
-    facts.coalesce(1).write.parquet(f"{path}/centroids")
+    held = spark.createDataFrame(fitted.collect(), fitted.schema)  # at most BROADCAST_ROWS, checked by cells()
+    _put_cells(retrieve.cells(vectors, held), path)
+    _put_facts(spark.read.parquet(f"{path}/cells"), held, path, 0)
     return path
 
 
+def ensure(rows: DataFrame, path: str, *, count: int | None = None) -> str:
+    """Make the index at ``path`` hold these vectors, each chunk_id once; returns what was done: build (there was none), done,
+    resume (chunks that it lacks are added to its cells) or recreate (it holds more than these: all anew). New radii are
+    stated before new vectors are added, so a search between the two misses none of the old ones; an index whose first
+    statement is not whole is made anew."""
+    spark = rows.sparkSession
+    good = rows.where(retrieve.usable("vector"))
+    plan = "build"
+    if numbers := _numbers(spark, path):
+        plan = tables.index_plan(good.count(), vectors(spark, path).count())
+    if plan in ("build", "recreate"):
+        folder, files = _files(spark, path)
+        files.delete(folder, True)
+        build(rows, path, count=count)
+    if plan == "resume":
+        old, known = vectors(spark, path), centroids(spark, path)
+        held = spark.createDataFrame(known.select("cell", "centroid").collect(), "cell int, centroid array<double>")
+        fresh = saved(retrieve.cells(good.join(old.select("chunk_id"), "chunk_id", "left_anti"), held), "fresh-vectors")
+        _put_facts(old.select("cell", "vector").unionByName(fresh.select("cell", "vector")), held, path, numbers[-1] + 1)
+        _put_cells(fresh.select(*old.columns), path)
+    return plan
+
+
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/cells")
 
 
 def centroids(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/centroids")
+    return spark.read.parquet(f"{path}/centroids/{_numbers(spark, path)[-1]}")
 
 
 def probes_for(spark: SparkSession, path: str, queries: DataFrame, k: int, least: float = 0.95) -> int:

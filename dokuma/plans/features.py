@@ -578,3 +578,12 @@ def _(spark, sf):
 @query("f12_token_counts")
 def _(spark, sf):
     return tokens.token_counts(table(spark, sf, "documents"), *counter())
+
+
+@query("k07_index_resumed", catalog.ORACLES["r04_ivf"])
+def _(spark, sf):
+    """An index of a third of the vectors, brought up to all of them by adding what it lacks."""
+    v, path = catalog.vectors(spark, sf), graph.scratch(spark, "index")
+    vector_index.ensure(v.where("chunk_id % 3 = 0"), path)
+    vector_index.ensure(v, path)
+    return rounded(vector_index.search(spark, path, catalog.asked(spark, sf), 10))

@@ -412,3 +412,18 @@ def test_token_chunks(spark):
     got = {(r.doc_id, r.chunk_index): (r.text, r.token_count) for r in catalog.QUERIES["x05_token_chunks"](spark, sf).collect()}
     assert got == want and all(n == count(t) for t, n in got.values())
     assert all(n <= 256 or len(extract.SENTENCE_END.split(t)) == 1 or n <= 256 + 32 for t, n in got.values())
+
+
+def test_index_kept_up(spark, clustered, tmp_path):
+    df, path = spark.createDataFrame(clustered, VECTORS), str(tmp_path / "index")
+    queries = [(i, clustered[i * 50][2]) for i in range(10)]
+    q = spark.createDataFrame(queries, "query_id long, query array<double>")
+    got = lambda: {(r.query_id, r["rank"]): r.chunk_id for r in vector_index.search(spark, path, q, 10).collect()}
+    part = [r for r in clustered if r[0] % 3 == 0]
+    assert vector_index.ensure(spark.createDataFrame(part, VECTORS), path, count=12) == "build" and got() == exact(part, queries, 10)
+    assert vector_index.ensure(df, path) == "resume" and got() == exact(clustered, queries, 10)
+    assert vector_index.ensure(df, path) == "done" and vector_index._numbers(spark, path) == [0, 1]
+    assert vector_index.vectors(spark, path).count() == 600
+    with pytest.raises(ValueError, match="there is an index"):
+        vector_index.build(df, path)
+    assert vector_index.ensure(spark.createDataFrame(part, VECTORS), path, count=5) == "recreate" and got() == exact(part, queries, 10)
