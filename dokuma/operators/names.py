@@ -5,17 +5,19 @@ it bounds decides who meets whom, so that no name is compared with the whole voc
 
 * lengths: M is at most the shorter length, so a partner of a name of length l has between l c / (2 - c) and
   l (2 - c) / c letters at a ratio of at least c;
-* bigrams: between two blocks at least one letter is unmatched, so there are at most T - 2 M + 1 blocks and M less their
-  number, 3 M - T - 1 at least, bigrams in common;
+* grams: between two blocks at least one letter is unmatched, so there are at most T - 2 M + 1 blocks, and a block of b letters
+  has b - 1 bigrams and b - 2 trigrams: at least 3 M - T - 1 bigrams and 5 M - 2 T - 2 trigrams are in common. Names long
+  enough that this leaves them a trigram are asked by trigrams, which are rarer, the others by bigrams;
 * prefixes: sorted from the rarest on, two sets that share s of their n bigrams share one among the first n - s + 1 of
   each. Names meet by an equi-join on those and on a band of lengths; only distinct pairs that also have enough letters in
   common are aligned.
 
-The bounds need a ratio over 2/3. Repeated bigrams of a name count apart, by their number.
+The bounds need a ratio over 2/3. Repeated grams of a name count apart, by their number.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -28,35 +30,47 @@ from pyspark.sql import functions as F
 BAND = 4
 
 
-def _grams(names: DataFrame) -> DataFrame:
-    """(name, n, gram): the different (bigram, its number) of every name of two or more letters."""
-    at = F.explode(F.sequence(F.lit(1), F.length("name") - 1))
-    each = names.where(F.length("name") > 1).select("name", at.alias("i")).select("name", "i", F.expr("substr(name, i, 2)").alias("two"))
-    number = F.row_number().over(Window.partitionBy("name", "two").orderBy("i"))
-    return each.select("name", F.length("name").alias("n"), F.concat("two", number.cast("string")).alias("gram"))
+def _grams(names: DataFrame, size: int) -> DataFrame:
+    """(name, n, gram, size): the different (letters, their number) of every name that has so many."""
+    at = F.explode(F.sequence(F.lit(1), F.length("name") - (size - 1)))
+    each = names.where(F.length("name") >= size).select("name", at.alias("i")).select("name", "i", F.expr(f"substr(name, i, {size})").alias("part"))
+    number = F.row_number().over(Window.partitionBy("name", "part").orderBy("i"))
+    return each.select("name", F.length("name").alias("n"), F.concat("part", number.cast("string")).alias("gram"), F.lit(size).alias("size"))
+
+
+def _shared(n: Column, size: int, least: float) -> Column:
+    """So many grams at least a name of n letters has in common with a partner."""
+    together = n + F.ceil(n * least / (2 - least) - 1e-9)
+    slope, less = (1.5 * least - 1, 1) if size == 2 else (2.5 * least - 2, 2)
+    return F.greatest(F.lit(1), F.ceil(slope * together - less - 1e-9))
 
 
 def _prefixes(grams: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """(name, n, gram): each name's rarest bigrams, as many as any partner's must meet."""
-    rare = Window.partitionBy("name").orderBy(F.coalesce("df", F.lit(0)), "gram")
-    shortest = F.ceil(F.col("n") * least / (2 - least) - 1e-9)
-    shared = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * (F.col("n") + shortest) - 1 - 1e-9))
-    ranked = grams.join(frequency, "gram", "left").withColumn("place", F.row_number().over(rare))
-    return ranked.where(F.col("place") <= F.col("n") - 1 - shared + 1).select("name", "n", "gram")
+    """(name, n, gram, size): each name's rarest grams, as many as any partner's must meet."""
+    rare = Window.partitionBy("name", "size").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    shared = F.when(F.col("size") == 2, _shared(F.col("n"), 2, least)).otherwise(_shared(F.col("n"), 3, least))
+    ranked = grams.join(frequency, ["gram", "size"], "left").withColumn("place", F.row_number().over(rare))
+    return ranked.where(F.col("place") <= F.col("n") - F.col("size") + 1 - shared + 1).select("name", "n", "gram", "size")
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left, right): different names that may be alike, from two tables of distinct ``name``."""
     if least <= 2 / 3:
         raise ValueError("the bounds need a ratio over 2/3")
-    a, b = _grams(left), _grams(right)
-    frequency = b.groupBy("gram").agg(F.count("*").alias("df"))
+    slope = 2.5 * least - 2
+    # From this length on a trigram is in common with every partner.
+    long = math.ceil(3 / slope / (1 + least / (2 - least))) + 1 if slope > 0.05 else None
+    short = left if long is None else left.where(F.length("name") < long)
+    a, b = _grams(short, 2), _grams(right, 2)
+    if long is not None:
+        a, b = a.union(_grams(left.where(F.length("name") >= long), 3)), b.union(_grams(right, 3))
+    frequency = b.groupBy("gram", "size").agg(F.count("*").alias("df"))
     band = lambda x: F.floor(x / BAND)
     low, high = F.col("n") * least / (2 - least), F.col("n") * (2 - least) / least
-    asked = _prefixes(a, frequency, least).select(F.col("name").alias("left"), F.col("n").alias("l"), "gram", F.explode(F.sequence(band(F.ceil(low - 1e-9)), band(F.floor(high + 1e-9)))).alias("band"))
-    there = _prefixes(b, frequency, least).select(F.col("name").alias("right"), F.col("n").alias("r"), "gram", band(F.col("n")).alias("band"))
+    asked = _prefixes(a, frequency, least).select(F.col("name").alias("left"), F.col("n").alias("l"), "gram", "size", F.explode(F.sequence(band(F.ceil(low - 1e-9)), band(F.floor(high + 1e-9)))).alias("band"))
+    there = _prefixes(b, frequency, least).select(F.col("name").alias("right"), F.col("n").alias("r"), "gram", "size", band(F.col("n")).alias("band"))
     near = 2 * F.least("l", "r") >= least * (F.col("l") + F.col("r")) - 1e-9
-    return asked.join(there, ["gram", "band"]).where(near & (F.col("left") != F.col("right"))).select("left", "right").distinct()
+    return asked.join(there, ["gram", "size", "band"]).where(near & (F.col("left") != F.col("right"))).select("left", "right").distinct()
 
 
 def ratio(left: Column, right: Column, least: float) -> Column:

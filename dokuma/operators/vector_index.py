@@ -24,11 +24,15 @@ from dokuma.operators.graph import _files, saved
 
 #: Angles are compared with this much room for rounding.
 SLACK = 1e-7
+#: A cell is written in one file for every so many vectors of the whole table.
+FILE_ROWS = 2_000_000
 
 
 def _put_cells(rows: DataFrame, path: str) -> None:
-    """Add vectors with their cell: a cell that holds very many vectors is written by many tasks."""
-    dealt = rows.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    """Add vectors with their cell. The more there are, the more tasks and files a cell gets, so that a hot one is spread."""
+    rows = saved(rows, "in-cells")
+    parts = 1 + rows.count() // FILE_ROWS
+    dealt = rows.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
     dealt.sortWithinPartitions("cell", "chunk_id").write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
 
 
