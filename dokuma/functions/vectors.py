@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector divided by its length; a zero vector stays."""
-    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) > 0, norm(a)).otherwise(1.0))
+    """The vector divided by its length; a zero vector stays. The length is found once, not once a component."""
+    length = F.when(norm(a) > 0, norm(a)).otherwise(1.0)
+    return F.get(F.transform(F.array(length), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
