@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType, DoubleType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 from dokuma.functions import turkish
 from dokuma.functions.text import turkish_lower
@@ -151,14 +151,25 @@ def probes_for(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
 
 
 def cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Every vector that has a direction, with the cell of its nearest centroid (cell, centroid). The number of centroids is
-    checked."""
-    held = centroids.select("cell", "centroid")
-    if held.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("too many centroids to broadcast")
-    scored = vectors.where(usable("vector")).join(F.broadcast(held.agg(F.collect_list(F.struct("cell", "centroid")).alias("all"))))
-    ranked = F.array_max(F.transform("all", lambda c: F.struct(cosine(F.col("vector"), c["centroid"]).alias("score"), (-c["cell"]).alias("negative"))))
-    return scored.select(*vectors.columns, (-ranked["negative"]).alias("cell"))
+    """Every vector that has a direction, with the cell of its nearest centroid (cell, centroid), the smaller of two equally
+    near. The number of centroids is checked; a batch of vectors meets all of them by one matrix product."""
+    held = sorted(centroids.select("cell", "centroid").limit(BROADCAST_ROWS + 1).collect(), key=lambda r: r.cell)
+    if not 0 < len(held) <= BROADCAST_ROWS:
+        raise ValueError("no centroids, or too many to broadcast")
+    numbers, matrix = np.array([r.cell for r in held], np.int32), np.array([r.centroid for r in held], np.float64)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    place = vectors.columns.index("vector")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(place).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(v) != batch.num_rows * matrix.shape[1]:
+                raise ValueError("vectors and centroids differ in length")
+            near = (v.reshape(batch.num_rows, -1) @ matrix.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers[near])], [*batch.schema.names, "cell"])
+
+    schema = StructType([*vectors.schema.fields, StructField("cell", IntegerType())])
+    return vectors.where(usable("vector")).mapInArrow(work, schema)
 
 
 def probe(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, probes: int = 16) -> DataFrame:
