@@ -35,6 +35,7 @@ def test_graph(spark):
 
 @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
 def test_recall_of_fitted_cells(spark, folder):
+    from dokuma.plans import features  # noqa: F401  registers queries of its own
     from dokuma.plans.catalog import QUERIES
 
     exact = {(r.query_id, r.chunk_id) for r in QUERIES["r03_chunks"](spark, f"/root/testdata/{folder}").where("rank <= 10").collect()}
@@ -61,6 +62,7 @@ def test_graph_build(spark):
 
 
 def test_graph_query(spark):
+    from dokuma.plans import features  # noqa: F401  registers queries of its own
     from dokuma.plans.catalog import QUERIES
 
     got = {(r.src_label, r.type, r.dst_label) for r in QUERIES["r15_graph"](spark, "/root/testdata/sf0.001").collect()}
