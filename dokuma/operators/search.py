@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from dokuma.operators import evaluate, extract, graph, retrieve
 
 log = logging.getLogger(__name__)
+#: Scores that agree in so many digits behind the point are ties, which the smaller doc_id wins.
+TIE_DIGITS = 10
 NUMBER = r"\b(?:19|20)\d{2}/\d+\b"
 
 
@@ -44,7 +46,8 @@ def search(dense: DataFrame, edges: Callable[[], DataFrame] | None, *, use_graph
         candidates = graph.saved(dense.select("query_id", "doc_id").union(graph.neighbours(first, e, hops)).distinct(), "candidates")
         fused = retrieve.fuse_graph(dense, graph.personal_pagerank(candidates, first, e), weight)
         found = fused.select("query_id", "doc_id", "score", "graph_score", F.lit("graph").alias("mode"))
-    return retrieve.best(found, "query_id", k, F.desc("score"), F.asc("doc_id"))
+    # Sums of a walk differ in their last bits where documents stand alike in the graph: those are ties.
+    return retrieve.best(found, "query_id", k, F.desc(F.round("score", TIE_DIGITS)), F.asc("doc_id"))
 
 
 def fuse_indexes(*runs: tuple[DataFrame, float]) -> DataFrame:
