@@ -6,13 +6,13 @@ it bounds decides who meets whom, so that no name is compared with the whole voc
 * lengths: M is at most the shorter length, so a partner of a name of length l has between l c / (2 - c) and
   l (2 - c) / c letters at a ratio of at least c;
 * grams: between two blocks at least one letter is unmatched, so there are at most T - 2 M + 1 blocks, and a block of b letters
-  has b - 1 bigrams and b - 2 trigrams: at least 3 M - T - 1 bigrams and 5 M - 2 T - 2 trigrams are in common. Names long
-  enough that this leaves them a trigram are asked by trigrams, which are rarer, the others by bigrams;
-* prefixes: sorted from the rarest on, two sets that share s of their n bigrams share one among the first n - s + 1 of
-  each. Names meet by an equi-join on those and on a band of lengths; only distinct pairs that also have enough letters in
-  common are aligned.
-
-The bounds need a ratio over 2/3. Repeated grams of a name count apart, by their number.
+  has b - q + 1 grams of q letters: at least M - (q - 1) (T - 2 M + 1) places hold equal grams in both names, in one order;
+* places: what stands before a matched letter differs by unmatched letters only, so its two places lie no further apart than
+  the longer of the two names has unmatched letters, and two such distances differ by T - 2 M at most;
+* prefixes: sorted from the rarest gram on, of two names with s such places among n and m the first two are among the first
+  n - s + 2 of the one and m - s + 2 of the other. So names meet by an equi-join on pairs of their rare grams, which hardly
+  any two names share by chance; where names are too long or too short for pairs, on single grams. What meets is held
+  against the bounds on lengths and places, then the edit distance (T - 2 M at most), and only what is left is aligned.
 """
 
 from __future__ import annotations
@@ -23,54 +23,92 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lengths meet in bands of so many letters.
-BAND = 4
-
-
-def _grams(names: DataFrame, size: int) -> DataFrame:
-    """(name, n, gram, size): the different (letters, their number) of every name that has so many."""
-    at = F.explode(F.sequence(F.lit(1), F.length("name") - (size - 1)))
-    each = names.where(F.length("name") >= size).select("name", at.alias("i")).select("name", "i", F.expr(f"substr(name, i, {size})").alias("part"))
-    number = F.row_number().over(Window.partitionBy("name", "part").orderBy("i"))
-    return each.select("name", F.length("name").alias("n"), F.concat("part", number.cast("string")).alias("gram"), F.lit(size).alias("size"))
-
-
-def _shared(n: Column, size: int, least: float) -> Column:
-    """So many grams at least a name of n letters has in common with a partner."""
-    together = n + F.ceil(n * least / (2 - least) - 1e-9)
-    slope, less = (1.5 * least - 1, 1) if size == 2 else (2.5 * least - 2, 2)
-    return F.greatest(F.lit(1), F.ceil(slope * together - less - 1e-9))
-
-
-def _prefixes(grams: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """(name, n, gram, size): each name's rarest grams, as many as any partner's must meet."""
-    rare = Window.partitionBy("name", "size").orderBy(F.coalesce("df", F.lit(0)), "gram")
-    shared = F.when(F.col("size") == 2, _shared(F.col("n"), 2, least)).otherwise(_shared(F.col("n"), 3, least))
-    ranked = grams.join(frequency, ["gram", "size"], "left").withColumn("place", F.row_number().over(rare))
-    return ranked.where(F.col("place") <= F.col("n") - F.col("size") + 1 - shared + 1).select("name", "n", "gram", "size")
+#: Names meet by pairs of grams where no more than so many of one name are needed.
+PAIRS = 1_000
+#: A scheme of grams serves where this share of a name's grams, its most frequent ones, need not be looked at.
+SPARED = 0.25
+
+
+def _matched(both: int, least: float) -> int:
+    """The letters in blocks that two names with so many letters together have at least."""
+    return math.ceil(least * both / 2 - 1e-9)
+
+
+def _scheme(n: int, m: int, least: float) -> tuple[int, int, int]:
+    """(letters of a gram, grams of a key, equal grams at least) by which names of n and m letters meet."""
+    both, shorter = n + m, min(n, m)
+    matched = _matched(both, least)
+    found = []
+    for size in range(min(4, shorter), 0, -1):
+        shared = matched - (size - 1) * (both - 2 * matched + 1)
+        spared = SPARED * (shorter - size + 1)
+        p = max(n, m) - size + 1 - shared + 2
+        if shared - 2 >= spared and p * (p - 1) // 2 <= PAIRS:
+            return size, 2, shared
+        if shared >= 1:
+            found.append((shared - 1 < spared, -size, size, shared))
+    _, _, size, shared = min(found)
+    return size, 1, shared
+
+
+def _schemes(left: list[int], right: list[int], least: float) -> dict[bool, list[tuple[int, int, int, int]]]:
+    """For either side (right?) the (letters of a name, of a gram, grams of a key, length of the prefix), which serve all
+    lengths that can meet; equal lengths' names of fewer letters than one mismatch allows can only be equal."""
+    most: dict[bool, dict[tuple[int, int, int], int]] = {False: {}, True: {}}
+    for n in left:
+        for m in right:
+            if n and m and 2 * min(n, m) >= least * (n + m) - 1e-9 and 2 * _matched(n + m, least) < n + m:
+                size, grams, shared = _scheme(n, m, least)
+                for side, x in ((False, n), (True, m)):
+                    key = (x, size, grams)
+                    most[side][key] = max(most[side].get(key, 0), x - size + 1 - shared + grams)
+    return {side: [(*k, v) for k, v in x.items()] for side, x in most.items()}
+
+
+def _occurrences(names: DataFrame, schemes: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(id, n, size, grams, first, place, gram): every gram of every name at its place, for each scheme of its length."""
+    plan = names.sparkSession.createDataFrame(schemes, "n int, size int, grams int, first int")
+    each = names.select("name", F.xxhash64("name").alias("id"), F.length("name").alias("n")).join(F.broadcast(plan), "n")
+    placed = each.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("place"))
+    return placed.select("id", "n", "size", "grams", "first", "place", F.expr("substr(name, place, size)").alias("gram"))
+
+
+def _keys(occurrences: DataFrame, frequency: DataFrame, side: str) -> DataFrame:
+    """(key, grams, id, n, a, b): the keys of every name's rarest grams and the places of their two (or one) grams."""
+    rare = occurrences.join(frequency, ["gram", "size"], "left").groupBy("id", "n", "size", "grams", "first").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "place"))).alias("all"))
+    first = rare.select("id", "n", "size", "grams", F.slice("all", F.lit(1), F.col("first")).alias("all"))
+    one = first.select("*", F.posexplode("all").alias("i", "x"))
+    rest = F.when(F.col("grams") == 1, F.array("x")).otherwise(F.slice("all", F.col("i") + 2, F.size("all")))
+    two = one.select("id", "n", "size", "grams", "x", F.explode(rest).alias("y"))
+    key = F.xxhash64("x.gram", "y.gram", "size", "grams")
+    return two.select(key.alias("key"), *[c.alias(side + n) for n, c in {"id": F.col("id"), "n": F.col("n"), "a": F.col("x.place"), "b": F.col("y.place")}.items()])
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left, right): different names that may be alike, from two tables of distinct ``name``."""
     if least <= 2 / 3:
         raise ValueError("the bounds need a ratio over 2/3")
-    slope = 2.5 * least - 2
-    # From this length on a trigram is in common with every partner.
-    long = math.ceil(3 / slope / (1 + least / (2 - least))) + 1 if slope > 0.05 else None
-    short = left if long is None else left.where(F.length("name") < long)
-    a, b = _grams(short, 2), _grams(right, 2)
-    if long is not None:
-        a, b = a.union(_grams(left.where(F.length("name") >= long), 3)), b.union(_grams(right, 3))
+    lengths = lambda df: [r[0] for r in df.select(F.length("name")).distinct().collect()]  # noqa: E731  a row a length
+    schemes = _schemes(lengths(left), lengths(right), least)
+    none = left.select(F.col("name").alias("left"), F.col("name").alias("right")).limit(0)
+    if not schemes[False]:
+        return none
+    a, b = _occurrences(left, schemes[False]), _occurrences(right, schemes[True])
     frequency = b.groupBy("gram", "size").agg(F.count("*").alias("df"))
-    band = lambda x: F.floor(x / BAND)
-    low, high = F.col("n") * least / (2 - least), F.col("n") * (2 - least) / least
-    asked = _prefixes(a, frequency, least).select(F.col("name").alias("left"), F.col("n").alias("l"), "gram", "size", F.explode(F.sequence(band(F.ceil(low - 1e-9)), band(F.floor(high + 1e-9)))).alias("band"))
-    there = _prefixes(b, frequency, least).select(F.col("name").alias("right"), F.col("n").alias("r"), "gram", "size", band(F.col("n")).alias("band"))
-    near = 2 * F.least("l", "r") >= least * (F.col("l") + F.col("r")) - 1e-9
-    return asked.join(there, ["gram", "size", "band"]).where(near & (F.col("left") != F.col("right"))).select("left", "right").distinct()
+    both = F.col("ln") + F.col("rn")
+    matched = F.ceil(least * both / 2 - 1e-9)
+    lone = both - 2 * matched
+    shift = F.greatest("ln", "rn") - matched
+    near = (2 * F.least("ln", "rn") >= least * both - 1e-9) & (F.abs(F.col("la") - F.col("ra")) <= shift) & (F.abs(F.col("lb") - F.col("rb")) <= shift)
+    near &= F.abs((F.col("lb") - F.col("la")) - (F.col("rb") - F.col("ra"))) <= lone
+    met = _keys(a, frequency, "l").join(_keys(b, frequency, "r"), "key").where(near).select("lid", "rid").distinct()
+    # Names that share an id, if ever two do, come both; the distance and the ratio see the names themselves.
+    named = met.join(left.select(F.xxhash64("name").alias("lid"), F.col("name").alias("left")), "lid").join(right.select(F.xxhash64("name").alias("rid"), F.col("name").alias("right")), "rid")
+    both = F.length("left") + F.length("right")
+    return named.where((F.col("left") != F.col("right")) & (F.levenshtein("left", "right") <= both - 2 * F.ceil(least * both / 2 - 1e-9))).select("left", "right")
 
 
 def ratio(left: Column, right: Column, least: float) -> Column:

@@ -19,14 +19,14 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def name_links(cited: DataFrame, keys: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
-    """(name, key): how each cited name finds index keys. Exact; else by prefix, an equi-join on the prefix's first five
-    letters; else by the closest name of the vocabulary. Only distinct names and keys take part."""
+    """(name, key): how each cited name finds index keys. Exact; else by prefix, an equi-join on the keys' beginnings of
+    every length that a cited name has; else by the closest name of the vocabulary. Only distinct names and keys take part."""
     named = cited.select(F.col("chamber").alias("name")).distinct().withColumn("name_key", chamber_key(F.col("name"))).where("name_key <> ''")
     exact = named.join(keys, named.name_key == keys.key).select("name", "key")
     rest = named.join(exact, "name", "left_anti")
-    cut = lambda c: F.substring(c, 1, SHORTEST_PREFIX)
     long = rest.where(F.length("name_key") >= SHORTEST_PREFIX)
-    prefix = long.join(keys, (cut("name_key") == cut("key")) & F.startswith("key", "name_key")).select("name", "key")
+    heads = keys.join(F.broadcast(long.select(F.length("name_key").alias("n")).distinct()), F.col("n") <= F.length("key")).select("key", F.expr("substr(key, 1, n)").alias("head"))
+    prefix = long.join(heads, F.col("name_key") == F.col("head")).select("name", "key")
     out = exact.union(prefix)
     if vocabulary is None:
         return out

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from dokuma.operators import graph, records, search
+import hashlib
+
+from pyspark.sql import functions as F
+
+from dokuma.functions.text import chamber_key
+from dokuma.operators import graph, names, records, resolve, search
 
 
 def test_ties_of_a_search(spark, monkeypatch):
@@ -21,3 +26,31 @@ def test_number_of_a_law_in_a_text(spark):
     cited = spark.createDataFrame([(f, 3, "Türk Medeni Kanunu", None) for f in "ab"], "file string, index int, law string, law_number string")
     texts = spark.createDataFrame([("a", "+1 (866) 555-4721 the"), ("b", "+1 (866) 555-47210")], "file string, text string")
     assert {r.file: r.verified for r in records.check_laws(cited, texts, laws).collect()} == {"a": True, "b": False}
+
+
+def alike_names(n: int) -> list[str]:
+    return ["Kurul " + hashlib.md5(str(i).encode()).hexdigest()[:24] for i in range(n)]
+
+
+def test_names_with_one_beginning(spark):
+    """Names that share a beginning and few letters: pairs to align are about as many as there are names that are alike."""
+    right = alike_names(3000)
+    left = [w[: 7 + i % 20] + "z" + w[8 + i % 20 :] for i, w in enumerate(right)] + [w[::-1] for w in right[:500]]
+    a, b = (spark.createDataFrame([(w,) for w in x], "name string") for x in (left, right))
+    assert names.candidates(a, b, 0.88).count() < 2 * len(right)
+    assert {(r.left, r.right) for r in names.closest(a, b).collect()} == set(zip(left, right))
+
+
+def test_short_names_without_common_pairs_of_letters(spark):
+    a, b = (spark.createDataFrame([(w,) for w in x], "name string") for x in (["ab", "b"], ["axb", "b", "c"]))
+    assert {tuple(r) for r in names.alike(a, b, 0.75).collect()} == {("ab", "axb", 0.8), ("b", "b", 1.0)}
+
+
+def test_prefixes_under_one_beginning(spark):
+    """A cited name meets the keys that begin with it, not all that share five letters with it."""
+    keys = spark.createDataFrame([(w,) for w in alike_names(2000)], "name string").select(chamber_key(F.col("name")).alias("key"))
+    cited = spark.createDataFrame([(w[:20],) for w in alike_names(1000)] + [("Kurul",), ("Kuru",), (None,)], "chamber string")
+    links = resolve.name_links(cited, keys, None)
+    assert {r.name: r.n for r in links.groupBy("name").agg(F.count("*").alias("n")).collect()} == {w[:20]: 1 for w in alike_names(1000)} | {"Kurul": 2000}
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" not in plan
