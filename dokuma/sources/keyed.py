@@ -2,10 +2,11 @@
 
 ``spark.dataSource.register(KeyedFiles)`` makes the format ``keyed_files`` known. Options: ``path`` (a folder's URI that Arrow's
 file systems open), ``suffix`` (.json), ``depth`` (of the folders that become partitions, 1), ``page`` (keys a trigger of
-the stream, 1000), ``slice`` (keys a partition of a trigger, 100), ``ledger`` (the stream's own folder).
+the stream, 1000), ``slice`` (keys a partition of a trigger, 100), ``ledger`` (the stream's own folder), ``contents`` (false:
+keys and sizes only), ``replace`` (true: bytes that are no UTF-8 are replaced, not an error).
 
 A row is (key, size, body, error): the key below ``path``, and the file's text, or why it could not be read; no file stops a
-load. Read whole, every folder at ``depth`` is a partition that its task lists itself, so no list of all keys is anywhere.
+load. Rows are handed over by their bytes, so a task holds some files at a time, whatever their size. Read whole, every folder at ``depth`` is a partition that its task lists itself, so no list of all keys is anywhere.
 
 As a stream, the offset is the last key read: keys are walked in order, folders that lie before it are not listed, and a
 trigger takes the next ``page`` keys. So files must arrive under rising keys; one that sorts before the offset is not seen.
@@ -21,12 +22,16 @@ from dataclasses import dataclass
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "key string, size long, body string, error string"
+COLUMNS = pa.schema([("key", pa.string()), ("size", pa.int64()), ("body", pa.string()), ("error", pa.string())])
+#: Bytes and rows of files handed over at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -57,15 +62,34 @@ def folders(files: fs.FileSystem, base: str, depth: int, folder: str = "") -> It
                 yield from folders(files, base, depth - 1, f"{folder}{i.base_name}/")
 
 
-def fetched(files: fs.FileSystem, base: str, keys: Iterator[tuple[str, int]]) -> Iterator[tuple]:
+def fetched(files: fs.FileSystem, base: str, keys: Iterator[tuple[str, int]], replace: bool = False) -> Iterator[tuple]:
     for key, size in keys:
         try:
             with files.open_input_stream(f"{base}/{key}") as f:
-                yield key, size, f.read().decode(), None
+                yield key, size, f.read().decode(errors="replace" if replace else "strict"), None
         except (OSError, UnicodeDecodeError) as failed:
             yield key, size, None, str(failed)[:300]
 
 
+def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches that hold about ``BATCH_BYTES`` of texts."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[2] or "") + 100
+        if n >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), COLUMNS)], schema=COLUMNS)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), COLUMNS)], schema=COLUMNS)
+
+
+def _rows(options: dict, files: fs.FileSystem, base: str, keys: Iterator[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    if options.get("contents", "true").lower() == "false":
+        return batches((key, size, None, None) for key, size in keys)
+    return batches(fetched(files, base, keys, options.get("replace", "false").lower() == "true"))
+
+
 @dataclass
 class Folder(InputPartition):
     folder: str
@@ -84,9 +108,9 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Folder]:
         return [Folder(*x) for x in folders(*_opened(self.options["path"]), int(self.options.get("depth", 1)))]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         files, base = _opened(self.options["path"])
-        yield from fetched(files, base, walk(files, base, partition.folder, suffix=self.options.get("suffix", ".json"), deep=partition.deep))
+        yield from _rows(self.options, files, base, walk(files, base, partition.folder, suffix=self.options.get("suffix", ".json"), deep=partition.deep))
 
 
 class StreamReader(DataSourceStreamReader):
@@ -137,8 +161,8 @@ class StreamReader(DataSourceStreamReader):
             keys.append((key, size))
         return [Keys(keys[i : i + self.slice]) for i in range(0, len(keys), self.slice)]
 
-    def read(self, partition: Keys) -> Iterator[tuple]:
-        yield from fetched(*_opened(self.options["path"]), iter(partition.keys))
+    def read(self, partition: Keys) -> Iterator[pa.RecordBatch]:
+        yield from _rows(self.options, *_opened(self.options["path"]), iter(partition.keys))
 
     def commit(self, end: dict) -> None:
         pass
@@ -216,9 +240,13 @@ def written(rows: DataFrame, target: str) -> int:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = _opened(target)
+        made = set()
         for pdf in frames:
             for key, text in zip(pdf.key, pdf.text):
-                files.create_dir(f"{base}/{key}".rpartition("/")[0], recursive=True)
+                folder = f"{base}/{key}".rpartition("/")[0]
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with files.open_output_stream(f"{base}/{key}") as f:
                     f.write((text or "").encode())
             yield pd.DataFrame({"n": [len(pdf)]})
