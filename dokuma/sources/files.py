@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dokuma.functions.text import nfc
+from dokuma.sources import keyed
 
 EMBEDDED = (
     "metadata struct<court:string, daire:string, esas_no:string, karar_no:string, filename:string, court_level:int, law_branch:string, decision_date:string, topic_keywords:array<string>>, "
@@ -13,15 +14,20 @@ EMBEDDED = (
 )
 
 
+def _name(key: Column) -> Column:
+    return F.substring_index(key, "/", -1)
+
+
 def listing(spark: SparkSession, path: str, suffix: str = "md") -> DataFrame:
-    """(filename, length) of a folder's files, contents not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("filename"), "length")
+    """(filename, length) of a folder's files and those of folders in it, contents not read. Each folder is listed by a task."""
+    return keyed.read(spark, path, suffix=f".{suffix}", contents="false").select(_name(F.col("key")).alias("filename"), F.col("size").alias("length"))
 
 
 def texts(spark: SparkSession, path: str, suffix: str = "md") -> DataFrame:
-    """(filename, text), one row a file."""
-    return spark.read.option("pathGlobFilter", f"*.{suffix}").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
+    """(filename, text), one row a file, of a folder and the folders in it. Each folder is listed and read by a task, so
+    many files are best laid in many folders; a file that cannot be read is an error."""
+    rows = keyed.read(spark, path, suffix=f".{suffix}", replace="true")
+    return rows.select(_name(F.col("key")).alias("filename"), F.when(F.col("error").isNull(), F.col("body")).otherwise(F.raise_error(F.concat_ws(": ", "key", "error")).cast("string")).alias("text"))
 
 
 def with_fallback(wanted: DataFrame, near: DataFrame, far: DataFrame) -> DataFrame:
@@ -46,9 +52,13 @@ def metadata_lookup(metadata: DataFrame, names: DataFrame, columns: list[str]) -
 
 
 def embedded_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with their chunks, corrupt files' texts) of pre-embedded JSON documents."""
-    rows = spark.read.schema(EMBEDDED).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt IS NULL").drop("_corrupt"), rows.where("_corrupt IS NOT NULL").select("_corrupt")
+    """(documents with their chunks, corrupt files' texts) of pre-embedded JSON documents, a file each or as an array, in a
+    folder and the folders in it; each folder is listed and read by a task."""
+    body = texts(spark, path, "json").where(F.trim("text") != "").select("text")
+    each = body.select(F.explode(F.coalesce(F.when(F.ltrim("text").startswith("["), F.from_json("text", "array<string>")), F.array("text"))).alias("text"))
+    rows = each.select("text", F.from_json("text", EMBEDDED, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~bad).select("r.*").drop("_corrupt"), rows.where(bad).select(F.col("text").alias("_corrupt"))
 
 
 def reload(df: DataFrame, path: str) -> bool:

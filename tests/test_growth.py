@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dokuma.functions.text import chamber_key
 from dokuma.operators import graph, names, records, resolve, search
+from dokuma.sources import files, keyed
 
 
 def test_ties_of_a_search(spark, monkeypatch):
@@ -54,3 +55,30 @@ def test_prefixes_under_one_beginning(spark):
     assert {r.name: r.n for r in links.groupBy("name").agg(F.count("*").alias("n")).collect()} == {w[:20]: 1 for w in alike_names(1000)} | {"Kurul": 2000}
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "StartsWith" not in plan
+
+
+def test_files_by_folders(spark, tmp_path):
+    """Files are listed and read by a task a folder, and handed over by their bytes."""
+    rows = spark.createDataFrame([(f"{i % 5}/{i}.txt", None if i == 7 else "ı" * i) for i in range(40)], "key string, text string")
+    assert keyed.written(rows, str(tmp_path)) == 40
+    (tmp_path / "0" / "bad.txt").write_bytes(b"a\xff")
+    texts, listed = files.texts(spark, str(tmp_path), "txt"), files.listing(spark, str(tmp_path), "txt")
+    assert texts.rdd.getNumPartitions() == listed.rdd.getNumPartitions() == 6
+    assert {r.filename: r.text for r in texts.collect()} == {f"{i}.txt": "" if i == 7 else "ı" * i for i in range(40)} | {"bad.txt": "a�"}
+    assert {r.filename: r.length for r in listed.collect()} == {f"{i}.txt": 0 if i == 7 else 2 * i for i in range(40)} | {"bad.txt": 2}
+
+
+def test_batches_of_large_files():
+    whole = [(str(i), 1, "x" * 1_000_000, None) for i in range(40)] + [("gone", 0, None, "no file")]
+    got = list(keyed.batches(iter(whole)))
+    assert max(b.nbytes for b in got) < 2 * keyed.BATCH_BYTES and [tuple(r.values()) for b in got for r in b.to_pylist()] == whole
+
+
+def test_embedded_documents(spark, tmp_path):
+    one = '{"metadata": {"court": "c", "esas_no": "%d"}, "chunks": [{"chunk_index": 0, "embedding": [0.5]}]}'
+    for name, text in {"a": one % 1, "b": f"[{one % 2},\n {one % 3}]", "c": (one % 4)[:20], "d": "", "e": "["}.items():
+        (tmp_path / "0").mkdir(exist_ok=True)
+        (tmp_path / "0" / f"{name}.json").write_text(text)
+    good, bad = files.embedded_documents(spark, str(tmp_path))
+    assert {(r.metadata.esas_no, r.chunks[0].embedding[0]) for r in good.collect()} == {("1", 0.5), ("2", 0.5), ("3", 0.5)}
+    assert {r[0] for r in bad.collect()} == {(one % 4)[:20], "["}
