@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dokuma.functions.pieces import pieces
+
 # Field -> (kind, weight); parts of nested objects; for lists of objects, the parts that identify an item
 # and those that are compared. Least similarity of matching items and of matching strings.
 FIELDS = {
@@ -245,7 +247,7 @@ def scored(gold: DataFrame, results: DataFrame) -> DataFrame:
         return got if isinstance(got, dict) else None
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in pieces(frames, "gold", "result"):
             rows = []
             for file, a, b in zip(pdf.file, pdf.gold, pdf.result):
                 a, b = parsed(a), parsed(b)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from dokuma.functions.text import chamber_key
-from dokuma.operators import graph, names, records, resolve, search
+from dokuma.functions.pieces import pieces
+from dokuma.operators import graph, names, records, resolve, scoring, search
 from dokuma.sources import files, keyed
 
 
@@ -82,3 +84,22 @@ def test_embedded_documents(spark, tmp_path):
     good, bad = files.embedded_documents(spark, str(tmp_path))
     assert {(r.metadata.esas_no, r.chunks[0].embedding[0]) for r in good.collect()} == {("1", 0.5), ("2", 0.5), ("3", 0.5)}
     assert {r[0] for r in bad.collect()} == {(one % 4)[:20], "["}
+
+
+def test_pieces():
+    frames = [pd.DataFrame({"doc_id": range(5000), "text": ["x" * 1000, None] * 2500}), pd.DataFrame({"doc_id": [], "text": []}), pd.DataFrame({"doc_id": [5000], "text": ["y" * 3_000_000]})]
+    got = list(pieces(iter(frames), "text"))
+    assert pd.concat(got).doc_id.tolist() == list(range(5001)) and len(got) > 5
+    assert max(p.text.str.len().sum() for p in got[:-1]) <= 1 << 19
+
+
+def test_scores_in_pieces(spark):
+    """A batch's rows of scores are handed over in pieces, and all of them."""
+    whole = scoring.pieces
+    scoring.pieces = lambda frames, *texts: whole(frames, *texts, most=2_000)
+    try:
+        both = spark.createDataFrame([(str(i), '{"court": "c"}') for i in range(100)], "file string, record string")
+        got = scoring.scored(both, both).groupBy("file").agg(F.count("*").alias("n")).collect()
+    finally:
+        scoring.pieces = whole
+    assert len(got) == 100 and {r.n for r in got} == {len(scoring.FIELDS)}
