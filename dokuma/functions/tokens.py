@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dokuma.functions.pieces import pieces
+
 
 @lru_cache(2)
 def encoding(path: str, pattern: str):
@@ -31,7 +33,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     count = counter(path, pattern)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in pieces(frames, "text"):
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n_tokens": [count(t) if t else 0 for t in pdf.text]})
 
     return docs.select("doc_id", "text").mapInPandas(work, docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens")).schema)

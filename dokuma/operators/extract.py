@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dokuma.functions.courts import LAWS
+from dokuma.functions.pieces import pieces
 
 CHUNK = "doc_id string, chunk_index int, text string, token_count int"
 LAW = "doc_id string, law_code string, law_no int, article int, paragraph int, subparagraph string, raw_text string, snippet string"
@@ -59,7 +60,7 @@ def law_references(text: str, width: int = 80) -> Iterator[tuple]:
 
 def extract_laws(docs: DataFrame) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in pieces(frames, "text"):
             rows = [(r.doc_id, *x) for r in pdf.itertuples() if r.text for x in law_references(r.text)]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in LAW.split(", ")])
             yield out.astype({"law_no": "Int32", "article": "int32", "paragraph": "Int32"})
@@ -118,7 +119,7 @@ def chunks_of(text: str, most: int = 1024, overlap: int = 128, tokens: Callable[
 
 def chunk(docs: DataFrame, most: int = 1024, overlap: int = 128, tokens: Callable[[str], int] = count_words) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in pieces(frames, "text"):
             rows = [(r.doc_id, i, t, n) for r in pdf.itertuples() for i, (t, n) in enumerate(chunks_of(r.text, most, overlap, tokens))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "token_count"]).astype({"chunk_index": "int32", "token_count": "int32"})
 
@@ -195,7 +196,7 @@ def sections_of(text: str, most: int = 1024, tokens: Callable[[str], int] = coun
 
 def chunk_sections(docs: DataFrame, most: int = 1024, tokens: Callable[[str], int] = count_words) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in pieces(frames, "text"):
             rows = [(d, i, *c) for d, t in zip(pdf.doc_id, pdf.text) for i, c in enumerate(sections_of(t, most, tokens))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTION.split(", ")]).astype({"chunk_index": "int32", "token_count": "int32"})
 

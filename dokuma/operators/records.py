@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dokuma.functions.pieces import pieces
 from dokuma.functions.text import compact_id, has_number, has_word, strip_fence
 from dokuma.operators.stored import StoredTable
 
@@ -40,7 +41,7 @@ def run_stage(sources: DataFrame, stage: str, extract: Callable[[str], tuple[str
     ``objects`` whatever is no JSON object is one, stay in raw."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in pieces(frames, "text"):
             rows = []
             for r in pdf.itertuples():
                 try:
