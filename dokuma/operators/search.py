@@ -83,6 +83,11 @@ def feedback_gold(feedback: DataFrame) -> DataFrame:
     return share.select("query_id", "doc_id", F.when(F.col("share") > 0.5, 2).when(F.col("share") == 0.5, 1).otherwise(0).alias("grade"))
 
 
+def most_cited(nodes: DataFrame, edges: DataFrame, top: int = 20) -> DataFrame:
+    """(doc_id, in_degree, out_degree) of the most cited documents; of equals the smaller doc_id."""
+    return graph.degrees(nodes, edges).orderBy(F.desc("in_degree"), "doc_id").limit(top)
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:
     """((nodes, edges, components, largest, mean_degree), the most cited documents)."""
     degrees = graph.saved(graph.degrees(nodes, edges), "degrees")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from dokuma.functions.text import chamber_key
 from dokuma.functions.pieces import pieces
 from dokuma.operators import graph, names, records, resolve, scoring, search
+from dokuma.plans import loading
+from dokuma.plans.catalog import QUERIES
 from dokuma.sources import files, keyed
 
 
@@ -103,3 +105,13 @@ def test_scores_in_pieces(spark):
     finally:
         scoring.pieces = whole
     assert len(got) == 100 and {r.n for r in got} == {len(scoring.FIELDS)}
+
+
+def test_most_cited_without_components(spark, monkeypatch):
+    """The most cited documents need no components, which take rounds of joins."""
+    monkeypatch.setattr(graph, "components", None)
+    nodes = spark.createDataFrame([(i,) for i in range(5)], "doc_id long")
+    edges = spark.createDataFrame([(0, 3), (1, 3), (2, 4), (3, 4), (4, 1)], "src long, dst long")
+    monkeypatch.setattr(loading, "nodes", lambda *_: nodes)
+    monkeypatch.setattr(loading, "edges", lambda *_: edges)
+    assert [tuple(r) for r in QUERIES["q18_most_cited"](spark, "").collect()] == [(3, 2), (4, 2), (1, 1), (0, 0), (2, 0)]
