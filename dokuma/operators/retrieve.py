@@ -247,12 +247,16 @@ def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | N
 
 
 def bm25(query_terms: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of (query_id, term) over (doc_id, term, tf). Document lengths and frequencies are aggregates before joins;
-    only postings of queried terms reach the score. Postings are read twice, so they are written once."""
-    postings = saved(postings.select("doc_id", "term", "tf"), "postings")
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    """BM25 of (query_id, term) over (doc_id, term, tf); rows of one document and term are summed, so words as they stand will
+    do. One pass keeps of every document the queried terms and one row for all others, which count for its length only;
+    lengths and frequencies are sums over what is kept. Up to BROADCAST_ROWS queried terms are broadcast."""
+    wanted = saved(query_terms.select(F.col("term").alias("word"), "term").distinct(), "queried")
+    near = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    rows = postings.select("doc_id", F.col("term").alias("word"), "tf").join(near, "word", "left")
+    kept = saved(rows.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "postings")
+    lengths = kept.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    held = postings.join(query_terms.select("term").distinct(), "term", "left_semi")
+    held = kept.where("term IS NOT NULL")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

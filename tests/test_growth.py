@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dokuma.functions.text import chamber_key
 from dokuma.functions.pieces import pieces
-from dokuma.operators import graph, names, records, resolve, scoring, search
+from dokuma.operators import graph, names, records, resolve, retrieve, scoring, search
 from dokuma.plans import loading
 from dokuma.plans.catalog import QUERIES
 from dokuma.sources import files, keyed
@@ -115,3 +115,20 @@ def test_most_cited_without_components(spark, monkeypatch):
     monkeypatch.setattr(loading, "nodes", lambda *_: nodes)
     monkeypatch.setattr(loading, "edges", lambda *_: edges)
     assert [tuple(r) for r in QUERIES["q18_most_cited"](spark, "").collect()] == [(3, 2), (4, 2), (1, 1), (0, 0), (2, 0)]
+
+
+def test_words_scored_in_one_pass(spark, tmp_path):
+    """Words as they stand score as counted terms do; what is written and shuffled are queried terms and one row a document."""
+    texts = [(i, " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(i % 7, 300)) + " the the" * (i % 3)) for i in range(60)] + [(60, None), (61, "the"), (61, "other the")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "the"), (1, "waa"), (2, "none"), (2, None)], "query_id int, term string")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term"))
+    written = []
+    whole, retrieve.saved = retrieve.saved, lambda df, name: written.append(whole(df, name)) or written[-1]
+    try:
+        scored = {(r.query_id, r.doc_id): r.score for r in retrieve.bm25(q, words.withColumn("tf", F.lit(1))).collect()}
+    finally:
+        retrieve.saved = whole
+    assert max(t.count() for t in written) <= 3 * 61
+    assert scored == {(r.query_id, r.doc_id): r.score for r in retrieve.bm25(q, retrieve.terms(docs)).collect()}
+    assert {d for _, d in scored} == {i for i in range(61) if i % 3 or i % 7 == 0 and i < 60} - {60} | {61}
