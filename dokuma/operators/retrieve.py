@@ -228,10 +228,9 @@ def level_boost(score: Column, level: Column, most: int = 5, beta: float = 0.1)
     return score * (1 + beta * level / most)
 
 
-def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | None = None, least: int = 3, *, stems: bool = False, known: Iterable[str] = turkish.KNOWN) -> DataFrame:
-    """(doc_id, term, tf): words of letters in Turkish lower case, without stop words; of ``endings`` the longest that a
-    word has goes, as long as ``least`` letters stay. stems: terms are Turkish stems (``known`` ones first). Null texts have no
-    words."""
+def words(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | None = None, least: int = 3) -> DataFrame:
+    """(doc_id, term), a row an occurrence: words of letters in Turkish lower case, without stop words; of ``endings`` the
+    longest that a word has goes, as long as ``least`` letters stay. Null texts have no words."""
     word = F.explode(F.regexp_extract_all(turkish_lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))
     rows = docs.select("doc_id", word.alias("term"))
     if stop:
@@ -239,18 +238,34 @@ def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | N
     if endings:
         longest_first = "|".join(sorted(map(re.escape, endings), key=lambda e: (-len(e), e)))
         rows = rows.withColumn("term", F.regexp_replace("term", rf"(?<=\p{{L}}{{{least}}})(?:{longest_first})$", ""))
+    return rows
+
+
+def stems_of(rows: DataFrame, known: Iterable[str] = turkish.KNOWN) -> DataFrame:
+    """(word, term): the Turkish stem (``known`` ones first) of every different word of (term). A word is stemmed once,
+    however many documents have it, and the different words, few bytes but much work, are dealt to all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    different = rows.select(F.col("term").alias("word")).distinct().repartition(4 * cores, "word")
+    return saved(different.select("word", turkish.stem(F.col("word"), known).alias("term")), "stems")
+
+
+def terms(docs: DataFrame, stop: list[str] | None = None, endings: list[str] | None = None, least: int = 3, *, stems: bool = False, known: Iterable[str] = turkish.KNOWN) -> DataFrame:
+    """(doc_id, term, tf) of ``words``. stems: terms are Turkish stems (``known`` ones first)."""
+    rows = words(docs, stop, endings, least)
     counted = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     if not stems:
         return counted
-    # A word is stemmed once a document, not once an occurrence.
-    return counted.groupBy("doc_id", turkish.stem(F.col("term"), known).alias("term")).agg(F.sum("tf").alias("tf"))
+    return counted.withColumnRenamed("term", "word").join(stems_of(rows, known), "word").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
 
 
-def bm25(query_terms: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(query_terms: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75, *, stems: DataFrame | None = None) -> DataFrame:
     """BM25 of (query_id, term) over (doc_id, term, tf); rows of one document and term are summed, so words as they stand will
-    do. One pass keeps of every document the queried terms and one row for all others, which count for its length only;
-    lengths and frequencies are sums over what is kept. Up to BROADCAST_ROWS queried terms are broadcast."""
-    wanted = saved(query_terms.select(F.col("term").alias("word"), "term").distinct(), "queried")
+    do. With ``stems`` (word, term), postings are of words and queries of their stems. One pass keeps of every document the
+    queried terms and one row for all others, which count for its length only; lengths and frequencies are sums over what is
+    kept. Up to BROADCAST_ROWS words of queried terms are broadcast."""
+    queried = query_terms.select("term").distinct()
+    queried = queried.select(F.col("term").alias("word"), "term") if stems is None else stems.join(queried, "term", "left_semi").select("word", "term")
+    wanted = saved(queried, "queried")
     near = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
     rows = postings.select("doc_id", F.col("term").alias("word"), "tf").join(near, "word", "left")
     kept = saved(rows.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "postings")

@@ -132,3 +132,18 @@ def test_words_scored_in_one_pass(spark, tmp_path):
     assert max(t.count() for t in written) <= 3 * 61
     assert scored == {(r.query_id, r.doc_id): r.score for r in retrieve.bm25(q, retrieve.terms(docs)).collect()}
     assert {d for _, d in scored} == {i for i in range(61) if i % 3 or i % 7 == 0 and i < 60} - {60} | {61}
+
+
+def test_words_stemmed_once(spark):
+    """Different words are stemmed, not those of every document; the scores are those of counted stems."""
+    forms = ["davaların", "davası", "dava", "mahkemenin", "kanunun", "Kanunu"]
+    docs = spark.createDataFrame([(i, " ".join(forms[i % 4 :])) for i in range(50)] + [(50, None)], "doc_id long, text string")
+    words, counted = retrieve.words(docs), retrieve.terms(docs, stems=True)
+    stems = retrieve.stems_of(words)
+    assert stems.count() == len(forms) and {(r.word, r.term) for r in stems.collect()} >= {("davaların", "dava"), ("kanunu", "kanun")}
+    assert "regexp_replace" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.term, r.tf) for r in counted.where("doc_id = 1").collect()} == {("dava", 2), ("mahkeme", 1), ("kanun", 2)}
+    q = spark.createDataFrame([(1, "dava"), (1, "kanun"), (2, "mahkeme"), (3, "davası")], "query_id int, term string")
+    get = lambda rows: {(r.query_id, r.doc_id): round(r.score, 12) for r in rows.collect()}
+    scored = get(retrieve.bm25(q, words.withColumn("tf", F.lit(1)), stems=stems))
+    assert scored == get(retrieve.bm25(q, counted)) and {k for k, _ in scored} == {1, 2} and len(scored) == 100
