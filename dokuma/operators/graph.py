@@ -145,7 +145,8 @@ def walks(nodes: DataFrame, seeds: DataFrame, links: DataFrame, alpha: float = 0
     """(query_id, doc_id, graph): what ``personal_scores`` gives, for all queries at once, as joins over (query_id, doc_id)
     and (query_id, src, dst), so that no task holds a query's subgraph. Every round moves scores along the links; a query
     leaves the rounds when its own changes are small enough. A source of many links is split by the join, and what meets at
-    a document is summed before it is shuffled."""
+    a document is summed before it is shuffled. Rounds join by merges only: tables that are just small enough to broadcast
+    would pass through the driver in every one."""
     by = ["query_id", "doc_id"]
     start = seeds.select(*by).distinct()
     shares = start.join(start.groupBy("query_id").agg(F.count("*").alias("s")), "query_id").select(*by, (1.0 / F.col("s")).alias("p"))
@@ -155,23 +156,33 @@ def walks(nodes: DataFrame, seeds: DataFrame, links: DataFrame, alpha: float = 0
     rows = every.join(sizes, "query_id").join(shares, by, "left").join(out, by, "left").select(*by, "n", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("p", F.lit(0.0)).alias("p"), "out", (1.0 / F.col("n")).alias("score"))
     first = saved(rows, "walks")
     done = [first.where("not linked").select(*by, F.col("p").alias("graph"))]
-    now, spent = first.where("linked"), []
+    part = F.pmod(F.xxhash64("doc_id"), F.expr(f"n div {LOCAL_LINKS} + 1")).alias("part")
+    lost = F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost")
+
+    def told(now: DataFrame, facts: DataFrame) -> DataFrame:
+        """Rows of the queries in ``facts``, with what these say; a large query's are dealt in parts."""
+        each = facts.withColumn("part", F.explode(F.expr(f"sequence(0L, n div {LOCAL_LINKS})"))).drop("n")
+        return now.withColumn("part", part).join(each.hint("merge"), ["query_id", "part"]).drop("part")
+
+    now = first.where("linked")
+    facts = now.groupBy("query_id").agg(F.max("n").alias("n"), lost)
+    spent = []
     for _ in range(iterations):
-        moved = now.where("out is not null").join(links.select("query_id", F.col("src").alias("doc_id"), "dst"), by).groupBy("query_id", "dst").agg(F.sum(F.col("score") / F.col("out")).alias("got")).withColumnRenamed("dst", "doc_id")
-        lost = now.where("out is null").groupBy("query_id").agg(F.sum("score").alias("lost"))
-        step = alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - alpha) * F.col("p")
-        after = saved(now.join(moved, by, "left").join(lost, "query_id", "left").select(*by, "n", "linked", "p", "out", step.alias("score"), F.col("score").alias("was")), "walks")
-        change = saved(after.groupBy("query_id").agg((F.sum(F.abs(F.col("score") - F.col("was"))) < F.max("n") * tolerance).alias("still"), F.max("score").alias("top")), "changes")
-        discard(*spent)  # what the round before left, unless a result reads it
+        moved = now.where("out is not null").join(links.select("query_id", F.col("src").alias("doc_id"), "dst").hint("merge"), by).groupBy("query_id", "dst").agg(F.sum(F.col("score") / F.col("out")).alias("got")).withColumnRenamed("dst", "doc_id")
+        step = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")
+        after = saved(told(now, facts).join(moved.hint("merge"), by, "left").select(*by, "n", "p", "out", step.alias("score"), F.col("score").alias("was")), "walks")
+        small = (F.sum(F.abs(F.col("score") - F.col("was"))) < F.max("n") * tolerance).alias("still")
+        change = saved(after.groupBy("query_id").agg(F.max("n").alias("n"), small, F.max("score").alias("top"), lost), "changes")
+        discard(*spent)  # what the round before left
         spent = [after, change]
         if not change.where("still").isEmpty():
-            done.append(after.join(change.where("still"), "query_id").select(*by, (F.col("score") / F.col("top")).alias("graph")))
-            spent = []
-        now = after.drop("was").join(change.where("not still").select("query_id"), "query_id", "left_semi")
-        if now.isEmpty():
+            done.append(saved(told(after, change.where("still").select("query_id", "n", "top")).select(*by, (F.col("score") / F.col("top")).alias("graph")), "walked"))
+        now, facts = after.drop("was"), change.where("not still").select("query_id", "n", "lost")
+        if facts.isEmpty():
+            discard(*spent)
             break
     else:
-        done.append(now.select(*by, F.col("p").alias("graph")))
+        done.append(told(now, facts).select(*by, F.col("p").alias("graph")))
     return reduce(DataFrame.union, done)
 
 

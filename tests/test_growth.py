@@ -147,3 +147,25 @@ def test_words_stemmed_once(spark):
     get = lambda rows: {(r.query_id, r.doc_id): round(r.score, 12) for r in rows.collect()}
     scored = get(retrieve.bm25(q, words.withColumn("tf", F.lit(1)), stems=stems))
     assert scored == get(retrieve.bm25(q, counted)) and {k for k, _ in scored} == {1, 2} and len(scored) == 100
+
+
+def test_rounds_without_broadcasts(spark, monkeypatch):
+    """The rounds of walks send no tables through the driver; many parts of a query and one give the same."""
+    links = spark.createDataFrame([(q, i, (i * 7 + q) % 40) for q in (1, 2) for i in range(30)], "query_id long, src long, dst long")
+    nodes = spark.createDataFrame([(q, i) for q in (1, 2, 3) for i in range(40)], "query_id long, doc_id long")
+    seeds, plans, whole = nodes.where("doc_id % 20 = 3"), [], graph.saved
+
+    def saved(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return whole(df, name)
+
+    monkeypatch.setattr(graph, "saved", saved)
+    get = lambda: {(r.query_id, r.doc_id): round(r.graph, 9) for r in graph.walks(nodes, seeds, links).collect()}
+    one = get()
+    rounds = [p for name, p in plans if name == "walks"][1:]
+    assert len(rounds) > 5 and not any("Broadcast" in p for p in rounds) and len(one) == 120
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 7)
+    assert get() == one
+    for q in (1, 2, 3):
+        want = graph.personal_scores(list(range(40)), [(i, (i * 7 + q) % 40) for i in range(30)] if q < 3 else [], {3, 23})
+        assert all(abs(one[q, d] - v) < 1e-8 for d, v in want.items())
