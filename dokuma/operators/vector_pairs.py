@@ -29,6 +29,8 @@ from dokuma.operators.graph import saved
 from dokuma.operators.retrieve import usable
 
 BLOCK, MOST_PIVOTS, SLACK = 1024, 256, 1e-7
+#: So many rows of a batch are worked on at once, visits (of a vector to a block) handed over, and components of matches held.
+ROWS, VISITS, MATCHED = 1024, 10_000, 1 << 22
 DEALT = "cell int, block int, kind int, place int, id long, vector binary"
 
 
@@ -52,7 +54,7 @@ def _in_cells(one: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            for batch in _slices(batch, ROWS):
                 v = _matrix(batch.column(1), batch.num_rows)
                 angles = np.arccos(np.clip(v @ pivots.T / np.linalg.norm(v, axis=1, keepdims=True), -1, 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(angles.argmin(axis=1).astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(angles.ravel()), len(pivots)).cast(pa.list_(pa.float64()))], ["id", "vector", "cell", "angles"])
@@ -79,55 +81,67 @@ def similar(one: DataFrame, threshold: float, *, pivots: int | None = None, bloc
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, home, place = np.arange(batch.num_rows), batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            v, angles = _matrix(batch.column(1), batch.num_rows), _matrix(batch.column(3), batch.num_rows)
-            place = place % blocks[home]
-            visits = (angles <= radius[None, :] + reach + SLACK) & (angles - angles[rows, home][:, None] <= 2 * reach + SLACK) & (np.arange(len(blocks))[None, :] > home[:, None])
-            at, cell = np.nonzero(visits)
-            # (row, cell, kind): members once, then visitors of all blocks of other cells, of the own up to the own block
-            parts = [(rows, home, place, 0), *((np.repeat(i, c), np.repeat(x, c), _count_up(c), k) for i, x, c, k in ((rows, home, place + 1, 1), (at, cell, blocks[cell], 2)))]
-            i = np.concatenate([p[0] for p in parts])
-            held = pa.array([x.tobytes() for x in v], pa.binary())
-            for lo in range(0, len(i), 10_000):
-                s = slice(lo, lo + 10_000)
-                columns = [np.concatenate([p[1] for p in parts])[s], np.concatenate([p[2] for p in parts])[s], np.concatenate([np.full(len(p[0]), p[3]) for p in parts])[s], place[i[s]]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), batch.column(0).take(pa.array(i[s])), held.take(pa.array(i[s]))], [f.split()[0] for f in DEALT.split(", ")])
+            for batch in _slices(batch, ROWS):
+                rows, home, place = np.arange(batch.num_rows), batch.column(2).to_numpy(), batch.column(4).to_numpy()
+                v, angles = _matrix(batch.column(1), batch.num_rows), _matrix(batch.column(3), batch.num_rows)
+                place = place % blocks[home]
+                visits = (angles <= radius[None, :] + reach + SLACK) & (angles - angles[rows, home][:, None] <= 2 * reach + SLACK) & (np.arange(len(blocks))[None, :] > home[:, None])
+                at, cell = np.nonzero(visits)
+                held = pa.array([x.tobytes() for x in v], pa.binary())
+                # (row, cell, blocks, kind): members once, then visitors of all blocks of other cells, of the own up to the own block
+                for i, x, c, kind in ((rows, home, None, 0), (rows, home, place + 1, 1), (at, cell, blocks[cell], 2)):
+                    for t, blk in _dealt(place if c is None else c, VISITS, c is None):
+                        columns = [x[t], blk, np.full(len(t), kind), place[i[t]]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), batch.column(0).take(pa.array(i[t])), held.take(pa.array(i[t]))], [f.split()[0] for f in DEALT.split(", ")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held = None, [], []
         for batch in batches:
             cell, blk, kind, place, ident = (batch.column(i).to_numpy() for i in range(5))
             edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(blk) != 0) | (np.diff(kind) != 0)) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-                if lo == hi:
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if begin == end:
                     continue
-                if (cell[lo], blk[lo]) != now:
-                    now, ids, held, whole = (cell[lo], blk[lo]), [], [], None
-                v = np.frombuffer(b"".join(batch.column(5).slice(lo, hi - lo).to_pylist())).reshape(hi - lo, -1)
-                if kind[lo] == 0:
-                    ids.append(ident[lo:hi])
-                    held.append(v)
-                    continue
-                if whole is None:
-                    whole = np.concatenate(held), np.concatenate(ids)
-                    lengths = np.sqrt(np.einsum("ij,ij->i", whole[0], whole[0]))
-                own = np.sqrt(np.einsum("ij,ij->i", v, v))
-                i, j = np.nonzero(v @ whole[0].T > (threshold - 1e-9) * own[:, None] * lengths[None, :])
-                if kind[lo] == 1:  # of the same block each pair once
-                    keep = (place[lo:hi][i] != blk[lo]) | (ident[lo:hi][i] < whole[1][j])
-                    i, j = i[keep], j[keep]
-                a, b = ident[lo:hi][i], whole[1][j]
-                first = np.where((a < b)[:, None], v[i], whole[0][j]), np.where((a < b)[:, None], whole[0][j], v[i])  # sums in one order
-                s = np.einsum("ij,ij->i", *first) / (own[i] * lengths[j])
-                keep = s > threshold
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], ["a", "b", "similarity"])
+                if (cell[begin], blk[begin]) != now:
+                    now, ids, held, whole = (cell[begin], blk[begin]), [], [], None
+                for lo, hi in ((x, min(x + ROWS, end)) for x in range(begin, end, ROWS)):
+                    v = np.frombuffer(b"".join(batch.column(5).slice(lo, hi - lo).to_pylist())).reshape(hi - lo, -1)
+                    if kind[lo] == 0:
+                        ids.append(ident[lo:hi])
+                        held.append(v)
+                        continue
+                    if whole is None:
+                        whole = np.concatenate(held), np.concatenate(ids)
+                        lengths = np.sqrt(np.einsum("ij,ij->i", whole[0], whole[0]))
+                    own = np.sqrt(np.einsum("ij,ij->i", v, v))
+                    every = np.nonzero(v @ whole[0].T > (threshold - 1e-9) * own[:, None] * lengths[None, :])
+                    step = max(1, MATCHED // v.shape[1])
+                    for i, j in ((every[0][x : x + step], every[1][x : x + step]) for x in range(0, len(every[0]), step)):
+                        if kind[lo] == 1:  # of the same block each pair once
+                            keep = (place[lo:hi][i] != blk[lo]) | (ident[lo:hi][i] < whole[1][j])
+                            i, j = i[keep], j[keep]
+                        a, b = ident[lo:hi][i], whole[1][j]
+                        first = np.where((a < b)[:, None], v[i], whole[0][j]), np.where((a < b)[:, None], whole[0][j], v[i])  # sums in one order
+                        s = np.einsum("ij,ij->i", *first) / (own[i] * lengths[j])
+                        keep = s > threshold
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], ["a", "b", "similarity"])
 
     dealt = cells.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInArrow(deal, DEALT)
     return dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def _count_up(lengths: np.ndarray) -> np.ndarray:
-    """0 .. l - 1 for each length l, one behind the other."""
-    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(lo, most) for lo in range(0, batch.num_rows, most))
+
+
+def _dealt(counts: np.ndarray, most: int, single: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, block) in pieces of ``most``: row i once for each block 0 .. counts[i] - 1, or with ``single`` for counts[i] alone.
+    However many blocks there are, no more than a piece is held."""
+    if single:
+        yield from ((np.arange(lo, min(lo + most, len(counts))), counts[lo : lo + most]) for lo in range(0, len(counts), most))
+        return
+    ends = np.cumsum(counts)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, most):
+        n = np.arange(lo, min(lo + most, int(ends[-1])))
+        i = np.searchsorted(ends, n, side="right")
+        yield i, n - (ends[i] - counts[i])

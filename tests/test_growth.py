@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from dokuma.functions.text import chamber_key
 from dokuma.functions.pieces import pieces
-from dokuma.operators import graph, names, records, resolve, retrieve, scoring, search
+from dokuma.operators import graph, names, records, resolve, retrieve, scoring, search, vector_pairs
 from dokuma.plans import loading
 from dokuma.plans.catalog import QUERIES
 from dokuma.sources import files, keyed
@@ -169,3 +171,27 @@ def test_rounds_without_broadcasts(spark, monkeypatch):
     for q in (1, 2, 3):
         want = graph.personal_scores(list(range(40)), [(i, (i * 7 + q) % 40) for i in range(30)] if q < 3 else [], {3, 23})
         assert all(abs(one[q, d] - v) < 1e-8 for d, v in want.items())
+
+
+def test_visits_in_pieces():
+    """However many blocks a batch's vectors visit, a task holds a piece of the visits at a time."""
+    counts = np.array([3, 0, 100_000, 1, 0, 2])
+    tracemalloc.start()
+    got = [(len(i), i[0], b[-1]) for i, b in vector_pairs._dealt(np.full(200, 100_000), 1_000)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 20_000 and {n for n, _, _ in got} == {1_000} and most < 20_000_000
+    rows, blocks = (np.concatenate(x) for x in zip(*vector_pairs._dealt(counts, 7)))
+    assert list(zip(rows.tolist(), blocks.tolist())) == [(i, b) for i, c in enumerate(counts.tolist()) for b in range(c)]
+    assert [x.tolist() for x in next(vector_pairs._dealt(counts, 9, True))] == [list(range(6)), counts.tolist()] and not list(vector_pairs._dealt(counts[:0], 5))
+
+
+def test_pairs_by_slices(spark, monkeypatch):
+    """Slices of any size find the same pairs, each once."""
+    v = np.random.default_rng(3).normal(size=(150, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(2)
+    for name, n in (("ROWS", 5), ("VISITS", 7), ("MATCHED", 8)):
+        monkeypatch.setattr(vector_pairs, name, n)
+    got = [(r.a, r.b) for r in vector_pairs.similar(df, 0.6, block=40).collect()]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert sorted(got) == [(a, b) for a in range(150) for b in range(a + 1, 150) if u[a] @ u[b] > 0.6]
