@@ -15,6 +15,8 @@ from dokuma.operators import evaluate, extract, graph, retrieve
 log = logging.getLogger(__name__)
 #: Scores that agree in so many digits behind the point are ties, which the smaller doc_id wins.
 TIE_DIGITS = 10
+#: Pairs of a query and a document that a task joins or counts.
+PAIRS = 1 << 20
 NUMBER = r"\b(?:19|20)\d{2}/\d+\b"
 
 
@@ -69,10 +71,22 @@ def query_entities(queries: DataFrame) -> DataFrame:
 
 def targeted(entities: DataFrame, documents: DataFrame, laws: DataFrame) -> DataFrame:
     """(query_id, doc_id, hits): documents that have a query's numbers (doc_id, case_no, decision_no) or cite its articles
-    (doc_id, article_id): equi-joins on the value, counted."""
+    (doc_id, article_id): equi-joins on the value, counted. A value of many queries and documents is dealt to parts by query,
+    and pairs to as many tasks as there are ``PAIRS`` of them, so a task's memory does not grow with them."""
     numbers = documents.select("doc_id", F.explode(F.array_distinct(F.array("case_no", "decision_no"))).alias("value")).select("doc_id", F.lit("number").alias("kind"), "value")
     held = numbers.unionByName(laws.select("doc_id", F.lit("law").alias("kind"), F.col("article_id").alias("value"))).where("value <> ''").distinct()
-    return entities.join(held, ["kind", "value"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    by = ["kind", "value"]
+    entities, held = graph.saved(entities, "entities"), graph.saved(held, "held")
+    sizes = graph.saved(entities.groupBy(*by).agg(F.count("*").alias("q")).join(held.groupBy(*by).agg(F.count("*").alias("d")), by), "sizes")
+    n = entities.count() + held.count() + (sizes.agg(F.sum(F.col("q") * F.col("d"))).first()[0] or 0)
+    tasks = -(-n // PAIRS) or 1
+    parts = sizes.select(*by, F.ceil(F.col("q") * F.col("d") / PAIRS).cast("int").alias("parts")).where("parts > 1")
+    many = F.coalesce("parts", F.lit(1))
+    asked = entities.join(parts, by, "left").withColumn("part", F.pmod(F.xxhash64("query_id"), many).cast("int"))
+    kept = held.join(parts, by, "left").withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
+    deal = lambda rows, name: rows.select(*by, "part", name).repartition(tasks, *by, "part")
+    pairs = deal(asked, "query_id").join(deal(kept, "doc_id").hint("merge"), [*by, "part"]).select("query_id", "doc_id")
+    return pairs.repartition(tasks, "query_id", "doc_id").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
 
 
 def feedback_gold(feedback: DataFrame) -> DataFrame:

@@ -195,3 +195,16 @@ def test_pairs_by_slices(spark, monkeypatch):
     got = [(r.a, r.b) for r in vector_pairs.similar(df, 0.6, block=40).collect()]
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert sorted(got) == [(a, b) for a in range(150) for b in range(a + 1, 150) if u[a] @ u[b] > 0.6]
+
+
+def test_entities_of_a_hot_value(spark, monkeypatch):
+    """Pairs under one value are joined and counted by as many tasks as their number asks for."""
+    monkeypatch.setattr(search, "PAIRS", 100)
+    asked = [(q, "law", "L") for q in range(40)] + [(q, "number", f"2001/{q}") for q in range(45)]
+    entities = spark.createDataFrame([*asked, (50, "law", "none")], "query_id long, kind string, value string")
+    docs = spark.createDataFrame([(i, f"2001/{i}", "") for i in range(50)], "doc_id long, case_no string, decision_no string")
+    laws = spark.createDataFrame([(i, "L") for i in range(0, 50, 2)], "doc_id long, article_id string")
+    got = search.targeted(entities, docs, laws)
+    want = {(q, d): 1 + (q == d) for q in range(40) for d in range(0, 50, 2)} | {(q, q): 1 for q in range(45) if q % 2 or q >= 40}
+    assert {(r.query_id, r.doc_id): r.hits for r in got.collect()} == want and got.count() == len(want)
+    assert got.rdd.getNumPartitions() >= 1000 / 100
