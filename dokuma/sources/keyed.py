@@ -12,14 +12,20 @@ As a stream, the offset is the last key read: keys are walked in order, folders
 trigger takes the next ``page`` keys. So files must arrive under rising keys; one that sorts before the offset is not seen.
 Spark asks for the next offset without saying where its checkpoint stands, so each offset is noted in ``ledger`` before it is
 given; after a restart the next batch runs from the checkpoint's own offset to beyond the note, and every key is read once.
+Each trigger lists the folders it reads from twice, which grows with the square of a folder's files. With ``hold`` (false), listings
+of local folders are held over triggers until the folder changes, see ``Held``. That is for file systems that keep the times of
+their folders; mounts of object stores often do not, and other file systems than local ones are always listed anew.
 """
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, takewhile
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +38,8 @@ SCHEMA = "key string, size long, body string, error string"
 COLUMNS = pa.schema([("key", pa.string()), ("size", pa.int64()), ("body", pa.string()), ("error", pa.string())])
 #: Bytes and rows of files handed over at once.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+#: Seconds after which a change of a folder shows in its times, however coarse they are.
+SETTLED = 3.0
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -39,18 +47,59 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return files, base.rstrip("/")
 
 
-def walk(files: fs.FileSystem, base: str, folder: str = "", after: str = "", suffix: str = "", deep: bool = True) -> Iterator[tuple[str, int]]:
-    """(key, size) of the files below a folder in the order of their keys, from behind ``after`` on; hidden names are left
-    out. Folders all of whose keys lie before ``after`` are not listed."""
+def listed(files: fs.FileSystem, base: str, folder: str) -> tuple[list[str], list[int]]:
+    """Names in a folder in the order of their keys, those of folders with a slash, and sizes; hidden names are left out."""
     found = files.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True))
-    named = sorted((i.base_name + "/" * (i.type == fs.FileType.Directory), i) for i in found if i.base_name[:1] not in "._")
-    for name, info in named:
-        key = folder + name
+    named = sorted((i.base_name + "/" * (i.type == fs.FileType.Directory), i.size) for i in found if i.base_name[:1] not in "._")
+    return [n for n, _ in named], [size for _, size in named]
+
+
+class Held:
+    """``listed`` for folders that are asked for again and again. What enters or leaves a local folder changes its times, so a
+    listing is held until they differ. Times are coarse: two changes in one tick leave the same ones. So a listing is held only
+    if it was begun ``SETTLED`` seconds, by this process' clock, after the times were first seen; until then each is made anew."""
+
+    def __init__(self, files: fs.FileSystem, base: str, hold: bool):
+        self.files, self.base = files, base
+        self.hold = hold and isinstance(files, fs.LocalFileSystem)
+        self.first: dict[str, tuple] = {}
+        self.held: dict[str, tuple[list[str], list[int]]] = {}
+
+    def _stamp(self, folder: str) -> tuple | None:
+        try:
+            at = os.stat(f"{self.base}/{folder}") if self.hold else None
+        except OSError:
+            return None
+        return at and (at.st_dev, at.st_ino, at.st_mtime_ns, at.st_ctime_ns)
+
+    def __call__(self, folder: str) -> tuple[list[str], list[int]]:
+        for behind in [f for f in self.first if not folder.startswith(f) and not f.startswith(folder)]:  # a walk does not soon come back
+            del self.first[behind]
+            self.held.pop(behind, None)
+        stamp, now = self._stamp(folder), time.monotonic()
+        if folder not in self.first or self.first[folder][0] != stamp:
+            self.first[folder] = stamp, now
+            self.held.pop(folder, None)
+        if folder in self.held:
+            return self.held[folder]
+        found = listed(self.files, self.base, folder)
+        if stamp and now - self.first[folder][1] >= SETTLED:
+            self.held[folder] = found
+        return found
+
+
+def walk(files: fs.FileSystem, base: str, folder: str = "", after: str = "", suffix: str = "", deep: bool = True, listing: Callable | None = None) -> Iterator[tuple[str, int]]:
+    """(key, size) of the files below a folder in the order of their keys, from behind ``after`` on; hidden names are left
+    out. Folders all of whose keys lie before ``after`` are not listed. ``listing`` stands in for ``listed``."""
+    names, sizes = listing(folder) if listing else listed(files, base, folder)
+    head, slash, _ = after[len(folder) :].partition("/") if after.startswith(folder) else ("", "", "")
+    for at in range(bisect_left(names, head + slash), len(names)):
+        name, key = names[at], folder + names[at]
         if name.endswith("/"):
             if deep and (key > after or after.startswith(key)):
-                yield from walk(files, base, key, after, suffix)
+                yield from walk(files, base, key, after, suffix, listing=listing)
         elif key > after and key.endswith(suffix):
-            yield key, info.size
+            yield key, sizes[at]
 
 
 def folders(files: fs.FileSystem, base: str, depth: int, folder: str = "") -> Iterator[tuple[str, bool]]:
@@ -119,9 +168,11 @@ class StreamReader(DataSourceStreamReader):
         self.page, self.slice = int(self.options.get("page", 1000)), int(self.options.get("slice", 100))
         if not self.options.get("ledger"):
             raise ValueError("the stream of keyed_files needs the option ledger, a folder of its own")
+        self.listing: Held | None = None
 
     def _keys(self, after: str) -> Iterator[tuple[str, int]]:
-        return walk(*_opened(self.options["path"]), after=after, suffix=self.options.get("suffix", ".json"))
+        self.listing = self.listing or Held(*_opened(self.options["path"]), self.options.get("hold", "false").lower() == "true")
+        return walk(self.listing.files, self.listing.base, after=after, suffix=self.options.get("suffix", ".json"), listing=self.listing)
 
     def _noted(self) -> str:
         """The last offset given. Notes are numbered files, so one that is cut short does not hide the one before it."""
@@ -154,11 +205,10 @@ class StreamReader(DataSourceStreamReader):
         return {"after": last}
 
     def partitions(self, start: dict, end: dict) -> list[Keys]:
-        keys = []
-        for key, size in self._keys(start["after"]):
-            if key > end["after"]:
-                break
-            keys.append((key, size))
+        keys = list(takewhile(lambda k: k[0] <= end["after"], self._keys(start["after"])))
+        if self.listing.hold:  # a file that is written over does not change its folder, and a held size may be old
+            now = self.listing.files.get_file_info([f"{self.listing.base}/{key}" for key, _ in keys])
+            keys = [(key, size if i.size is None else i.size) for (key, size), i in zip(keys, now)]
         return [Keys(keys[i : i + self.slice]) for i in range(0, len(keys), self.slice)]
 
     def read(self, partition: Keys) -> Iterator[pa.RecordBatch]:
@@ -195,9 +245,10 @@ def stream(spark: SparkSession, path: str, ledger: str, **options) -> DataFrame:
 
 def parsed(rows: DataFrame, schema: str, *, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """((key, record), (key, error)): the JSON of bodies (``lines``: of their lines) and what could not be read or parsed."""
-    body = F.explode(F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")) if lines else F.col("body")
-    each = rows.where("error IS NULL").select("key", body.alias("body"))
-    read = each.select("key", "body", F.from_json("body", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    lines_of = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "") if lines else F.array("body")
+    # Parsed inside the generator, a line is parsed once; as a column it would be once for the filter and again for the record.
+    each = F.transform(lines_of, lambda x: F.from_json(x, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    read = rows.where("error IS NULL").select("key", F.explode(each).alias("r"))
     bad = F.col("r").isNull() | F.col("r._broken").isNotNull()
     unread = rows.where("error IS NOT NULL").select("key", "error")
     return read.where(~bad).select("key", F.col("r").dropFields("_broken").alias("record")), unread.union(read.where(bad).select("key", F.lit("no JSON object").alias("error")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import time
 import tracemalloc
 
 import numpy as np
@@ -208,3 +210,63 @@ def test_entities_of_a_hot_value(spark, monkeypatch):
     want = {(q, d): 1 + (q == d) for q in range(40) for d in range(0, 50, 2)} | {(q, q): 1 for q in range(45) if q % 2 or q >= 40}
     assert {(r.query_id, r.doc_id): r.hits for r in got.collect()} == want and got.count() == len(want)
     assert got.rdd.getNumPartitions() >= 1000 / 100
+
+
+def test_listings_of_a_stream(tmp_path, monkeypatch):
+    """A folder is listed a few times, not twice a trigger, and what changes in it between two triggers is seen all the same."""
+    monkeypatch.setattr(keyed, "SETTLED", 0.1, raising=False)
+    made, real = [], keyed.fs.FileSelector
+    monkeypatch.setattr(keyed.fs, "FileSelector", lambda path, **more: made.append(path) or real(path, **more))
+    folder = tmp_path / "in" / "a"
+    folder.mkdir(parents=True)
+    for i in range(0, 400, 2):
+        (folder / f"{i:03d}.json").write_text("{}")
+    options = {"path": f"file://{tmp_path}/in", "ledger": f"file://{tmp_path}/ledger", "page": "4", "slice": "3"}
+    reader, at, got = keyed.StreamReader(options | {"hold": "true"}), {"after": ""}, []
+
+    def trigger():
+        nonlocal at
+        end = reader.latestOffset()
+        keys = [k for p in reader.partitions(at, end) for k in p.keys]
+        at = end
+        got.extend(k for k, _ in keys)
+        return dict(keys)
+
+    trigger()
+    time.sleep(0.15)
+    for _ in range(40):
+        trigger()
+    assert sum("ledger" not in p for p in made) <= 8  # 164 before
+    assert got == [f"a/{i:03d}.json" for i in range(0, 328, 2)]
+    times = os.stat(folder)
+    (folder / "329.json").write_text("{}")  # inside the listing that is held
+    (folder / "330.json").unlink()
+    os.utime(folder, ns=(times.st_atime_ns, times.st_mtime_ns))
+    assert list(trigger()) == [f"a/{i}.json" for i in (328, 329, 332, 334)]
+    time.sleep(0.15)
+    trigger()
+    (folder / "344.json").write_text("{   }")  # written over: no change of the folder
+    (tmp_path / "in" / "b").mkdir()
+    (tmp_path / "in" / "b" / "0.json").write_text("{}")
+    assert trigger() == {"a/344.json": 5, "a/346.json": 2, "a/348.json": 2, "a/350.json": 2}
+    while trigger():
+        pass
+    assert got == [f"a/{i:03d}.json" for i in range(400) if (i % 2 == 0 or i == 329) and i != 330] + ["b/0.json"]
+
+
+def test_listings_of_a_stream_that_changes(tmp_path):
+    """Files that arrive as fast as the clock ticks are not missed: a listing as young as the folder's last change is not held."""
+    (tmp_path / "in").mkdir()
+    reader = keyed.StreamReader({"path": f"file://{tmp_path}/in", "ledger": f"file://{tmp_path}/ledger", "page": "1", "hold": "true"})
+    for i in range(300):
+        (tmp_path / "in" / f"{i:03d}.json").write_text("{}")
+        assert reader.latestOffset() == {"after": f"{i:03d}.json"}
+
+
+def test_lines_are_parsed_once(spark):
+    rows = spark.createDataFrame([("a", '{"k": 1}\n\n{"k":\n[1'), ("b", ""), ("c", None)], "key string, body string").selectExpr("key", "0L AS size", "body", "IF(body IS NULL, 'gone', NULL) AS error")
+    for lines, good, bad in ((True, [("a", 1)], [("a", "no JSON object")] * 2 + [("c", "gone")]), (False, [], [("a", "no JSON object"), ("b", "no JSON object"), ("c", "gone")])):
+        found, failed = keyed.parsed(rows, "k long", lines=lines)
+        assert [(r.key, r.record.k) for r in found.collect() if lines] == good
+        assert sorted(tuple(r) for r in failed.collect() if lines or r.key != "a") == [b for b in bad if lines or b[0] != "a"]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
