@@ -5,14 +5,17 @@ it bounds decides who meets whom, so that no name is compared with the whole voc
 
 * lengths: M is at most the shorter length, so a partner of a name of length l has between l c / (2 - c) and
   l (2 - c) / c letters at a ratio of at least c;
-* grams: between two blocks at least one letter is unmatched, so there are at most T - 2 M + 1 blocks, and a block of b letters
-  has b - q + 1 grams of q letters: at least M - (q - 1) (T - 2 M + 1) places hold equal grams in both names, in one order;
-* places: what stands before a matched letter differs by unmatched letters only, so its two places lie no further apart than
-  the longer of the two names has unmatched letters, and two such distances differ by T - 2 M at most;
-* prefixes: sorted from the rarest gram on, of two names with s such places among n and m the first two are among the first
-  n - s + 2 of the one and m - s + 2 of the other. So names meet by an equi-join on pairs of their rare grams, which hardly
-  any two names share by chance; where names are too long or too short for pairs, on single grams. What meets is held
-  against the bounds on lengths and places, then the edit distance (T - 2 M at most), and only what is left is aligned.
+* pieces: at most T - 2 M letters of both names together are unmatched, and each breaks one piece at most of a name that is
+  cut into pieces. Cut into one more, it has a piece that stands in the other name as it is: names meet by an equi-join on it;
+* places: where the first whole piece is the i-th, at least i letters before it are unmatched (from 0), and as many as it is
+  shifted by; behind it at least as many as the rest of the lengths' difference. Together they are at most T - 2 M, so a
+  piece is looked up at few places;
+* letters: every unmatched letter changes the letters' counts by one, so counts, held as the bits of a number, differ in at most
+  T - 2 M bits. What meets is held against that in the join, then the edit distance (T - 2 M at most) is taken, and only what
+  is left is aligned.
+
+Cuts are made where few names agree by chance: by how often two names of one length have the same letter at a place. So a
+beginning that all names share lies within one piece.
 """
 
 from __future__ import annotations
@@ -22,14 +25,15 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names meet by pairs of grams where no more than so many of one name are needed.
-PAIRS = 1_000
-#: A scheme of grams serves where this share of a name's grams, its most frequent ones, need not be looked at.
-SPARED = 0.25
+#: Names of more letters are cut into pieces of equal news; finding their best cuts would take the cube of the letters.
+LONG = 256
+#: Letters are counted in so many groups, the most frequent ones each and the rest together, up to so many of each.
+GROUPS, COUNTED = 21, 3
 
 
 def _matched(both: int, least: float) -> int:
@@ -37,74 +41,107 @@ def _matched(both: int, least: float) -> int:
     return math.ceil(least * both / 2 - 1e-9)
 
 
-def _scheme(n: int, m: int, least: float) -> tuple[int, int, int]:
-    """(letters of a gram, grams of a key, equal grams at least) by which names of n and m letters meet."""
-    both, shorter = n + m, min(n, m)
-    matched = _matched(both, least)
-    found = []
-    for size in range(min(4, shorter), 0, -1):
-        shared = matched - (size - 1) * (both - 2 * matched + 1)
-        spared = SPARED * (shorter - size + 1)
-        p = max(n, m) - size + 1 - shared + 2
-        if shared - 2 >= spared and p * (p - 1) // 2 <= PAIRS:
-            return size, 2, shared
-        if shared >= 1:
-            found.append((shared - 1 < spared, -size, size, shared))
-    _, _, size, shared = min(found)
-    return size, 1, shared
-
-
-def _schemes(left: list[int], right: list[int], least: float) -> dict[bool, list[tuple[int, int, int, int]]]:
-    """For either side (right?) the (letters of a name, of a gram, grams of a key, length of the prefix), which serve all
-    lengths that can meet; equal lengths' names of fewer letters than one mismatch allows can only be equal."""
-    most: dict[bool, dict[tuple[int, int, int], int]] = {False: {}, True: {}}
-    for n in left:
-        for m in right:
-            if n and m and 2 * min(n, m) >= least * (n + m) - 1e-9 and 2 * _matched(n + m, least) < n + m:
-                size, grams, shared = _scheme(n, m, least)
-                for side, x in ((False, n), (True, m)):
-                    key = (x, size, grams)
-                    most[side][key] = max(most[side].get(key, 0), x - size + 1 - shared + grams)
-    return {side: [(*k, v) for k, v in x.items()] for side, x in most.items()}
-
-
-def _occurrences(names: DataFrame, schemes: list[tuple[int, int, int, int]]) -> DataFrame:
-    """(id, n, size, grams, first, place, gram): every gram of every name at its place, for each scheme of its length."""
-    plan = names.sparkSession.createDataFrame(schemes, "n int, size int, grams int, first int")
-    each = names.select("name", F.xxhash64("name").alias("id"), F.length("name").alias("n")).join(F.broadcast(plan), "n")
-    placed = each.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("place"))
-    return placed.select("id", "n", "size", "grams", "first", "place", F.expr("substr(name, place, size)").alias("gram"))
-
-
-def _keys(occurrences: DataFrame, frequency: DataFrame, side: str) -> DataFrame:
-    """(key, grams, id, n, a, b): the keys of every name's rarest grams and the places of their two (or one) grams."""
-    rare = occurrences.join(frequency, ["gram", "size"], "left").groupBy("id", "n", "size", "grams", "first").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "place"))).alias("all"))
-    first = rare.select("id", "n", "size", "grams", F.slice("all", F.lit(1), F.col("first")).alias("all"))
-    one = first.select("*", F.posexplode("all").alias("i", "x"))
-    rest = F.when(F.col("grams") == 1, F.array("x")).otherwise(F.slice("all", F.col("i") + 2, F.size("all")))
-    two = one.select("id", "n", "size", "grams", "x", F.explode(rest).alias("y"))
-    key = F.xxhash64("x.gram", "y.gram", "size", "grams")
-    return two.select(key.alias("key"), *[c.alias(side + n) for n, c in {"id": F.col("id"), "n": F.col("n"), "a": F.col("x.place"), "b": F.col("y.place")}.items()])
+def _unmatched(broken: int, shift: int) -> int:
+    """The unmatched letters that break so many pieces and shift what follows by so much, at least."""
+    x = max(broken, abs(shift))
+    return x + (x - abs(shift)) % 2
+
+
+def _shifts(i: int, more: int, spare: int) -> list[int]:
+    """By how much a first whole piece, the i-th, may be shifted in a name that has so many more letters."""
+    return [d for d in range(-spare, spare + 1) if _unmatched(i, d) + abs(more - d) <= spare]
+
+
+def _cuts(news: np.ndarray, spare: int) -> list[tuple[int, int]]:
+    """(place from 0, letters) of spare + 1 pieces: a meeting by chance is as likely as the letters' news is small, and a piece
+    is looked up at as many places as it has shifts."""
+    n, count = len(news), spare + 1
+    upto = np.concatenate([[0.0], np.cumsum(news)])
+    ends = [0]
+    if n > LONG:
+        for i in range(1, count):
+            ends.append(min(max(int(np.searchsorted(upto, upto[-1] * i / count)), ends[-1] + 1), n - count + i))
+        ends.append(n)
+    else:
+        chance = np.exp2(np.minimum(upto[:, None] - upto[None, :], 0.0))  # [start, end]
+        chance[np.tril_indices(n + 1)] = np.inf
+        cost, before = np.where(np.arange(n + 1) == 0, 0.0, np.inf), []
+        for i in range(count):
+            step = cost[:, None] + len(_shifts(i, spare % 2, spare)) * chance
+            before.append(step.argmin(axis=0))
+            cost = step.min(axis=0)
+        ends = [n]
+        for back in reversed(before):
+            ends.append(int(back[ends[-1]]))
+        ends.reverse()
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def _plans(left: list[int], news: dict[int, np.ndarray], least: float) -> dict[bool, list[tuple[int, int, int, int, int, int]]]:
+    """For either side (right?) the (letters of a name, of its partner or of itself, spare letters, piece, place, letters of the
+    piece) that are looked up or found."""
+    found: dict[bool, list] = {False: [], True: []}
+    cuts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for m in sorted(news):
+        for n in sorted(left):
+            spare = n + m - 2 * _matched(n + m, least)
+            if not n or not m or 2 * min(n, m) < least * (n + m) - 1e-9 or spare <= 0:
+                continue  # without a letter to spare only equal names are alike
+            if (m, spare) not in cuts:
+                cuts[m, spare] = _cuts(news[m], spare)
+                found[True] += [(m, m, spare, i, at + 1, size) for i, (at, size) in enumerate(cuts[m, spare])]
+            for i, (at, size) in enumerate(cuts[m, spare]):
+                found[False] += [(n, m, spare, i, at + d + 1, size) for d in _shifts(i, n - m, spare) if 0 <= at + d <= n - size]
+    return found
+
+
+def _news(names: DataFrame) -> tuple[dict[int, np.ndarray], str]:
+    """For each length of names, by place, how much it tells that a letter agrees: in bits, from the share of pairs that do;
+    and the most frequent letters."""
+    letters = names.select(F.length("name").alias("n"), F.posexplode(F.expr("transform(sequence(1, length(name)), i -> substr(name, i, 1))")).alias("place", "letter")).where("n > 0")
+    counts = letters.groupBy("n", "place", "letter").agg(F.count("*").alias("k"))
+    places = counts.groupBy("n", "place").agg((-F.log2(F.sum(F.col("k") * F.col("k")) / (F.sum("k") * F.sum("k")))).alias("bits"))
+    common = counts.groupBy("letter").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "letter").limit(GROUPS - 1)
+    out: dict[int, dict[int, float]] = {}
+    alphabet = ""
+    for n, place, bits, letter in places.select("*", F.lit(None).cast("string").alias("letter")).unionByName(common.select("letter"), allowMissingColumns=True).collect():  # a row for each place of a length
+        if letter is not None:
+            alphabet += letter
+        else:
+            out.setdefault(n, {})[place] = max(bits, 0.0) + 1e-6
+    return {n: np.array([x[i] for i in range(n)]) for n, x in out.items()}, alphabet
+
+
+def _counted(name: Column, alphabet: str) -> Column:
+    """The letters' counts as bits, a further one for each letter up to ``COUNTED``; letters that are not in the alphabet are
+    counted as one."""
+    full = F.lit((1 << COUNTED) - 1).cast("long")
+    at = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.call_function("instr", F.lit(alphabet), F.substr(name, i, F.lit(1))) * COUNTED)
+    by = lambda f, bits, n: F.call_function(f, bits, n)
+    one = lambda bits, n: bits.bitwiseOR(by("shiftleft", ((by("shiftright", bits, n).bitwiseAND(full)) * 2 + 1).bitwiseAND(full), n))
+    return F.aggregate(at, F.lit(0).cast("long"), one)
+
+
+def _keys(names: DataFrame, plan: list[tuple[int, int, int, int, int, int]], alphabet: str, side: str) -> DataFrame:
+    """(key, id, bits, spare): the pieces of every name, as few bytes as may be."""
+    pieces = names.sparkSession.createDataFrame(plan, "n int, m int, spare int, piece int, place int, size int")
+    each = names.where("name <> ''").select("name", F.xxhash64("name").alias(side + "id"), _counted(F.col("name"), alphabet).alias(side + "bits"), F.length("name").alias("n"))
+    key = F.hash("m", "spare", "piece", F.expr("substr(name, place, size)"))
+    return each.join(F.broadcast(pieces), "n").select(key.alias("key"), side + "id", side + "bits", *["spare"] * (side == "l"))
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left, right): different names that may be alike, from two tables of distinct ``name``."""
     if least <= 2 / 3:
         raise ValueError("the bounds need a ratio over 2/3")
-    lengths = lambda df: [r[0] for r in df.select(F.length("name")).distinct().collect()]  # noqa: E731  a row a length
-    schemes = _schemes(lengths(left), lengths(right), least)
-    none = left.select(F.col("name").alias("left"), F.col("name").alias("right")).limit(0)
-    if not schemes[False]:
-        return none
-    a, b = _occurrences(left, schemes[False]), _occurrences(right, schemes[True])
-    frequency = b.groupBy("gram", "size").agg(F.count("*").alias("df"))
-    both = F.col("ln") + F.col("rn")
-    matched = F.ceil(least * both / 2 - 1e-9)
-    lone = both - 2 * matched
-    shift = F.greatest("ln", "rn") - matched
-    near = (2 * F.least("ln", "rn") >= least * both - 1e-9) & (F.abs(F.col("la") - F.col("ra")) <= shift) & (F.abs(F.col("lb") - F.col("rb")) <= shift)
-    near &= F.abs((F.col("lb") - F.col("la")) - (F.col("rb") - F.col("ra"))) <= lone
-    met = _keys(a, frequency, "l").join(_keys(b, frequency, "r"), "key").where(near).select("lid", "rid").distinct()
+    lengths = [r[0] for r in left.select(F.length("name")).distinct().collect()]  # a row a length
+    news, alphabet = _news(right)
+    plans = _plans(lengths, news, least)
+    if not plans[False]:
+        return left.select(F.col("name").alias("left"), F.col("name").alias("right")).limit(0)
+    # What differs in more letters than there are to spare is dropped within the join, so that chance meetings are never written.
+    meets = F.bit_count(F.col("lbits").bitwiseXOR(F.col("rbits"))) <= F.col("spare")
+    met = _keys(left, plans[False], alphabet, "l").join(_keys(right, plans[True], alphabet, "r").hint("merge"), "key").where(meets).select("lid", "rid").distinct()
     # Names that share an id, if ever two do, come both; the distance and the ratio see the names themselves.
     named = met.join(left.select(F.xxhash64("name").alias("lid"), F.col("name").alias("left")), "lid").join(right.select(F.xxhash64("name").alias("rid"), F.col("name").alias("right")), "rid")
     both = F.length("left") + F.length("right")
@@ -146,6 +183,9 @@ def alike(left: DataFrame, right: DataFrame, least: float = 0.88) -> DataFrame:
 
 
 def closest(left: DataFrame, right: DataFrame, least: float = 0.88) -> DataFrame:
-    """(left, right, ratio): the best match of every name that has one; of equal ratios the last name."""
-    best = alike(left, right, least).groupBy("left").agg(F.max(F.struct("ratio", "right")).alias("m"))
-    return best.select("left", "m.right", "m.ratio")
+    """(left, right, ratio): the best match of every name that has one; of equal ratios the last name. A name that is there as
+    it is has no better one and is not looked for."""
+    a, b = (x.select("name").where("name IS NOT NULL").distinct() for x in (left, right))
+    same = a.join(b, "name").select(F.col("name").alias("left"), F.col("name").alias("right"), F.lit(1.0).alias("ratio"))
+    best = alike(a.join(b, "name", "left_anti"), b, least).groupBy("left").agg(F.max(F.struct("ratio", "right")).alias("m"))
+    return same.union(best.select("left", "m.right", "m.ratio"))

@@ -270,3 +270,15 @@ def test_lines_are_parsed_once(spark):
         assert [(r.key, r.record.k) for r in found.collect() if lines] == good
         assert sorted(tuple(r) for r in failed.collect() if lines or r.key != "a") == [b for b in bad if lines or b[0] != "a"]
         assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_keys_of_names(spark):
+    """A name is dealt out by its whole pieces, some tens, not by pairs of rare grams, some hundreds."""
+    right = alike_names(400)
+    left = [w[: 7 + i % 20] + w[8 + i % 20 :] for i, w in enumerate(right)]
+    a, b = (spark.createDataFrame([(w,) for w in x], "name string") for x in (left, right))
+    news, alphabet = names._news(b)
+    plans = names._plans([29], news, 0.88)
+    keys = [names._keys(x, plans[side], alphabet, "rl"[not side]) for side, x in ((False, a), (True, b))]
+    assert sum(k.count() for k in keys) < 60 * len(right)
+    assert {(r.left, r.right) for r in names.candidates(a, b, 0.88).collect()} == set(zip(left, right))
