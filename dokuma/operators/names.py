@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 LONG = 256
 #: Letters are counted in so many groups, the most frequent ones each and the rest together, up to so many of each.
 GROUPS, COUNTED = 21, 3
+#: A task keeps the letters of so many names counted.
+COUNTS = 100_000
 
 
 def _matched(both: int, least: float) -> int:
@@ -148,6 +150,20 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return named.where((F.col("left") != F.col("right")) & (F.levenshtein("left", "right") <= both - 2 * F.ceil(least * both / 2 - 1e-9))).select("left", "right")
 
 
+def _ratios(left: Iterable[str], right: Iterable[str], least: float, letters: dict[str, Counter]) -> Iterator[float | None]:
+    for x, y in zip(left, right):
+        if len(letters) > COUNTS:  # before a pair is counted: both counts are needed at once
+            letters.clear()
+        for s in (x, y):
+            if s not in letters:
+                letters[s] = Counter(s)
+        if 2 * (letters[x] & letters[y]).total() < least * (len(x) + len(y)):
+            yield None
+            continue
+        r = SequenceMatcher(None, y, x).ratio()
+        yield r if r >= least else None
+
+
 def ratio(left: Column, right: Column, least: float) -> Column:
     """The ratio of two names, or null where it is below ``least``."""
 
@@ -155,19 +171,7 @@ def ratio(left: Column, right: Column, least: float) -> Column:
     def aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         letters: dict[str, Counter] = {}
         for a, b in batches:
-            out = []
-            for x, y in zip(a, b):
-                for s in (x, y):
-                    if s not in letters:
-                        if len(letters) > 100_000:
-                            letters.clear()
-                        letters[s] = Counter(s)
-                if 2 * (letters[x] & letters[y]).total() < least * (len(x) + len(y)):
-                    out.append(None)
-                    continue
-                r = SequenceMatcher(None, y, x).ratio()
-                out.append(r if r >= least else None)
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series(list(_ratios(a, b, least, letters)), dtype="float64")
 
     return aligned(left, right)
 

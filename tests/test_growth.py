@@ -282,3 +282,13 @@ def test_keys_of_names(spark):
     keys = [names._keys(x, plans[side], alphabet, "rl"[not side]) for side, x in ((False, a), (True, b))]
     assert sum(k.count() for k in keys) < 60 * len(right)
     assert {(r.left, r.right) for r in names.candidates(a, b, 0.88).collect()} == set(zip(left, right))
+
+
+def test_letters_counted_anew(monkeypatch):
+    """Counts that are dropped when there are many do not drop the one that is needed."""
+    monkeypatch.setattr(names, "COUNTS", 2)
+    pairs = [(f"kurul {i}", f"kurul x{i}") for i in range(20)]
+    assert all(names._ratios(*zip(*pairs), 0.88, {}))
+    monkeypatch.setattr(names, "COUNTS", 1)
+    pairs = [("kurul a", "kurul b"), ("kurul a", "kurul c"), ("kurul c", "kurul a")]
+    assert list(names._ratios(*zip(*pairs), 0.8, {})) == [12 / 14] * 3
