@@ -12,7 +12,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -80,8 +80,13 @@ def folded(x) -> str:
     return "" if x is None else _folded(str(x))
 
 
+@lru_cache(maxsize=1 << 14)
+def _squeezed(text: str) -> str:
+    return re.sub("[^a-z0-9]", "", _folded(text))
+
+
 def squeezed(x) -> str:
-    return re.sub("[^a-z0-9]", "", folded(x))
+    return "" if x is None else _squeezed(str(x))
 
 
 def ratio(a: str, b: str) -> float:
@@ -117,6 +122,11 @@ COMPARE = {
 }
 
 
+#: What of a value counts, by kind, where values agree or not; and values that identify nothing.
+CHANGE = {"id": squeezed, "exact": folded, "text": folded}
+BLANK = (None, "", [])
+
+
 def compared(gold: dict, result: dict, parts: dict) -> tuple[float, dict]:
     """(weighted mean, score of each part)."""
     each = {name: COMPARE[kind](gold.get(name), result.get(name)) for name, (kind, _) in parts.items()}
@@ -125,9 +135,8 @@ def compared(gold: dict, result: dict, parts: dict) -> tuple[float, dict]:
 
 def bounds(gold: list[dict], result: list[dict], pairs: set[tuple[int, int]], parts: dict) -> Iterator[tuple[float, int, int]]:
     """(bound of the weighted mean, i, j) of each pair; no text is aligned: texts agree as far as their lengths allow."""
-    change = {"id": squeezed, "exact": folded, "text": folded}
     total = sum(w for _, w in parts.values())
-    whole = [(kind, w / total, *([change.get(kind, lambda x: x)(x.get(n)) for x in side] for side in (gold, result))) for n, (kind, w) in parts.items()]
+    whole = [(kind, w / total, *([CHANGE.get(kind, lambda x: x)(x.get(n)) for x in side] for side in (gold, result))) for n, (kind, w) in parts.items()]
     for i, j in pairs:
         most = 0.0
         for kind, w, left, right in whole:
@@ -172,7 +181,9 @@ def same_items(gold: list[dict], result: list[dict], identity: dict) -> set[tupl
     """(i, j) of items with an identity in common: values equal by a hash, texts alike by ``alike_texts``."""
     found = set()
     for name, kind in identity.items():
-        sides = [[(i, x[name]) for i, x in enumerate(side) if x.get(name) not in (None, "", [])] for side in (gold, result)]
+        sides = [[(i, x[name]) for i, x in enumerate(side) if x.get(name) not in BLANK] for side in (gold, result)]
+        if not all(sides):
+            continue
         change = squeezed if kind == "id" else folded
         (gi, left), (ri, right) = (([i for i, _ in side], [change(v) for _, v in side]) for side in sides)
         if kind == "text":
@@ -185,12 +196,54 @@ def same_items(gold: list[dict], result: list[dict], identity: dict) -> set[tupl
     return found
 
 
+@lru_cache
+def _item(how: tuple) -> tuple[list[str], Callable]:
+    """(the names of parts and identities, a function of their values that gives what counts of the parts, of the identities)."""
+    parts, identity = how
+    names = list(dict.fromkeys(n for n, _ in parts + identity))
+    at = {n: i for i, n in enumerate(names)}
+    shown, known = ([(at[n], CHANGE[kind]) for n, kind in side] for side in how)
+
+    @lru_cache(maxsize=1 << 14, typed=True)
+    def item(*given) -> tuple[tuple, tuple]:
+        return tuple([f(given[i]) for i, f in shown]), tuple([None if given[i] in BLANK else f(given[i]) for i, f in known])
+
+    return names, item
+
+
+def agreeing(gold: list[dict], result: list[dict], identity: dict, parts: dict) -> list[tuple[int, int]]:
+    """(i, j) of items that agree in all parts, found by a hash: only such a pair has the value 1, so all of them come before any
+    other, the first of each kind with the first. Where items agree in all parts but not in what identifies them, or nothing
+    does, none of their kind is taken here."""
+    if any(kind not in CHANGE for kind, _ in parts.values()):
+        return []
+    names, item = _item((tuple((n, kind) for n, (kind, _) in parts.items()), tuple(identity.items())))
+    kinds: dict[tuple, tuple[set, list[int], list[int]]] = {}
+    for side, items in ((1, gold), (2, result)):
+        for at, x in enumerate(items):
+            try:
+                values, name = item(*map(x.get, names))
+            except TypeError:  # a list has no hash
+                values, name = item.__wrapped__(*map(x.get, names))
+            kind = kinds.get(values)
+            if kind is None:
+                kind = kinds[values] = (set(), [], [])
+            kind[0].add(name)
+            kind[side].append(at)
+    return [pair for names, left, right in kinds.values() if len(names) == 1 and any(v is not None for v in next(iter(names))) for pair in zip(left, right)]
+
+
 def paired(gold: list[dict], result: list[dict], identity: dict, parts: dict) -> list[tuple[float, dict]]:
-    """(value, score of each part) of items paired one to one, the most alike first, ties in list order. Pairs wait by a bound
-    of their value, and a pair is compared only when its bound comes first and both items are free."""
-    waiting = [(-most, 0, i, j, None) for most, i, j in bounds(gold, result, same_items(gold, result, identity), parts)]
+    """(value, score of each part) of items paired one to one, the most alike first, ties in list order. Items that agree in
+    all parts are paired first. Pairs of the others wait by a bound of their value, and a pair is compared only when its
+    bound comes first and both items are free."""
+    first = agreeing(gold, result, identity, parts)
+    free = [[i for i in range(len(side)) if i not in gone] for side, gone in zip((gold, result), ({i for i, _ in first}, {j for _, j in first}))]
+    left, right = ([side[i] for i in at] for side, at in zip((gold, result), free))
+    alike = same_items(left, right, identity)
+    waiting = [(-most, 0, free[0][i], free[1][j], None) for most, i, j in bounds(left, right, alike, parts)] if alike else []
     heapq.heapify(waiting)
-    rows, columns, taken = set(), set(), []
+    rows, columns, taken = set(), set(), [(-1.0, i, j, dict.fromkeys(parts, 1.0)) for i, j in first]
     while waiting:
         value, known, i, j, each = heapq.heappop(waiting)
         if i in rows or j in columns:
@@ -201,8 +254,8 @@ def paired(gold: list[dict], result: list[dict], identity: dict, parts: dict) ->
             continue
         rows.add(i)
         columns.add(j)
-        taken.append((-value, each))
-    return taken
+        taken.append((value, i, j, each))
+    return [(-value, each) for value, _, _, each in sorted(taken, key=lambda t: t[:3])]
 
 
 def objects(gold: list, result: list, field: str) -> dict:
@@ -221,8 +274,9 @@ def objects(gold: list, result: list, field: str) -> dict:
     return sizes | dict(raw=f1, matched=len(taken), precision=round(precision, 4), recall=round(recall, 4), f1=round(f1, 4), avg_value_score=round(total / len(taken), 4) if taken else 0.0, parts=mean)
 
 
-def field_rows(gold: dict, result: dict) -> Iterator[dict]:
-    for name, (kind, weight) in FIELDS.items():
+def field_rows(gold: dict, result: dict, fields: Iterable[str] = tuple(FIELDS)) -> Iterator[dict]:
+    for name in fields:
+        kind, weight = FIELDS[name]
         a, b = gold.get(name), result.get(name)
         if kind == "obj_list":
             row = objects(a or [], b or [], name)
@@ -234,9 +288,10 @@ def field_rows(gold: dict, result: dict) -> Iterator[dict]:
         yield {"field": name, "weight": weight, "score": round(row["raw"], 4), "parts": None} | row
 
 
-def scored(gold: DataFrame, results: DataFrame) -> DataFrame:
-    """One row a file and field of files (file, record as JSON) on both sides. A record that is no JSON object gives one
-    row without a field and score 0."""
+def scored(gold: DataFrame, results: DataFrame, fields: Iterable[str] = tuple(FIELDS)) -> DataFrame:
+    """One row a file and field of files (file, record as JSON) on both sides, for the fields asked for. A record that is no
+    JSON object gives one row without a field and score 0."""
+    fields = tuple(fields)
     names = [c.split()[0] for c in re.split(r", (?![^<]*>)", SCORES)]
 
     def parsed(x: str) -> dict | None:
@@ -251,7 +306,7 @@ def scored(gold: DataFrame, results: DataFrame) -> DataFrame:
             rows = []
             for file, a, b in zip(pdf.file, pdf.gold, pdf.result):
                 a, b = parsed(a), parsed(b)
-                rows += [{"file": file, "raw": 0.0, "score": 0.0, "parts": None}] if a is None or b is None else [{"file": file} | r for r in field_rows(a, b)]
+                rows += [{"file": file, "raw": 0.0, "score": 0.0, "parts": None}] if a is None or b is None else [{"file": file} | r for r in field_rows(a, b, fields)]
             yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("matched", "gold_count", "result_count"), "Int32"))
 
     both = gold.select("file", F.col("record").alias("gold")).join(results.select("file", F.col("record").alias("result")), "file")

@@ -292,3 +292,15 @@ def test_letters_counted_anew(monkeypatch):
     monkeypatch.setattr(names, "COUNTS", 1)
     pairs = [("kurul a", "kurul b"), ("kurul a", "kurul c"), ("kurul c", "kurul a")]
     assert list(names._ratios(*zip(*pairs), 0.8, {})) == [12 / 14] * 3
+
+
+def test_equal_items_do_not_wait(monkeypatch):
+    """Of long lists whose items share law names and numbers, those that agree in all parts are paired without a pair waiting."""
+    item = lambda i: {"law": f"Kanun {i % 12}", "law_number": str(5000 + i % 12), "article": f"{i}/a", "context": f"context {i}"}
+    gold, waited = [item(i) for i in range(199)], []
+    result = [item(i) for i in range(199) if i % 4][::-1] + [item(8) | {"context": "contest 8"}, {"article": "9001/x"}]
+    bounds = scoring.bounds
+    monkeypatch.setattr(scoring, "bounds", lambda left, right, pairs, parts: bounds(left, right, (p for p in pairs if waited.append(p) is None), parts))
+    taken = scoring.paired(gold, result, scoring.IDENTITY["cited_law_articles"], scoring.PARTS["cited_law_articles"])
+    assert len(taken) == 150 and [v == 1 for v, _ in taken] == [True] * 149 + [False]
+    assert len(waited) < 200  # every pair of one law waited before: some 2,400
