@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dokuma.operators import graph
+
 #: Names of more letters are cut into pieces of equal news; finding their best cuts would take the cube of the letters.
 LONG = 256
 #: Letters are counted in so many groups, the most frequent ones each and the rest together, up to so many of each.
@@ -189,7 +191,8 @@ def alike(left: DataFrame, right: DataFrame, least: float = 0.88) -> DataFrame:
 def closest(left: DataFrame, right: DataFrame, least: float = 0.88) -> DataFrame:
     """(left, right, ratio): the best match of every name that has one; of equal ratios the last name. A name that is there as
     it is has no better one and is not looked for."""
-    a, b = (x.select("name").where("name IS NOT NULL").distinct() for x in (left, right))
+    a, b = (graph.saved(x.select("name").where("name IS NOT NULL").distinct(), "names") for x in (left, right))
     same = a.join(b, "name").select(F.col("name").alias("left"), F.col("name").alias("right"), F.lit(1.0).alias("ratio"))
-    best = alike(a.join(b, "name", "left_anti"), b, least).groupBy("left").agg(F.max(F.struct("ratio", "right")).alias("m"))
+    rest = graph.saved(a.join(b, "name", "left_anti"), "names")
+    best = alike(rest, b, least).groupBy("left").agg(F.max(F.struct("ratio", "right")).alias("m"))
     return same.union(best.select("left", "m.right", "m.ratio"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dokuma.functions.text import chamber_key
-from dokuma.operators import names
+from dokuma.operators import graph, names
 
 SHORTEST_PREFIX, LEAST_RATIO = 5, 0.88
 
@@ -21,7 +21,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 def name_links(cited: DataFrame, keys: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
     """(name, key): how each cited name finds index keys. Exact; else by prefix, an equi-join on the keys' beginnings of
     every length that a cited name has; else by the closest name of the vocabulary. Only distinct names and keys take part."""
-    named = cited.select(F.col("chamber").alias("name")).distinct().withColumn("name_key", chamber_key(F.col("name"))).where("name_key <> ''")
+    named = graph.saved(cited.select(F.col("chamber").alias("name")).distinct().withColumn("name_key", chamber_key(F.col("name"))).where("name_key <> ''"), "named")
     exact = named.join(keys, named.name_key == keys.key).select("name", "key")
     rest = named.join(exact, "name", "left_anti")
     long = rest.where(F.length("name_key") >= SHORTEST_PREFIX)
@@ -30,8 +30,10 @@ def name_links(cited: DataFrame, keys: DataFrame, vocabulary: DataFrame | None)
     out = exact.union(prefix)
     if vocabulary is None:
         return out
-    words = vocabulary.select(F.col("name").alias("word")).distinct().withColumn("key", chamber_key(F.col("word"))).join(keys, "key", "left_semi")
-    near = names.closest(rest.join(prefix, "name", "left_anti"), words.select(F.col("word").alias("name")), LEAST_RATIO)
+    # Written, as each is read many times below: otherwise every reader works it out anew, in a plan that fills the driver.
+    out = graph.saved(out, "links")
+    words = graph.saved(vocabulary.select(F.col("name").alias("word")).distinct().withColumn("key", chamber_key(F.col("word"))).join(keys, "key", "left_semi"), "words")
+    near = names.closest(named.join(out, "name", "left_anti"), words.select(F.col("word").alias("name")), LEAST_RATIO)
     return out.union(near.join(words, F.col("right") == F.col("word")).select("left", "key"))
 
 
@@ -41,11 +43,12 @@ def resolve(citations: DataFrame, documents: DataFrame, vocabulary: DataFrame |
     a document never resolves to itself. ``vocabulary`` (name) has names beside those of the documents for the closest match;
     null: no closest match. Citations meet documents by chamber and number at once, so a chamber of any size
     costs only its equal numbers."""
-    index = keyed(documents)
-    links = name_links(citations, index.select("key").distinct(), vocabulary)
+    index = graph.saved(keyed(documents), "index")
+    keys = graph.saved(index.select("key").distinct(), "keys")
+    links = graph.saved(name_links(citations, keys, vocabulary), "links")
     numbers = F.array_distinct(F.filter(F.array(F.coalesce("case_no", F.lit("")), F.coalesce("decision_no", F.lit(""))), lambda x: x != ""))
     asked = citations.withColumn("name_key", chamber_key(F.col("chamber"))).withColumn("wanted", numbers)
-    there = links.join(index.select("key").distinct(), "key", "left_semi")
+    there = links.join(keys, "key", "left_semi")
     by_number = index.select("key", F.explode("numbers").alias("number"), "doc_id", F.col("case_no").alias("t_case"), F.col("decision_no").alias("t_decision"))
     cited = asked.select("citation", "source_doc_id", "chamber", F.explode("wanted").alias("number")).join(there, F.col("chamber") == F.col("name"))
     found = cited.join(by_number, ["key", "number"]).where(F.col("doc_id") != F.col("source_doc_id"))
@@ -59,7 +62,7 @@ def resolve(citations: DataFrame, documents: DataFrame, vocabulary: DataFrame |
         F.when(F.col("name_key") == "", "no_daire_extracted").when(F.size("wanted") == 0, "no_esas_or_karar").when(F.col("known").isNull(), "daire_not_in_corpus")
         .when(F.col("n").isNull(), "no_ek_match_in_daire").when(F.col("n") > 1, "ambiguous_match")
     )
-    rows = rows.withColumn("reason", reason)
+    rows = graph.saved(rows.withColumn("reason", reason), "resolved")
     fill = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
     good = rows.where("reason IS NULL").select("citation", "source_doc_id", F.col("x.doc_id").alias("target_doc_id"), "chamber", fill("case_no", "x.t_case").alias("case_no"), fill("decision_no", "x.t_decision").alias("decision_no"), F.when(F.col("x.same") == 2, 1.0).otherwise(0.8).alias("confidence"))
     bad = rows.where("reason IS NOT NULL").select("citation", "source_doc_id", "chamber", "case_no", "decision_no", "reason")

@@ -304,3 +304,12 @@ def test_equal_items_do_not_wait(monkeypatch):
     taken = scoring.paired(gold, result, scoring.IDENTITY["cited_law_articles"], scoring.PARTS["cited_law_articles"])
     assert len(taken) == 150 and [v == 1 for v, _ in taken] == [True] * 149 + [False]
     assert len(waited) < 200  # every pair of one law waited before: some 2,400
+
+
+def test_plan_of_a_resolution(spark):
+    """What a resolution reads many times is written: its plan does not grow with its readers."""
+    d = spark.createDataFrame([(i, "", w, f"2020/{i}", "") for i, w in enumerate(alike_names(20))], "doc_id long, court string, chamber string, case_no string, decision_no string")
+    c = d.select(F.col("doc_id").alias("citation"), F.lit(-1).cast("long").alias("source_doc_id"), F.concat(F.col("chamber").substr(1, 12), F.lit("z"), F.col("chamber").substr(14, 30)).alias("chamber"), "case_no", "decision_no")
+    good, bad = resolve.resolve(c, d, d.select(F.col("chamber").alias("name")))
+    assert {(r.citation, r.target_doc_id) for r in good.collect()} == {(i, i) for i in range(20)} and bad.isEmpty()
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("Join") < 10
